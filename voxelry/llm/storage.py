@@ -1,0 +1,48 @@
+"""Written intermediate tables in the folder that the cluster shares."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset, a folder of the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+class Scratch:
+    """Tables written under one folder of shared_dir; they cut lineage and outlive executors."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/voxelry-{uuid.uuid4().hex}", 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """df, written as Parquet and read again."""
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table of save() that nothing reads any more."""
+        jvm, path = self.spark._jvm, getattr(df, "_scratch", None)
+        if path:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are no longer referenced."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def partitions(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
