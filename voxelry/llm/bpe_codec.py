@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from .bpe import Merges, Transducer, Utf8Stream, read_ranks, running
 from .pieces import Memory, cut
-from .ship import by_batch
+from ..ship import by_batch
 from .textops import gather, slices
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
