@@ -46,3 +46,9 @@ def release(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def shares(df: DataFrame, each: int = 5 << 20) -> int:
+    """How many shares of about `each` bytes (as the optimizer estimates the input) a table has, at most two a shuffle partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(-(-size // each), 2 * partitions(df.sparkSession)))
