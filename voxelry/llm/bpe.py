@@ -194,24 +194,42 @@ class Transducer:
 
 
 class PrefixCounts:
-    """Exact token counts of every prefix of a piece, by dynamic programming over last tokens."""
+    """Exact token counts of every prefix of a piece, by dynamic programming over last tokens.
 
-    def __init__(self, merges: Merges) -> None:
-        self.merges = merges
+    Prefixes that pieces share are worked out once: they are kept in a tree, dropped at `limit` nodes.
+    """
+
+    def __init__(self, merges: Merges, limit: int = 150_000, deep: int = 48) -> None:
+        self.merges, self.limit, self.deep = merges, limit, deep
+        self._reset()
+
+    def _reset(self) -> None:
+        self.nodes, self.below = [((), (), ())], {}
 
     def counts(self, piece: bytes) -> list[int]:
         """counts[i]: tokens of piece[:i + 1]; one step a byte."""
-        lasts: list[bytes] = []
-        out: list[int] = []
-        opens: tuple = ()
-        lo, step, window = 0, self.merges.step, 4 * self.merges.longest
-        for i in range(len(piece)):
+        if len(self.nodes) > self.limit:
+            self._reset()
+        nodes, below, at, step = self.nodes, self.below, 0, self.merges.step
+        for i, byte in enumerate(piece[: self.deep]):
+            if (next_ := below.get(at << 8 | byte)) is None:
+                lasts, opens, counts = nodes[at]
+                last, opens = step(piece[: i + 1], lasts, opens, None)
+                counts = (*counts, 1 + (counts[i - len(last)] if len(last) <= i else 0))
+                next_ = below[at << 8 | byte] = len(nodes)
+                nodes.append(((*lasts, last), opens, counts))
+            at = next_
+        lasts, opens, counts = nodes[at]
+        if len(piece) <= self.deep:
+            return counts
+        lasts, counts, lo, window = list(lasts), list(counts), 0, 4 * self.merges.longest
+        for i in range(self.deep, len(piece)):
             if i - lo > 2 * window:  # work on a window that holds every token that can end here
                 opens, lo = tuple(x - window for x in opens), lo + window
             last, opens = step(piece[lo : i + 1], lasts[lo:] if lo else lasts, opens, lasts[lo - 1] if lo else None)
             lasts.append(last)
-            out.append(1 + (out[i - len(last)] if len(last) <= i else 0))
-        return out
+            counts.append(1 + (counts[i - len(last)] if len(last) <= i else 0))
+        return counts
 
 
 class Utf8Stream:
