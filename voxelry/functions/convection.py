@@ -65,7 +65,7 @@ def instability(p: np.ndarray, t: np.ndarray, rh: np.ndarray) -> tuple[np.ndarra
     first = np.where(rises.any(axis=1), rises.argmax(axis=1), -1)
     rows = np.arange(len(p))
     x = np.log(p[rows, np.maximum(first, 0)]) - np.where(first >= 0, cross[rows, np.maximum(first, 0)] * dx[rows, np.maximum(first, 0)], 0)
-    lfc = np.where(first >= 0, np.exp(x), np.nan)
+    lfc = np.where(first >= 0, np.minimum(np.exp(x), p[:, 0]), np.nan)
     below = np.arange(dx.shape[1])[None] <= first[:, None]
     rh0 = np.clip(rh[:, 0], 1e-4, 1.0)
     lcl = p[:, 0] * ((1 / (1 / (t[:, 0] - 55) - np.log(rh0) / 2840) + 55) / t[:, 0]) ** (1 / KAPPA)
