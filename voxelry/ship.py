@@ -18,11 +18,9 @@ def ship(spark: SparkSession) -> None:
     root, app = str(_PACKAGE.parent), spark.sparkContext.applicationId
     if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == root:
         return
-    from .storage import shared_dir
+    from pyspark import SparkFiles
 
-    local = Path(shared_dir(spark).removeprefix("file:"))
-    local.mkdir(parents=True, exist_ok=True)
-    archive = local / f"voxelry-{app}.zip"
+    archive = Path(SparkFiles.getRootDirectory()) / f"voxelry-{app}.zip"  # the driver's own folder; Spark sends it on
     with zipfile.ZipFile(archive, "w") as z:
         for p in _PACKAGE.rglob("*.py"):
             z.write(p, p.relative_to(_PACKAGE.parent))
