@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .codec import cuts, pack, pack_bits, pack_floats, pack_signed, pack_sorted, unpack, unpack_bits, unpack_floats, unpack_signed, unpack_sorted
 from ..ship import by_batch, ship
-from ..storage import Scratch, partitions, release
+from ..storage import Scratch, release, shares
 from .textops import U64, mix, slices, words
 
 END = U64(0x0E4D0E4D0E4D0E4D)
@@ -79,7 +79,8 @@ def _words(parts: int):
         keys, counts = np.concatenate([unpack_sorted(r["keys"]) for r in rows]), np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.int64)
         unique, back = np.unique(keys, return_inverse=True)
         total = np.bincount(back, counts, len(unique)).astype(np.int64)
-        ids, out, lo = _numbered(len(unique), part, parts), [], 0
+        ids, out, lo = np.empty(len(unique), np.uint64), [], 0
+        ids[np.argsort(-total, kind="stable")] = _numbered(len(unique), part, parts)  # frequent words get small numbers, which pack well
         for r in rows:
             own = back[lo : lo + r["n"]]
             out.append((part, r["chunk"], 1, r["n"], pack(ids[own]), pack(total[own]), None, None, None, 0, 0, None))
@@ -254,7 +255,7 @@ def score(docs: DataFrame, held: Column, order: int = 2) -> DataFrame:
     probability is 1.
     """
     spark = docs.sparkSession
-    scratch, parts = Scratch(spark), 2 * partitions(spark)
+    scratch, parts = Scratch(spark), shares(docs)
     chunks = scratch.save(encode(docs, held))
     numbers, tables = Numbers(), []
 
@@ -308,9 +309,9 @@ def score(docs: DataFrame, held: Column, order: int = 2) -> DataFrame:
             asked = by_batch(chunks.select("chunk", "vocab", "counts"), ask_words, _ASK)
             table = asked.groupBy("part").applyInArrow(_words(parts), _TELL)
         else:
-            asked = chunks.groupBy("chunk").cogroup(told()).applyInArrow(ask(level), _ASK)
+            asked = chunks.select("chunk", "sizes", "held", "tokens").groupBy("chunk").cogroup(told()).applyInArrow(ask(level), _ASK)
             table = asked.groupBy("part").applyInArrow(_grams(level, parts, level == order), _TELL)
         tables.append(scratch.save(table))
         numbers.add(tables[-1].where("chunk < 0").select("total", "types", "hist").collect())  # a row a partition
         release(spark)
-    return chunks.groupBy("chunk").cogroup(told()).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.select("chunk", "docs", "sizes", "held", "tokens").groupBy("chunk").cogroup(told()).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
