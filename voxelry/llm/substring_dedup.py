@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .codec import cuts, pack, pack_bits, pack_signed, pack_sorted, unpack, unpack_bits, unpack_signed, unpack_sorted
 from ..ship import ship
-from ..storage import partitions
+from ..storage import shares
 from .textops import Words, joined, raw, texts, window_hash, words
 
 _ASK = "part int, kind int, chunk long, n long, keys binary, extra binary, docs binary, starts binary"
@@ -128,8 +128,7 @@ def _bits(answers: pa.Table, kind: int) -> np.ndarray:
 def _plan(docs: DataFrame, window: int, finish, schema: str, extra: list[str], chunks: int | None) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    parts = partitions(spark)
-    n_chunks = chunks or 2 * parts
+    n_chunks = parts = chunks or shares(docs)
     dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
 
     def load(table: pa.Table) -> _Chunk:
