@@ -133,7 +133,7 @@ class Transducer:
 
     START = (None, b"", (), ())
 
-    def __init__(self, merges: Merges, lookahead: int = 5, limit: int = 150_000) -> None:
+    def __init__(self, merges: Merges, lookahead: int = 5, limit: int = 250_000) -> None:
         self.merges, self.lookahead, self.limit = merges, lookahead, limit
         self._reset()
 

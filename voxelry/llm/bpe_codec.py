@@ -46,6 +46,14 @@ class Codec:
             yield stream.feed(self.token_bytes(ids[lo : lo + step]).tobytes())
         yield stream.feed(b"", last=True)
 
+    @staticmethod
+    def characters(data: bytes, step: int = 1 << 14):
+        """Text of token bytes, as it comes: every part is whole characters."""
+        stream = Utf8Stream()
+        for lo in range(0, len(data), step):
+            yield stream.feed(data[lo : lo + step])
+        yield stream.feed(b"", last=True)
+
 
 @cache
 def codec(path: str) -> Codec:
@@ -76,12 +84,14 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         c, n, one, two = codec(path), [], [], []
         for _, _, buf, offsets in slices(batch.column(1)):
             ids, first = c.encode(buf, offsets)
-            for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
-                own, digest = ids[a:b], hashlib.sha256()
-                for part in c.decode(own):
+            wide, data = ids.astype("<u4").tobytes(), c.token_bytes(ids).tobytes()
+            ends = np.concatenate([[0], np.cumsum(c.size[ids])])[first].tolist()
+            for k, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
+                digest = hashlib.sha256()
+                for part in c.characters(data[ends[k] : ends[k + 1]]):
                     digest.update(part.encode())
                 n.append(b - a)
-                one.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+                one.append(hashlib.sha256(wide[4 * a : 4 * b]).hexdigest())
                 two.append(digest.hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

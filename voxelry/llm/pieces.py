@@ -73,7 +73,7 @@ def cut(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 class Memory:
     """Tokens of the pieces seen so far, in one pool; begins anew when it holds `limit` pieces."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 200_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 500_000) -> None:
         self.encode, self.limit = encode, limit
         self._reset()
 
