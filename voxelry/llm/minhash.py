@@ -4,8 +4,10 @@ Each permutation gives two signature values, the least and the greatest hash of
 sets in both have the same chance as one min-hash, at half the evaluations. Documents with equal
 shingle sets are one node from the start. Within a band's bucket every member is compared with the
 bucket's smallest document; after the confirmed links are joined to components, only members of
-buckets that still hold several components are compared across those components. So a group of
-copies costs one comparison a member, and no link between different texts is lost to its size.
+buckets that still hold several components are compared across those components, in blocks, by the
+share of equal bytes of their whole signatures. Pairs that come close enough are confirmed too. So
+a group of copies costs one comparison a member, no pairs of a group are written out, and no link
+between different texts is lost to a group's size.
 """
 
 from __future__ import annotations
@@ -19,10 +21,16 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..ship import by_batch
-from ..storage import Scratch, release
+from ..storage import Scratch, partitions, release
 from .textops import U64, Words, mix, randoms, slices, window_hash, words
 
-_SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+_SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands binary, sig binary"
+#: Permutations of a signature; each gives two values, of which a byte is kept.
+PERMUTATIONS = 256
+#: Buckets beyond this many nodes are compared in cells of two salts.
+CELL = 2048
+#: Ids up to this many (32 MB) are sent to every executor to pick out rows of documents; more are joined by a shuffle.
+BROADCAST_IDS = 4 << 20
 
 
 def shingle_sets(w: Words, size: int) -> list[np.ndarray]:
@@ -65,19 +73,83 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, one, two, keys = [], [], [], []
+        n, one, two, keys, bytes_ = [], [], [], [], []
         for _, _, buf, offsets in slices(batch.column(1)):
             for s in shingle_sets(words(buf, offsets, lower=True), size):
                 n.append(len(s))
                 one.append(int(mix(s.sum(dtype=U64, keepdims=True)).view(np.int64)[0]) if len(s) else 0)
                 two.append(int(mix(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64, keepdims=True)).view(np.int64)[0]) if len(s) else 0)
-                keys.append(band_keys(signature(s, bands * rows // 2), bands, rows) if len(s) else np.zeros(0, np.int64))
-        flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32()), pa.array(np.concatenate(keys)))
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), flat], names=["doc_id", "n_shingles", "fp1", "fp2", "bands"])
+                if len(s):
+                    sig = signature(s, max(PERMUTATIONS, bands * rows // 2))
+                    keys.append(band_keys(sig[: bands * rows], bands, rows).tobytes())
+                    bytes_.append((mix(sig) >> U64(56)).astype(np.uint8).tobytes())
+                else:
+                    keys.append(b"")
+                    bytes_.append(b"")
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.binary()), pa.array(bytes_, pa.binary())], names=["doc_id", "n_shingles", "fp1", "fp2", "bands", "sig"])
 
     return by_batch(docs, run, _SIGNED)
 
 
+def _exploded(classes: DataFrame, bands: int) -> DataFrame:
+    """(band, key, node, n_shingles): a row for each band of each node."""
+    schema = "band int, key long, node long, n_shingles long"
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        node, n = (np.repeat(batch.column(i).to_numpy(), bands) for i in (0, 1))
+        keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(keys), pa.array(node), pa.array(n)], names=["band", "key", "node", "n_shingles"])
+
+    return by_batch(classes.select("node", "n_shingles", "bands"), run, schema)
+
+
+def _close(table: pa.Table, percent: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one cell's nodes, of different components and fitting sizes, whose signatures are nearly alike enough."""
+    node, c, n, salt = (table[k].to_numpy() for k in ("node", "c", "n_shingles", "salt"))
+    band, two = table["band"][0].as_py(), table["a"][0].as_py() != table["b"][0].as_py()
+    keys = np.frombuffer(b"".join(table["bands"].to_pylist()), np.int64).reshape(len(node), -1)
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+    share = percent / 100
+    least = (share - 5 * (share * (1 - share) / sig.shape[1]) ** 0.5) * sig.shape[1]  # five standard deviations below
+    src, dst = [], []
+    order = np.argsort(n, kind="stable")
+    node, c, n, salt, keys, sig = node[order], c[order], n[order], salt[order], keys[order], sig[order]
+    for i in range(len(node) - 1):
+        j = np.arange(i + 1, int(np.searchsorted(n, 100 * n[i] // percent, "right")))
+        j = j[(c[j] != c[i]) & ((salt[j] != salt[i]) if two else True)]
+        if len(j):
+            j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
+        if len(j):  # a pair is the business of the first band that it shares
+            j = j[(keys[j, :band] != keys[i, :band]).all(axis=1)]
+            src.append(np.minimum(node[i], node[j]))
+            dst.append(np.maximum(node[i], node[j]))
+    return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _across(open_: DataFrame, classes: DataFrame, percent: int, bands: int, parts: int) -> DataFrame:
+    """(src, dst): pairs of nodes in a bucket and different components that may be similar enough."""
+    count = open_.groupBy("band", "key").count().withColumn("salts", F.when(F.col("count") > CELL, F.ceil(F.col("count") * 2 / CELL)).otherwise(1).cast("int")).drop("count")
+    placed = (
+        open_.join(count, ["band", "key"]).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .withColumn("a", F.least("salt", "other")).withColumn("b", F.greatest("salt", "other")).drop("salts", "other")
+        .withColumn("part", F.pmod(F.xxhash64("band", "key", "a", "b"), F.lit(parts)).cast("int"))
+    )
+    full = placed.join(classes.select("node", "bands", "sig"), "node")
+
+    def run(key, table):
+        columns = [table[k].to_numpy() for k in ("band", "key", "a", "b")]
+        order = np.lexsort(columns[::-1])
+        change = np.zeros(len(order), bool)
+        for v in columns:
+            change[1:] |= v[order][1:] != v[order][:-1]
+        bounds = [0, *np.flatnonzero(change).tolist(), len(order)]
+        found = [_close(table.take(pa.array(order[lo:hi])), percent, bands) for lo, hi in zip(bounds, bounds[1:], strict=False) if hi - lo > 1]
+        pair = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
+        return pa.table([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], names=["src", "dst"])
+
+    return full.groupBy("part").applyInArrow(run, "src long, dst long")
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = [s.tobytes() for _, _, buf, offsets in slices(batch.column(1)) for s in shingle_sets(words(buf, offsets, lower=True), size)]
@@ -86,11 +158,16 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return by_batch(docs, run, "doc_id long, set binary")
 
 
+def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of documents whose doc_id is (left_semi) or isn't (left_anti) in a written table of ids; its size is counted."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (src, dst) whose full sets are similar enough: 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("src").alias("doc_id")).unionByName(pairs.select(F.col("dst").alias("doc_id"))).distinct()
+    wanted = scratch.save(pairs.select(F.col("src").alias("doc_id")).unionByName(pairs.select(F.col("dst").alias("doc_id"))).distinct())
     # rows that repeat a doc_id count as one document (see near_duplicates); any of them will do
-    sets = scratch.save(_sets(docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), size))
+    sets = scratch.save(_sets(_picked(docs, wanted, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), size))
     both = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("set").alias("b")), "dst")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -117,15 +194,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     kept is doc_id = component_id. Rows that repeat a doc_id are one document with the smallest
     non-null of their texts, and give a row each; a null doc_id links with nothing and is kept, its
     component_id null. bands * rows signature values, of half as many permutations, choose the
-    candidates: a pair at similarity s is missed with probability (1 - s**rows)**bands.
+    candidates: a pair at similarity s is missed with probability (1 - s**rows)**bands. Those of a
+    bucket's pairs that aren't with its smallest document also need signatures that agree in no
+    less than five standard deviations below the threshold (3 in 10 million at the threshold).
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.save(_signed(docs, size, bands, rows))
     # nodes: the smallest document of each different set
     one = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = scratch.save(one.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    hashed = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    classes = scratch.save(one.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    hashed = _exploded(classes, bands)
     crowded = hashed.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
     members = scratch.save(hashed.join(crowded.select("band", "key", "hub"), ["band", "key"]))
     fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
@@ -138,10 +217,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     named = members.join(joined.withColumnRenamed("component", "found"), "node", "left").withColumn("c", F.coalesce("found", "node")).drop("found")
     split = named.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
     open_ = scratch.save(named.join(split, ["band", "key"]).select("band", "key", "node", "c", "n_shingles"))
-    a = open_.select("band", "key", F.col("node").alias("src"), F.col("c").alias("c_a"), F.col("n_shingles").alias("n_a"))
-    b = open_.select("band", "key", F.col("node").alias("dst"), F.col("c").alias("c_b"), F.col("n_shingles").alias("n_b"))
-    across = a.join(b, ["band", "key"]).where(f"src < dst AND c_a <> c_b AND {fits}").select("src", "dst").distinct().join(first, ["src", "dst"], "left_anti")
-    more = _confirmed(scratch.save(across), docs, size, percent, scratch)
+    across = scratch.save(_across(open_, classes, percent, bands, 4 * partitions(docs.sparkSession)).distinct())
+    more = _confirmed(across, docs, size, percent, scratch)
     final = components(links.unionByName(more), scratch)
     of_set = classes.join(final, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "node").alias("component"))
     # a document that repeats with different texts may have several sets; they are one component through its id
@@ -152,5 +229,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """The rows of documents whose component keeps them, columns unchanged."""
-    gone = near_duplicates(docs, **how).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = Scratch(docs.sparkSession).save(near_duplicates(docs, **how).where("NOT kept").select("doc_id").distinct())
+    return _picked(docs, gone, "left_anti").select(docs.columns)
