@@ -373,6 +373,17 @@ def test_op9_bands(spark):
     assert all(got[i].kept for i in range(300)) and not any(got[i].kept for i in range(300, 303))
 
 
+def test_op9_junk(spark):
+    rng = random.Random(10)
+    vocab = ["".join(rng.choices(["tion", "the", "er", "an", "re", "in", "lo", "su", "mi"], k=rng.randint(1, 4))) for _ in range(600)]
+    prose = [" ".join(rng.choices(vocab, k=rng.randint(100, 400))) for _ in range(300)]
+    junk = [" ".join(w + rng.choice(["***", "$$$", "###", " | ", ""]) for w in rng.choices(vocab, k=150)) for _ in range(6)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(prose + junk)], "doc_id long, text string, lang string")
+    got = by_id(quality.judge(df))
+    assert sum(got[i].kept for i in range(300)) >= 297 and not any(got[i].kept for i in range(300, 306))
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i in got if got[i].kept}
+
+
 def test_kneser_ney_sums_to_one():
     counts = np.zeros(quality.SIZE, np.int64)
     at = np.random.default_rng(1).integers(0, quality.SIZE, 5000)

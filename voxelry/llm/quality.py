@@ -230,7 +230,7 @@ def bands(measured: DataFrame, spread: float) -> dict[str | None, tuple[float, f
     return {r["lang"]: (r["q"][0] - spread * (r["q"][1] - r["q"][0]), r["q"][1] + spread * (r["q"][1] - r["q"][0])) for r in rows}
 
 
-def judge(docs: DataFrame, spread: float = 15.0, min_share: float = 0.01) -> DataFrame:
+def judge(docs: DataFrame, spread: float = 3.0, min_share: float = 0.01) -> DataFrame:
     """doc_id, the base measures, base_failed, kept and bits of every row of documents (doc_id, text, lang).
 
     base_failed: fewer than 50 words, or more than half of them in repeated windows of three. kept:
@@ -248,7 +248,7 @@ def judge(docs: DataFrame, spread: float = 15.0, min_share: float = 0.01) -> Dat
     return measured.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.nanvl("bits", F.lit(None).cast("double")).alias("bits"))
 
 
-def keep_good(docs: DataFrame, spread: float = 15.0, min_share: float = 0.01) -> DataFrame:
+def keep_good(docs: DataFrame, spread: float = 3.0, min_share: float = 0.01) -> DataFrame:
     """The rows of documents that judge() keeps, columns unchanged; texts are not shuffled."""
     rules = Rules(learn(docs, min_share), {})
     rules.bands = bands(_measured(docs, rules), spread)
