@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from voxelry.llm import bpe, bpe_codec, codec, dac, embedding_dedup, katz, minhash, packing, quality, substring_dedup, token_counts, url_filter
 from voxelry.llm.registry import RULES
+from voxelry.storage import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -391,6 +392,56 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose((2 ** quality.kneser_ney(counts)).reshape(-1, 32).sum(axis=1), 1)
 
 
+def test_op9_characters(spark):
+    rng = random.Random(11)
+    vocab = ["".join(chr(0x4E00 + rng.randrange(300)) for _ in range(2)) for _ in range(300)]
+    prose = [" ".join(rng.choices(vocab, k=150)) for _ in range(300)]
+    odd = [" ".join(chr(rng.randrange(0x4E00, 0x9F00)) + chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(150)) for _ in range(3)]
+    df = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(prose + odd)], "doc_id long, text string, lang string")
+    got = by_id(quality.judge(df))
+    assert sum(got[i].kept for i in range(300)) >= 297 and not any(got[i].kept for i in range(300, 303))
+
+
+def test_op9_rare_languages(spark):
+    rng = random.Random(12)
+    vocab = {x: ["".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(300)] for x, letters in (("en", "abcdefgh"), ("xx", "ijklmnop"), ("yy", "qrstuvwx"))}
+    rows = [(" ".join(rng.choices(vocab["en"], k=60)), "en") for _ in range(5200)]
+    rows += [(" ".join(rng.choices(vocab[x], k=700)), x) for x in ("xx", "yy") for _ in range(25)]
+    rows += [(" ".join(rng.choices(vocab["yy"], k=700)), "xx")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    got = by_id(quality.judge(df))
+    assert all(got[i].kept for i in range(5200, 5250)) and not got[5250].kept
+
+
+def test_op9_table(spark):
+    rng = np.random.default_rng(1)
+    counts = np.zeros(quality.SIZE, np.int64)
+    np.add.at(counts, rng.integers(0, quality.SIZE, 5000), 1)
+    np.add.at(counts, rng.integers(0, 200, 3000), 1)
+    code, model = np.flatnonzero(counts), 5
+    part = lambda k: code >> 5 * k & 31
+    a, b = model << 42 | part(3) << 21 | part(2), part(1) << 21 | part(0)
+    grams = spark.createDataFrame([tuple(map(int, r)) for r in zip(a, b, counts[code], strict=True)], "a long, b long, n long")
+    got = {(r.a, r.b): r.p for r in quality.table(grams, Scratch(spark)).collect()}
+    assert np.allclose([got[int(x), int(y)] for x, y in zip(a, b, strict=True)], 2 ** quality.kneser_ney(counts)[code])
+
+
+def test_op9_sequences():
+    many = "".join(chr(x) for x in range(0x100, 0x9000)) + "".join(chr(x) for x in range(0x10000, 0x18000))
+    texts_ = ["  Ab \n\t c", "", "é中\U0001F600x", "aa", many]
+    raw = [x.encode() for x in texts_]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    for rows in (slice(0, 4), slice(0, 5)):
+        cut = offsets[rows.start : rows.stop + 1]
+        code, first, split = quality.sequences(np.frombuffer(b"".join(raw[rows]), np.uint8), cut, np.arange(3, 3 + len(cut) - 1))
+        a, b = split(code)
+        for i, x in enumerate(texts_[rows]):
+            y = re.sub(r"[ \n\t]+", " ", x.translate(LOWER)).lstrip()
+            padded = [32, 32, 32, *map(ord, y)]
+            want = [((3 + i) << 42 | padded[k] << 21 | padded[k + 1], padded[k + 2] << 21 | padded[k + 3]) for k in range(len(y))]
+            assert list(zip(a[first[i] : first[i + 1]].tolist(), b[first[i] : first[i + 1]].tolist(), strict=True)) == want
+
+
 def test_op10(docs, rows, empty):
     tk = Tokenizer.from_file(WORDS)
     segments = dac.write(docs, WORDS)

@@ -1,69 +1,108 @@
 """Operator 9: quality rules, with language-specific bands of n-gram perplexity.
 
-The language model counts sequences of four character classes of 32 (letters without case, digit,
-blank, other, and three kinds of bytes beyond ASCII), so a model has at most 2**20 entries however
-large the corpus is. Spark counts them; the modified Kneser-Ney probabilities are kept in arrays
-sorted by hash, one pair of arrays a language. Languages of less than `min_share` of the documents
-share one model, so there are at most 1 / min_share + 1 models.
+The language model counts sequences of four characters (code points; ASCII letters without case, a run
+of blanks or of one ASCII symbol as one), for each language its own. Texts are written once as chunks with their different
+sequences and counts. Spark adds these up and derives the modified Kneser-Ney probabilities by
+aggregates and joins on the sequences, so the table is partitioned by hash and grows with the corpus;
+no process holds it. A chunk then gets the probabilities of its sequences by their places in it.
+A sequence is a (model, first two characters) and b (last two), 21 bits a character; in lower orders
+the leading characters are 0.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cache
+import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import by_batch, ship
-from ..storage import Scratch
-from .textops import SPACE, U64, Words, mix, segment_hash, slices, window_hash, words
+from ..ship import ship
+from ..storage import Scratch, release
+from .codec import pack, pack_signed, unpack, unpack_signed
+from .textops import LOWER, SPACE, U64, Words, mix, segment_hash, slices, window_hash, words
 
 ORDER, BITS = 4, 5
 SIZE = 1 << ORDER * BITS
-_DIGIT, _BLANK, _MARK, _LEAD, _TAIL = 26, 27, 28, 29, 30
+#: Bits of a character in a and b.
+WIDE = 21
+_CHAR = (1 << WIDE) - 1
+#: Bytes of text in a chunk.
+CHUNK = 4 << 20
+#: Rows of content hashes up to which they are broadcast: 4 million, 32 MB.
+BROADCAST_HASHES = 4 << 20
+_NULL = -(1 << 63)
+#: White space and ASCII symbols: a run of one of them counts once, as its length says nothing of the language.
+_ONCE = np.array([k < 127 and not chr(k).isalnum() for k in range(128)])
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-
-@cache
-def symbols() -> np.ndarray:
-    """The class of each byte."""
-    out = np.full(256, _MARK, np.uint8)
-    for i in range(26):
-        out[[ord("a") + i, ord("A") + i]] = i
-    out[ord("0") : ord("9") + 1] = _DIGIT
-    out[SPACE] = _BLANK
-    out[0xC0:] = _LEAD
-    out[0x80:0xC0] = _TAIL + (np.arange(64) & 1)
-    return out
-
-
-def codes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the sequences that end at each symbol, and each text's first; runs of blanks count once.
+_CHUNK = "chunk long, docs binary, hashes binary, sizes binary, models binary, base binary, size long, text binary, a array<long>, b array<long>, n array<long>"
+_MEASURED = "doc_id long, hash long, model int, " + "".join(f"{c} long, " for c in _BASE) + "base_failed boolean, bits double"
+
+
+def characters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts and each text's first; white space is a blank, of runs of a blank or symbol only the first, leading blanks left out."""
+    head = (buf & 0xC0) != 0x80
+    at = np.flatnonzero(head)
+    c = np.where(SPACE[buf], np.uint8(32), LOWER[buf])[at].astype(np.int64)
+    far = np.flatnonzero(c >= 0x80)
+    if len(far):
+        size, place, v = np.diff(np.append(at, len(buf)))[far], at[far], c[far]
+        v &= np.where(v >= 0xF0, 7, np.where(v >= 0xE0, 15, 31))
+        for k in (1, 2, 3):
+            more = size > k
+            v[more] = v[more] << 6 | (buf[place[more] + k] & 63)
+        c[far] = v & _CHAR
+    first = np.concatenate([[0], np.cumsum(head)])[offsets]
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] != c[:-1]) | ~_ONCE[np.minimum(c[1:], 127)]
+    start = first[:-1][first[:-1] < len(c)]
+    keep[start] = c[start] != 32  # a text's leading blanks are those before it
+    return c[keep], np.concatenate([[0], np.cumsum(keep)])[first]
+
+
+def sequences(buf: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, object]:
+    """The sequence that ends at each character, as a number of this chunk; each text's first; what turns numbers into (a, b).
 
     A text begins after three blanks, which aren't predicted themselves.
     """
-    s = symbols()[buf]
-    keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != _BLANK) | (s[:-1] != _BLANK)
-    start = offsets[:-1][offsets[:-1] < len(s)]
-    keep[start] = s[start] != _BLANK  # a text's leading blanks are those before it
-    first = np.concatenate([[0], np.cumsum(keep)])[offsets]
-    s = s[keep].astype(np.int32)
-    place = np.arange(len(s)) - np.repeat(first[:-1], np.diff(first))
-    out = s.copy()
-    for back in range(1, ORDER):
-        previous = np.full(len(s), _BLANK, np.int32)
-        previous[back:] = s[:-back] if back < len(s) else s[:0]
-        previous[place < back] = _BLANK
-        out |= previous << (BITS * back)
-    return out, first
+    c, first = characters(buf, offsets)
+    there = np.zeros(1 << WIDE, bool)
+    there[c] = there[32] = True
+    chars = np.flatnonzero(there)
+    to = np.zeros(1 << WIDE, np.int32)
+    to[chars] = np.arange(len(chars))
+    bits = max(1, (len(chars) - 1).bit_length())
+    c, blank = to[c].astype(np.int64), int(to[32])
+    place = np.arange(len(c)) - np.repeat(first[:-1], np.diff(first))
+
+    def previous(back: int) -> np.ndarray:
+        out = np.full(len(c), blank, np.int64)
+        out[back:] = c[:-back] if back < len(c) else c[:0]
+        out[place < back] = blank
+        return out
+
+    left = (np.repeat(model.astype(np.int64), np.diff(first)) << bits | previous(3)) << bits | previous(2)
+    right = previous(1) << bits | c
+    if int(model.max(initial=0)).bit_length() + ORDER * bits < 63:
+        code, lefts, rights, width = left << 2 * bits | right, None, None, 1 << 2 * bits
+    else:  # too many different characters for one number
+        lefts, i = np.unique(left, return_inverse=True)
+        rights, j = np.unique(right, return_inverse=True)
+        width = max(1, len(rights))
+        code = i * width + j
+
+    def split(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = code // width, code % width
+        x, y = (x, y) if lefts is None else (lefts[x], rights[y])
+        low = (1 << bits) - 1
+        return x >> 2 * bits << 2 * WIDE | chars[x >> bits & low] << WIDE | chars[x & low], chars[y >> bits] << WIDE | chars[y & low]
+
+    return code, first, split
 
 
 def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """log2 probability of each code's last symbol after the others, by modified Kneser-Ney.
+    """log2 probability of each code's last symbol after the others, by modified Kneser-Ney: the dense form of table(), for 32 symbols.
 
     counts: of every code. Lower orders count different left neighbours; each order has its own
     discounts for counts 1, 2 and more; the lowest is mixed with equal chances for all symbols.
@@ -86,45 +125,6 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     return np.log2(p)
 
 
-@dataclass
-class Model:
-    """Sorted hashes of the sequences a language has shown, and their log2 probabilities; others have their context's floor."""
-
-    keys: np.ndarray
-    values: np.ndarray
-    floor: np.ndarray  # by context: for sequences that were never seen, the mean of their log2 probabilities
-
-    @classmethod
-    def of(cls, code: np.ndarray, count: np.ndarray) -> Model:
-        counts = np.zeros(SIZE, np.int64)
-        counts[code] = count
-        p = kneser_ney(counts)
-        unseen = counts == 0
-        rows = unseen.reshape(-1, 1 << BITS)
-        floor = np.where(rows.any(axis=1), np.where(rows, p.reshape(rows.shape), 0).sum(axis=1) / np.maximum(rows.sum(axis=1), 1), 0)
-        hashes = mix(code.astype(U64))
-        order = np.argsort(hashes)
-        return cls(hashes[order], p[code][order].astype(np.float32), floor.astype(np.float32))
-
-    def table(self) -> np.ndarray:
-        """Values of all codes (at most 2**20), looked up once in the sorted hashes."""
-        h = mix(np.arange(SIZE, dtype=U64))
-        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
-        floor = np.repeat(self.floor, 1 << BITS)
-        return np.where(self.keys[at] == h, self.values[at], floor) if len(self.keys) else floor
-
-
-@dataclass
-class Rules:
-    """What a document must pass: models by language, and the bands of bits a symbol."""
-
-    models: dict[str | None, Model]
-    bands: dict[str | None, tuple[float, float]]
-
-    def language(self, lang: str | None) -> str | None:
-        return lang if lang in self.models else None
-
-
 def base(w: Words, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The base measures of each text."""
     n_docs = len(offsets) - 1
@@ -160,109 +160,142 @@ def base(w: Words, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _bits(buf: np.ndarray, offsets: np.ndarray, langs: list, rules: Rules, tables: dict) -> np.ndarray:
-    """Bits a symbol of each text, by its language's model; NaN for texts without symbols."""
-    code, first = codes(buf, offsets)
-    size = np.diff(first)
-    cost = np.zeros(len(code), np.float32)
-    names = [rules.language(x) for x in langs]
-    owner = np.repeat(np.array([list(rules.models).index(x) for x in names], np.int32), size)
-    for k, name in enumerate(rules.models):
-        if (at := owner == k).any():
-            if name not in tables:
-                tables[name] = rules.models[name].table()
-            cost[at] = tables[name][code[at]]
-    total = np.concatenate([[0.0], np.cumsum(cost, dtype=np.float64)])[first]
-    return np.where(size > 0, -np.diff(total) / np.maximum(size, 1), np.nan)
-
-
-def learn(docs: DataFrame, min_share: float = 0.01) -> dict[str | None, Model]:
-    """Models by language, from all texts; None is that of all languages below min_share and of null."""
-    ship(docs.sparkSession)
-    by_lang = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    total = by_lang.agg(F.sum("n")).first()[0] or 0
-    own = sorted(r["lang"] for r in by_lang.where((F.col("n") >= min_share * total) & F.col("lang").isNotNull()).select("lang").collect())  # at most 1 / min_share
-    number = {lang: i for i, lang in enumerate(own)}
-
-    def count(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            langs = np.array([number.get(x, len(own)) for x in batch.column(1).to_pylist()], np.int64)
-            for lo, hi, buf, offsets in slices(batch.column(0)):
-                code, first = codes(buf, offsets)
-                owner = np.repeat(langs[lo:hi], np.diff(first))
-                for k in np.unique(owner).tolist():
-                    sums[k] = sums.get(k, 0) + np.bincount(code[owner == k], minlength=SIZE)
-        for k, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["model", "code", "n"])
-
-    table = docs.select("text", "lang").mapInArrow(count, "model int, code int, n long").groupBy("model", "code").agg(F.sum("n").alias("n")).toArrow()
-    model, code, n = (table[c].to_numpy() for c in ("model", "code", "n"))
-    return {lang: Model.of(code[model == k], n[model == k]) for k, lang in enumerate([*own, None])}
-
-
-def _measured(docs: DataFrame, rules: Rules) -> DataFrame:
-    """doc_id, lang (that of the model), the base measures, base_failed and bits of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(rules)
-    tables: dict = {}
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts, bits, langs = [], [], batch.column(2).to_pylist()
-        for lo, hi, buf, offsets in slices(batch.column(1)):
-            parts.append(base(words(buf, offsets), offsets))
-            bits.append(_bits(buf, offsets, langs[lo:hi], shared.value, tables))
-        n = {c: np.concatenate([p[c] for p in parts]).astype(np.int64) for c in _BASE}
-        failed = failed_base(n)
-        names = pa.array([shared.value.language(x) for x in langs], pa.string())
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), names, *(pa.array(n[c]) for c in _BASE), pa.array(failed), pa.array(np.concatenate(bits))], names=["doc_id", "lang", *_BASE, "base_failed", "bits"])
-
-    return by_batch(docs.select("doc_id", "text", "lang"), run, "doc_id long, lang string, " + "".join(f"{c} long, " for c in _BASE) + "base_failed boolean, bits double")
-
-
 def failed_base(n: dict[str, np.ndarray]) -> np.ndarray:
     return (n["n_words"] < 50) | (100 * n["n_repeat_words"] > 50 * n["n_words"])
 
 
-def bands(measured: DataFrame, spread: float) -> dict[str | None, tuple[float, float]]:
-    """By language: the quartiles of bits a symbol of documents that pass the base rules, widened by `spread` times their distance."""
-    rows = measured.where("NOT base_failed AND NOT isnan(bits)").groupBy("lang").agg(F.percentile_approx("bits", [0.25, 0.75], 10000).alias("q")).collect()  # a row a model
-    return {r["lang"]: (r["q"][0] - spread * (r["q"][1] - r["q"][0]), r["q"][1] + spread * (r["q"][1] - r["q"][0])) for r in rows}
+def _shorter(order: int) -> tuple[Column, Column]:
+    """a and b of a sequence without its first character."""
+    a, b = F.col("a"), F.col("b")
+    gone = {4: _CHAR << WIDE, 3: _CHAR << WIDE | _CHAR}.get(order, 0)
+    return a.bitwiseAND(F.lit(~gone).cast("long")), b.bitwiseAND(F.lit(_CHAR).cast("long")) if order == 2 else b
+
 
+def table(grams: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b, p) of the different sequences (a, b, n): probability of the last character after the others, by modified Kneser-Ney.
 
-def judge(docs: DataFrame, spread: float = 3.0, min_share: float = 0.01) -> DataFrame:
+    Lower orders count different left neighbours; each order of a model has its own discounts for
+    counts 1, 2 and more; the lowest is mixed with equal chances for all characters of the model.
+    """
+    levels = {ORDER: grams}
+    for k in range(ORDER, 1, -1):
+        a, b = _shorter(k)
+        levels[k - 1] = scratch.save(levels[k].select(a.alias("a"), b.alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")))
+    model = F.shiftright("a", 2 * WIDE).alias("model")
+    p = None
+    for k in range(1, ORDER + 1):
+        counts = levels[k].groupBy(model).agg(F.count("*").alias("types"), *(F.sum((F.col("n") == r).cast("double")).alias(f"n{r}") for r in (1, 2, 3, 4)))
+        y = F.when(F.expr("n1 + n2 > 0"), F.expr("n1 / (n1 + 2 * n2)")).otherwise(0.5)
+        d = lambda r: F.when(F.col(f"n{r}") > 0, F.least(F.greatest(r - (r + 1) * y * F.col(f"n{r + 1}") / F.col(f"n{r}"), F.lit(0.05 * r)), F.lit(0.95 * r))).otherwise(0.5 * r).alias(f"d{r}")
+        t = levels[k].withColumn("model", model).join(F.broadcast(counts.select("model", "types", d(1), d(2), d(3))), "model")  # a row a model
+        t = t.withColumn("cut", F.expr("CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END")).withColumn("c", F.shiftright("b", WIDE))
+        sums = t.groupBy("a", "c").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"))
+        t = t.join(sums, ["a", "c"])
+        if k == 1:
+            t = t.withColumn("lower", 1 / F.col("types"))
+        else:
+            la, lb = _shorter(k)
+            t = t.withColumn("la", la).withColumn("lb", lb).join(p.select(F.col("a").alias("la"), F.col("b").alias("lb"), F.col("p").alias("lower")), ["la", "lb"])
+        p = scratch.save(t.select("a", "b", F.expr("(n - cut) / total + mass / total * lower").alias("p")))
+    return p
+
+
+def languages(docs: DataFrame, least: int) -> list[str]:
+    """Languages with at least `least` bytes of text; the driver sees a row a language."""
+    found = docs.where("lang IS NOT NULL").groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).where(F.col("n") >= least)
+    return sorted(r["lang"] for r in found.select("lang").collect())
+
+
+def _encode(docs: DataFrame, own: list[str]) -> DataFrame:
+    """Chunks of documents: ids, hashes, models, base measures, text, and the different sequences with their counts."""
+    ship(docs.sparkSession)
+    number = {lang: i + 1 for i, lang in enumerate(own)}
+    names = [c.split()[0] for c in _CHUNK.split(", ")]
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    types = [kinds[c.split()[1]] for c in _CHUNK.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            ids = np.asarray(batch.column(0).cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False), np.int64)
+            models = np.array([number.get(x, 0) for x in batch.column(2).to_pylist()], np.int64)
+            hashes = np.asarray(batch.column(3).to_numpy(zero_copy_only=False), np.int64)
+            for lo, hi, buf, offsets in slices(batch.column(1), CHUNK):
+                n = base(words(buf, offsets), offsets)
+                code, _, split = sequences(buf, offsets, models[lo:hi])
+                different, count = np.unique(code, return_counts=True)
+                a, b = split(different)
+                chunk = int.from_bytes(os.urandom(8), "little") >> 1  # the rows are written before anyone reads it
+                blob = pa.compress(buf.tobytes(), "zstd", asbytes=True) if len(buf) else b""
+                row = (chunk, pack_signed(ids[lo:hi]), pack_signed(hashes[lo:hi]), pack(np.diff(offsets)), pack(models[lo:hi]), pack(np.concatenate([n[c] for c in _BASE])), len(buf), blob, a, b, count)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text", "lang", _content().alias("hash")).mapInArrow(run, _CHUNK)
+
+
+def _content() -> Column:
+    """A hash of what a verdict depends on."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(0), "lang")
+
+
+def _finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The measures of a chunk's documents, given the probabilities of its sequences."""
+    names = [c.split()[0] for c in _MEASURED.split(", ")]
+    out = []
+    for r in left.to_pylist():
+        ids, models = unpack_signed(r["docs"]), unpack(r["models"]).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(unpack(r["sizes"]).astype(np.int64))])
+        buf = np.frombuffer(pa.decompress(r["text"], r["size"], "zstd", asbytes=True), np.uint8) if r["size"] else np.zeros(0, np.uint8)
+        code, first, _ = sequences(buf, offsets, models)
+        different, at = np.unique(code, return_inverse=True)
+        cost = np.full(len(different), np.nan)
+        cost[right["place"].to_numpy()] = -np.log2(right["p"].to_numpy())
+        size = np.diff(first)
+        total = np.diff(np.concatenate([[0.0], np.cumsum(cost[at])])[first])
+        bits = np.where(size > 0, np.round(total / np.maximum(size, 1), 6), np.nan)  # the same text has the same bits in any chunk
+        n = dict(zip(_BASE, unpack(r["base"]).astype(np.int64).reshape(len(_BASE), -1), strict=True))
+        columns = [pa.array(ids, mask=ids == _NULL), pa.array(unpack_signed(r["hashes"])), pa.array(models, pa.int32()), *(pa.array(n[c]) for c in _BASE), pa.array(failed_base(n)), pa.array(bits)]
+        out.append(pa.table(columns, names=names))
+    return pa.concat_tables(out)
+
+
+def _measured(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """doc_id, hash, model, the base measures, base_failed and bits (NaN without characters) of every row."""
+    chunks = scratch.save(_encode(docs, languages(docs, least)))
+    gram = F.inline(F.arrays_zip("a", "b", "n"))
+    p = table(scratch.save(chunks.select(gram).groupBy("a", "b").agg(F.sum("n").alias("n"))), scratch)
+    release(docs.sparkSession)
+    asked = chunks.select("chunk", F.posexplode(F.arrays_zip("a", "b")).alias("place", "g")).select("chunk", "place", "g.a", "g.b")
+    told = asked.join(p, ["a", "b"]).select(F.col("chunk").alias("asker"), "place", F.col("p").cast("float").alias("p"))
+    return scratch.save(chunks.drop("a", "b", "n").groupBy("chunk").cogroup(told.groupBy("asker")).applyInArrow(_finish, _MEASURED))
+
+
+def bands(measured: DataFrame, spread: float) -> DataFrame:
+    """By model: the quartiles of bits a character of documents that pass the base rules, widened by `spread` times their distance."""
+    q = measured.where("NOT base_failed AND NOT isnan(bits)").groupBy("model").agg(F.percentile_approx("bits", [0.25, 0.75], 10000).alias("q"))
+    wide = spread * (F.col("q")[1] - F.col("q")[0])
+    return q.select("model", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
+
+
+def _judged(docs: DataFrame, spread: float, least: int) -> DataFrame:
+    measured = _measured(docs, least, Scratch(docs.sparkSession))
+    inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
+    return measured.join(F.broadcast(bands(measured, spread)), "model", "left").withColumn("kept", ~F.col("base_failed") & inside)  # a row a model
+
+
+def judge(docs: DataFrame, spread: float = 3.0, least: int = 1 << 16) -> DataFrame:
     """doc_id, the base measures, base_failed, kept and bits of every row of documents (doc_id, text, lang).
 
     base_failed: fewer than 50 words, or more than half of them in repeated windows of three. kept:
-    passes that, and its bits a symbol (log2 of the perplexity) lie within its language's band.
+    passes that, and its bits a character (log2 of the perplexity) lie within its language's band.
     Null and empty texts have no words, fail, and have no bits (null). Null languages and those of
-    less than min_share of the rows share a model and a band. Rows may repeat and doc_id may be
-    null: each row counts and gives one row. Other columns are not read.
+    less than `least` bytes of text, too few for quartiles, share a model and a band. Rows may
+    repeat and doc_id may be null: each row counts and gives one row. Other columns are not read.
     """
-    scratch = Scratch(docs.sparkSession)
-    measured = scratch.save(_measured(docs, Rules(learn(docs, min_share), {})))
-    found = bands(measured, spread)
-    inside = F.lit(True)
-    for lang, (low, high) in found.items():
-        inside = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.col("bits").between(low, high)).otherwise(inside)
-    return measured.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.nanvl("bits", F.lit(None).cast("double")).alias("bits"))
-
-
-def keep_good(docs: DataFrame, spread: float = 3.0, min_share: float = 0.01) -> DataFrame:
-    """The rows of documents that judge() keeps, columns unchanged; texts are not shuffled."""
-    rules = Rules(learn(docs, min_share), {})
-    rules.bands = bands(_measured(docs, rules), spread)
-    shared, tables = docs.sparkSession.sparkContext.broadcast(rules), {}
-    names = docs.columns
-    text, lang = names.index("text"), names.index("lang")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, langs, rules = [], batch.column(lang).to_pylist(), shared.value
-        for lo, hi, buf, offsets in slices(batch.column(text)):
-            failed = failed_base(base(words(buf, offsets), offsets))
-            bits = _bits(buf, offsets, langs[lo:hi], rules, tables)
-            low, high = np.array([rules.bands.get(rules.language(x), (-np.inf, np.inf)) for x in langs[lo:hi]]).T
-            keep.append(~failed & (bits >= low) & (bits <= high))
-        return batch.filter(pa.array(np.concatenate(keep)))
-
-    return by_batch(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return _judged(docs, spread, least).select("doc_id", *_BASE, "base_failed", "kept", F.nanvl("bits", F.lit(None).cast("double")).alias("bits"))
+
+
+def keep_good(docs: DataFrame, spread: float = 3.0, least: int = 1 << 16) -> DataFrame:
+    """The rows of documents that judge() keeps, columns unchanged: those whose content hash isn't among the others'."""
+    gone = Scratch(docs.sparkSession).save(_judged(docs, spread, least).where("NOT kept").select("hash").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_HASHES else gone
+    return docs.join(gone.withColumnRenamed("hash", "_gone"), _content() == F.col("_gone"), "left_anti")
