@@ -227,6 +227,12 @@ def test_op4(docs, rows, order):
         assert sum(p(w, h) for w in [*known, "never seen"]) == pytest.approx(1)
 
 
+def test_op4_uses_two_words_of_context(docs, rows):
+    score, _, _ = brute_katz([(r[0], r[1]) for r in rows], lambda d: False, 3)
+    for r in katz.score(docs, F.lit(False)).collect():
+        assert r.score == pytest.approx(score[r.doc_id])
+
+
 def test_op4_empty(empty):
     assert katz.score(empty, F.lit(False)).count() == 0
 

@@ -242,7 +242,7 @@ class _Chunk:
         self.level += 1
 
 
-def score(docs: DataFrame, held: Column, order: int = 2) -> DataFrame:
+def score(docs: DataFrame, held: Column, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of documents.
 
     The model learns from rows whose `held` is not true (null counts as false) and scores all.
