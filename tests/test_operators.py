@@ -166,6 +166,16 @@ def test_links_are_nearest_first(spark):
     assert got == {1: (1, 0), 3: (1, 1), 5: (1, 2), 2: (2, 0), 4: (2, 1), 6: (0, 0)}
 
 
+def test_links_of_a_long_row(spark):
+    """Evenly spaced features shifted by half a step: all distances tie, so a round settles one pair."""
+    n = 12
+    rows = [(i + 1, 0, 0.0, 0.0, float(i)) for i in range(n)] + [(n + i + 1, 1, 0.0, 0.0, i + 0.5) for i in range(n)]
+    df = spark.createDataFrame(rows, "feature long, t int, zc double, yc double, xc double")
+    for rounds in (0, 3, 30):
+        got = {r.feature: r.cell for r in detect.link_features(df, 0.6, Scratch(spark), min_steps=2, most_rounds=rounds).collect()}
+        assert all(got[i + 1] == got[n + i + 1] == i + 1 for i in range(n))
+
+
 def test_parcel_is_sane():
     p = np.array([[100000.0, 90000, 80000, 70000, 60000, 50000, 40000]])
     t = np.array([[303.0, 293, 286, 279, 271, 262, 251]])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +83,30 @@ def watershed(field: DataFrame, value: str, seeds: DataFrame, threshold: float,
     return nodes.join(part.where("part < 0"), "id").select(*DIMS, (-F.col("part")).alias("feature"))
 
 
+def _greedy(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) of the pairs (a, b, d) taken in their order, each feature once."""
+    found = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
+
+    def run(key, table):
+        table = table.sort_by([("d", "ascending"), ("a", "ascending"), ("b", "ascending")])
+        used, out = set(), []
+        for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+            if a not in used and b not in used:
+                used |= {a, b}
+                out.append((a, b))
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    both = pairs.join(found, F.col("a") == F.col("node")).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "d", "component")
+    return both.groupBy("component").applyInArrow(run, "a long, b long")
+
+
 def link_features(features: DataFrame, radius: float, scratch: Scratch, drift: tuple[float, float] = (0.0, 0.0), min_steps: int = 1, most_rounds: int = 30) -> DataFrame:
     """Features with `cell` and `time_cell`: nearest pairs of consecutive steps within the radius, one to one.
 
     Places are moved by the drift (y, x a step) before they are compared. Among all pairs the nearest
-    is taken first (then the smaller numbers), as mutual nearest ones round by round. Cells are
-    chains of pairs, numbered from 1 by their first feature; chains shorter than min_steps get 0.
+    is taken first (then the smaller numbers), as mutual nearest ones round by round. Pairs that are
+    open after most_rounds (chains of ties settle one a round) are finished one by one, each
+    connected part of them in a task. Cells are chains of pairs, numbered from 1 by their first feature; chains shorter than min_steps get 0.
     """
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
@@ -104,6 +123,9 @@ def link_features(features: DataFrame, radius: float, scratch: Scratch, drift: t
             break
         taken = mutual if taken is None else taken.unionByName(mutual)
         open_ = scratch.save(open_.join(mutual.select("a"), "a", "left_anti").join(mutual.select("b"), "b", "left_anti"))
+    else:
+        rest = scratch.save(_greedy(open_, scratch))
+        taken = rest if taken is None else taken.unionByName(rest)
     edges = taken if taken is not None else open_.select("a", "b")
     found = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
     out = scratch.save(features.join(found, F.col("feature") == F.col("node"), "left").withColumn("root", F.coalesce("component", "feature")).drop("node", "component"))
