@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxelry.llm import bpe, bpe_codec, codec, dac, embedding_dedup, katz, minhash, packing, quality, substring_dedup, token_counts, url_filter
+from voxelry.llm import bpe, bpe_codec, codec, dac, embedding_dedup, katz, minhash, packing, pieces, quality, substring_dedup, textops, token_counts, url_filter
 from voxelry.llm.registry import RULES
 from voxelry.storage import Scratch
 
@@ -25,13 +25,22 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 
 
+def thue_morse(a, b, n=1024):
+    """n signs of the sequence over a and b; it and its complement have equal polynomial hashes modulo 2 ** 64."""
+    return [(a, b)[bin(i).count("1") & 1] for i in range(n)]
+
+
+def pair(sep=""):
+    return [sep.join(thue_morse("a", "b")), sep.join(thue_morse("b", "a"))]
+
+
 def texts():
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(300)] + ["The", "the", "Été", "naïve", "x<|endoftext|>y", "don't", "1234", "###", "中文"]
     prose = [" ".join(rng.choices(vocab, k=rng.choice([3, 30, 120, 400]))) for _ in range(40)]
     near = max(prose, key=len).split()
     near[3] = "changed"
-    return [*prose, max(prose, key=len), " ".join(near), "", None, " \n\t ", "one", "two words", "a" * 3000, "\n".join(["same line"] * 9), prose[8] + " " + prose[9], "it's  'll\r\n x'll  ", "z " * 6000, "é     ß"]
+    return [*prose, max(prose, key=len), " ".join(near), "", None, " \n\t ", "one", "two words", "a" * 3000, "\n".join(["same line"] * 9), prose[8] + " " + prose[9], *pair(), *pair(" "), "\n".join(x + " y" for x in pair()), "it's  'll\r\n x'll  ", "z " * 6000, "é     ß"]
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +72,30 @@ def test_codes_round_trip():
     assert cut[0] == 0 and cut[-1] == 500 and (np.diff(cut) >= 0).all()
 
 
+def test_hashes_tell_similar_strings_apart():
+    rng = random.Random(6)
+    strings = [*pair(), *pair(" "), "", "a", "a\0", "a\0\0", *("x" * n for n in range(1, 200)), *("".join(rng.choices("ab", k=rng.randint(1, 90))) for _ in range(5000))]
+    strings = sorted({s.encode() for s in strings})
+    ends = np.cumsum([len(s) for s in strings])
+    buf, start = np.frombuffer(b"".join(strings), np.uint8), ends - [len(s) for s in strings]
+    h = textops.segment_hash(buf, start, ends)
+    assert len(np.unique(h)) == len(strings)
+    assert (textops.segment_hash(np.frombuffer(strings[77] + b"tail", np.uint8), np.array([0]), np.array([len(strings[77])])) == h[77]).all()
+    words = np.array([{"a": 1, "b": 2}[c] for x in pair() for c in x], np.uint64)
+    for n in (2, 3, 5, 20, 50, 64, 1024):
+        found = textops.window_hash(words, np.arange(len(words) - n + 1), n)
+        assert len(np.unique(found)) == len({tuple(words[i : i + n].tolist()) for i in range(len(words) - n + 1)})
+
+
+def test_memory_compares_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "segment_hash", lambda buf, start, end: np.minimum(end - start, 9).astype(np.uint64))
+    strings = [b"aaaaaaaaaa", b"aaaaaaaaab", b"x", b"aaaaaaaaaa", b"aaaaaaaaaaa"]
+    ends = np.cumsum([len(s) for s in strings])
+    memory = pieces.Memory(lambda keys: [list(k) for k in keys])
+    place, size = memory.find(np.frombuffer(b"".join(strings), np.uint8), ends - [len(s) for s in strings], ends)
+    assert [memory.pool[a : a + n].tolist() for a, n in zip(place, size, strict=True)] == [list(s) for s in strings]
+
+
 def test_transducer_equals_library():
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -85,8 +118,13 @@ def test_utf8_stream():
     for step in (1, 2, 3, 5, 7):
         s = bpe.Utf8Stream()
         assert "".join(s.feed(data[i : i + step]) for i in range(0, len(data), step)) + s.feed(b"", last=True) == text
-    s = bpe.Utf8Stream()
-    assert s.feed(b"\xe4\xb8") + s.feed(b"a") == "�a"
+    rng = random.Random(5)
+    odd = [b"\xe4\xb8", b"a", b"\xff", b"\xc0\x80", b"\xed\xa0\x80", b"\xf4\x90", "é\U0001f600".encode(), b"\xf0\x9f\x98", b"\x80"]
+    for _ in range(300):
+        data, s = b"".join(rng.choices(odd, k=6)), bpe.Utf8Stream()
+        cut = sorted(rng.choices(range(len(data) + 1), k=3))
+        parts = [data[a:b] for a, b in zip([0, *cut], [*cut, len(data)], strict=True)]
+        assert "".join(map(s.feed, parts)) + s.feed(b"", last=True) == data.decode("utf-8", "replace")
 
 
 def test_op1(docs, rows, empty):
@@ -167,6 +205,35 @@ def test_op3(spark):
     assert url_filter.judge(pages.limit(0), RULES).count() == 0 and url_filter.judge(pages, ()).where("verdict = 'allow'").count() == len(urls)
 
 
+def good_turing(hist):
+    """Katz's factors for counts 1 to 5 from the counts of counts 1 to 6, as in his paper; None where they don't lie in (0, 1)."""
+    k, n = 5, dict(enumerate(hist, 1))
+    if not n[1] or (k + 1) * n[k + 1] == n[1]:
+        return None
+    common, out = (k + 1) * n[k + 1] / n[1], []
+    for r in range(1, k + 1):
+        if not n[r]:
+            return None
+        adjusted = (r + 1) * n[r + 1] / n[r]
+        out.append((adjusted / r - common) / (1 - common))
+    return out if all(0 < d < 1 for d in out) else None
+
+
+def factors(hist):
+    """Factors on counts 0 to 5; where Good and Turing's fail, those of one absolute discount."""
+    if (d := good_turing(hist)) is None:
+        cut = hist[0] / (hist[0] + 2 * hist[1]) if hist[0] and hist[1] else 0.5
+        d = [1 - cut / r for r in range(1, 6)]
+    return [0.0, *d]
+
+
+def test_op4_discounts():
+    # counts of counts of a Zipf-like text: the factors by hand
+    assert good_turing([1000, 300, 150, 90, 60, 45]) == pytest.approx([(0.6 - 0.27) / 0.73, (0.75 - 0.27) / 0.73, (0.8 - 0.27) / 0.73, (60 * 5 / 90 / 4 - 0.27) / 0.73, (0.9 - 0.27) / 0.73])
+    for hist in ([1000, 300, 150, 90, 60, 45], [10, 0, 0, 0, 0, 0], [0] * 6, [5, 4, 3, 2, 1, 9], [7, 3, 1, 0, 2, 1]):
+        assert katz.discounts(hist) == pytest.approx(factors(hist))
+
+
 def brute_katz(texts_, held, order, low=5):
     """Scores by id and p(word, history) of a Katz model written straight from its definition."""
     tokens = {d: [*WORD.findall((t or "").translate(LOWER)), None] for d, t in texts_}
@@ -179,7 +246,7 @@ def brute_katz(texts_, held, order, low=5):
                 for k in range(2, order + 1):
                     if i >= k - 2:
                         count[k][tuple(padded[i + 2 - k : i + 2])] += 1
-    factor = [None, *(katz.discounts([sum(v == r for v in c.values()) for r in range(1, low + 2)]) for c in count[1:])]
+    factor = [None, *(factors([sum(v == r for v in c.values()) for r in range(1, low + 2)]) for c in count[1:])]
     d = lambda k, c: factor[k][c] if c <= low else 1.0
     children = [{} for _ in range(order + 1)]
     for k in range(2, order + 1):

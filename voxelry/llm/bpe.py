@@ -128,7 +128,8 @@ class Transducer:
     A state holds the bytes whose tokens aren't settled, the last token of each of their prefixes,
     the places from which a coming token may begin, and the token before them all. Tokens are
     written as soon as every way on shares them: what the chains of last tokens from all those
-    places have in common is final. The tables are dropped when they reach `limit` states.
+    places have in common is final. The tables are dropped when they reach `limit` states; a state
+    of long pending text counts as several.
     """
 
     START = (None, b"", (), ())
@@ -138,7 +139,16 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.states, self.numbers, self.moves = [self.START], {b"": 0}, {}
+        self.states, self.numbers, self.moves, self.held = [self.START], {b"": 0}, {}, 1
+
+    def _number(self, state: tuple) -> int:
+        before, text = state[:2]
+        key = text if before is None else (before, text)  # the rest follows from these
+        if (n := self.numbers.get(key)) is None:
+            n = self.numbers[key] = len(self.states)
+            self.states.append(state)
+            self.held += 1 + len(text) // 64
+        return n
 
     def _move(self, number: int, byte: int) -> tuple[int, tuple]:
         before, pending, lasts, opens = self.states[number]
@@ -147,11 +157,7 @@ class Transducer:
         lasts = (*lasts, last)
         if len(text) >= self.lookahead:
             before, text, lasts, opens, out = self._settle(before, text, lasts, opens)
-        key = text if before is None else (before, text)  # the rest follows from these
-        if (n := self.numbers.get(key)) is None:
-            n = self.numbers[key] = len(self.states)
-            self.states.append((before, text, lasts, opens))
-        return n, out
+        return self._number((before, text, lasts, opens)), out
 
     def _settle(self, before, text: bytes, lasts: tuple, opens: tuple) -> tuple:
         ends = {*opens, len(text)}
@@ -179,11 +185,15 @@ class Transducer:
         ranks = self.merges.ranks
         if piece in ranks:
             return [ranks[piece]]
-        if len(self.states) > self.limit:
+        if self.held > self.limit:
             self._reset()
         state, moves, out = 0, self.moves, []
         for byte in piece:
             if (move := moves.get(state << 8 | byte)) is None:
+                if self.held > self.limit:  # the tables begin anew with the state we are in
+                    now = self.states[state]
+                    self._reset()
+                    state, moves = self._number(now), self.moves
                 move = moves[state << 8 | byte] = self._move(state, byte)
             state, written = move
             if written:
@@ -232,28 +242,63 @@ class PrefixCounts:
         return counts
 
 
+def _leads() -> dict[int, tuple[int, int, int, int]]:
+    """Of each byte that begins a longer character: bytes to come, bounds of the next one, and its own bits."""
+    out = {}
+    for b in range(0xC2, 0xF5):
+        more = 1 if b < 0xE0 else 2 if b < 0xF0 else 3
+        low, high = {0xE0: 0xA0, 0xF0: 0x90}.get(b, 0x80), {0xED: 0x9F, 0xF4: 0x8F}.get(b, 0xBF)
+        out[b] = (more, low, high, b & (0x3F >> more))
+    return out
+
+
 class Utf8Stream:
-    """Bytes to text as they come: an incomplete character waits for its rest, a wrong byte becomes U+FFFD."""
+    """UTF-8 as an incremental state machine: the state is the bytes to come, the bounds of the next one, and the bits so far.
 
-    def __init__(self) -> None:
-        self.rest = b""
+    Between states at rest, stretches of whole characters are decoded in one go. A byte that can't
+    follow ends the open character as one U+FFFD and is read again from rest.
+    """
 
-    @staticmethod
-    def waiting(data: bytes) -> int:
-        """Bytes at the end that begin a character without ending it."""
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b >= 0xC0:
-                return back if back < (2 if b < 0xE0 else 3 if b < 0xF0 else 4) else 0
-            if b < 0x80:
-                return 0
-        return 0
+    LEADS = _leads()
+    REST = (0, 0, 0, 0)
+
+    def __init__(self) -> None:
+        self.state = self.REST
+
+    def step(self, byte: int) -> str:
+        """What a byte completes, if anything."""
+        more, low, high, bits = self.state
+        if more:
+            if low <= byte <= high:
+                bits = bits << 6 | byte & 0x3F
+                self.state = (more - 1, 0x80, 0xBF, bits) if more > 1 else self.REST
+                return "" if more > 1 else chr(bits)
+            self.state = self.REST
+            return "\ufffd" + self.step(byte)
+        if byte < 0x80:
+            return chr(byte)
+        self.state = self.LEADS.get(byte, self.REST)
+        return "" if self.state[0] else "\ufffd"
 
     def feed(self, data: bytes, last: bool = False) -> str:
-        data = self.rest + data
-        cut = len(data) - (0 if last else self.waiting(data))
-        self.rest = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        out, i = [], 0
+        while i < len(data):
+            if self.state[0]:
+                out.append(self.step(data[i]))
+                i += 1
+                continue
+            try:
+                out.append(str(memoryview(data)[i:], "utf-8"))
+                break
+            except UnicodeDecodeError as e:
+                out.append(str(memoryview(data)[i : i + e.start], "utf-8"))
+                i += e.start
+                out.append(self.step(data[i]))
+                i += 1
+        if last and self.state[0]:
+            out.append("\ufffd")
+            self.state = self.REST
+        return "".join(out)
 
 
 def running(sizes: list[int]) -> list[int]:

@@ -35,13 +35,14 @@ BROADCAST_IDS = 4 << 20
 
 def shingle_sets(w: Words, size: int) -> list[np.ndarray]:
     """Sorted different hashes of each text's shingles; a text of fewer words is one shingle, of none none."""
-    counts, doc = w.counts, w.doc()
+    counts = w.counts
     start = np.flatnonzero(w.room() >= size)
     hashes = window_hash(w.hash, start, size)
     bounds = np.searchsorted(start, w.first)
-    short = np.flatnonzero((counts > 0) & (counts < size))
-    whole = dict(zip(short.tolist(), window_hash(w.hash, w.first[short], counts[short]), strict=True))
-    del doc
+    whole = {}
+    for n in range(1, size):
+        short = np.flatnonzero(counts == n)
+        whole |= dict(zip(short.tolist(), window_hash(w.hash, w.first[short], n), strict=True))
     return [np.array([whole[i]], U64) if i in whole else np.unique(hashes[a:b]) for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False))]
 
 

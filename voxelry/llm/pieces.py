@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 import regex
 
-from .textops import gather, segment_hash
+from .textops import gather, same, segment_hash
 
 OTHER, LETTER, NUMBER, BLANK = range(4)
 
@@ -71,14 +71,15 @@ def cut(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 class Memory:
-    """Tokens of the pieces seen so far, in one pool; begins anew when it holds `limit` pieces."""
+    """Tokens of the pieces seen so far, in one pool; begins anew when it holds `limit` pieces or `room` bytes of pieces and tokens."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 500_000) -> None:
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 500_000, room: int = 64 << 20) -> None:
+        self.encode, self.limit, self.room = encode, limit, room
         self._reset()
 
     def _reset(self) -> None:
         self.at: dict[bytes, int] = {}
+        self.bytes = 0
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -92,15 +93,28 @@ class Memory:
             self.pool[self.used : self.used + size] = ids
             self.at[key], self.start[n], self.size[n] = n, self.used, size
             self.used += size
+            self.bytes += len(key)
 
     def find(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the pool and number of tokens of each piece buf[start:end]."""
-        if len(self.at) > self.limit:
+        """Place in the pool and number of tokens of each piece buf[start:end].
+
+        Pieces of one hash are asked once, after their bytes have been compared; those of up to
+        eight bytes and one length can't share a hash.
+        """
+        if len(self.at) > self.limit or self.bytes + 4 * self.used > self.room:
             self._reset()
+        size = end - start
         _, first, back = np.unique(segment_hash(buf, start, end), return_index=True, return_inverse=True)
+        head = first[back]
+        other = size != size[head]
+        long_ = np.flatnonzero((size > 8) & ~other & (head != np.arange(len(head))))
+        other[long_[~same(buf, start[long_], start[head[long_]], size[long_])]] = True
+        odd = np.flatnonzero(other)  # pieces that only share the hash of another: asked by themselves
+        back[odd] = len(first) + np.arange(len(odd))
+        first = np.concatenate([first, odd])
         data = buf.tobytes()
         keys = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        if new := [k for k in keys if k not in self.at]:
+        if new := [k for k in dict.fromkeys(keys) if k not in self.at]:
             self._learn(new)
         at = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[back]
         return self.start[at], self.size[at]

@@ -6,6 +6,7 @@ Texts of one Arrow batch lie one behind the other in a single buffer; words neve
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-#: Bytes hashed in one go, so that temporary arrays stay small.
+#: Bytes compared in one go, so that temporary arrays stay small.
 BLOCK = 1 << 19
 #: Bytes of text taken from an Arrow batch at a time.
 SLICE = 1 << 20
@@ -39,62 +40,75 @@ def randoms(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U64) + U64(seed)) * U64(0x9E3779B97F4A7C15))
 
 
-_BYTE = randoms(256, 1 << 20)
-_BASE, _WINDOW_BASE = 0x9E3779B97F4A7C1D, 0xD1342543DE82EF95
+#: Longest byte strings hashed by columns of eight bytes; longer ones by BLAKE2b, one by one.
+SHORT = 64
+_LENGTH = randoms(SHORT + 1, 1 << 20)
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as needed."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 12)
-            self.up, self.down = (np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, b, U64)]), dtype=U64) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
+def segment_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings buf[start:end]; they depend on nothing else.
+
+    Strings of equal length up to eight bytes never collide, as each step scrambles a value it
+    can't lose; longer ones take a step for each eight bytes, none of which is linear.
+    """
+    size = end - start
+    load = np.ndarray(len(buf) + 1, "<u8", np.append(buf, np.zeros(8, np.uint8)), strides=(1,))
+    out = _LENGTH[np.minimum(size, SHORT)]
+    live, at, left = slice(None), start, size
+    for _ in range(0, SHORT, 8):
+        out[live] = mix(out[live] ^ (load[at] & _LOW[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    data = memoryview(np.ascontiguousarray(buf))
+    for i in live.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
-_powers, _window_powers = _Powers(_BASE), _Powers(_WINDOW_BASE)
+def same(buf: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether buf[start:start + size] and buf[other:other + size] are equal, of each pair."""
+    out = np.ones(len(start), bool)
+    for lo, hi in _runs(size):
+        n = size[lo:hi]
+        ends = np.cumsum(n)
+        inside = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        differ = buf[np.repeat(start[lo:hi], n) + inside] != buf[np.repeat(other[lo:hi], n) + inside]
+        out[lo:hi][np.repeat(np.arange(hi - lo), n)[differ]] = False
+    return out
 
 
-def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _Powers) -> np.ndarray:
-    """Polynomial hashes of values[start:end] for ascending starts, whatever the place."""
-    out = np.empty(len(start), U64)
-    i = 0
-    while i < len(start):
-        base = int(start[i])
-        j = max(i + 1, int(np.searchsorted(start, base + BLOCK)))
-        top = int(end[i:j].max()) if j > i else base
-        v = values[base:top]
-        up, down = powers.get(len(v) + 1)
-        total = np.zeros(len(v) + 1, U64)
-        np.cumsum(v * up[:-1], out=total[1:], dtype=U64)
-        s, e = start[i:j] - base, end[i:j] - base
-        out[i:j] = (total[e] - total[s]) * down[s]
-        i = j
-    return out
+def _runs(size: np.ndarray):
+    """Bounds of runs of about BLOCK in all."""
+    total, lo = np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BLOCK, "right")))
+        yield lo, hi
+        lo = hi
 
 
-def segment_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte strings buf[start:end]; starts ascend."""
-    out = np.empty(len(start), U64)
-    i = 0
-    while i < len(start):
-        base = int(start[i])
-        j = max(i + 1, int(np.searchsorted(start, base + BLOCK)))
-        top = int(end[i:j].max())
-        out[i:j] = _ranges(_BYTE[buf[base:top]], start[i:j] - base, end[i:j] - base, _powers)
-        i = j
-    return mix(out + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
-
-
-def window_hash(h: np.ndarray, start: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-    """Hashes of the sequences h[start:start + length] of word hashes."""
-    length = np.broadcast_to(np.asarray(length, np.int64), start.shape)
-    return mix(_ranges(h, start, start + length, _window_powers) + length.astype(U64) * U64(0xE7037ED1A0B428DB))
+def _chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of sequences from those of their two parts; the order matters."""
+    return mix(mix(a + U64(0x9E3779B97F4A7C15)) ^ b)
+
+
+def window_hash(h: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the sequences h[start:start + length] of word hashes: windows of powers of two, chained by the bits of length."""
+    if not len(start):
+        return np.zeros(0, U64)
+    out, done, part, size = None, 0, h, 1
+    while True:
+        if length & size:
+            own = part[start + done]
+            out = own if out is None else _chained(out, own)
+            done += size
+        if 2 * size > length:
+            return mix(out ^ _LENGTH[length % SHORT])
+        part = _chained(part[: len(part) - size], part[size:])
+        size *= 2
 
 
 def texts(column) -> pa.Array:
