@@ -1,43 +1,46 @@
 """Operator 9: quality rules, with language-specific bands of n-gram perplexity.
 
 The language model counts sequences of four characters (code points; ASCII letters without case, a run
-of blanks or of one ASCII symbol as one), for each language its own. Texts are written once as chunks with their different
-sequences and counts. Spark adds these up and derives the modified Kneser-Ney probabilities by
-aggregates and joins on the sequences, so the table is partitioned by hash and grows with the corpus;
-no process holds it. A chunk then gets the probabilities of its sequences by their places in it.
+of blanks or of one ASCII symbol as one), for each language its own. Spark counts them over all texts
+and derives the modified Kneser-Ney probabilities by aggregates and joins on the sequences, so the table
+is partitioned and grows with the corpus. It is stored as sorted arrays of the sequences' hashes with
+their bits, one row for each range of the hash space. Up to BROADCAST_SEQUENCES these arrays go to every
+executor and texts are measured where they are read; beyond it chunks of texts ask the ranges for their
+different sequences and get the bits in the order they asked. Both give the same result.
 A sequence is a (model, first two characters) and b (last two), 21 bits a character; in lower orders
 the leading characters are 0.
 """
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from ..storage import Scratch, release
-from .codec import pack, pack_signed, unpack, unpack_signed
+from ..storage import Scratch, text_bytes
+from .codec import cuts, pack_sorted, unpack_sorted
 from .textops import LOWER, SPACE, U64, Words, mix, segment_hash, slices, window_hash, words
 
-ORDER, BITS = 4, 5
-SIZE = 1 << ORDER * BITS
+ORDER = 4
 #: Bits of a character in a and b.
 WIDE = 21
 _CHAR = (1 << WIDE) - 1
-#: Bytes of text in a chunk.
+#: Bytes of text measured at a time, and in a chunk.
 CHUNK = 4 << 20
+#: Sequences in a row of the model, about.
+RANGE = 1 << 18
+#: Sequences of the model up to which it is broadcast: 4 million, 48 MB.
+BROADCAST_SEQUENCES = 4 << 20
 #: Rows of content hashes up to which they are broadcast: 4 million, 32 MB.
 BROADCAST_HASHES = 4 << 20
-_NULL = -(1 << 63)
 #: White space and ASCII symbols: a run of one of them counts once, as its length says nothing of the language.
 _ONCE = np.array([k < 127 and not chr(k).isalnum() for k in range(128)])
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_CHUNK = "chunk long, docs binary, hashes binary, sizes binary, models binary, base binary, size long, text binary, a array<long>, b array<long>, n array<long>"
 _MEASURED = "doc_id long, hash long, model int, " + "".join(f"{c} long, " for c in _BASE) + "base_failed boolean, bits double"
+_ASK = "part int, chunk long, n long, keys binary"
+_TELL = "part int, chunk long, bits binary"
 
 
 def characters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,30 +104,6 @@ def sequences(buf: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> tuple[
     return code, first, split
 
 
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """log2 probability of each code's last symbol after the others, by modified Kneser-Ney: the dense form of table(), for 32 symbols.
-
-    counts: of every code. Lower orders count different left neighbours; each order has its own
-    discounts for counts 1, 2 and more; the lowest is mixed with equal chances for all symbols.
-    """
-    width = 1 << BITS
-    orders = [counts.reshape(-1, width).astype(np.float64)]
-    for k in range(ORDER - 1, 0, -1):
-        orders.append((orders[-1].reshape(width, -1) > 0).sum(axis=0).astype(np.float64).reshape(-1, width))
-    p = np.full(width, 1 / width)
-    for c in orders[::-1]:
-        n = [float((c == r).sum()) for r in range(5)]
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
-        d = [min(max(r - (r + 1) * y * n[r + 1] / n[r], 0.05 * r), 0.95 * r) if n[r] else 0.5 * r for r in (1, 2, 3)]
-        cut = np.select([c == 0, c == 1, c == 2], [0.0, d[0], d[1]], d[2])
-        total = c.sum(axis=1, keepdims=True)
-        lower = np.broadcast_to(p.reshape(-1, width) if p.size > width else p, (max(1, p.size // width), width))
-        lower = np.tile(lower, (c.shape[0] // lower.shape[0], 1))
-        some = np.maximum(total, 1)
-        p = np.where(total > 0, (c - cut) / some + cut.sum(axis=1, keepdims=True) / some * lower, lower).reshape(-1)
-    return np.log2(p)
-
-
 def base(w: Words, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The base measures of each text."""
     n_docs = len(offsets) - 1
@@ -206,67 +185,144 @@ def languages(docs: DataFrame, least: int) -> list[str]:
     return sorted(r["lang"] for r in found.select("lang").collect())
 
 
-def _encode(docs: DataFrame, own: list[str]) -> DataFrame:
-    """Chunks of documents: ids, hashes, models, base measures, text, and the different sequences with their counts."""
-    ship(docs.sparkSession)
-    number = {lang: i + 1 for i, lang in enumerate(own)}
-    names = [c.split()[0] for c in _CHUNK.split(", ")]
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
-    types = [kinds[c.split()[1]] for c in _CHUNK.split(", ")]
+def _content() -> Column:
+    """A hash of what a verdict depends on."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(0), "lang")
+
+
+class Model:
+    """Bits of sequences by their hashes, in ascending order."""
+
+    def __init__(self, keys: np.ndarray, bits: np.ndarray) -> None:
+        self.keys, self.bits = keys, bits
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of sequences, all of which the model holds."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        if len(keys) and not (len(self.keys) and (self.keys[at] == keys).all()):
+            raise LookupError("a sequence that wasn't counted; did the texts change meanwhile?")
+        return self.bits[at]
+
+
+def keys_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of sequences."""
+    return mix(mix(a.astype(U64) + U64(0x9E3779B97F4A7C15)) ^ b.astype(U64))
+
+
+def _counted(docs: DataFrame, number: dict[str, int], scratch: Scratch) -> DataFrame:
+    """(a, b, n): the different sequences of all texts."""
 
     def run(batches):
         for batch in batches:
-            ids = np.asarray(batch.column(0).cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False), np.int64)
-            models = np.array([number.get(x, 0) for x in batch.column(2).to_pylist()], np.int64)
-            hashes = np.asarray(batch.column(3).to_numpy(zero_copy_only=False), np.int64)
-            for lo, hi, buf, offsets in slices(batch.column(1), CHUNK):
-                n = base(words(buf, offsets), offsets)
+            models = np.array([number.get(x, 0) for x in batch.column(1).to_pylist()], np.int64)
+            for lo, hi, buf, offsets in slices(batch.column(0), CHUNK):
                 code, _, split = sequences(buf, offsets, models[lo:hi])
                 different, count = np.unique(code, return_counts=True)
-                a, b = split(different)
-                chunk = int.from_bytes(os.urandom(8), "little") >> 1  # the rows are written before anyone reads it
-                blob = pa.compress(buf.tobytes(), "zstd", asbytes=True) if len(buf) else b""
-                row = (chunk, pack_signed(ids[lo:hi]), pack_signed(hashes[lo:hi]), pack(np.diff(offsets)), pack(models[lo:hi]), pack(np.concatenate([n[c] for c in _BASE])), len(buf), blob, a, b, count)
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*split(different), count)], names=["a", "b", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "lang", _content().alias("hash")).mapInArrow(run, _CHUNK)
+    ship(docs.sparkSession)
+    return scratch.save(docs.select("text", "lang").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
 
 
-def _content() -> Column:
-    """A hash of what a verdict depends on."""
-    return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(0), "lang")
+def _stored(p: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """The model's rows (part, keys, bits), how many ranges of the hash space they are, and how many sequences."""
+    n = p.count()
+    parts = max(1, -(-n // RANGE))
+
+    def deal(batches):
+        for batch in batches:
+            keys = keys_of(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            order = np.argsort(keys)
+            at = cuts(keys[order], parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(parts, dtype=np.int32), np.diff(at))), pa.array(keys[order].view(np.int64)), pa.array(-np.log2(batch.column(2).to_numpy()[order]).astype(np.float32))], names=["part", "key", "bits"])
+
+    def sort(key, table):
+        keys, bits = table["key"].to_numpy().view(U64), table["bits"].to_numpy()
+        order = np.argsort(keys)
+        if (keys[order][1:] == keys[order][:-1]).any():
+            raise ValueError("two sequences share a 64-bit hash")
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([keys[order].tobytes()], pa.binary()), "bits": pa.array([bits[order].tobytes()], pa.binary())})
+
+    rows = p.select("a", "b", "p").mapInArrow(deal, "part int, key long, bits float").groupBy("part").applyInArrow(sort, "part int, keys binary, bits binary")
+    return scratch.save(rows), parts, n
+
 
+def _model(rows) -> Model:
+    rows = sorted(rows, key=lambda r: r["part"])
+    return Model(np.frombuffer(b"".join(r["keys"] for r in rows), U64), np.frombuffer(b"".join(r["bits"] for r in rows), np.float32))
 
-def _finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """The measures of a chunk's documents, given the probabilities of its sequences."""
-    names = [c.split()[0] for c in _MEASURED.split(", ")]
-    out = []
-    for r in left.to_pylist():
-        ids, models = unpack_signed(r["docs"]), unpack(r["models"]).astype(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(unpack(r["sizes"]).astype(np.int64))])
-        buf = np.frombuffer(pa.decompress(r["text"], r["size"], "zstd", asbytes=True), np.uint8) if r["size"] else np.zeros(0, np.uint8)
-        code, first, _ = sequences(buf, offsets, models)
+
+def _measure(ids: pa.Array, column: pa.Array, models: np.ndarray, hashes: pa.Array, find) -> pa.RecordBatch:
+    """The measures of texts; find: bits of ascending keys."""
+    out: list[list] = [[] for _ in range(len(_BASE) + 2)]
+    for lo, hi, buf, offsets in slices(column, CHUNK):
+        n = base(words(buf, offsets), offsets)
+        code, first, split = sequences(buf, offsets, models[lo:hi])
         different, at = np.unique(code, return_inverse=True)
-        cost = np.full(len(different), np.nan)
-        cost[right["place"].to_numpy()] = -np.log2(right["p"].to_numpy())
+        keys = keys_of(*split(different))
+        order = np.argsort(keys)
+        cost = np.empty(len(keys))
+        cost[order] = find(keys[order])
         size = np.diff(first)
         total = np.diff(np.concatenate([[0.0], np.cumsum(cost[at])])[first])
-        bits = np.where(size > 0, np.round(total / np.maximum(size, 1), 6), np.nan)  # the same text has the same bits in any chunk
-        n = dict(zip(_BASE, unpack(r["base"]).astype(np.int64).reshape(len(_BASE), -1), strict=True))
-        columns = [pa.array(ids, mask=ids == _NULL), pa.array(unpack_signed(r["hashes"])), pa.array(models, pa.int32()), *(pa.array(n[c]) for c in _BASE), pa.array(failed_base(n)), pa.array(bits)]
-        out.append(pa.table(columns, names=names))
-    return pa.concat_tables(out)
+        for o, v in zip(out, (*(n[c] for c in _BASE), failed_base(n), np.where(size > 0, np.round(total / np.maximum(size, 1), 6), np.nan)), strict=True):  # the same text has the same bits in any batch
+            o.append(v)
+    columns = [np.concatenate(o) if o else np.zeros(0) for o in out]
+    types = [*[pa.int64()] * len(_BASE), pa.bool_(), pa.float64()]
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), hashes, pa.array(models, pa.int32()), *(pa.array(v, t) for v, t in zip(columns, types, strict=True))], names=[c.split()[0] for c in _MEASURED.split(", ")])
+
+
+def _numbers(column, number: dict[str, int]) -> np.ndarray:
+    return np.array([number.get(x, 0) for x in column.to_pylist()], np.int64)
 
 
-def _measured(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+def _measured(docs: DataFrame, least: int, scratch: Scratch, broadcast: int) -> DataFrame:
     """doc_id, hash, model, the base measures, base_failed and bits (NaN without characters) of every row."""
-    chunks = scratch.save(_encode(docs, languages(docs, least)))
-    gram = F.inline(F.arrays_zip("a", "b", "n"))
-    p = table(scratch.save(chunks.select(gram).groupBy("a", "b").agg(F.sum("n").alias("n"))), scratch)
-    release(docs.sparkSession)
-    asked = chunks.select("chunk", F.posexplode(F.arrays_zip("a", "b")).alias("place", "g")).select("chunk", "place", "g.a", "g.b")
-    told = asked.join(p, ["a", "b"]).select(F.col("chunk").alias("asker"), "place", F.col("p").cast("float").alias("p"))
-    return scratch.save(chunks.drop("a", "b", "n").groupBy("chunk").cogroup(told.groupBy("asker")).applyInArrow(_finish, _MEASURED))
+    spark = docs.sparkSession
+    number = {lang: i + 1 for i, lang in enumerate(languages(docs, least))}
+    model, parts, n = _stored(table(_counted(docs, number, scratch), scratch), scratch)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", _content().alias("hash"))
+    if n <= broadcast:
+        shared = spark.sparkContext.broadcast(_model(model.collect()))
+
+        def here(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield _measure(b.column(0), b.column(1), _numbers(b.column(2), number), b.column(3), shared.value.find)
+
+        return scratch.save(rows.mapInArrow(here, _MEASURED))
+    chunks = max(1, -(-text_bytes(docs) // CHUNK))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(chunks)))
+
+    def ask(key, t):
+        found = []
+        models = _numbers(t["lang"], number)
+        for lo, hi, buf, offsets in slices(t["text"], CHUNK):
+            code, _, split = sequences(buf, offsets, models[lo:hi])
+            found.append(keys_of(*split(np.unique(code))))
+        keys = np.unique(np.concatenate(found))
+        at = cuts(keys, parts).tolist()
+        out = [(p, key[0].as_py(), b - a, pack_sorted(keys[a:b])) for p, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+        return pa.table([pa.array([r[i] for r in out], t_) for i, t_ in enumerate([pa.int32(), pa.int64(), pa.int64(), pa.binary()])], names=["part", "chunk", "n", "keys"])
+
+    def tell(key, asked, own):
+        found = _model(own.to_pylist())
+        bits = [found.find(unpack_sorted(k)).tobytes() for k in asked["keys"].to_pylist()]
+        return pa.table([asked["part"], asked["chunk"], pa.array(bits, pa.binary())], names=["part", "chunk", "bits"])
+
+    def finish(key, t, told):
+        if not t.num_rows:
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(_BASE), pa.bool_(), pa.float64())], names=[c.split()[0] for c in _MEASURED.split(", ")])
+        models, found = _numbers(t["lang"], number), []
+        for lo, hi, buf, offsets in slices(t["text"], CHUNK):
+            code, _, split = sequences(buf, offsets, models[lo:hi])
+            found.append(keys_of(*split(np.unique(code))))
+        bits = b"".join(r["bits"] for r in sorted(told.to_pylist(), key=lambda r: r["part"]))
+        own = Model(np.unique(np.concatenate(found)), np.frombuffer(bits, np.float32))
+        return pa.Table.from_batches([_measure(t["doc_id"].combine_chunks(), t["text"], models, t["hash"].combine_chunks(), own.find)])
+
+    told = dealt.groupBy("chunk").applyInArrow(ask, _ASK).groupBy("part").cogroup(model.groupBy("part")).applyInArrow(tell, _TELL)
+    return scratch.save(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, _MEASURED))
 
 
 def bands(measured: DataFrame, spread: float) -> DataFrame:
@@ -276,22 +332,23 @@ def bands(measured: DataFrame, spread: float) -> DataFrame:
     return q.select("model", (F.col("q")[0] - wide).alias("low"), (F.col("q")[1] + wide).alias("high"))
 
 
-def _judged(docs: DataFrame, spread: float, least: int) -> DataFrame:
-    measured = _measured(docs, least, Scratch(docs.sparkSession))
+def _judged(docs: DataFrame, spread: float, least: int, broadcast: int = BROADCAST_SEQUENCES) -> DataFrame:
+    measured = _measured(docs, least, Scratch(docs.sparkSession), broadcast)
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
     return measured.join(F.broadcast(bands(measured, spread)), "model", "left").withColumn("kept", ~F.col("base_failed") & inside)  # a row a model
 
 
-def judge(docs: DataFrame, spread: float = 3.0, least: int = 1 << 16) -> DataFrame:
+def judge(docs: DataFrame, spread: float = 3.0, least: int = 1 << 16, broadcast: int = BROADCAST_SEQUENCES) -> DataFrame:
     """doc_id, the base measures, base_failed, kept and bits of every row of documents (doc_id, text, lang).
 
     base_failed: fewer than 50 words, or more than half of them in repeated windows of three. kept:
     passes that, and its bits a character (log2 of the perplexity) lie within its language's band.
     Null and empty texts have no words, fail, and have no bits (null). Null languages and those of
-    less than `least` bytes of text, too few for quartiles, share a model and a band. Rows may
+    less than `least` bytes of text, too few for quartiles, share a model and a band. Models of up to
+    `broadcast` sequences in all are sent to every executor. Rows may
     repeat and doc_id may be null: each row counts and gives one row. Other columns are not read.
     """
-    return _judged(docs, spread, least).select("doc_id", *_BASE, "base_failed", "kept", F.nanvl("bits", F.lit(None).cast("double")).alias("bits"))
+    return _judged(docs, spread, least, broadcast).select("doc_id", *_BASE, "base_failed", "kept", F.nanvl("bits", F.lit(None).cast("double")).alias("bits"))
 
 
 def keep_good(docs: DataFrame, spread: float = 3.0, least: int = 1 << 16) -> DataFrame:
