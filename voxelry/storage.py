@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +49,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of a text column, counted."""
+    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
 def shares(df: DataFrame, each: int = 5 << 20) -> int:
-    """How many shares of about `each` bytes (as the optimizer estimates the input) a table has, at most two a shuffle partition."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(-(-size // each), 2 * partitions(df.sparkSession)))
+    """How many shares of about `each` bytes of text a table has, by its counted bytes."""
+    return max(1, -(-text_bytes(df) // each))
