@@ -29,6 +29,11 @@ class Scratch:
         out._scratch = path
         return out
 
+    def folder(self, name: str) -> str:
+        """A new folder beside the tables, for files that tasks write themselves."""
+        self.n += 1
+        return f"{self.root}/{self.n}-{name}"
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table of save() that nothing reads any more."""
         jvm, path = self.spark._jvm, getattr(df, "_scratch", None)
@@ -49,6 +54,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def file_at(uri: str):
+    """The file system (pyarrow: local, HDFS, S3, GCS) and path of a URI or an absolute path."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        uri = "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column, counted."""
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
