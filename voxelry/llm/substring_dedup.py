@@ -2,16 +2,19 @@
 
 Positions of a text whose residue modulo a period lies in a difference cover are anchors. For any
 two places of equal windows some offset below the period makes both anchors, so hashing the short
-windows at anchors alone finds every long match; only around anchors that occur twice are whole
-windows hashed. Texts are dealt into chunks by document; chunks send sorted, packed hashes to
-ranges of the hash space and get one bit back for each, so that a very common passage costs one
-entry a chunk, wherever it stands.
+windows at anchors alone finds every long match. Anchors that occur twice are then extended to the
+whole windows that contain them, and only those are compared, by the hash of all their words. Texts
+are dealt into chunks of bounded size; chunks send sorted, packed hashes to ranges of the hash space
+and get one bit back for each, so that a very common passage costs one entry a chunk, wherever it
+stands.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,24 +29,42 @@ from .textops import Words, joined, raw, texts, window_hash, words
 _ASK = "part int, kind int, chunk long, n long, keys binary, extra binary, docs binary, starts binary"
 _TELL = "part int, kind int, chunk long, n long, bits binary"
 _NULL = -(1 << 63)
+#: Bytes of text in a chunk, about; one task holds one at a time.
+CHUNK = 4 << 20
+#: Chunks whose hashes a part of the hash space holds, about. A message holds a key at least, so however many
+#: chunks and parts there are, there are no more messages than anchors and windows.
+CHUNKS_A_PART = 12
+
+
+def _covers(period: int, residues) -> bool:
+    return len({(a - b) % period for a in residues for b in residues}) == period
+
+
+def _smallest(period: int, size: int) -> tuple[int, ...] | None:
+    """A difference cover of that many residues, 0 and 1 among them; None if there is none or too many would have to be tried."""
+    if size * (size - 1) + 1 < period or size < 2 or comb(period - 2, size - 2) > 30_000:
+        return None
+    return next(((0, 1, *more) for more in combinations(range(2, period), size - 2) if _covers(period, (0, 1, *more))), None)
+
+
+def _greedy(period: int) -> tuple[int, ...]:
+    chosen, missing = [0], set(range(1, period))
+    while missing:
+        x = max(range(1, period), key=lambda x: len({d for c in chosen for d in ((x - c) % period, (c - x) % period)} & missing))
+        chosen.append(x)
+        missing -= {d for c in chosen for d in ((x - c) % period, (c - x) % period)}
+    return tuple(sorted(chosen))
 
 
 @cache
 def cover(window: int) -> tuple[int, tuple[int, ...]]:
-    """Period and difference cover for windows of so many words: the period is at most half a window."""
-    period = max(1, window // 2 + window % 2)
-    best: tuple[int, ...] = tuple(range(period))
-    # greedy covers from a few starts; every difference modulo the period must occur
-    for seed in range(min(period, 24)):
-        chosen, missing = [0], set(range(1, period))
-        while missing:
-            gains = ((sum(1 for d in {(x - c) % period for c in chosen} | {(c - x) % period for c in chosen} if d in missing), -((x * (seed + 1)) % period), x) for x in range(period) if x not in chosen)
-            x = max(gains)[2]
-            chosen.append(x)
-            missing -= {(x - c) % period for c in chosen} | {(c - x) % period for c in chosen}
-        if len(chosen) < len(best):
-            best = tuple(sorted(chosen))
-    return period, best
+    """Period and difference cover for windows of so many words: the cover with the fewest anchors whose short windows keep a third of the window."""
+    best = (1, (0,))
+    for period in range(2, max(2, window - window // 3 + 1)):
+        found = next((c for size in range(2, 9) if (c := _smallest(period, size))), None) or _greedy(period)
+        if len(found) * best[0] < len(best[1]) * period:
+            best = (period, found)
+    return best
 
 
 class _Chunk:
@@ -94,42 +115,44 @@ def _ask(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def _reduce(table):
-    """Of each asked key: kind 0, whether it occurs twice anywhere; kind 1, whether the asker has its first place."""
-    out = []
-    for kind in (0, 1):
-        rows = [r for r in table.to_pylist() if r["kind"] == kind]
-        if not rows:
-            continue
-        keys = [unpack_sorted(r["keys"]) for r in rows]
-        every = np.concatenate(keys)
-        if kind == 0:
-            _, back, count = np.unique(every, return_inverse=True, return_counts=True)
-            bits = (count > 1)[back] | np.concatenate([unpack_bits(r["extra"], r["n"]) for r in rows])
-        else:
-            docs, starts = (np.concatenate([f(r[c]) for r in rows]) for f, c in ((unpack_signed, "docs"), (unpack, "starts")))
-            order = np.lexsort((starts, docs, every))
-            head = np.ones(len(order), bool)
-            head[1:] = every[order][1:] != every[order][:-1]
-            bits = np.zeros(len(order), bool)
-            bits[order[head]] = True
-        lo = 0
-        for r in rows:
-            out.append((r["part"], kind, r["chunk"], r["n"], pack_bits(bits[lo : lo + r["n"]])))
-            lo += r["n"]
-    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])], names=["part", "kind", "chunk", "n", "bits"])
+def _twice(_, table):
+    """Of each asked anchor, whether it occurs twice anywhere."""
+    keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
+    own = [unpack_bits(bits, n) for bits, n in zip(table["extra"].to_pylist(), table["n"].to_pylist(), strict=True)]
+    _, back, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    return _tell(table, (count > 1)[back] | np.concatenate(own))
+
+
+def _earliest(_, table):
+    """Of each asked window, whether the asker's first place of it is the first of all; rows that repeat a document may share it."""
+    keys = np.concatenate([unpack_sorted(k) for k in table["keys"].to_pylist()])
+    docs = np.concatenate([unpack_signed(k) for k in table["docs"].to_pylist()])
+    starts = np.concatenate([unpack(k) for k in table["starts"].to_pylist()])
+    order = np.lexsort((starts, docs, keys))
+    head = np.ones(len(order), bool)
+    head[1:] = keys[order][1:] != keys[order][:-1]
+    first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    bits = np.empty(len(order), bool)
+    bits[order] = (docs[order] == docs[first]) & (starts[order] == starts[first])
+    return _tell(table, bits)
+
+
+def _tell(table, bits: np.ndarray):
+    ends = np.cumsum(table["n"].to_numpy()).tolist()
+    return table.select(["part", "kind", "chunk", "n"]).append_column("bits", pa.array([pack_bits(bits[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.binary()))
 
 
 def _bits(answers: pa.Table, kind: int) -> np.ndarray:
-    rows = sorted(((r["part"], unpack_bits(r["bits"], r["n"])) for r in answers.to_pylist() if r["kind"] == kind), key=lambda x: x[0])
-    return np.concatenate([b for _, b in rows]) if rows else np.zeros(0, bool)
+    rows = sorted((r["part"], r["bits"], r["n"]) for r in answers.to_pylist() if r["kind"] == kind)
+    return np.concatenate([unpack_bits(bits, n) for _, bits, n in rows]) if rows else np.zeros(0, bool)
 
 
 def _plan(docs: DataFrame, window: int, finish, schema: str, extra: list[str], chunks: int | None) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    n_chunks = parts = chunks or shares(docs)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    n_chunks = chunks or shares(docs, CHUNK)
+    parts = -(-n_chunks // CHUNKS_A_PART)
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
 
     def load(table: pa.Table) -> _Chunk:
         return _Chunk(_ids(table["doc_id"]), table["text"], window)
@@ -163,9 +186,9 @@ def _plan(docs: DataFrame, window: int, finish, schema: str, extra: list[str], c
         np.add.at(edge, again + window, -1)
         return finish(c, np.cumsum(edge)[:-1] == 0, table)
 
-    told = dealt.groupBy("chunk").applyInArrow(ask_anchors, _ASK).groupBy("part").applyInArrow(_reduce, _TELL)
+    told = dealt.groupBy("chunk").applyInArrow(ask_anchors, _ASK).groupBy("part").applyInArrow(_twice, _TELL)
     asked = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(ask_windows, _ASK)
-    both = told.unionByName(asked.groupBy("part").applyInArrow(_reduce, _TELL))
+    both = told.unionByName(asked.groupBy("part").applyInArrow(_earliest, _TELL))
     return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(last, schema)
 
 
