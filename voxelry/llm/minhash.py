@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from ..operators.skew import lookup
 from ..ship import by_batch
 from ..storage import Scratch, partitions, release
 from .textops import U64, Words, mix, randoms, slices, window_hash, words
 
 _SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands binary, sig binary"
-#: Permutations of a signature; each gives two values, of which a byte is kept.
-PERMUTATIONS = 256
 #: Buckets beyond this many nodes are compared in cells of two salts.
 CELL = 2048
 #: Ids up to this many (32 MB) are sent to every executor to pick out rows of documents; more are joined by a shuffle.
@@ -81,8 +80,8 @@ def _signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                 one.append(int(mix(s.sum(dtype=U64, keepdims=True)).view(np.int64)[0]) if len(s) else 0)
                 two.append(int(mix(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64, keepdims=True)).view(np.int64)[0]) if len(s) else 0)
                 if len(s):
-                    sig = signature(s, max(PERMUTATIONS, bands * rows // 2))
-                    keys.append(band_keys(sig[: bands * rows], bands, rows).tobytes())
+                    sig = signature(s, bands * rows // 2)
+                    keys.append(band_keys(sig, bands, rows).tobytes())
                     bytes_.append((mix(sig) >> U64(56)).astype(np.uint8).tobytes())
                 else:
                     keys.append(b"")
@@ -127,11 +126,12 @@ def _close(table: pa.Table, percent: int, bands: int) -> tuple[np.ndarray, np.nd
     return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _across(open_: DataFrame, classes: DataFrame, percent: int, bands: int, parts: int) -> DataFrame:
+def _across(open_: DataFrame, classes: DataFrame, percent: int, bands: int, parts: int, scratch: Scratch) -> DataFrame:
     """(src, dst): pairs of nodes in a bucket and different components that may be similar enough."""
-    count = open_.groupBy("band", "key").count().withColumn("salts", F.when(F.col("count") > CELL, F.ceil(F.col("count") * 2 / CELL)).otherwise(1).cast("int")).drop("count")
+    count = scratch.save(open_.groupBy("band", "key").agg(F.count("*").alias("n")))
+    salts = count.select("band", "key", F.when(F.col("n") > CELL, F.ceil(F.col("n") * 2 / CELL)).otherwise(1).cast("int").alias("salts"))
     placed = (
-        open_.join(count, ["band", "key"]).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        lookup(open_, salts, ["band", "key"], count).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .withColumn("a", F.least("salt", "other")).withColumn("b", F.greatest("salt", "other")).drop("salts", "other")
         .withColumn("part", F.pmod(F.xxhash64("band", "key", "a", "b"), F.lit(parts)).cast("int"))
     )
@@ -167,8 +167,7 @@ def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (src, dst) whose full sets are similar enough: 100 * intersection >= percent * union."""
     wanted = scratch.save(pairs.select(F.col("src").alias("doc_id")).unionByName(pairs.select(F.col("dst").alias("doc_id"))).distinct())
-    # rows that repeat a doc_id count as one document (see near_duplicates); any of them will do
-    sets = scratch.save(_sets(_picked(docs, wanted, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), size))
+    sets = scratch.save(_sets(_picked(docs, wanted, "left_semi"), size))
     both = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("set").alias("a")), "src").join(sets.select(F.col("doc_id").alias("dst"), F.col("set").alias("b")), "dst")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -185,6 +184,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scrat
     return found
 
 
+def _once(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Documents with each doc_id (but null) once, with the smallest of its texts; the ids that repeat and how often, if any do."""
+    repeated = scratch.save(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1"))
+    if not repeated.head(1):
+        return docs, None
+    one = _picked(docs, repeated.select("doc_id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return _picked(docs, repeated.select("doc_id"), "left_anti").unionByName(one), repeated
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 24, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of documents.
 
@@ -200,14 +208,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     less than five standard deviations below the threshold (3 in 10 million at the threshold).
     """
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs, repeated = _once(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch)
     signed = scratch.save(_signed(docs, size, bands, rows))
     # nodes: the smallest document of each different set
     one = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = scratch.save(one.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     hashed = _exploded(classes, bands)
-    crowded = hashed.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = scratch.save(hashed.join(crowded.select("band", "key", "hub"), ["band", "key"]))
+    crowded = scratch.save(hashed.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    members = scratch.save(lookup(hashed, crowded.select("band", "key", "hub"), ["band", "key"], crowded.select("band", "key", "n")))
     fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     sizes = classes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("n_a"))
     first = scratch.save(members.where("node <> hub").select("hub", "node", F.col("n_shingles").alias("n_b")).distinct().join(sizes, "hub").where(fits).select(F.col("hub").alias("src"), F.col("node").alias("dst")))
@@ -216,19 +224,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     joined = components(links, scratch)
     # buckets that still hold several components: their members, across components
     named = members.join(joined.withColumnRenamed("component", "found"), "node", "left").withColumn("c", F.coalesce("found", "node")).drop("found")
-    split = named.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
-    open_ = scratch.save(named.join(split, ["band", "key"]).select("band", "key", "node", "c", "n_shingles"))
-    across = scratch.save(_across(open_, classes, percent, bands, 4 * partitions(docs.sparkSession)).distinct())
+    split = scratch.save(named.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "key", "n"))
+    open_ = scratch.save(lookup(named, split.select("band", "key"), ["band", "key"], split).select("band", "key", "node", "c", "n_shingles"))
+    across = scratch.save(_across(open_, classes, percent, bands, 4 * partitions(docs.sparkSession), scratch).distinct())
     more = _confirmed(across, docs, size, percent, scratch)
     final = components(links.unionByName(more), scratch)
     of_set = classes.join(final, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "node").alias("component"))
-    # a document that repeats with different texts may have several sets; they are one component through its id
-    rows_ = signed.join(of_set, ["fp1", "fp2", "n_shingles"], "left")
+    sizes = scratch.save(signed.groupBy("fp1", "fp2", "n_shingles").agg(F.count("*").alias("n")))
+    rows_ = lookup(signed.select("doc_id", "fp1", "fp2", "n_shingles"), of_set, ["fp1", "fp2", "n_shingles"], sizes, "left")
+    if repeated is not None:
+        rows_ = rows_.join(repeated, "doc_id", "left").withColumn("time", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))))
     component = F.coalesce("component", "doc_id")
     return rows_.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The rows of documents whose component keeps them, columns unchanged."""
+    """The rows of documents whose component keeps them, columns unchanged.
+
+    Kept are the rows of the smallest doc_id of each component of near_duplicates(): texts without
+    words, null texts and null ids always, repeated rows of a kept id all. No rows: none.
+    """
     gone = Scratch(docs.sparkSession).save(near_duplicates(docs, **how).where("NOT kept").select("doc_id").distinct())
     return _picked(docs, gone, "left_anti").select(docs.columns)
