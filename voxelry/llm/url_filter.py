@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup
+from ..storage import Scratch
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this many bytes (estimated) go to every executor; beyond it both sides are shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -33,7 +36,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str
 
     Every URL is expanded into host suffixes (only of as many labels as some rule has) times path
     prefixes (only of lengths that some rule has); they meet the rules on 32 bits of a digest, and
-    the whole digest confirms. Pages that share host and path are judged once.
+    the whole digest confirms. Pages that share host and path are judged once; those of a host and
+    path that many pages have (all without a URL, say) take their verdict without being shuffled.
     """
     spark = pages.sparkSession
     table = spark.createDataFrame([(v, h.lower(), p) for v, h, p in rules], "verdict string, rule_host string, rule_path string").dropDuplicates()
@@ -48,9 +52,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str
         ).alias("hit"),
     )
     host, path = host_and_path(F.col(url))
-    # digests of the same (key, URL) are taken once, and repeated rows counted
+    # URLs of the same host and path are judged once, and counted
     seen = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
-    distinct = seen.groupBy("host", "path").agg(F.lit(1).alias("one")).drop("one")
+    scratch = Scratch(spark)
+    distinct = scratch.save(seen.groupBy("host", "path").agg(F.count("*").alias("n")))
     parts = F.split("host", r"\.", -1)
     suffix = [F.when(F.size(parts) >= n, F.concat_ws(".", F.slice(parts, -n, n))) for n in labels]
     prefix = [F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]
@@ -61,7 +66,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str
     ) if labels else distinct.limit(0).select("host", "path", F.lit("").alias("short"), F.lit("").alias("asked"))
     small = sum(len(h) + len(p) + 200 for _, h, p in rules) <= BROADCAST_BYTES
     met = asked.join(F.broadcast(table) if small else table, "short").where(F.col("asked") == F.col("digest"))
-    best = met.groupBy("host", "path").agg(F.max("hit").alias("hit"))
-    return seen.join(best, ["host", "path"], "left").select(
+    best = scratch.save(met.groupBy("host", "path").agg(F.max("hit").alias("hit")))
+    return lookup(seen, best, ["host", "path"], distinct, "left").select(
         F.col("key").alias(key), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce(F.col("hit.verdict"), F.lit(default)).alias("verdict")
     )
