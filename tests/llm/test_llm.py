@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from voxelry.llm import bpe, bpe_codec, codec, dac, embedding_dedup, katz, minhash, packing, pieces, quality, substring_dedup, textops, token_counts, url_filter
 from voxelry.llm.registry import RULES
-from voxelry.storage import Scratch
+from voxelry.operators import skew
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -173,6 +173,39 @@ def test_op2(docs, rows, empty, size, percent):
     assert minhash.keep_first(docs, size=size, percent=percent).columns == docs.columns
 
 
+def test_op2_repeated_ids(spark):
+    """Rows that repeat a doc_id are one document with the smallest of their texts, and give a row each."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (7, None), (7, b), (7, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(3, 56, 3, True), *[(5, 56, 3, False)] * 2, *[(7, 56, 7, True)] * 3, (9, 56, 7, False)]
+    assert sorted(r.doc_id for r in minhash.keep_first(df).collect()) == [3, 7, 7, 7]
+
+
+def test_op2_crowded_buckets(spark, monkeypatch):
+    """Large groups of near copies, compared in many small cells and looked up by broadcast, against brute force."""
+    monkeypatch.setattr(minhash, "CELL", 8)
+    monkeypatch.setattr(skew, "HEAVY", 40)
+    monkeypatch.setattr(minhash, "lookup", lambda *a, **k: skew.lookup(*a, **k, least=5))
+    rng = random.Random(17)
+    table = []
+    for g in range(3):
+        words = [f"g{g}w{i}" for i in range(120)]
+        for i in range(40):
+            w = list(words)
+            for _ in range(rng.randint(0, 8)):
+                w[rng.randrange(120)] = f"x{rng.randrange(1000)}"
+            table.append((1000 * g + i, " ".join(w)))
+    s = sets(table, 5)
+    reach = {d: d for d in s}
+    links = {(a, b) for a in s for b in s if a != b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])}
+    for _ in range(30):
+        for a, b in links:
+            reach[a] = min(reach[a], reach[b])
+    got = minhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == reach and len(set(reach.values())) > 3
+
+
 def test_op2_across_components(spark):
     """A chain whose ends don't link with each other is one component, whatever document a bucket begins with."""
     words = [f"v{i}" for i in range(400)]
@@ -586,26 +619,56 @@ def test_op9_sequences():
             assert list(zip(a[first[i] : first[i + 1]].tolist(), b[first[i] : first[i + 1]].tolist(), strict=True)) == want
 
 
-def test_op10(docs, rows, empty):
+@pytest.mark.parametrize("segment", [dac.SEGMENT, 4000])
+def test_op10(spark, docs, rows, empty, segment):
     tk = Tokenizer.from_file(WORDS)
-    segments = dac.write(docs, WORDS)
+    segments = dac.write(docs, WORDS, segment=segment)
     got = dac.read(segments).collect()
     at, want = 0, Counter()
+    every = []
     for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = [*tk.encode(r[1] or "", add_special_tokens=False).ids, 1]
+        every += ids
         want[r[0], at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))] += 1
         at += len(ids)
     assert Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == want
+    files = segments.orderBy("segment").collect()
+    assert len(files) > 5 or segment > 4000
+    # any id and document straight from a file, by seeks
+    at = 0
+    for f in files:
+        s = dac.Segment.open(f.file)
+        assert s.n == f.n_tokens and [s[i] for i in range(0, s.n, 37)] == every[at : at + s.n : 37]
+        a, b = s.bounds[s.docs // 2 : s.docs // 2 + 2]
+        assert s.document(s.docs // 2).tolist() == every[at + a : at + b]
+        at += s.n
+    assert at == len(every)
     assert dac.read(dac.write(empty, WORDS)).count() == 0
 
 
+def test_op10_common_ids(spark):
+    """A third of the rows have one id and a third none: their rows are dealt to several files, and the order holds."""
+    rng = random.Random(13)
+    table = [(5 if i % 3 == 0 else None if i % 3 == 1 else i // 3, " ".join(rng.choices("abcdef", k=40))) for i in range(300)]
+    segments = dac.write(spark.createDataFrame(table, "doc_id long, text string").repartition(3), WORDS, segment=2000)
+    assert segments.agg(F.max("n_tokens")).first()[0] < 2500 and segments.count() > 8
+    got = sorted(dac.read(segments).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((d for d, _ in table), key=lambda d: (d is not None, d or 0))
+    tk = Tokenizer.from_file(WORDS)
+    crc = lambda t: zlib.crc32(struct.pack("<41I", *tk.encode(t, add_special_tokens=False).ids, 1))
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((d, crc(t)) for d, t in table)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got][:-1]]).tolist()
+
+
 def test_random_access():
     rng = np.random.default_rng(2)
     ids = np.concatenate([rng.integers(0, 300, 2000), rng.integers(0, 1 << 31, 500), [0, 255, 256, 65535, 65536]]).astype(np.uint32)
     data = dac.build(ids, [5, None, -3], np.array([2000, 0, 505]))
-    s = dac.Segment(data)
+    s = dac.Segment.of(data)
     assert s.doc_ids == [5, None, -3] and (s.all() == ids).all()
-    assert [s[i] for i in range(len(ids))] == ids.tolist() and s.document(2) == ids[2000:].tolist()
+    assert [s[i] for i in range(len(ids))] == ids.tolist() and s.document(2).tolist() == ids[2000:].tolist() and not len(s.document(1))
+    for a, b in ((0, 1), (511, 513), (700, 2400), (2505, 2505)):
+        assert (s.span(a, b) == ids[a:b]).all()
 
 
 def test_pipeline(spark, sf):
