@@ -27,8 +27,10 @@ ORDER = 4
 #: Bits of a character in a and b.
 WIDE = 21
 _CHAR = (1 << WIDE) - 1
-#: Bytes of text measured at a time, and in a chunk.
+#: Bytes of text in a chunk, about.
 CHUNK = 4 << 20
+#: Bytes of text that are counted, and that are measured, at a time.
+COUNTED, MEASURED = 2 << 20, 1 << 20
 #: Sequences in a row of the model, about.
 RANGE = 1 << 18
 #: Sequences of the model up to which it is broadcast: 4 million, 48 MB.
@@ -215,7 +217,7 @@ def _counted(docs: DataFrame, number: dict[str, int], scratch: Scratch) -> DataF
     def run(batches):
         for batch in batches:
             models = np.array([number.get(x, 0) for x in batch.column(1).to_pylist()], np.int64)
-            for lo, hi, buf, offsets in slices(batch.column(0), CHUNK):
+            for lo, hi, buf, offsets in slices(batch.column(0), COUNTED):
                 code, _, split = sequences(buf, offsets, models[lo:hi])
                 different, count = np.unique(code, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*split(different), count)], names=["a", "b", "n"])
@@ -255,7 +257,7 @@ def _model(rows) -> Model:
 def _measure(ids: pa.Array, column: pa.Array, models: np.ndarray, hashes: pa.Array, find) -> pa.RecordBatch:
     """The measures of texts; find: bits of ascending keys."""
     out: list[list] = [[] for _ in range(len(_BASE) + 2)]
-    for lo, hi, buf, offsets in slices(column, CHUNK):
+    for lo, hi, buf, offsets in slices(column, MEASURED):
         n = base(words(buf, offsets), offsets)
         code, first, split = sequences(buf, offsets, models[lo:hi])
         different, at = np.unique(code, return_inverse=True)
@@ -297,7 +299,7 @@ def _measured(docs: DataFrame, least: int, scratch: Scratch, broadcast: int) ->
     def ask(key, t):
         found = []
         models = _numbers(t["lang"], number)
-        for lo, hi, buf, offsets in slices(t["text"], CHUNK):
+        for lo, hi, buf, offsets in slices(t["text"], MEASURED):
             code, _, split = sequences(buf, offsets, models[lo:hi])
             found.append(keys_of(*split(np.unique(code))))
         keys = np.unique(np.concatenate(found))
@@ -314,7 +316,7 @@ def _measured(docs: DataFrame, least: int, scratch: Scratch, broadcast: int) ->
         if not t.num_rows:
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * len(_BASE), pa.bool_(), pa.float64())], names=[c.split()[0] for c in _MEASURED.split(", ")])
         models, found = _numbers(t["lang"], number), []
-        for lo, hi, buf, offsets in slices(t["text"], CHUNK):
+        for lo, hi, buf, offsets in slices(t["text"], MEASURED):
             code, _, split = sequences(buf, offsets, models[lo:hi])
             found.append(keys_of(*split(np.unique(code))))
         bits = b"".join(r["bits"] for r in sorted(told.to_pylist(), key=lambda r: r["part"]))
