@@ -91,9 +91,32 @@ def test_memory_compares_bytes(monkeypatch):
     monkeypatch.setattr(pieces, "segment_hash", lambda buf, start, end: np.minimum(end - start, 9).astype(np.uint64))
     strings = [b"aaaaaaaaaa", b"aaaaaaaaab", b"x", b"aaaaaaaaaa", b"aaaaaaaaaaa"]
     ends = np.cumsum([len(s) for s in strings])
-    memory = pieces.Memory(lambda keys: [list(k) for k in keys])
-    place, size = memory.find(np.frombuffer(b"".join(strings), np.uint8), ends - [len(s) for s in strings], ends)
-    assert [memory.pool[a : a + n].tolist() for a, n in zip(place, size, strict=True)] == [list(s) for s in strings]
+    memory = pieces.Memory(pieces.one_by_one(list))
+    for order in (strings, strings[::-1], [b"aaaaaaaaax", b"xx", *strings]):  # pieces that are new, known, and known by another's hash
+        ends = np.cumsum([len(s) for s in order])
+        place, size = memory.find(np.frombuffer(b"".join(order), np.uint8), ends - [len(s) for s in order], ends)
+        assert [memory.pool[a : a + n].tolist() for a, n in zip(place, size, strict=True)] == [list(s) for s in order]
+
+
+def test_memory_begins_anew():
+    rng = random.Random(3)
+    memory = pieces.Memory(pieces.one_by_one(list), limit=64, room=4000)
+    for _ in range(60):
+        order = [bytes(rng.choices(b"abc", k=rng.choice([1, 2, 3, 9, 40]))) for _ in range(rng.randint(1, 50))]
+        ends = np.cumsum([len(s) for s in order])
+        place, size = memory.find(np.frombuffer(b"".join(order), np.uint8), ends - [len(s) for s in order], ends)
+        assert [memory.pool[a : a + n].tolist() for a, n in zip(place, size, strict=True)] == [list(s) for s in order]
+
+
+def test_word_pieces():
+    """Words' ids, given to the library together, are those that it gives each alone."""
+    from voxelry.llm.word_tokens import WordEncoder
+
+    tk, rng = Tokenizer.from_file(WORDS), random.Random(8)
+    words = ["".join(rng.choices("ab'slrevdmt.S1é´«'L", k=rng.randint(1, 9))) for _ in range(4000)] + ["'s", "''s", "'ll", "x'LL", "'re'", "'sample", "3'd4", "<|endoftext|>", "a<|b", "中文", "e\u0301", "\xad", "ſ", "İ"]
+    ids, first = WordEncoder(WORDS).encode(np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words).encode())]))
+    want = [tk.encode(w, add_special_tokens=False).ids for w in words]
+    assert ids.tolist() == [i for w in want for i in w] and first.tolist() == [0, len(ids)]
 
 
 def test_transducer_equals_library():
@@ -430,14 +453,15 @@ def test_covers():
         assert period <= window and {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-@pytest.mark.parametrize("cell", [4096, 8])
-def test_op8(spark, cell):
+@pytest.mark.parametrize(("cell", "small", "kind"), [(4096, 32, "double"), (8, 3, "double"), (8, 32, "double"), (4096, 32, "float")])
+def test_op8(spark, cell, small, kind, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SMALL", small)
     rng = np.random.default_rng(8)
     centre = rng.standard_normal((4, 16))
     vectors = [(centre[i % 4] + 0.2 * rng.standard_normal(16)).tolist() for i in range(60)]
-    vectors += [vectors[0], [2 * x for x in vectors[0]], [0.0] * 16, None, [], [float("nan")] * 16, [None, 1.0], [1e300] * 16, [1.0] * 16]
+    vectors += [vectors[0], [2 * x for x in vectors[0]], [0.0] * 16, None, [], [float("nan")] * 16, [None, 1.0], [1e300 if kind == "double" else 1e38] * 16, [1.0] * 16]
     rows = [(i, v, i % 2 if i % 11 else None, "x") for i, v in enumerate(vectors)] + [(None, vectors[1], 1, "x")]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, mark string"), cell=cell).collect()
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int, mark string"), missed=1e-9, cell=cell).collect()
     assert len(got) == len(rows)
     ok = {i: np.array(v) / np.abs(v).max() for i, v, label, _ in rows if i is not None and label is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     label = {r[0]: r[2] for r in rows}
@@ -452,6 +476,36 @@ def test_op8(spark, cell):
             assert (r.n_links, r.component_id, r.kept) == (0, r.vec_id, True)
 
 
+def test_op8_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    # an id that repeats with other vectors, and a vector that repeats under other ids and labels
+    one, two = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(4, one, 1), (4, two, 1), (9, two, 1), (3, one, 2), (2, one, 1), (4, one, 1)], schema)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(2, 2, 2, True), (3, 0, 3, True), (4, 1, 4, True), (4, 2, 2, False), (4, 2, 2, False), (9, 1, 4, False)]
+
+
+def test_op8_recall(spark):
+    """Links of every row whose id is divisible by 10, against all rows: pairs just above the threshold, among the driver's vectors."""
+    rng = np.random.default_rng(5)
+    rows = [(r.vec_id, np.array(r.embedding, np.float64), r.label) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    pairs = []
+    for k, (i, v, label) in enumerate(rows):
+        u = rng.standard_normal(len(v))
+        v = v / np.linalg.norm(v)
+        u -= (u @ v) * v
+        c = 0.93 + 0.02 * rng.random()
+        pairs.append((100_000 + i, c * v + (1 - c * c) ** 0.5 * u / np.linalg.norm(u), label))
+    rows += pairs
+    x = np.array([v / np.linalg.norm(v) for _, v, _ in rows])
+    label = np.array([r[2] for r in rows])
+    want = (((x @ x.T) >= 0.93) & (label[:, None] == label)).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), label) for i, v, label in rows], "vec_id long, embedding array<double>, label int")).collect()}
+    found = np.array([got[r[0]] for r in rows])
+    asked = np.array([r[0] % 10 == 0 for r in rows])
+    assert want.sum() >= 4000 and (found <= want).all() and found[asked].sum() >= 0.99 * want[asked].sum() and found.sum() >= 0.99 * want.sum()
+
+
 def test_op9(docs, rows, empty):
     got = quality.judge(docs).collect()
     assert len(got) == len(rows)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Merges, Transducer, Utf8Stream, read_ranks, running
-from .pieces import Memory, cut
+from .pieces import Memory, cut, one_by_one
 from ..ship import by_batch
 from .textops import gather, slices
 
@@ -23,7 +23,7 @@ class Codec:
     def __init__(self, path: str) -> None:
         ranks = read_ranks(path)
         self.transducer = Transducer(Merges(ranks))
-        self.memory = Memory(lambda keys: [self.transducer.encode(k) for k in keys])
+        self.memory = Memory(one_by_one(self.transducer.encode))
         top = max(ranks.values()) + 1
         by_id = [b""] * top
         for token, i in ranks.items():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -70,54 +71,125 @@ def cut(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return place[at], place[np.append(at[1:], n)], np.searchsorted(at, doc)
 
 
+def one_by_one(encode: Callable[[bytes], list[int]]):
+    """What Memory asks for, of a function of one piece."""
+
+    def run(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = buf.tobytes()
+        found = [encode(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+
+    return run
+
+
+class _Places:
+    """A hash table of 64-bit keys with open addressing, asked and filled many keys at a time."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.mask = bits, (1 << bits) - 1
+        self.key, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys; -1 for those that aren't there."""
+        out = np.full(len(keys), -1)
+        slot, open_ = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys))
+        while len(open_):
+            there = self.place[slot]
+            hit = (there >= 0) & (self.key[slot] == keys[open_])
+            out[open_[hit]] = there[hit]
+            on = (there >= 0) & ~hit
+            open_, slot = open_[on], slot[on] + 1 & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Different keys that aren't there."""
+        slot, open_ = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys))
+        while len(open_):
+            free = np.flatnonzero(self.place[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.key[slot[put]], self.place[slot[put]] = keys[open_[put]], places[open_[put]]
+            on = np.ones(len(open_), bool)
+            on[put] = False
+            open_, slot = open_[on], slot[on] + 1 & self.mask
+
+
+class _Pool:
+    """An array that grows at its end."""
+
+    def __init__(self, kind) -> None:
+        self.values, self.used = np.zeros(1 << 14, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.used + len(values) > len(self.values):
+            self.values = np.concatenate([self.values[: self.used], np.zeros(max(len(values), self.used), self.values.dtype)])
+        self.values[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+
 class Memory:
-    """Tokens of the pieces seen so far, in one pool; begins anew when it holds `limit` pieces or `room` bytes of pieces and tokens."""
+    """Tokens of the pieces seen so far; begins anew when it holds `limit` pieces or `room` bytes of pieces and tokens.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = 500_000, room: int = 64 << 20) -> None:
+    encode(buf, start, end): tokens of the pieces buf[start:end], one behind the other, and how many
+    each has. Pieces are found by hash, and their bytes compared: those of up to eight bytes and one
+    length can't share a hash, longer ones are looked at.
+    """
+
+    def __init__(self, encode, limit: int = 1 << 19, room: int = 64 << 20) -> None:
         self.encode, self.limit, self.room = encode, limit, room
         self._reset()
 
     def _reset(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.bytes = 0
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _learn(self, keys: list[bytes]) -> None:
-        for key, ids in zip(keys, self.encode(keys), strict=True):
-            n, size = len(self.at), len(ids)
-            while self.used + size > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            if n == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.pool[self.used : self.used + size] = ids
-            self.at[key], self.start[n], self.size[n] = n, self.used, size
-            self.used += size
-            self.bytes += len(key)
+        self.places = _Places(self.limit.bit_length() + 1)
+        self.ids, self.bytes = _Pool(np.uint32), _Pool(np.uint8)
+        self.start, self.size, self.key_start, self.key_size = (_Pool(np.int64) for _ in range(4))
+
+    @property
+    def pool(self) -> np.ndarray:
+        return self.ids.values
+
+    def _ask(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Numbers of the different pieces buf[start:end], whose tokens now are in the pool."""
+        ids, size = self.encode(buf, start, end)
+        n = self.start.used
+        self.start.add(self.ids.used + np.cumsum(size) - size)
+        self.size.add(size)
+        self.ids.add(ids)
+        key_size = end - start
+        self.key_start.add(self.bytes.used + np.cumsum(key_size) - key_size)
+        self.key_size.add(key_size)
+        self.bytes.add(gather(buf, start, key_size))
+        return np.arange(n, n + len(start))
 
     def find(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the pool and number of tokens of each piece buf[start:end].
-
-        Pieces of one hash are asked once, after their bytes have been compared; those of up to
-        eight bytes and one length can't share a hash.
-        """
-        if len(self.at) > self.limit or self.bytes + 4 * self.used > self.room:
+        """Place in the pool and number of tokens of each piece buf[start:end]."""
+        if self.start.used > self.limit or self.bytes.used + 4 * self.ids.used > self.room:
             self._reset()
         size = end - start
-        _, first, back = np.unique(segment_hash(buf, start, end), return_index=True, return_inverse=True)
+        hashes, first, back = np.unique(segment_hash(buf, start, end), return_index=True, return_inverse=True)
         head = first[back]
         other = size != size[head]
         long_ = np.flatnonzero((size > 8) & ~other & (head != np.arange(len(head))))
-        other[long_[~same(buf, start[long_], start[head[long_]], size[long_])]] = True
+        other[long_[~same(buf, start[long_], buf, start[head[long_]], size[long_])]] = True
         odd = np.flatnonzero(other)  # pieces that only share the hash of another: asked by themselves
+        at = np.concatenate([self.places.find(hashes), np.full(len(odd), -1)])
         back[odd] = len(first) + np.arange(len(odd))
         first = np.concatenate([first, odd])
-        data = buf.tobytes()
-        keys = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        if new := [k for k in dict.fromkeys(keys) if k not in self.at]:
-            self._learn(new)
-        at = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))[back]
-        return self.start[at], self.size[at]
+        known = np.flatnonzero(at >= 0)
+        wrong = self.key_size.values[at[known]] != size[first[known]]
+        long_ = np.flatnonzero(~wrong & (size[first[known]] > 8))
+        k = known[long_]
+        wrong[long_] = ~same(buf, start[first[k]], self.bytes.values, self.key_start.values[at[k]], size[first[k]])
+        taken = known[wrong]  # the hash stands for another piece already
+        at[taken] = -1
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self._ask(buf, start[first[new]], end[first[new]])
+            own = new[(new < len(hashes)) & ~np.isin(new, taken)]
+            self.places.add(hashes[own], at[own])
+        at = at[back]
+        return self.start.values[at], self.size.values[at]
 
     def tokens(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All tokens, and each text's first token; first: each text's first piece."""

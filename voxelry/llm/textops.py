@@ -69,14 +69,14 @@ def segment_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-def same(buf: np.ndarray, start: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether buf[start:start + size] and buf[other:other + size] are equal, of each pair."""
+def same(a: np.ndarray, start: np.ndarray, b: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[start:start + size] and b[other:other + size] are equal, of each pair."""
     out = np.ones(len(start), bool)
     for lo, hi in _runs(size):
         n = size[lo:hi]
         ends = np.cumsum(n)
         inside = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
-        differ = buf[np.repeat(start[lo:hi], n) + inside] != buf[np.repeat(other[lo:hi], n) + inside]
+        differ = a[np.repeat(start[lo:hi], n) + inside] != b[np.repeat(other[lo:hi], n) + inside]
         out[lo:hi][np.repeat(np.arange(hi - lo), n)[differ]] = False
     return out
 

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import Merges, PrefixCounts, read_merges
-from .pieces import Memory, cut
+from .pieces import Memory, cut, one_by_one
 from ..ship import by_batch
 from .textops import slices
 
@@ -24,7 +24,7 @@ class Counter:
         self.special = sorted((s.encode() for s in special), key=len, reverse=True)
         self.prefix = PrefixCounts(Merges(ids))
         # the memory's pool holds, for each piece, the count at each of its bytes
-        self.memory = Memory(lambda keys: [self.prefix.counts(k) for k in keys])
+        self.memory = Memory(one_by_one(self.prefix.counts))
         self.pattern = regex.compile(b"|".join(map(regex.escape, self.special))) if self.special else None
 
     def _apart(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
