@@ -4,10 +4,10 @@ Each permutation gives two signature values, the least and the greatest hash of
 sets in both have the same chance as one min-hash, at half the evaluations. Documents with equal
 shingle sets are one node from the start. Within a band's bucket every member is compared with the
 bucket's smallest document; after the confirmed links are joined to components, only members of
-buckets that still hold several components are compared across those components, in blocks, by the
-share of equal bytes of their whole signatures. Pairs that come close enough are confirmed too. So
-a group of copies costs one comparison a member, no pairs of a group are written out, and no link
-between different texts is lost to a group's size.
+buckets that still hold several components are compared across those components, in blocks: the
+share of equal bytes of their signatures chooses, full sets decide, and each block tells only which
+nodes it joins. So a group of copies costs one comparison a member, no pairs of a group are written
+out, and no link between different texts is lost to a group's size.
 """
 
 from __future__ import annotations
@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, union
 from ..operators.skew import lookup
 from ..ship import by_batch
 from ..storage import Scratch, partitions, release
-from .textops import U64, Words, mix, randoms, slices, window_hash, words
+from .textops import U64, Words, gather, mix, randoms, slices, window_hash, words
 
 _SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands binary, sig binary"
-#: Buckets beyond this many nodes are compared in cells of two salts.
-CELL = 2048
+#: Buckets beyond this many nodes, or shingles of all nodes, are compared in cells of two salts.
+CELL, CELL_SHINGLES = 2048, 1 << 22
 #: Ids up to this many (32 MB) are sent to every executor to pick out rows of documents; more are joined by a shuffle.
 BROADCAST_IDS = 4 << 20
 
@@ -103,52 +103,95 @@ def _exploded(classes: DataFrame, bands: int) -> DataFrame:
     return by_batch(classes.select("node", "n_shingles", "bands"), run, schema)
 
 
-def _close(table: pa.Table, percent: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one cell's nodes, of different components and fitting sizes, whose signatures are nearly alike enough."""
-    node, c, n, salt = (table[k].to_numpy() for k in ("node", "c", "n_shingles", "salt"))
-    band, two = table["band"][0].as_py(), table["a"][0].as_py() != table["b"][0].as_py()
-    keys = np.frombuffer(b"".join(table["bands"].to_pylist()), np.int64).reshape(len(node), -1)
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+def _cells(table: pa.Table):
+    """Rows of each cell (band, key, a, b) of a table with more than one row."""
+    columns = [table[k].to_numpy() for k in ("band", "key", "a", "b")]
+    order = np.lexsort(columns[::-1])
+    change = np.zeros(len(order), bool)
+    for v in columns:
+        change[1:] |= v[order][1:] != v[order][:-1]
+    bounds = [0, *np.flatnonzero(change).tolist(), len(order)]
+    return [table.take(pa.array(order[lo:hi])) for lo, hi in zip(bounds, bounds[1:], strict=False) if hi - lo > 1]
+
+
+def _close(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a cell, of different components and fitting sizes, whose signatures are nearly alike enough; i ascends."""
+    c, n, salt = (cell[k].to_numpy() for k in ("c", "n_shingles", "salt"))
+    band, two = cell["band"][0].as_py(), cell["a"][0].as_py() != cell["b"][0].as_py()
+    keys = np.frombuffer(b"".join(cell["bands"].to_pylist()), np.int64).reshape(len(c), -1)
+    sig = np.frombuffer(b"".join(cell["sig"].to_pylist()), np.uint8).reshape(len(c), -1)
     share = percent / 100
     least = (share - 5 * (share * (1 - share) / sig.shape[1]) ** 0.5) * sig.shape[1]  # five standard deviations below
-    src, dst = [], []
     order = np.argsort(n, kind="stable")
-    node, c, n, salt, keys, sig = node[order], c[order], n[order], salt[order], keys[order], sig[order]
-    for i in range(len(node) - 1):
+    c, n, salt, keys, sig = c[order], n[order], salt[order], keys[order], sig[order]
+    one, other = [], []
+    for i in range(len(c) - 1):
         j = np.arange(i + 1, int(np.searchsorted(n, 100 * n[i] // percent, "right")))
         j = j[(c[j] != c[i]) & ((salt[j] != salt[i]) if two else True)]
         if len(j):
             j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
         if len(j):  # a pair is the business of the first band that it shares
             j = j[(keys[j, :band] != keys[i, :band]).all(axis=1)]
-            src.append(np.minimum(node[i], node[j]))
-            dst.append(np.maximum(node[i], node[j]))
-    return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _across(open_: DataFrame, classes: DataFrame, percent: int, bands: int, parts: int, scratch: Scratch) -> DataFrame:
-    """(src, dst): pairs of nodes in a bucket and different components that may be similar enough."""
-    count = scratch.save(open_.groupBy("band", "key").agg(F.count("*").alias("n")))
-    salts = count.select("band", "key", F.when(F.col("n") > CELL, F.ceil(F.col("n") * 2 / CELL)).otherwise(1).cast("int").alias("salts"))
+            one.append(np.full(len(j), i))
+            other.append(j)
+    none = np.zeros(0, np.int64)
+    return (order[np.concatenate(one)], order[np.concatenate(other)]) if one else (none, none)
+
+
+def _linked(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reached) by the pairs of a cell whose full sets are similar enough: at most a row a node."""
+    one, other = _close(cell, percent)
+    if not len(one):
+        return one, other
+    node, sets = cell["node"].to_numpy(), [np.frombuffer(x, U64) for x in cell["set"].to_pylist()]
+    size = np.array([len(x) for x in sets])
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    there, yes = np.zeros(len(every), bool), np.zeros(len(one), bool)
+    for i in np.unique(one):
+        pairs = np.flatnonzero(one == i)
+        own = at[first[i] : first[i] + size[i]]
+        there[own] = True
+        for lo in range(0, len(pairs), 256):
+            p = pairs[lo : lo + 256]
+            j = other[p]
+            hits = there[gather(at, first[j], size[j])]
+            common = np.add.reduceat(hits, np.cumsum(size[j]) - size[j], dtype=np.int64)
+            yes[p] = 100 * common >= percent * (size[i] + size[j] - common)
+        there[own] = False
+    if not yes.any():
+        return one[:0], one[:0]
+    seen, low = union(node[one[yes]], node[other[yes]])
+    return seen[seen != low], low[seen != low]
+
+
+def _across(open_: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, parts: int, scratch: Scratch) -> DataFrame:
+    """(src, dst): links between components of the nodes that share a bucket, contracted to one a node and cell.
+
+    Large buckets are dealt by salt into cells, which meet every pair once. Signatures choose the
+    nodes that may have a link in a cell; only their sets move there and decide.
+    """
+    count = scratch.save(open_.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")))
+    salts = count.select("band", "key", F.when(F.expr(f"n > {CELL} OR shingles > {CELL_SHINGLES}"), F.expr(f"greatest(ceil(n * 2 / {CELL}), ceil(shingles * 2 / {CELL_SHINGLES}))")).otherwise(1).cast("int").alias("salts"))
     placed = (
         lookup(open_, salts, ["band", "key"], count).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .withColumn("a", F.least("salt", "other")).withColumn("b", F.greatest("salt", "other")).drop("salts", "other")
         .withColumn("part", F.pmod(F.xxhash64("band", "key", "a", "b"), F.lit(parts)).cast("int"))
     )
-    full = placed.join(classes.select("node", "bands", "sig"), "node")
-
-    def run(key, table):
-        columns = [table[k].to_numpy() for k in ("band", "key", "a", "b")]
-        order = np.lexsort(columns[::-1])
-        change = np.zeros(len(order), bool)
-        for v in columns:
-            change[1:] |= v[order][1:] != v[order][:-1]
-        bounds = [0, *np.flatnonzero(change).tolist(), len(order)]
-        found = [_close(table.take(pa.array(order[lo:hi])), percent, bands) for lo, hi in zip(bounds, bounds[1:], strict=False) if hi - lo > 1]
+    full = placed.join(classes.select("node", "bands", "sig"), "node").select("part", "band", "key", "a", "b", "salt", "node", "c", "n_shingles", "bands", "sig")
+
+    def flag(_, table):
+        found = [cell.take(pa.array(np.unique(np.concatenate(pairs)))) for cell in _cells(table) if len((pairs := _close(cell, percent))[0])]
+        return pa.concat_tables(found) if found else table.slice(0, 0)
+
+    def verify(_, table):
+        found = [_linked(cell, percent) for cell in _cells(table)]
         pair = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
-        return pa.table([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], names=["src", "dst"])
+        return pa.table([pa.array(p, pa.int64()) for p in pair], names=["src", "dst"])
 
-    return full.groupBy("part").applyInArrow(run, "src long, dst long")
+    flagged = scratch.save(full.groupBy("part").applyInArrow(flag, full.schema))
+    sets = scratch.save(_sets(_picked(docs, scratch.save(flagged.select(F.col("node").alias("doc_id")).distinct()), "left_semi"), size))
+    return flagged.join(sets.withColumnRenamed("doc_id", "node"), "node").groupBy("part").applyInArrow(verify, "src long, dst long")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -226,8 +269,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     named = members.join(joined.withColumnRenamed("component", "found"), "node", "left").withColumn("c", F.coalesce("found", "node")).drop("found")
     split = scratch.save(named.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "key", "n"))
     open_ = scratch.save(lookup(named, split.select("band", "key"), ["band", "key"], split).select("band", "key", "node", "c", "n_shingles"))
-    across = scratch.save(_across(open_, classes, percent, bands, 4 * partitions(docs.sparkSession), scratch).distinct())
-    more = _confirmed(across, docs, size, percent, scratch)
+    more = scratch.save(_across(open_, classes, docs, size, percent, 4 * partitions(docs.sparkSession), scratch))
     final = components(links.unionByName(more), scratch)
     of_set = classes.join(final, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "node").alias("component"))
     sizes = scratch.save(signed.groupBy("fp1", "fp2", "n_shingles").agg(F.count("*").alias("n")))
