@@ -6,7 +6,7 @@ A bundle lists (name, grain, aggregate). Grains add keys to the object's: "tz" (
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics as ph
@@ -83,9 +83,9 @@ def second(results: dict[str, DataFrame], keys: tuple[str, ...], n: str) -> Data
     return pixel.groupBy(*keys, "t").agg(*wanted)
 
 
-def at_level(objects: DataFrame, keys: tuple[str, ...], level: DataFrame, n: str = "core") -> DataFrame:
-    """keys, t, y, x with w and cmf at each object's level (keys, abh); rows only where the object has that level."""
-    return objects.join(level, list(keys)).where("z = abh").groupBy(*keys, "t", "y", "x").agg(F.max("w").alias(f"{n}_abh_w"), F.max("cmf").alias(f"{n}_abh_cmf"))
+def at_level(objects: DataFrame, keys: tuple[str, ...], level: DataFrame, n: str = "core", by: tuple[str, ...] = ()) -> DataFrame:
+    """keys, by, t, y, x with w and cmf at each object's level (keys, abh); rows only where the object has that level."""
+    return objects.join(level, list(keys)).where("z = abh").groupBy(*keys, *by, "t", "y", "x").agg(F.max("w").alias(f"{n}_abh_w"), F.max("cmf").alias(f"{n}_abh_cmf"))
 
 
 def export(df: DataFrame) -> DataFrame:
@@ -95,8 +95,6 @@ def export(df: DataFrame) -> DataFrame:
 
 def divergence(field: DataFrame, grid_degrees: float, lat: Column, radius: float = 6371229.0) -> DataFrame:
     """The field with `div`, du/dx + dv/dy on the sphere by central differences; null where a neighbour is missing."""
-    from pyspark.sql import Window
-
     row, column = Window.partitionBy("t", "z", "y").orderBy("x"), Window.partitionBy("t", "z", "x").orderBy("y")
     step = F.radians(F.lit(grid_degrees)) * radius
 

@@ -677,3 +677,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 __all__ = ["axis", "oracle_sql", "queries"]
+
+from . import bundle_queries  # noqa: E402, F401  its queries register themselves here

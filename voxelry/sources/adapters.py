@@ -46,3 +46,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (((F.col("o_orderkey") * 37) % 3600).cast("double") / F.lit(10.0) - 180).alias("lon"), (((F.col("o_orderkey") * 17) % 300).cast("double") / F.lit(10.0) - 15).alias("lat"),
         F.floor("o_totalprice").cast("long").alias("price"), F.floor(F.col("o_totalprice") / 1000).cast("long").alias("npix"), F.col("o_orderkey").alias("row"),
     )
+
+
+def grid_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of columns() on a grid: 60 steps, rows of 15 columns half a degree apart, up to seven levels; with rain."""
+    k = F.expr("col DIV 60")
+    place = columns(spark, sf_dir).withColumn("t", (F.col("col") % 60).cast("int")).withColumn("z", (F.col("lev") - 1).cast("int")).withColumn("y", F.expr("CAST((col DIV 60) DIV 15 AS INT)")).withColumn("x", (k % 15).cast("int"))
+    return place.withColumn("lon", F.col("x") * F.lit(0.5)).withColumn("lat", F.col("y") * F.lit(0.5)).withColumn("pr", F.col("cli") * F.lit(100.0))
+
+
+def grid_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t, z, y, x, system, u_tracks: cloudy voxels of grid_field() in blocks of three by three columns, in two layers; rising ones, from a step on, in tracks of ten steps."""
+    f = grid_field(spark, sf_dir).where("clw >= 0.00002 AND (z > 3 OR (z IN (1, 2) AND col % 2 = 0) OR col % 8 = 0)")
+    block = F.expr("CAST(1 + (y DIV 3) * 5 + x DIV 3 AS BIGINT)")
+    return f.select("t", "z", "y", "x", block.alias("system"), F.when((F.col("wa_phy") > 1) & (F.col("t") >= 2 + block % 7), block * 10 + F.expr("t DIV 10")).alias("u_tracks"))
