@@ -219,35 +219,58 @@ def weighted_erode(spark, sf):
 THRESHOLDS = [5.0, 15.0, 35.0, 70.0, 115.0]
 
 
-def _features_sql() -> str:
+def _features_sql(*more: str) -> str:
     ctes = []
     for k, level in enumerate(THRESHOLDS):
         ctes += [q.vox(f"v{k}", "all", 1, f"max(value) >= {level}"), q.labelled(f"l{k}", f"v{k}", q.FACES_3D, min_size=2)]
     every = " UNION ALL ".join(f"SELECT t, z, y, x, vmax, label, {k} AS rank, CAST({level} AS DOUBLE) AS threshold FROM l{k}" for k, level in enumerate(THRESHOLDS))
-    mean = lambda d: f"round(CASE WHEN sum(vmax - threshold) > 0 THEN sum({d} * (vmax - threshold)) / sum(vmax - threshold) ELSE avg({d}) END, 4) + 0.0 AS {d}c"
-    return q.with_(*ctes, f"ev AS ({every})", "top AS (SELECT t, z, y, x, max(rank) AS top FROM ev GROUP BY ALL)", "gone AS (SELECT DISTINCT rank, label FROM ev JOIN top USING (t, z, y, x) WHERE top > rank)") + (
-        f"SELECT dense_rank() OVER (ORDER BY rank, min(((CAST(t AS BIGINT) * 5 + z) * 1048576 + y) * 15 + x)) AS feature, t, threshold, count(*) AS size, max(vmax) AS peak, {mean('z')}, {mean('y')}, {mean('x')} "
-        "FROM ev WHERE (rank, label) NOT IN (SELECT (rank, label) FROM gone) GROUP BY t, threshold, rank, label"
-    )
+    mean = lambda d: f"CASE WHEN sum(vmax - threshold) > 0 THEN sum({d} * (vmax - threshold)) / sum(vmax - threshold) ELSE avg({d}) END AS {d}c"
+    return q.with_(
+        *ctes, f"ev AS MATERIALIZED ({every})", "top AS (SELECT t, z, y, x, max(rank) AS top FROM ev GROUP BY ALL)", "gone AS (SELECT DISTINCT rank, label FROM ev JOIN top USING (t, z, y, x) WHERE top > rank)",
+        "own AS MATERIALIZED (SELECT * FROM ev WHERE (rank, label) NOT IN (SELECT (rank, label) FROM gone))",
+        f"ft AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY rank, min(((CAST(t AS BIGINT) * 5 + z) * 1048576 + y) * 15 + x)) AS feature, t, threshold, rank, label, count(*) AS size, max(vmax) AS peak, {mean('z')}, {mean('y')}, {mean('x')} FROM own GROUP BY t, threshold, rank, label)",
+        *more,
+    )
 
 
 def _features(spark, sf):
     return detect.detect_features(voxels(spark, sf, "all"), "vmax", THRESHOLDS, 2, GRID, Scratch(spark))
 
 
-@query(_features_sql())
+@query(_features_sql() + "SELECT feature, t, threshold, size, peak, " + ", ".join(_rs(c, c, 4) for c in ("zc", "yc", "xc")) + " FROM ft")
 def detect_features(spark, sf):
     f = _features(spark, sf)[0]
     return f.select("feature", "t", "threshold", "size", "peak", *(_r(c, 4).alias(c) for c in ("zc", "yc", "xc")))
 
 
-@query()
+#: Edges of each time step in order, best first; a step's k-th edge joins two parts unless both have a seed.
+_FLOOD = (
+    q.vox("va", "all"), "nd AS MATERIALIZED (SELECT t, z, y, x, ((CAST(t AS BIGINT) * 5 + z) * 1048576 + y) * 15 + x AS id, vmax AS v FROM va WHERE vmax > 5)",
+    "ed AS MATERIALIZED (SELECT src, dst, row_number() OVER (PARTITION BY t ORDER BY w DESC, src, dst) AS rank FROM (SELECT a.t, a.id AS src, b.id AS dst, least(a.v, b.v) AS w FROM nd a, (VALUES (1, 0, 0), (0, 1, 0), (0, 0, 1)) o(dz, dy, dx), nd b WHERE b.t = a.t AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx))",
+    "sd AS (SELECT ((CAST(o.t AS BIGINT) * 5 + z) * 1048576 + y) * 15 + x AS id, min(feature) AS feature FROM own o JOIN ft USING (rank, label) GROUP BY 1)",
+    "fl(id, part, seed) USING KEY (id) AS (SELECT nd.id, nd.id, coalesce(sd.feature, 0) FROM nd LEFT JOIN sd USING (id) UNION ALL SELECT -1, 0, 0 UNION (WITH c AS (SELECT part + 1 AS i FROM recurring.fl WHERE id = -1 AND part < (SELECT max(rank) FROM ed)), "
+    "m AS (SELECT a.part AS pa, b.part AS pb, greatest(a.seed, b.seed) AS seed FROM c JOIN ed ON ed.rank = c.i JOIN recurring.fl a ON a.id = ed.src JOIN recurring.fl b ON b.id = ed.dst WHERE a.part <> b.part AND (a.seed = 0 OR b.seed = 0)), "
+    "u AS (SELECT pa AS p, pa, seed FROM m UNION ALL SELECT pb, pa, seed FROM m) SELECT f.id, u.pa, u.seed FROM u JOIN recurring.fl f ON f.part = u.p WHERE f.id >= 0 UNION ALL SELECT -1, i, 0 FROM c))",
+)
+
+
+@query(_features_sql(*_FLOOD) + "SELECT t, z, y, x, seed AS feature FROM fl JOIN nd USING (id) WHERE seed > 0")
 def segment_watershed(spark, sf):
     f, members = _features(spark, sf)
     return detect.watershed(voxels(spark, sf, "all"), "vmax", members, 5.0, GRID, Scratch(spark))
 
 
-@query()
+#: Pairs in order; each round takes those that are first for both ends, and drops what shares an end with them.
+_CHAINS = (
+    "pr AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY d, a, b) AS k FROM (SELECT a.feature AS a, b.feature AS b, round(pow(a.zc - b.zc, 2) + pow(a.yc - b.yc, 2) + pow(a.xc - b.xc, 2), 9) AS d FROM ft a JOIN ft b ON b.t = a.t + 1) WHERE d <= 4.0)",
+    "lk(k, a, b, s) USING KEY (k) AS (SELECT k, a, b, 0 FROM pr UNION (WITH o AS (SELECT * FROM recurring.lk WHERE s = 0), m AS (SELECT k, a, b FROM (SELECT *, min(k) OVER (PARTITION BY a) AS ka, min(k) OVER (PARTITION BY b) AS kb FROM o) WHERE k = ka AND k = kb) "
+    "SELECT o.k, o.a, o.b, CASE WHEN o.k IN (SELECT k FROM m) THEN 1 ELSE 2 END FROM o WHERE o.a IN (SELECT a FROM m) OR o.b IN (SELECT b FROM m)))",
+    "ch(feature, root) AS (SELECT feature, feature FROM ft WHERE feature NOT IN (SELECT b FROM lk WHERE s = 1) UNION ALL SELECT lk.b, ch.root FROM ch JOIN lk ON lk.a = ch.feature WHERE lk.s = 1)",
+    "gr AS (SELECT feature, t, min(feature) OVER w AS first, count(*) OVER w AS steps, t - min(t) OVER w AS time_cell FROM ch JOIN ft USING (feature) WINDOW w AS (PARTITION BY root))",
+)
+
+
+@query(_features_sql(*_CHAINS) + "SELECT feature, t, CASE WHEN steps >= 2 THEN dense_rank() OVER (PARTITION BY steps >= 2 ORDER BY first) ELSE 0 END AS cell, time_cell FROM gr")
 def link_features(spark, sf):
     f = _features(spark, sf)[0]
     return detect.link_features(f, 2.0, Scratch(spark), min_steps=2).select("feature", "t", "cell", "time_cell")
@@ -465,10 +488,27 @@ def nearest_level(spark, sf):
     return columns(spark, sf).groupBy("col").agg(at("ta").alias("ta750"), at("hus").alias("hus750"))
 
 
-@query()
+def _parcel_sql() -> str:
+    """A parcel lifted in twelve midpoint steps a level, and the areas between it and its surroundings in ln p."""
+    slope = lambda p, t: f"((287.04 * {t} + 2.501e6 * ({q.RD} / {q.RV} * {e(p, t)} / ({p} - {e(p, t)}))) / (1004.7 + 2.501e6 * 2.501e6 * ({q.RD} / {q.RV} * {e(p, t)} / ({p} - {e(p, t)})) * ({q.RD} / {q.RV}) / (287.04 * {t} * {t})) / {p})"
+    e = lambda p, t: f"least(611.2 * exp(17.67 * ({t} - 273.15) / ({t} - 29.65)), 0.9 * {p})"
+    return (
+        "WITH RECURSIVE " + q.COLUMNS + f", lv AS MATERIALIZED (SELECT col, row_number() OVER (PARTITION BY col ORDER BY pfull DESC) - 1 AS k, pfull AS p, ta AS t, {q.RH} AS rh FROM cols), "
+        "g0 AS (SELECT col, p AS p0, t AS t0, least(greatest(rh, 1e-4), 1.0) AS r0 FROM lv WHERE k = 0), g AS MATERIALIZED (SELECT *, 1 / (1 / (t0 - 55) - ln(r0) / 2840) + 55 AS tl, p0 * pow((1 / (1 / (t0 - 55) - ln(r0) / 2840) + 55) / t0, 1 / 0.2857) AS pl FROM g0), "
+        "up(col, n, wet, pos, h) AS (SELECT col, 0, tl, pl, CAST(0 AS DOUBLE) FROM g UNION ALL SELECT col, n + 1, wet + h * " + slope("(pos + h / 2)", "mid") + ", pos + h, h FROM (SELECT up.col, n, wet, pos, CASE WHEN n % 12 = 0 THEN (least(lv.p, g.pl) - pos) / 12 ELSE h END AS h, "
+        "wet + " + slope("pos", "wet") + " * (CASE WHEN n % 12 = 0 THEN (least(lv.p, g.pl) - pos) / 12 ELSE h END) / 2 AS mid FROM up JOIN g USING (col) JOIN lv ON lv.col = up.col AND lv.k = n // 12 + 1)), "
+        "li AS (SELECT lv.col, k, p, t, CASE WHEN k = 0 THEN t WHEN p >= pl THEN t0 * pow(p / p0, 0.2857) ELSE wet END - t AS d FROM lv JOIN g USING (col) LEFT JOIN up ON up.col = lv.col AND up.n = lv.k * 12), "
+        "sg AS (SELECT col, k, d AS a, lead(d) OVER w AS b, ln(p / lead(p) OVER w) AS dx, p FROM li WINDOW w AS (PARTITION BY col ORDER BY k)), sx AS (SELECT *, CASE WHEN a * b < 0 THEN a / (a - b) ELSE 0 END AS cr FROM sg WHERE b IS NOT NULL), "
+        "ar AS (SELECT *, dx * CASE WHEN a >= 0 AND b >= 0 THEN (a + b) / 2 WHEN a > 0 THEN a * cr / 2 WHEN b > 0 THEN b * (1 - cr) / 2 ELSE 0 END AS plus, dx * CASE WHEN a <= 0 AND b <= 0 THEN (a + b) / 2 WHEN a < 0 THEN a * cr / 2 WHEN b < 0 THEN b * (1 - cr) / 2 ELSE 0 END AS minus, min(k) FILTER (a <= 0 AND b > 0) OVER (PARTITION BY col) AS first FROM sx), "
+        "sm AS (SELECT col, 287.04 * sum(plus) AS cape, 287.04 * sum(CASE WHEN k <= first THEN minus ELSE 0 END) AS cin, min(CASE WHEN k = first THEN exp(ln(p) - cr * dx) END) AS lfc FROM ar GROUP BY col), nl AS (SELECT col, count(*) AS n FROM lv GROUP BY col) "
+        f"SELECT g.col, CASE WHEN n >= 5 THEN round(cape, 3) + 0.0 END AS cape, CASE WHEN n >= 5 THEN round(cin, 3) + 0.0 END AS cin, CASE WHEN n >= 5 THEN round(least(lfc, CASE WHEN lfc IS NULL THEN NULL ELSE p0 END), 2) + 0.0 END AS lfc, CASE WHEN n >= 5 THEN round(pl, 2) + 0.0 END AS lcl FROM g JOIN nl USING (col) LEFT JOIN sm USING (col)"
+    )
+
+
+@query(_parcel_sql())
 def cape_cin_columns(spark, sf):
     c = columns(spark, sf).withColumn("rh", ph.relative_humidity(F.col("pfull"), F.col("ta"), F.col("hus")))
-    return cape_cin(c)
+    return cape_cin(c).select("col", *(_r(x, n).alias(x) for x, n in (("cape", 3), ("cin", 3), ("lfc", 2), ("lcl", 2))))
 
 
 @query(_C + f"SELECT col, {_rs('1 / (1 / (ta - 55) - ln(rh) / 2840) + 55', 't_lcl', 4)}, {_rs('pfull * pow((1 / (1 / (ta - 55) - ln(rh) / 2840) + 55) / ta, 1 / 0.2857)', 'p_lcl', 2)} FROM (SELECT *, {q.RH} AS rh FROM cols WHERE lev = 1)")
