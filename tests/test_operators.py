@@ -1,5 +1,6 @@
 """Golden cases and brute-force checks of the analytics operators."""
 
+import datetime
 import math
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelry.functions import convection, grids, profiles
 from voxelry.model import Grid
-from voxelry.operators import detect, environment, erosion, graph, labelling, lineage, sharing
+from voxelry.operators import bundles, detect, environment, erosion, graph, labelling, lineage, sharing, skew, stats
 from voxelry.sources import readers
 from voxelry.storage import Scratch
 from voxelry.streaming import windows
@@ -95,6 +96,38 @@ def test_topography_brute(spark):
         assert got[y, x] == pytest.approx(min(math.hypot(y - a, x - b) for a in range(9) for b in range(9) if cells.get((a, b)) != k))
 
 
+def test_topography_in_volume(spark):
+    """Distances over three axes, for labels that touch one another, fill rows, and fill a whole volume."""
+    rng = random.Random(4)
+    cells = {(z, y, x): rng.choice([1, 1, 1, 2]) for z in range(5) for y in range(6) for x in range(7) if rng.random() < 0.93}
+    df = mask(spark, [(0, *p, k) for p, k in cells.items()] + [(1, z, y, x, 3) for z in range(5) for y in range(6) for x in range(7)])
+    got = {(r.t, r.z, r.y, r.x): r.distance for r in erosion.topography(df, 6, 7, z_size=5).collect()}
+    every = [(z, y, x) for z in range(5) for y in range(6) for x in range(7)]
+    for p, k in cells.items():
+        assert got[0, *p] == pytest.approx(min(math.dist(p, o) for o in every if cells.get(o) != k))
+    assert all(got[1, *p] is None for p in every)
+
+
+def test_large_discs_erode(spark):
+    n = 41
+    disc = mask(spark, [(0, 0, y, x, 1) for y in range(n) for x in range(n) if math.hypot(y - 20, x - 20) < 18])
+    got = {(r.y, r.x): r.distance for r in erosion.topography(disc, n, n).collect()}
+    inside = set(got)
+    border = [(y, x) for y in range(n) for x in range(n) if (y, x) not in inside]
+    assert all(d == pytest.approx(min(math.hypot(y - a, x - b) for a, b in border)) for (y, x), d in got.items())
+
+
+def test_lookup_leaves_heavy_keys(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (3, 0), (None, 9), (4, 1)] + [(5, i) for i in range(40)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k int, w string")
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        want = sorted((r.k, r.v, r.w) for r in left.join(right, ["k"], how).collect() if r.k is not None)
+        for least in (5, 1000):
+            got = skew.lookup(left, right, ["k"], counts, how, least=least)
+            assert sorted((r.k, r.v, r.w) for r in got.collect() if r.k is not None) == want and got.count() == left.join(right, ["k"], how).count()
+
+
 PROFILE = "col long, lev int, tw double"
 
 
@@ -176,6 +209,109 @@ def test_links_of_a_long_row(spark):
         assert all(got[i + 1] == got[n + i + 1] == i + 1 for i in range(n))
 
 
+def test_links_follow_velocities(spark):
+    """Two features that pass each other: by place alone they swap, by velocity they don't; a new one borrows its neighbour's."""
+    rows = [(1, 0, 0.0, 0.0), (2, 1, 0.0, 1.0), (3, 2, 0.0, 2.0), (4, 3, 0.0, 3.0), (11, 0, 0.4, 4.0), (12, 1, 0.4, 3.0), (13, 2, 0.4, 2.2), (14, 3, 0.4, 1.0)]
+    df = spark.createDataFrame([(f, t, 0.0, y, x) for f, t, y, x in rows], "feature long, t int, zc double, yc double, xc double")
+    got = {r.feature: r.cell for r in detect.link_features(df, 1.7, Scratch(spark), predict=2).collect()}
+    assert got[1] == got[2] == got[3] == got[4] and got[11] == got[12] == got[13] == got[14] and got[1] != got[11]
+
+
+def test_smoothing_equals_definition(spark):
+    rng = random.Random(2)
+    shape, sigma, reach = (5, 7, 6), 0.9, 4
+    field = {(z, y, x): rng.random() for z in range(5) for y in range(7) for x in range(6) if rng.random() < 0.5}
+    got = {(r.z, r.y, r.x): r.v for r in detect.smooth(spark.createDataFrame([(0, *p, v) for p, v in field.items()], f"{VOXEL}, v double"), "v", sigma, Grid(z=5, y=7, x=6)).collect()}
+    dense = np.zeros(shape)
+    for p, v in field.items():
+        dense[p] = v
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    for axis in range(3):
+        padded = np.pad(dense, [(reach, reach) if i == axis else (0, 0) for i in range(3)], mode="symmetric")
+        dense = sum(np.take(padded, np.arange(k, k + shape[axis]), axis) * w[k] / w.sum() for k in range(2 * reach + 1))
+    assert all(got.get(p, 0.0) == pytest.approx(dense[p], abs=1e-12) for p in np.ndindex(shape))
+    with pytest.raises(ValueError):
+        detect.smooth(spark.createDataFrame([], f"{VOXEL}, v double"), "v", 2.0, Grid(z=5, y=7, x=6))
+
+
+def test_detection_options(spark):
+    """An object over a periodic border has its centre there; erosion drops what is thin."""
+    grid = Grid(z=1, y=9, x=12)
+    rows = [(0, 0, y, x, 2.0) for y in (3, 4, 5) for x in (11, 0, 1)] + [(0, 0, 8, x, 2.0) for x in range(4, 9)]
+    df = spark.createDataFrame(rows, f"{VOXEL}, v double")
+    found = detect.detect_features(df, "v", [1.0], 1, grid, Scratch(spark), periodic=("x",))[0].collect()
+    assert sorted((r.size, round(r.yc, 6), round(r.xc, 6) % 12) for r in found) == [(5, 8.0, 6.0), (9, 4.0, 0.0)]
+    inner = detect.detect_features(spark.createDataFrame([(0, 0, y, x, 2.0) for y in (3, 4, 5) for x in (3, 4, 5)] + rows[9:], f"{VOXEL}, v double"), "v", [1.0], 1, grid, Scratch(spark), erode=1)[0].collect()
+    assert [(r.size, r.yc, r.xc) for r in inner] == [(1, 4.0, 4.0)]
+    close = spark.createDataFrame([(0, 0, 1, 1, 5.0), (0, 0, 1, 3, 2.0), (0, 0, 7, 7, 2.0)], f"{VOXEL}, v double")
+    kept = detect.detect_features(close, "v", [1.0, 4.0], 1, grid, Scratch(spark), min_distance=2.5)[0].collect()
+    assert sorted((r.yc, r.xc) for r in kept) == [(1.0, 1.0), (7.0, 7.0)]
+
+
+def test_methods(spark):
+    v = spark.createDataFrame([(0, 0, 0, 0), (0, 0, 1, 1)], VOXEL)
+    assert labelling.connect(v, Grid(), Scratch(spark), "corners").select("label").distinct().count() == 1
+    with pytest.raises(ValueError):
+        labelling.connect(v, Grid(), Scratch(spark), "nearest")
+
+
+def test_watershed_raises_unsettled(spark):
+    df = spark.createDataFrame([(0, 0, 0, x, 5.0 - x / 10) for x in range(9)], f"{VOXEL}, v double")
+    seeds = spark.createDataFrame([(0, 0, 0, 0, 1)], f"{VOXEL}, feature long")
+    with pytest.raises(RuntimeError):
+        detect.watershed(df, "v", seeds, 0.0, Grid(z=1, y=1, x=9), Scratch(spark), most_rounds=1)
+
+
+def test_bundles_by_name(spark, sf):
+    from voxelry.sources.adapters import grid_field, grid_mask
+
+    field, cells = grid_field(spark, sf), grid_mask(spark, sf)
+    out = bundles.compute({"a": {"function": "bulk"}, "b": {"function": "cloudy", "parameters": {"dxy": 5000.0}}}, cells, field)
+    assert set(out) == {"a", "b"} and out["b"]["t"].columns[:2] == ["system", "t"]
+    ratio = out["a"]["t"].select("system", "t", "cloud_volume").join(out["b"]["t"].select("system", "t", F.col("cloud_volume").alias("other")), ["system", "t"]).select((F.col("cloud_volume") / F.col("other")).alias("r")).first().r
+    assert ratio == pytest.approx((11 / 5) ** 2)
+    with pytest.raises(ValueError):
+        bundles.compute({"a": {"function": "none"}}, cells, field)
+    most = bundles.largest_slice(cells).agg(F.max("size")).first()[0]
+    small = bundles.compute({"a": {"function": "bulk"}}, cells, field, max_size=most - 1)["a"]["t"]
+    assert 0 < small.select("system").distinct().count() < cells.select("system").distinct().count()
+    exported = stats.export(bundles.older_statistics(cells, field)["tz"])
+    assert exported.where("cloud_cmf_mu IS NULL").count() == 0 and exported.where(f"cloud_cmf_mu = {stats.MISSING}").count() > 0
+    env = bundles.flow_environment(field, bundles.first_updrafts(cells).select("system", "t", (F.col("x") * 0.5).alias("clon"), (F.col("y") * 0.5).alias("clat")), [1.0, 2.0], convection=True)
+    assert {"cape_in1", "lcl_in2", "tropo_around2"} <= set(env.columns)
+    assert env.where("lcl_in2 BETWEEN 50000 AND 100100").count() > 0
+
+
+def test_anvil_below_base(spark):
+    df = spark.createDataFrame([(1, k) for k in range(5)], "system long, z int")
+    base = spark.createDataFrame([(1, 2.5)], "system long, abh double")
+    assert sorted(r.z for r in profiles.anvil_mask(df, base, ("system",), "z", above=False).collect()) == [0, 1, 2]
+    assert [r.d for r in spark.createDataFrame([(1, k, -float(k)) for k in range(3)], "c int, z int, h double").select(profiles.descends(("c",), "z", F.col("h")).alias("d")).collect()] == [True] * 3
+
+
+def test_transect(spark):
+    centre = spark.createDataFrame([(1, 0, 2, 2)], "system long, t int, y int, x int")
+    wind = spark.createDataFrame([(1, 0, 3.0, 4.0)], "system long, t int, u double, v double")
+    field = spark.createDataFrame([(0, 0, y, x, float(10 * y + x)) for y in range(6) for x in range(6)], f"{VOXEL}, q double")
+    got = {r.step: r.q for r in environment.transect(centre, wind, field, 6, 6, "q").collect()}
+    for step, q in got.items():
+        assert q == pytest.approx(10 * (2 + 0.8 * step) + 2 + 0.6 * step)
+    assert set(got) == {-2, -1, 0, 1, 2, 3}
+
+
+def test_local_times(spark):
+    df = spark.createDataFrame([("2021-07-01 12:00:00", -60.2, "America/Manaus"), ("2021-07-01 12:00:00", 31.0, None)], "u string, lon double, zone string")
+    got = df.select(environment.local_time(F.to_timestamp("u"), F.col("lon"), F.col("zone")).cast("string").alias("a")).collect()
+    assert [r.a for r in got] == ["2021-07-01 08:00:00", "2021-07-01 14:00:00"]
+
+
+def test_divergence(spark):
+    """A wind that grows eastward by 1 m/s a degree, at the equator."""
+    field = spark.createDataFrame([(0, 0, y, x, float(x), 0.0, (y - 1) * 1.0) for y in range(3) for x in range(4)], f"{VOXEL}, ua double, va double, lat double")
+    got = {(r.y, r.x): r.div for r in stats.divergence(field, 1.0, F.col("lat")).collect()}
+    assert got[1, 1] == pytest.approx(1 / (math.radians(1) * 6371229.0)) and got[1, 0] is None and got[0, 1] is None
+
+
 def test_parcel_is_sane():
     p = np.array([[100000.0, 90000, 80000, 70000, 60000, 50000, 40000]])
     t = np.array([[303.0, 293, 286, 279, 271, 262, 251]])
@@ -193,10 +329,62 @@ def test_readers(spark, tmp_path):
         df = stages.get("part_3", lambda: made.append(1) or spark.range(3))
     assert len(made) == 1 and df.count() == 3 and stages.last(r"part_(\d+)") == 3
     s = readers.Sources(spark)
+    assert readers.file_contains("a_20240101T0000_20240101T0600.nc", "20240101T0500", "20240102T0000") and not readers.file_contains("a_20240101T0000_20240101T0600.nc", "20240101T0700", "20240102T0000")
     s.register("five", lambda sp: sp.createDataFrame([(0, 1.0, 270.0), (0, 2.0, 280.0)], "t int, qall double, ta double"))
     assert [r.qfrozen for r in s.load("five", ["qfrozen"]).collect()] == [1.0, None]
 
 
+def test_boxes_and_systems(spark):
+    start = datetime.datetime(2021, 7, 1)
+    rows = [(s, start + datetime.timedelta(minutes=15 * k), -60.0 + 0.1 * k + 40 * (s == 2), -3.0) for s in (1, 2) for k in range(8)]
+    cells = spark.createDataFrame(rows, "system long, time timestamp, lon double, lat double")
+    cat = spark.createDataFrame([(1, start, 2.0, -60.0, -3.0), (2, start, 2.0, 100.0, 50.0)], "dcc long, initial_time timestamp, lifetime double, initial_lon double, initial_lat double")
+    assert [readers.grab_system(cells, cat, s).count() for s in (1, 2, 3)] == [8, 8, 0]
+    field = cells.select("time", "lon", "lat")
+    one = readers.corresponding(field, cells.where("system = 1 AND lon > -59.75"), margin=0.01)
+    assert one.count() == 5 and readers.corresponding(field, cells.limit(0)).count() == 0
+    assert readers.corresponding(field, cells.where("system = 1 AND lon > -59.75"), margin=0.2, before_minutes=30).count() == 7
+
+
+def test_batches(spark):
+    df = spark.createDataFrame([(s, v) for s in (9, 2, 5, 7, 7) for v in (1, 2)], "system long, v int")
+    assert sorted({r.system for r in readers.load_results(df, batch=1, size=2).collect()}) == [7, 9]
+    assert sorted({r.system for r in readers.load_results(df, systems=[2, 5, 9], ignore=[5], apply=lambda d: d.where("v = 1")).collect()}) == [2, 9]
+    assert [r.system for r in readers.keep_first(df, ["system"], ["v"]).orderBy("system").collect()] == [2, 5, 7, 9]
+    assert [(r.system, r.n) for r in readers.repeated(df.where("v = 1"), "system").collect()] == [(7, 2)]
+
+
+def test_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5, "a"), (2, None, "b,c")], "k int, v double, s string")
+    readers.write_csv(df, str(tmp_path / "c"))
+    readers.write_csv(df.limit(1), str(tmp_path / "c"), append=True)
+    assert sorted((r.k, r.v, r.s) for r in readers.read_csv(spark, str(tmp_path / "c"), "k int, v double, s string").collect()) == [(1, 2.5, "a"), (1, 2.5, "a"), (2, None, "b,c")]
+    cells = spark.createDataFrame([(0, 0, 0, 0, 4.0), (0, 0, 0, 1, 0.0), (0, 0, 0, 2, None)], f"{VOXEL}, label double")
+    readers.save_mask(cells, str(tmp_path / "m"))
+    assert [(r.x, r.label) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [(0, 4)]
+    for d in ("d1", "d2"):
+        (df if d == "d1" else df.drop("s")).write.parquet(str(tmp_path / "r" / d))
+    assert readers.day_records(spark, str(tmp_path / "r"), ["d1", "d2"]).where("s IS NULL").count() == 2
+    assert readers.with_height(spark.createDataFrame([(0,), (1,), (5,)], "z int"), [100.0, 1600.0]).orderBy("z").select("height").collect() == [(100.0,), (1600.0,)]
+    assert readers.level_slice(spark.range(9).withColumnRenamed("id", "z"), 2, 4).count() == 3
+
+
+def test_projections(spark):
+    rows = [(t, z, y, x, 1.0 + x, 260.0 if z else 300.0, 1.0, 100.0, float(y)) for t in range(4) for z in range(2) for y in range(2) for x in range(2)]
+    df = spark.createDataFrame(rows, f"{VOXEL}, qall double, ta double, rho double, dzghalf double, wa double")
+    flat = readers.projection(df, "2d_5xy_30min").collect()
+    assert {r.t for r in flat} == {0, 2} and {(r.x, r.iwp, r.wmax) for r in flat if r.y == 1} == {(0, 100.0, 1.0), (1, 200.0, 1.0)}
+    coarse = readers.projection(df, "2d_10xy_15min").collect()
+    assert {(r.iwp, r.wmax) for r in coarse} == {(150.0, 0.5)} and len(coarse) == 4
+    assert set(readers.projection(df, "3d_5xy_15min").columns) == {"t", "z", "y", "x", "qfrozen", "wa"}
+
+
+def test_regions(spark):
+    assert grids.region_box("congo") == (1, 41, -15, 15) and grids.region_box((0, 1, 2, 3)) == (0, 1, 2, 3)
+    with pytest.raises(KeyError):
+        grids.region_box("nowhere")
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.write.parquet(str(tmp_path / "in"))

@@ -7,7 +7,27 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .physics import healpix
+
 ORIGIN = (-180.0, -90.0)
+#: Regions by name, fixed values: lonmin, lonmax, latmin, latmax.
+REGIONS = {
+    "amazon": (-83, -43, -15, 15),
+    "congo": (1, 41, -15, 15),
+    "tropics": (-180, 180, -15, 15),
+    "global": (-180, 180, -90, 90),
+    "anatomy_example": (-78, -70, 9, 15),
+    "anatomy_example_large": (-80, -68, 7, 17),
+    "tcr_amazon": (280, 325, -15, 10),
+    "tcr_congo": (0, 35, -12, 24),
+    "tcr_warm pool": (90, 160, -15, 15),
+    "atlantic": (-50, 0, -10, 15),
+}
+
+
+def region_box(region: str | tuple[float, float, float, float]) -> tuple[float, float, float, float]:
+    """The box of a named region, or the box itself; KeyError for an unknown name."""
+    return REGIONS[region] if isinstance(region, str) else region
 
 
 def axis(low: float, high: float, step: float, origin: float) -> tuple[int, int]:
@@ -23,6 +43,16 @@ def grid_points(spark: SparkSession, region: tuple[float, float, float, float],
     return ys.withColumn("ix", F.explode(F.sequence(F.lit(x0), F.lit(x1 - 1)))).select("iy", F.col("ix").cast("long").alias("ix"), (ORIGIN[1] + F.col("iy") * F.lit(step)).alias("lat"), (ORIGIN[0] + F.col("ix") * F.lit(step)).alias("lon"))
 
 
+def regrid(cells: DataFrame, region: str | tuple[float, float, float, float], zoom: int, step: float = 0.1, cell: str = "cell") -> DataFrame:
+    """Values of HEALPix cells (nested numbers at 2**zoom subdivisions) on a region's grid: iy, ix, lat, lon and the other columns.
+
+    Every grid point takes the cell that it lies in; points whose cell has no rows are left out. An
+    equi-join on cell numbers, so a region asks for its own cells only.
+    """
+    points = grid_points(cells.sparkSession, region_box(region), step).withColumn(cell, healpix(F.col("lon"), F.col("lat"), zoom))
+    return points.join(cells, cell).drop(cell)
+
+
 def snap(value: Column, step: float, origin: float = 0.0) -> Column:
     """Index of the grid point nearest a coordinate."""
     return F.round((value - origin) / step).cast("long")

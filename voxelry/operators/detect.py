@@ -2,29 +2,75 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DIMS, Grid
 from ..storage import Scratch
 from .graph import components, consecutive
-from .labelling import label, neighbours
+from .labelling import binary_erode, label, neighbours
 
 SPACE = ("z", "y", "x")
 
 
-def detect_features(field: DataFrame, value: str, thresholds: list[float], min_size: int, grid: Grid, scratch: Scratch, min_distance: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def smooth(field: DataFrame, value: str, sigma: float, grid: Grid, dims: tuple[str, ...] = SPACE, truncate: float = 4.0) -> DataFrame:
+    """t, z, y, x and the value under a Gaussian of `sigma` grid steps, axis by axis; missing voxels count as 0, and the grid's edges mirror.
+
+    Each voxel tells the ones in reach what it adds to them, so only voxels near others come into being.
+    """
+    reach = int(truncate * sigma + 0.5)
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    out = field.select(*DIMS, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    for d in dims:
+        n = grid.size(d)
+        if reach >= n:
+            raise ValueError(f"a Gaussian of {sigma} steps reaches beyond the {n} steps of {d}")
+        here = F.col(d).cast("int")
+        to = []
+        for k, w in zip(range(-reach, reach + 1), weights, strict=True):
+            for place in (here - k, -here - 1 - k, 2 * n - 1 - here - k):  # itself and its images in the two edges
+                to.append(F.when((place >= 0) & (place < n), F.struct(place.alias("p"), F.lit(w / sum(weights)).alias("w"))))
+        rest = [c for c in DIMS if c != d]
+        moved = out.select(*rest, value, F.explode(F.array_compact(F.array(*to))).alias("_to"))
+        out = moved.groupBy(*rest, F.col("_to.p").alias(d)).agg(F.sum(F.col(value) * F.col("_to.w")).alias(value)).select(*DIMS, value)
+    return out
+
+
+def _centre(d: str, grid: Grid, periodic: tuple[str, ...]) -> Column:
+    """Mean place along an axis, weighted by `over` where there is any; along a periodic one on the circle."""
+
+    def mean(c: Column) -> Column:
+        return F.when(F.sum("over") > 0, F.sum(c * F.col("over")) / F.sum("over")).otherwise(F.avg(c))
+
+    if d not in periodic:
+        return mean(F.col(d)).alias(f"{d}c")
+    turn = 2 * math.pi / grid.size(d)
+    angle = F.atan2(mean(F.sin(F.col(d) * turn)), mean(F.cos(F.col(d) * turn)))
+    return F.pmod(angle / turn, F.lit(float(grid.size(d)))).alias(f"{d}c")
+
+
+def detect_features(field: DataFrame, value: str, thresholds: list[float], min_size: int, grid: Grid, scratch: Scratch, min_distance: float = 0.0, sigma: float = 0.0, erode: int = 0, periodic: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(features, their voxels): regions at or above each threshold, of at least min_size voxels, per time step.
 
+    With sigma the field is smoothed first; with erode the voxels above a threshold lose their rim
+    (in y and x) so often before they are joined; periodic axes wrap.
+
     A region that holds a region of a higher threshold is replaced by it. Positions are means
     weighted by what exceeds the threshold (plain means where nothing does). With min_distance, a
     feature goes if a stronger one (threshold, size, then smaller id) lies nearer in its step.
     Feature numbers run from 1 by threshold, then first voxel.
     """
+    if sigma:
+        field = scratch.save(smooth(field, value, sigma, grid))
     parts = []
     for k, level in enumerate(sorted(thresholds)):
-        found = label(field.where(F.col(value) >= level), grid, scratch, dims=SPACE, min_size=min_size, column="region")
+        above = field.where(F.col(value) >= level)
+        if erode:
+            above = above.join(binary_erode(above, erode), list(DIMS), "left_semi")
+        found = label(above, grid, scratch, dims=SPACE, min_size=min_size, column="region", periodic=periodic)
         parts.append(found.select(*DIMS, F.col(value).alias("v"), "region", F.lit(float(level)).alias("threshold"), F.lit(k).alias("rank")))
     every = parts[0]
     for p in parts[1:]:
@@ -33,8 +79,7 @@ def detect_features(field: DataFrame, value: str, thresholds: list[float], min_s
     top = every.groupBy(*DIMS).agg(F.max("rank").alias("top"))
     outer = every.join(top, list(DIMS)).where("top > rank").select("rank", "region").distinct()
     own = every.join(outer, ["rank", "region"], "left_anti").withColumn("over", F.col("v") - F.col("threshold"))
-    mean = lambda d: F.when(F.sum("over") > 0, F.sum(F.col(d) * F.col("over")) / F.sum("over")).otherwise(F.avg(d)).alias(f"{d}c")
-    features = own.groupBy("t", "threshold", "rank", "region").agg(F.count("*").alias("size"), F.max("v").alias("peak"), mean("z"), mean("y"), mean("x"), F.min(grid.id()).alias("first"))
+    features = own.groupBy("t", "threshold", "rank", "region").agg(F.count("*").alias("size"), F.max("v").alias("peak"), *(_centre(d, grid, periodic) for d in SPACE), F.min(grid.id()).alias("first"))
     if min_distance > 0:
         features = _apart(features, min_distance)
     features = scratch.save(features.withColumn("_key", F.struct("rank", "first")))
@@ -56,16 +101,28 @@ def _apart(features: DataFrame, distance: float) -> DataFrame:
     return features.join(met.where((d < distance) & stronger).select("rank", "region").distinct(), ["rank", "region"], "left_anti")
 
 
-def watershed(field: DataFrame, value: str, seeds: DataFrame, threshold: float, grid: Grid, scratch: Scratch, most_rounds: int = 40) -> DataFrame:
+def box_seeds(features: DataFrame, size: int, grid: Grid) -> DataFrame:
+    """t, z, y, x, feature: the voxels of a box of `size` steps around each feature's rounded place; where boxes meet, of the nearer feature (then the smaller number)."""
+    half = F.explode(F.sequence(F.lit(-(size // 2)), F.lit(size // 2)))
+    out = features.select("feature", "t", "zc", "yc", "xc")
+    for d in SPACE:
+        out = out.withColumn(f"_{d}", half).withColumn(d, (F.round(f"{d}c") + F.col(f"_{d}")).cast("int")).where((F.col(d) >= 0) & (F.col(d) < grid.size(d)))
+    far = sum((F.pow(F.col(d) - F.col(f"{d}c"), 2) for d in SPACE), F.lit(0.0))
+    return out.groupBy(*DIMS).agg(F.min_by("feature", F.struct(F.round(far, 9).alias("d"), "feature")).alias("feature"))
+
+
+def watershed(field: DataFrame, value: str, seeds: DataFrame, threshold: float, grid: Grid, scratch: Scratch, most_rounds: int = 60, full: bool = False, periodic: tuple[str, ...] = ()) -> DataFrame:
     """Voxels above the threshold under the seed (t, z, y, x, feature) whose basin floods them, high values first.
 
     The basins are the spanning forest with the greatest least values along its paths, rooted at
     the seeds: in each round every part without a seed joins its neighbour over its best edge
     (value of the edge's lower end, then the smaller ids), so rounds grow with the logarithm of a
-    basin. Voxels that no seed reaches are left out.
+    basin. Voxels that no seed reaches are left out. Neighbours are faces, or with `full` corners
+    and edges too; periodic axes wrap. Rounds at least halve the parts without a seed that can still
+    join, so most_rounds is never met; if it were, it raises.
     """
     nodes = scratch.save(field.where(F.col(value) > threshold).withColumn("id", grid.id()).select(*DIMS, "id", F.col(value).alias("v")))
-    pairs = neighbours(nodes, grid, SPACE)
+    pairs = neighbours(nodes, grid, SPACE, full, periodic)
     height = nodes.select("id", "v")
     edges = pairs.join(height.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(height.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
     edges = scratch.save(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.least("a", "b").alias("w")).distinct())
@@ -80,6 +137,8 @@ def watershed(field: DataFrame, value: str, seeds: DataFrame, threshold: float,
             break
         found = components(best.select(F.col("own").alias("src"), F.col("other").alias("dst")), scratch)
         part = scratch.save(part.join(found, F.col("part") == F.col("node"), "left").select("id", F.coalesce("component", "part").alias("part")))
+    else:
+        raise RuntimeError(f"the watershed didn't settle in {most_rounds} rounds")
     return nodes.join(part.where("part < 0"), "id").select(*DIMS, (-F.col("part")).alias("feature"))
 
 
@@ -100,21 +159,26 @@ def _greedy(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     return both.groupBy("component").applyInArrow(run, "a long, b long")
 
 
-def link_features(features: DataFrame, radius: float, scratch: Scratch, drift: tuple[float, float] = (0.0, 0.0), min_steps: int = 1, most_rounds: int = 30) -> DataFrame:
-    """Features with `cell` and `time_cell`: nearest pairs of consecutive steps within the radius, one to one.
+def _cell(c: str, radius: float) -> Column:
+    return F.floor(F.col(c) / radius).cast("long")
 
-    Places are moved by the drift (y, x a step) before they are compared. Among all pairs the nearest
-    is taken first (then the smaller numbers), as mutual nearest ones round by round. Pairs that are
-    open after most_rounds (chains of ties settle one a round) are finished one by one, each
-    connected part of them in a task. Cells are chains of pairs, numbered from 1 by their first feature; chains shorter than min_steps get 0.
-    """
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    a = features.select((F.col("t") + 1).alias("t"), F.col("feature").alias("a"), F.col("zc").alias("za"), (F.col("yc") + drift[0]).alias("ya"), (F.col("xc") + drift[1]).alias("xa"))
-    a = a.withColumn("_cy", cell("ya")).withColumn("_cx", cell("xa")).withColumn("_p", around).withColumn("_q", around).withColumn("_cy", F.col("_cy") + F.col("_p")).withColumn("_cx", F.col("_cx") + F.col("_q"))
-    b = features.select("t", F.col("feature").alias("b"), F.col("zc").alias("zb"), F.col("yc").alias("yb"), F.col("xc").alias("xb"), cell("yc").alias("_cy"), cell("xc").alias("_cx"))
-    d = F.pow(F.col("za") - F.col("zb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2) + F.pow(F.col("xa") - F.col("xb"), 2)
-    open_ = scratch.save(a.join(b, ["t", "_cy", "_cx"]).withColumn("d", F.round(d, 9)).where(F.col("d") <= radius * radius).select("a", "b", "d").distinct())
+
+def _around(df: DataFrame) -> DataFrame:
+    """Each row once for its own cell and each of the eight around it."""
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    return df.withColumn("_p", near).withColumn("_q", near).withColumn("_cy", F.col("_cy") + F.col("_p")).withColumn("_cx", F.col("_cx") + F.col("_q")).drop("_p", "_q")
+
+
+def _square(*pairs: tuple[str, str]) -> Column:
+    return F.round(sum((F.pow(F.col(a) - F.col(b), 2) for a, b in pairs), F.lit(0.0)), 9)
+
+
+def _one_to_one(features: DataFrame, radius: float, scratch: Scratch, most_rounds: int) -> DataFrame:
+    """(a, b): pairs of features of one step and the next, of the places moved by (vz, vy, vx) nearest first, each feature once."""
+    moved = features.select((F.col("t") + 1).alias("t"), F.col("feature").alias("a"), *((F.col(f"{d}c") + F.col(f"v{d}")).alias(f"{d}a") for d in SPACE))
+    a = _around(moved.withColumn("_cy", _cell("ya", radius)).withColumn("_cx", _cell("xa", radius)))
+    b = features.select("t", F.col("feature").alias("b"), *(F.col(f"{d}c").alias(f"{d}b") for d in SPACE)).withColumn("_cy", _cell("yb", radius)).withColumn("_cx", _cell("xb", radius))
+    open_ = scratch.save(a.join(b, ["t", "_cy", "_cx"]).withColumn("d", _square(("za", "zb"), ("ya", "yb"), ("xa", "xb"))).where(F.col("d") <= radius * radius).select("a", "b", "d").distinct())
     taken = None
     for _ in range(most_rounds):
         by = lambda k: F.row_number().over(Window.partitionBy(k).orderBy("d", "a", "b"))
@@ -126,7 +190,34 @@ def link_features(features: DataFrame, radius: float, scratch: Scratch, drift: t
     else:
         rest = scratch.save(_greedy(open_, scratch))
         taken = rest if taken is None else taken.unionByName(rest)
-    edges = taken if taken is not None else open_.select("a", "b")
+    return taken if taken is not None else open_.select("a", "b")
+
+
+def _velocities(features: DataFrame, links: DataFrame, radius: float) -> DataFrame:
+    """The features with (vz, vy, vx): the way from the one before, else that of the nearest feature of the same step within the radius that has one, else what they had."""
+    old = features.select(F.col("feature").alias("a"), *(F.col(f"{d}c").alias(f"{d}a") for d in SPACE))
+    own = links.join(old, "a").select(F.col("b").alias("feature"), *(f"{d}a" for d in SPACE))
+    known = features.join(own, "feature").select("feature", "t", "yc", "xc", "zc", *((F.col(f"{d}c") - F.col(f"{d}a")).alias(f"n{d}") for d in SPACE))
+    there = known.select("t", *(F.col(f"{d}c").alias(f"{d}o") for d in SPACE), F.col("feature").alias("other"), *(f"n{d}" for d in SPACE)).withColumn("_cy", _cell("yo", radius)).withColumn("_cx", _cell("xo", radius))
+    asked = _around(features.withColumn("_cy", _cell("yc", radius)).withColumn("_cx", _cell("xc", radius)))
+    met = asked.join(there, ["t", "_cy", "_cx"]).withColumn("_d", _square(("zc", "zo"), ("yc", "yo"), ("xc", "xo"))).where(F.col("_d") <= radius * radius)
+    near = met.groupBy("feature").agg(F.min_by(F.struct(*(f"n{d}" for d in SPACE)), F.struct("_d", "other")).alias("n"))  # itself, if it has one, at distance 0
+    return features.join(near, "feature", "left").select("feature", "t", *(f"{d}c" for d in SPACE), *(F.coalesce(F.col(f"n.n{d}"), F.col(f"v{d}")).alias(f"v{d}") for d in SPACE))
+
+
+def link_features(features: DataFrame, radius: float, scratch: Scratch, drift: tuple[float, float] = (0.0, 0.0), min_steps: int = 1, most_rounds: int = 30, predict: int = 0) -> DataFrame:
+    """Features with `cell` and `time_cell`: nearest pairs of consecutive steps within the radius, one to one.
+
+    Places are moved by the drift (y, x a step) before they are compared; predict: so often, all are
+    linked again with places moved by the velocities that the links before give them. Among all pairs the nearest
+    is taken first (then the smaller numbers), as mutual nearest ones round by round. Pairs that are
+    open after most_rounds (chains of ties settle one a round) are finished one by one, each
+    connected part of them in a task. Cells are chains of pairs, numbered from 1 by their first feature; chains shorter than min_steps get 0.
+    """
+    placed = features.select("feature", "t", *(f"{d}c" for d in SPACE), F.lit(0.0).alias("vz"), F.lit(float(drift[0])).alias("vy"), F.lit(float(drift[1])).alias("vx"))
+    edges = _one_to_one(placed, radius, scratch, most_rounds)
+    for _ in range(predict):
+        edges = _one_to_one(scratch.save(_velocities(placed, edges, radius)), radius, scratch, most_rounds)
     found = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
     out = scratch.save(features.join(found, F.col("feature") == F.col("node"), "left").withColumn("root", F.coalesce("component", "feature")).drop("node", "component"))
     steps = out.groupBy("root").agg(F.count("*").alias("steps"), F.min("t").alias("t0"))

@@ -5,31 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = ("t", "z")
 
+def _pass(df: DataFrame, keys: list[str], along: str, size: int) -> DataFrame:
+    """`d2` after the axis `along`: the least of the squared distance to the end of the voxel's run, and others' d2 plus the squared way there.
 
-def topography(mask: DataFrame, y_size: int, x_size: int, column: str = "label") -> DataFrame:
-    """Each voxel's distance to the nearest pixel of its slice not of its label, over the label's greatest one.
-
-    The nearest such pixel is always a face neighbour of the label, so only those are candidates;
-    the outside of the grid is none. A label that fills the whole slice has no distance (null).
-    Candidates meet their label's pixels ring by ring: rows near first, until no closer can exist.
+    A voxel looks no farther than the distance that it knows of already, so the work is its pixels
+    times their distances, and no group is larger than a run.
+    """
+    island = Window.partitionBy(*keys, "label").orderBy(along)
+    df = df.withColumn("_island", F.col(along) - F.row_number().over(island))
+    whole = Window.partitionBy(*keys, "label", "_island")
+    df = df.withColumn("_a", F.min(along).over(whole)).withColumn("_b", F.max(along).over(whole)).drop("_island")
+    before, after = F.when(F.col("_a") > 0, F.col(along) - F.col("_a") + 1), F.when(F.col("_b") < size - 1, F.col("_b") - F.col(along) + 1)
+    gap = F.least(before, after).cast("long")
+    runs = df.groupBy(*keys, "label", "_a").agg(F.transform(F.sort_array(F.collect_list(F.struct(along, "d2"))), lambda s: s["d2"]).alias("_all"))
+    df = df.withColumn("d2", F.least("d2", gap * gap))
+    reach = F.coalesce(F.floor(F.sqrt(F.col("d2").cast("double"))).cast("int"), F.lit(size))
+    low, high = F.greatest(F.col(along) - reach, F.col("_a")), F.least(F.col(along) + reach, F.col("_b"))
+    met = df.join(runs, [*keys, "label", "_a"]).withColumn("_low", low).withColumn("_near", F.slice("_all", (low - F.col("_a") + 1).cast("int"), (high - low + 1).cast("int")))
+    way = lambda i: (F.col("_low") + i - F.col(along)).cast("long")
+    best = F.array_min(F.transform("_near", lambda v, i: v + way(i) * way(i)))
+    return met.withColumn("d2", F.least("d2", best)).drop("_a", "_b", "_all", "_low", "_near")
+
+
+def topography(mask: DataFrame, y_size: int, x_size: int, column: str = "label", z_size: int | None = None) -> DataFrame:
+    """Each voxel's distance to the nearest pixel not of its label, over the label's greatest one: in its slice, or with z_size in its volume.
+
+    The outside of the grid is no such pixel. A label that fills the whole slice has no distance
+    (null). One pass along each axis.
     """
-    m = mask.select(*SLICE, "y", "x", F.col(column).alias("label"))
-    around = F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)))))
-    near = m.select(*SLICE, "label", around.alias("p")).select(*SLICE, "label", "p.y", "p.x").where(f"y >= 0 AND y < {y_size} AND x >= 0 AND x < {x_size}").distinct()
-    border = near.join(m, [*SLICE, "label", "y", "x"], "left_anti")
-    # per label and row, the border's x are kept sorted; a pixel needs only the closest to its left and right in each row
-    rows = border.groupBy(*SLICE, "label", F.col("y").alias("by")).agg(F.sort_array(F.collect_set("x")).alias("xs"))
-    pairs = m.join(rows, [*SLICE, "label"])
-    d2 = F.aggregate("xs", F.lit(1 << 40).cast("long"), lambda acc, v: F.least(acc, ((v - F.col("x")) * (v - F.col("x"))).cast("long"))) + (F.col("by") - F.col("y")) * (F.col("by") - F.col("y"))
-    nearest = pairs.groupBy(*SLICE, "y", "x", "label").agg(F.min(d2).alias("d2"))
-    distance = F.sqrt(F.col("d2").cast("double"))
-    top = F.max(distance).over(Window.partitionBy(*SLICE, "label"))
-    out = m.join(nearest.select(*SLICE, "label", "y", "x", distance.alias("distance"), (distance / top).alias("topography")), [*SLICE, "label", "y", "x"], "left")
-    return out.withColumnRenamed("label", column)
-
-
-def weighted_erode(mask: DataFrame, y_size: int, x_size: int, value: float = 0.5, column: str = "label") -> DataFrame:
-    """Voxels whose topography exceeds `value`."""
-    return topography(mask, y_size, x_size, column).where(F.col("topography") > value).select(*SLICE, "y", "x", column)
+    sizes = {"x": x_size, "y": y_size} | ({"z": z_size} if z_size is not None else {})
+    fixed = [d for d in ("t", "z") if d not in sizes]
+    out = mask.select("t", "z", "y", "x", F.col(column).alias("label"), F.lit(None).cast("long").alias("d2"))
+    for along, size in sizes.items():
+        out = _pass(out, fixed + [d for d in sizes if d != along], along, size)
+    out = out.withColumn("distance", F.sqrt(F.col("d2").cast("double"))).drop("d2")
+    top = F.max("distance").over(Window.partitionBy(*fixed, "label"))
+    return out.withColumn("topography", F.col("distance") / top).withColumnRenamed("label", column)
+
+
+def weighted_erode(mask: DataFrame, y_size: int, x_size: int, value: float = 0.5, column: str = "label", z_size: int | None = None) -> DataFrame:
+    """Voxels whose topography exceeds `value`; labels without a distance have none."""
+    return topography(mask, y_size, x_size, column, z_size).where(F.col("topography") > value).select("t", "z", "y", "x", column)
+

@@ -59,6 +59,17 @@ def label(voxels: DataFrame, grid: Grid, scratch: Scratch, dims: tuple[str, ...]
     return named.join(ranks, "_root").drop("_root", "_id")
 
 
+#: Ways to connect voxels by name: whether corners and edges join too.
+METHODS = {"faces": False, "corners": True}
+
+
+def connect(voxels: DataFrame, grid: Grid, scratch: Scratch, method: str = "faces", **how) -> DataFrame:
+    """label() by the name of a method; ValueError for an unknown one."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; there are {sorted(METHODS)}")
+    return label(voxels, grid, scratch, full=METHODS[method], **how)
+
+
 def union_masks(masks: list[DataFrame], column: str = "label") -> DataFrame:
     """Voxelwise greatest label of several masks."""
     every = masks[0].select(*DIMS, column)

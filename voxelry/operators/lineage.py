@@ -19,8 +19,8 @@ def compose_links(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 def apply_linking(records: DataFrame, links: DataFrame, column: str = "system") -> DataFrame:
     """Records whose column is shifted behind the smallest linked label and then mapped; unmapped: 0."""
-    shift = links.where("old > 0").agg((F.min("old") - 1).alias("_shift"))  # one row
-    moved = records.crossJoin(F.broadcast(shift)).withColumn(column, F.col(column) + F.coalesce("_shift", F.lit(0))).drop("_shift")
+    shift = (links.where("old > 0").agg(F.min("old")).first()[0] or 1) - 1  # one number
+    moved = records.withColumn(column, F.col(column) + shift)
     return moved.join(links.select(F.col("old").alias(column), F.col("new").alias("linked")), column, "left").withColumn("linked", F.coalesce("linked", F.lit(0).cast("long")))
 
 
@@ -49,8 +49,10 @@ def select_systems(cat: DataFrame, validity: str, max_lifetime: float, max_pixel
 
 
 def remaining(ids: DataFrame, done: DataFrame, key: str, start: int = 0) -> DataFrame:
-    """Ids not done yet, in order, from place `start`."""
-    return ids.join(done, key, "left_anti").orderBy(key).offset(start)
+    """Different ids not done yet, from place `start` on in ascending order."""
+    from ..sources.readers import batch_of
+
+    return batch_of(ids.join(done, key, "left_anti"), key, start)
 
 
 def lifetime_normalised(df: DataFrame, key: str, order: list[str], value: str, bins: int = 20) -> DataFrame:

@@ -21,16 +21,20 @@ def per_time(current: DataFrame, update: DataFrame) -> DataFrame:
     return current.select("t", F.col("label").alias("cur")).distinct().join(least, ["t", "cur"], "left").select("t", F.col("cur").alias("label"), F.coalesce("m", F.lit(0).cast("long")).alias("shared"))
 
 
+def _smallest(shared: DataFrame) -> DataFrame:
+    return shared.groupBy(F.col("label").alias("old")).agg(F.coalesce(F.min(F.when(F.col("shared") > 0, F.col("shared"))), F.lit(0).cast("long")).alias("new"))
+
+
 def share_map(current: DataFrame, update: DataFrame) -> DataFrame:
     """(old, new): the smallest update label each current label ever meets; 0 without one."""
-    return per_time(current, update).groupBy(F.col("label").alias("old")).agg(F.coalesce(F.min(F.when(F.col("shared") > 0, F.col("shared"))), F.lit(0).cast("long")).alias("new"))
+    return _smallest(per_time(current, update))
 
 
-def extra_map(current: DataFrame, update: DataFrame) -> DataFrame:
+def extra_map(current: DataFrame, update: DataFrame, scratch: Scratch) -> DataFrame:
     """(old, new): each update label that is some time's smallest, to the smallest map of the current labels it serves."""
-    served = per_time(current, update).where("shared > 0")
-    shared = share_map(current, update).select(F.col("old").alias("label"), "new")
-    return served.join(shared, "label").groupBy(F.col("shared").alias("old")).agg(F.min("new").alias("new"))
+    shared = scratch.save(per_time(current, update))  # the voxels are joined once
+    served = _smallest(shared).select(F.col("old").alias("label"), "new")
+    return shared.where("shared > 0").join(served, "label").groupBy(F.col("shared").alias("old")).agg(F.min("new").alias("new"))
 
 
 def share_labels(current: DataFrame, update: DataFrame) -> DataFrame:

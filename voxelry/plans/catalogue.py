@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import physics as ph
 from ..functions import profiles as pr
 from ..functions.convection import cape_cin
-from ..functions.grids import axis, coarsen, snap
+from ..functions.grids import axis, coarsen, regrid, snap
 from ..model import DIMS, Grid
 from ..operators import detect, environment, erosion, labelling, lineage, sharing, stats
 from ..operators.graph import consecutive
@@ -92,13 +92,17 @@ def object_volume_time(spark, sf):
     "CAST(max(s) AS BIGINT) AS max_slice FROM (SELECT *, count(*) OVER (PARTITION BY label, t, z) AS s FROM l) GROUP BY label"
 )
 def object_geometry(spark, sf):
-    slices = _labelled(spark, sf).groupBy("label", "t", "z").agg(F.count("*").alias("s"), F.collect_set(F.col("y") * 15 + F.col("x")).alias("p"))
-    return slices.groupBy("label").agg(F.sum("s").alias("voxels"), F.countDistinct("t").alias("steps"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.size(F.array_distinct(F.flatten(F.collect_list("p")))).cast("long").alias("footprint"), F.max("s").alias("max_slice"))
+    """Two levels: first by slice and by pixel, then by object, so that no object's pixels meet in one row."""
+    voxel = Scratch(spark).save(_labelled(spark, sf).select(*DIMS, "label"))
+    slices = voxel.groupBy("label", "t", "z").agg(F.count("*").alias("s")).groupBy("label").agg(F.sum("s").alias("voxels"), F.countDistinct("t").alias("steps"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("s").alias("max_slice"))
+    return slices.join(voxel.select("label", "y", "x").distinct().groupBy("label").agg(F.count("*").alias("footprint")), "label")
 
 
-@query(q.with_(q.vox("v"), q.labelled("l", "v", q.FACES_4D), "e AS (SELECT * FROM l WHERE label % 3 <> 0)") + f"SELECT {PLACE}, dense_rank() OVER (ORDER BY label) AS label FROM e")
+@query(q.with_(q.vox("v"), q.labelled("l", "v", q.FACES_4D), "e AS (SELECT * FROM l WHERE label IN (SELECT label FROM l GROUP BY 1 HAVING count(*) > 1))") + f"SELECT {PLACE}, dense_rank() OVER (ORDER BY label) AS label FROM e")
 def consecutive_labels(spark, sf):
-    some = _labelled(spark, sf).where("label % 3 <> 0").select(*DIMS, "label")
+    """Labels of objects of more than a voxel: the others' numbers are gaps, which go."""
+    every = Scratch(spark).save(_labelled(spark, sf).select(*DIMS, "label"))
+    some = every.join(readers.repeated(every).select("label"), "label", "left_semi")
     return labelling.force_consecutive(some, Scratch(spark)).select(*DIMS, "label")
 
 
@@ -129,7 +133,7 @@ def share_labels(spark, sf):
 @query(_BOTH + "SELECT p.s AS old, min(a.s) AS new FROM (SELECT t, cur, min(upd) AS s FROM m GROUP BY 1, 2) p JOIN (SELECT cur, min(upd) AS s FROM m GROUP BY 1) a USING (cur) GROUP BY 1")
 def share_labels_extra(spark, sf):
     ice, updraft = _both(spark, sf)
-    return sharing.extra_map(updraft, ice)
+    return sharing.extra_map(updraft, ice, Scratch(spark))
 
 
 @query(_BOTH + f"SELECT {PLACE}, label FROM u WHERE label IN (SELECT cur FROM m)")
@@ -276,6 +280,39 @@ def link_features(spark, sf):
     return detect.link_features(f, 2.0, Scratch(spark), min_steps=2).select("feature", "t", "cell", "time_cell")
 
 
+_SMOOTH_Y = "(SELECT max(y) + 1 FROM va)"
+
+
+def _smooth_sql(sigma: float) -> str:
+    reach = int(4 * sigma + 0.5)
+    taps = f"tp AS (SELECT k, exp(-0.5 * k * k / {sigma * sigma}) / (SELECT sum(exp(-0.5 * j * j / {sigma * sigma})) FROM range({-reach}, {reach + 1}) r(j)) AS w FROM range({-reach}, {reach + 1}) s(k))"
+    ctes, before = [q.vox("va", "all"), taps, "f0 AS (SELECT t, z, y, x, vmax AS v FROM va)"], "f0"
+    for i, (d, n) in enumerate((("z", "5"), ("y", _SMOOTH_Y), ("x", "15"))):
+        mirrored = f"((p + k) % (2 * {n}) + 2 * {n}) % (2 * {n})"
+        ctes += [f"g{i} AS (SELECT p, CASE WHEN m < {n} THEN m ELSE 2 * {n} - 1 - m END AS o, sum(w) AS w FROM (SELECT p, {mirrored} AS m, w FROM range(0, {n}) r(p), tp) GROUP BY 1, 2)"]
+        ctes += [f"f{i + 1} AS (SELECT {', '.join('CAST(g.p AS INTEGER) AS ' + c if c == d else 'f.' + c for c in DIMS)}, sum(f.v * g.w) AS v FROM {before} f JOIN g{i} g ON g.o = f.{d} GROUP BY 1, 2, 3, 4)"]
+        before = f"f{i + 1}"
+    return q.with_(*ctes) + f"SELECT {PLACE}, {_rs('v', 'vmax', 4)} FROM f3"
+
+
+@query(_smooth_sql(0.8))
+def smooth_field(spark, sf):
+    v = voxels(spark, sf, "all")
+    grid = Grid(y=v.agg(F.max("y")).first()[0] + 1)
+    return _rounded(detect.smooth(v, "vmax", 0.8, grid), DIMS)
+
+
+@query(
+    _features_sql(
+        "bx AS (SELECT feature, t, CAST(round(zc) + a AS INTEGER) AS z, CAST(round(yc) + b AS INTEGER) AS y, CAST(round(xc) + c AS INTEGER) AS x, zc, yc, xc FROM ft, (VALUES (-1), (0), (1)) p(a), (VALUES (-1), (0), (1)) r(b), (VALUES (-1), (0), (1)) s(c))",
+        "bd AS (SELECT *, round(pow(z - zc, 2) + pow(y - yc, 2) + pow(x - xc, 2), 9) AS d FROM bx WHERE z BETWEEN 0 AND 4 AND y >= 0 AND x BETWEEN 0 AND 14)",
+    )
+    + f"SELECT {PLACE}, arg_min(feature, row(d, feature)) AS feature FROM bd GROUP BY 1, 2, 3, 4"
+)
+def box_seeds(spark, sf):
+    return detect.box_seeds(_features(spark, sf)[0], 3, GRID)
+
+
 # --- statistics -------------------------------------------------------------------------------
 
 _FIELD = (
@@ -547,32 +584,37 @@ def anvil_mask(spark, sf):
     return pr.anvil_mask(c, base, KEY).select("col", "lev", "zg")
 
 
-@query(_C + "SELECT col, CASE WHEN bool_or(lev = 2) AND max(lev) >= 3 AND max(zg) >= 2600 THEN 2 + 1.0E0 * 1000 / 1500 END AS shifted FROM cols WHERE col IN (SELECT col FROM cols GROUP BY col HAVING count(*) = max(lev)) GROUP BY col")
+@query(
+    _C[:-1] + ", s AS (SELECT col, lev, zg, lead(lev) OVER w AS z2, lead(zg) OVER w AS h2 FROM cols WINDOW w AS (PARTITION BY col ORDER BY lev)), "
+    "a AS (SELECT *, max(CASE WHEN 2 >= lev AND 2 < z2 THEN zg + (2 - lev) / CAST(z2 - lev AS DOUBLE) * (h2 - zg) WHEN z2 IS NULL AND lev = 2 THEN zg END) OVER (PARTITION BY col) + 1000 AS goal FROM s) "
+    f"SELECT col, {_rs('min(CASE WHEN goal >= least(zg, h2) AND goal <= greatest(zg, h2) THEN lev + (goal - zg) / (h2 - zg) * (z2 - lev) END)', 'shifted')} FROM a GROUP BY col"
+)
 def shift_level(spark, sf):
-    """Level 2 moved up by a kilometre, for columns without gaps."""
-    c = columns(spark, sf)
-    whole = c.groupBy("col").agg(F.count("*").alias("n"), F.max("lev").alias("m")).where("n = m").select("col")
-    return pr.shift_level(c.join(whole, "col", "left_semi"), KEY, F.lit(2.0), 1.0)
+    """Level 2 moved up by a kilometre."""
+    return _rounded(pr.shift_level(columns(spark, sf), KEY, F.lit(2.0), 1.0), KEY, 6)
 
 
 _H = lambda n: f"CAST(floor({n}) AS BIGINT)"
 
 
-def _healpix_sql(zoom: int) -> str:
+_POINTS = "SELECT o_orderkey AS id, CAST((o_orderkey * 37) % 3600 AS DOUBLE) / 10.0 - 180 AS lon, CAST((o_orderkey * 17) % 1790 AS DOUBLE) / 10.0 - 89.5 AS lat FROM orders"
+
+
+def _healpix_sql(zoom: int, points: str = _POINTS) -> str:
+    """CTEs up to px (id, pix): the pixels of points (id, lon, lat)."""
     n = 1 << zoom
     bits = lambda v, s: " + ".join(f"(({v} >> {k}) & 1) * {s << 2 * k}" for k in range(zoom))
     return (
-        "WITH p AS (SELECT o_orderkey AS id, CAST((o_orderkey * 37) % 3600 AS DOUBLE) / 10.0 - 180 AS lon, CAST((o_orderkey * 17) % 1790 AS DOUBLE) / 10.0 - 89.5 AS lat FROM orders), "
-        "a AS (SELECT id, sin(radians(lat)) AS z, (CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) / 90.0 AS tt FROM p), "
+        f"WITH p AS ({points}), a AS (SELECT id, sin(radians(lat)) AS z, (CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) / 90.0 AS tt FROM p), "
         f"b AS (SELECT *, abs(z) > 2.0 / 3 AS pole, {_H(f'{n} * (0.5 + tt) - {n} * z * 0.75')} AS jp, {_H(f'{n} * (0.5 + tt) + {n} * z * 0.75')} AS jm, least(3, {_H('tt')}) AS k FROM a), "
         f"c AS (SELECT *, jp >> {zoom} AS fp, jm >> {zoom} AS fm, least({n - 1}, {_H(f'(tt - k) * ({n} * sqrt(3 * (1 - abs(z))))')}) AS u, least({n - 1}, {_H(f'(1 - (tt - k)) * ({n} * sqrt(3 * (1 - abs(z))))')}) AS v FROM b), "
         f"d AS (SELECT id, CASE WHEN pole THEN CASE WHEN z >= 0 THEN k ELSE k + 8 END WHEN fp = fm THEN (fp & 3) + 4 WHEN fp < fm THEN fp & 3 ELSE (fm & 3) + 8 END AS face, "
-        f"CASE WHEN pole THEN CASE WHEN z >= 0 THEN {n} - v - 1 ELSE u END ELSE jm & {n - 1} END AS ix, CASE WHEN pole THEN CASE WHEN z >= 0 THEN {n} - u - 1 ELSE v END ELSE {n} - (jp & {n - 1}) - 1 END AS iy FROM c) "
-        f"SELECT id, CAST(face * {n * n} + {bits('ix', 1)} + {bits('iy', 2)} AS BIGINT) AS pix FROM d"
+        f"CASE WHEN pole THEN CASE WHEN z >= 0 THEN {n} - v - 1 ELSE u END ELSE jm & {n - 1} END AS ix, CASE WHEN pole THEN CASE WHEN z >= 0 THEN {n} - u - 1 ELSE v END ELSE {n} - (jp & {n - 1}) - 1 END AS iy FROM c), "
+        f"px AS (SELECT id, CAST(face * {n * n} + {bits('ix', 1)} + {bits('iy', 2)} AS BIGINT) AS pix FROM d) "
     )
 
 
-@query(_healpix_sql(6))
+@query(_healpix_sql(6) + "SELECT id, pix FROM px")
 def healpix_cells(spark, sf):
     o = table(spark, sf, "orders")
     lon, lat = ((F.col("o_orderkey") * 37) % 3600).cast("double") / F.lit(10.0) - 180, ((F.col("o_orderkey") * 17) % 1790).cast("double") / F.lit(10.0) - 89.5
@@ -585,6 +627,18 @@ def regrid_snap(spark, sf):
     return c.select("col", snap(F.col("lon"), 0.25, -180.0).alias("ix"), snap(F.col("lat"), 0.25, -90.0).alias("iy"))
 
 
+@query(
+    _healpix_sql(5, f"SELECT -id AS id, lon, lat FROM ({_POINTS}) UNION ALL SELECT iy * 1000 + ix, -180.0 + ix * CAST(0.5 AS DOUBLE), -90.0 + iy * CAST(0.5 AS DOUBLE) FROM range(194, 274) r(ix), range(150, 210) s(iy)")[:-1]
+    + ", cells AS (SELECT pix, count(*) AS n, min(-id) AS first FROM px WHERE id < 0 GROUP BY 1) SELECT id // 1000 AS iy, id % 1000 AS ix, n, first FROM px JOIN cells USING (pix) WHERE id > 0"
+)
+def regrid_region(spark, sf):
+    """The Amazon on half a degree, of HEALPix cells that orders fall into."""
+    o = table(spark, sf, "orders")
+    lon, lat = ((F.col("o_orderkey") * 37) % 3600).cast("double") / F.lit(10.0) - 180, ((F.col("o_orderkey") * 17) % 1790).cast("double") / F.lit(10.0) - 89.5
+    cells = o.select(ph.healpix(lon, lat, 5).alias("cell"), F.col("o_orderkey").alias("id")).groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return regrid(cells, "amazon", 5, 0.5).select("iy", "ix", "n", "first")
+
+
 # --- records ----------------------------------------------------------------------------------
 
 _R = "WITH " + q.RECORDS + " "
@@ -611,10 +665,14 @@ def system_catalogue(spark, sf):
     return lineage.catalogue(records(spark, sf)).withColumn("lifetime", _r("lifetime"))
 
 
-@query(_R[:-1] + ", " + _CAT + "SELECT dcc, lifetime < 20000 AND npixels < 300 AS grl, rows < 12 AND ncores < 5 AS csu FROM cat WHERE initial_time > TIMESTAMP '1992-06-01' AND dcc % 7 <> 0")
+@query(
+    _R[:-1] + ", " + _CAT + ", late AS (SELECT * FROM cat WHERE initial_time > TIMESTAMP '1992-06-01') SELECT 'not invalid' AS rule, dcc FROM late WHERE NOT rows < 4 AND lifetime < 20000 AND npixels < 300 "
+    "UNION ALL SELECT 'valid', dcc FROM late WHERE ncores > 2 AND lifetime < 50000 AND npixels < 400 AND ncores < 5"
+)
 def filter_systems(spark, sf):
-    cat = lineage.catalogue(records(spark, sf)).withColumn("invalid", F.col("dcc") % 7 == 0)
-    return lineage.select_systems(cat, "invalid", 1e9, 1 << 40, "1992-06-01").select("dcc", ((F.col("lifetime") < 20000) & (F.col("npixels") < 300)).alias("grl"), ((F.col("rows") < 12) & (F.col("ncores") < 5)).alias("csu"))
+    cat = lineage.catalogue(records(spark, sf)).withColumn("invalid", F.col("rows") < 4).withColumn("valid", F.col("ncores") > 2)
+    one = lineage.select_systems(cat, "invalid", 20000, 300, "1992-06-01").select(F.lit("not invalid").alias("rule"), "dcc")
+    return one.unionByName(lineage.select_systems(cat, "valid", 50000, 400, "1992-06-01", max_cores=5).select(F.lit("valid").alias("rule"), "dcc"))
 
 
 @query(
@@ -690,10 +748,11 @@ def anvil_filter(spark, sf):
     return _rounded(lineage.anvil_filter(r, 1000), ("system",), 6)
 
 
-@query(_R[:-1] + ", r AS (SELECT DISTINCT dcc FROM rec WHERE dcc % 4 <> 0) SELECT dcc FROM r ORDER BY dcc OFFSET 100")
+@query(_R[:-1] + ", r AS (SELECT dcc FROM rec GROUP BY 1 HAVING max(npix) < 470) SELECT dcc FROM r ORDER BY dcc OFFSET 100")
 def remaining_systems(spark, sf):
-    r = records(spark, sf).select("dcc").distinct()
-    return lineage.remaining(r, r.where("dcc % 4 = 0"), "dcc", 100)
+    """Systems from place 100 on of those not done; done are, here, the ones that ever had 470 pixels."""
+    r = records(spark, sf)
+    return lineage.remaining(r.select("dcc"), r.where("npix >= 470").select("dcc").distinct(), "dcc", 100)
 
 
 @query("SELECT time_bucket(INTERVAL 12 HOUR, ts) AS start, event_type, count(*) AS n, max(value) AS vmax FROM events GROUP BY 1, 2")

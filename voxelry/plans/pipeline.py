@@ -16,7 +16,7 @@ from ..storage import Scratch
 
 @dataclass
 class ObjectClass:
-    """How one class of objects is found: the sum of its fields, nested thresholds, and tracking."""
+    """How one class of objects is found: the sum of its fields, smoothed by sigma, nested thresholds, seeds (the features' voxels, or boxes) and tracking."""
 
     name: str
     fields: list[str]
@@ -27,6 +27,10 @@ class ObjectClass:
     radius: float = 1.0
     min_steps: int = 1
     erode: float | None = 0.5
+    sigma: float = 0.0
+    erode_mask: int = 0
+    seed_box: int | None = None
+    predict: int = 0
 
 
 @dataclass
@@ -71,13 +75,14 @@ def track_object(spark: SparkSession, table: DataFrame, how: ObjectClass, config
     value = table.withColumn("_value", total([F.col(c) for c in how.fields])).where("_value IS NOT NULL")
 
     def found(kind: int):
-        return lambda: detect.detect_features(value, "_value", how.thresholds, how.min_size, grid, Scratch(spark), how.min_distance)[kind]
+        return lambda: detect.detect_features(value, "_value", how.thresholds, how.min_size, grid, Scratch(spark), how.min_distance, how.sigma, how.erode_mask, config.periodic)[kind]
 
     features = stages.get(f"{how.name}_features", found(0))
     members = stages.get(f"{how.name}_members", found(1))
     above = min(how.thresholds) if how.segment_above is None else how.segment_above
-    segments = stages.get(f"{how.name}_segments", lambda: detect.watershed(value, "_value", members, above, grid, Scratch(spark)))
-    cells = stages.get(f"{how.name}_cells", lambda: detect.link_features(features, how.radius, Scratch(spark), min_steps=how.min_steps))
+    seeds = members if how.seed_box is None else detect.box_seeds(features, how.seed_box, grid)
+    segments = stages.get(f"{how.name}_segments", lambda: detect.watershed(value, "_value", seeds, above, grid, Scratch(spark), periodic=config.periodic))
+    cells = stages.get(f"{how.name}_cells", lambda: detect.link_features(features, how.radius, Scratch(spark), min_steps=how.min_steps, predict=how.predict))
 
     def tracks() -> DataFrame:
         mapping = cells.select(F.col("feature").alias("old"), F.col("cell").alias("new"))

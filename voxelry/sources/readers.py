@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.grids import coarsen
 from ..functions.physics import frozen
+from ..operators.graph import consecutive
+from ..storage import Scratch
 
 
 @dataclass
@@ -63,8 +67,10 @@ def projection(df: DataFrame, version: str) -> DataFrame:
     q = frozen(F.col("qall"), F.col("ta"))
     if kind == "3d":
         return df.select("t", "z", "y", "x", q.alias("qfrozen"), "wa")
-    flat = df.groupBy("t", "y", "x").agg(F.coalesce(F.sum(q * F.col("rho") * F.col("dzghalf")), F.lit(0.0)).alias("iwp"), F.max("wa").alias("wmax"))
-    return flat if block == 1 else coarsen(flat, ("t",), ["iwp", "wmax"], block)
+    if block > 1:  # the fields first, then what is derived of them
+        df = coarsen(df.withColumn("qfrozen", F.coalesce(q, F.lit(0.0))), ("t", "z"), ["qfrozen", "rho", "dzghalf", "wa"], block)
+        q = F.col("qfrozen")
+    return df.groupBy("t", "y", "x").agg(F.coalesce(F.sum(q * F.col("rho") * F.col("dzghalf")), F.lit(0.0)).alias("iwp"), F.max("wa").alias("wmax"))
 
 
 def box(mask: DataFrame, margin: float = 0.1, before_minutes: int = 0) -> DataFrame:
@@ -73,10 +79,80 @@ def box(mask: DataFrame, margin: float = 0.1, before_minutes: int = 0) -> DataFr
 
 
 def corresponding(field_: DataFrame, mask: DataFrame, margin: float = 0.1, before_minutes: int = 0) -> DataFrame:
-    """Field rows inside a mask's box; the box is one broadcast row, which prunes partitions of the field."""
-    b = F.broadcast(box(mask, margin, before_minutes))
-    inside = (F.col("time") >= F.col("t0")) & (F.col("time") <= F.col("t1")) & F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1"))
-    return field_.join(b, inside).select(field_.columns)
+    """Field rows inside a mask's box. The box, one row, is fetched, so that its bounds are constants that the scan prunes by."""
+    b = box(mask, margin, before_minutes).first()
+    return field_.limit(0) if b.t0 is None else inside(field_, (b.x0, b.x1, b.y0, b.y1), b.t0, b.t1)
+
+
+def inside(df: DataFrame, region: tuple[float, float, float, float], start=None, end=None, time: str = "time") -> DataFrame:
+    """Rows inside a region (lonmin, lonmax, latmin, latmax) and from start to end, ends included."""
+    out = df.where(F.col("lon").between(*region[:2]) & F.col("lat").between(*region[2:]))
+    out = out if start is None else out.where(F.col(time) >= F.lit(start))
+    return out if end is None else out.where(F.col(time) <= F.lit(end))
+
+
+def grab_system(mask: DataFrame, catalogue: DataFrame, system: int, degrees: float = 10.0, hours: float = 1.0) -> DataFrame:
+    """One system's voxels, looked for near its first place and until an hour after its end; if there are none, in the whole mask.
+
+    catalogue: dcc, initial_time, lifetime (hours), initial_lat, initial_lon. The scan is pruned by time and box.
+    """
+    own = mask.where(F.col("system") == system)
+    at = catalogue.where(F.col("dcc") == system).first()
+    if at is None:
+        return own
+    lon, lat = at.initial_lon, at.initial_lat
+    near = inside(own, (lon - degrees, lon + degrees, lat - degrees, lat + degrees), at.initial_time, at.initial_time + timedelta(hours=at.lifetime + hours))
+    return near if near.head(1) else own
+
+
+def with_height(df: DataFrame, heights: list[float], z: str = "z") -> DataFrame:
+    """The table with `height` of its level, from a list of heights by level; levels beyond the list are left out."""
+    levels = df.sparkSession.createDataFrame(list(enumerate(map(float, heights))), f"`{z}` int, height double")
+    return df.join(F.broadcast(levels), z)  # a row a level
+
+
+def level_slice(df: DataFrame, low: int, high: int, z: str = "z") -> DataFrame:
+    """Rows from level low to level high, both included."""
+    return df.where(F.col(z).between(low, high))
+
+
+def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with equal keys the first in order."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def repeated(df: DataFrame, column: str = "label") -> DataFrame:
+    """Values that occur more than once, and how often."""
+    return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def file_contains(name: str, start: str, end: str) -> bool:
+    """Whether a file named by two times holds some of the times from start to end (%Y%m%dT%H%M, both included)."""
+    return any(a <= end and start <= b for _, a, b in file_spans([name]))
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of CSV files with a header line; columns are found by name, and a row that doesn't fit the schema raises."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+
+
+def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
+    """Records as CSV files with a header line, in place of earlier ones or added to them."""
+    df.write.mode("append" if append else "overwrite").option("header", True).csv(path)
+
+
+def save_mask(df: DataFrame, path: str, labels: tuple[str, ...] = ("label",)) -> None:
+    """A mask as compressed Parquet, in place of an earlier one once it is whole: labels are integers, and missing or zero ones are background, which has no rows."""
+    some = [F.col(c).isNotNull() & (F.col(c) > 0) for c in labels]
+    whole = df.where(reduce(lambda a, b: a | b, some))
+    whole.select(*(F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) if c in labels else F.col(c) for c in df.columns)).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def day_records(spark: SparkSession, root: str, days: list[str]) -> DataFrame:
+    """The records of some days, one below the other: Parquet folders root/<day>; a column that a day hasn't is null there."""
+    parts = [spark.read.parquet(f"{root.rstrip('/')}/{d}").withColumn("day", F.lit(d)) for d in days]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def collect_parts(parts: DataFrame, part: str = "part", label: str = "label") -> DataFrame:
@@ -114,11 +190,20 @@ def load_results(df: DataFrame, systems: list[int] | None = None, ignore: list[i
     if ignore:
         ids = ids.where(~F.col("system").isin(list(ignore)))
     if size is not None:
-        ids = ids.orderBy("system").offset(batch * size).limit(size)
+        ids = batch_of(ids, "system", batch * size, size)
     out = df.join(ids, "system", "left_semi")
     return out.transform(apply) if apply else out
 
 
+def batch_of(ids: DataFrame, key: str, start: int, size: int | None = None) -> DataFrame:
+    """Different ids from place `start` on (counted from 0 in ascending order), `size` of them at most.
+
+    Ids are numbered range by range, so that no task sorts or skips them all.
+    """
+    places = consecutive(ids, key, Scratch(ids.sparkSession), "_place").where(F.col("_place") > start)
+    return (places if size is None else places.where(F.col("_place") <= start + size)).select(key)
+
+
 def timedelta_seconds(text: Column) -> Column:
     """Seconds of "N days HH:MM:SS" (days optional)."""
     part = lambda p, i: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(text, p, i), F.lit("")), F.lit("999999999")).cast("long"), F.lit(0).cast("long"))
