@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship
+from ..ship import ship, tidied
 from ..storage import partitions
 from .physics import EPS, KAPPA, RD, RV
 
@@ -94,7 +94,7 @@ def cape_cin(df: DataFrame, key: str = "col", p: str = "pfull", t: str = "ta", r
         out = instability(*grids)
         return pa.table([pa.array(unique), *(pa.array(v, from_pandas=True) for v in out)], names=["key", "cape", "cin", "lfc", "lcl"])
 
-    out = dealt.groupBy("part").applyInArrow(run, "key long, cape double, cin double, lfc double, lcl double")
+    out = dealt.groupBy("part").applyInArrow(tidied(run), "key long, cape double, cin double, lfc double, lcl double")
     return out.withColumnRenamed("key", key)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DIMS, Grid
+from ..ship import tidied
 from ..storage import Scratch
 from .graph import components, consecutive
 from .labelling import binary_erode, label, neighbours
@@ -156,7 +157,7 @@ def _greedy(pairs: DataFrame, scratch: Scratch) -> DataFrame:
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     both = pairs.join(found, F.col("a") == F.col("node")).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "d", "component")
-    return both.groupBy("component").applyInArrow(run, "a long, b long")
+    return both.groupBy("component").applyInArrow(tidied(run), "a long, b long")
 
 
 def _cell(c: str, radius: float) -> Column:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..ship import ship
+from ..ship import ship, tidied
 from ..storage import Scratch
 
 #: Edges (after local contraction) up to which one task joins them; beyond it, star rounds do.
@@ -56,9 +56,9 @@ def components(edges: DataFrame, scratch: Scratch, one_task: int = ONE_TASK, mos
     """
     ship(edges.sparkSession)
     plain = edges.where("src <> dst").select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
-    now = scratch.save(plain.mapInArrow(_forest, _SCHEMA).distinct())
+    now = scratch.save(plain.mapInArrow(tidied(_forest), _SCHEMA).distinct())
     if now.count() <= one_task:
-        found = now.groupBy(F.lit(0).alias("all")).applyInArrow(_whole, _SCHEMA)
+        found = now.groupBy(F.lit(0).alias("all")).applyInArrow(tidied(_whole), _SCHEMA)
         return found.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
     def lowest(e: DataFrame) -> DataFrame:

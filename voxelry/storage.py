@@ -9,26 +9,36 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, a folder of the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    """spark.checkpoint.dir of the session. Where it is unset, a folder of the warehouse, but only on one machine; else RuntimeError."""
+    sc = spark.sparkContext
+    if found := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 class Scratch:
-    """Tables written under one folder of shared_dir; they cut lineage and outlive executors."""
+    """Tables written under one folder of shared_dir; they cut lineage, outlive executors, and go when the driver ends."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/voxelry-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n, self.marked = spark, f"{shared_dir(spark).rstrip('/')}/voxelry-{uuid.uuid4().hex}", 0, False
 
     def save(self, df: DataFrame) -> DataFrame:
         """df, written as Parquet and read again."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        self._go_at_exit()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
 
+    def _go_at_exit(self) -> None:
+        if not self.marked:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            self.marked = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
     def folder(self, name: str) -> str:
         """A new folder beside the tables, for files that tasks write themselves."""
         self.n += 1
