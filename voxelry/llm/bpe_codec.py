@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from .bpe import Merges, Transducer, Utf8Stream, read_ranks, running
 from .pieces import Memory, cut, one_by_one
-from ..ship import by_batch
+from ..ship import by_batch, kept, local, send
 from .textops import gather, slices
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -55,14 +54,15 @@ class Codec:
         yield stream.feed(b"", last=True)
 
 
-@cache
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return kept(("codec", path), lambda: Codec(local(path)))
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids as binary: little-endian unsigned 32-bit) of every row; null text counts as empty."""
 
+    send(docs.sparkSession, path)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c, out = codec(path), []
         for _, _, buf, offsets in slices(batch.column(1)):
@@ -70,7 +70,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
             out += [ids[a:b].astype("<u4").tobytes() for a, b in zip(first, first[1:], strict=False)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[key, "ids"])
 
-    return by_batch(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary")
+    return by_batch(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, ids binary", keeps=True)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -80,6 +80,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     repeat and doc_id may be null: each row gives one row. Other columns are not read.
     """
 
+    send(docs.sparkSession, path)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c, n, one, two = codec(path), [], [], []
         for _, _, buf, offsets in slices(batch.column(1)):
@@ -95,4 +97,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 two.append(digest.hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return by_batch(docs.select("doc_id", "text"), run, SCHEMA)
+    return by_batch(docs.select("doc_id", "text"), run, SCHEMA, keeps=True)

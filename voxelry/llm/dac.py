@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..ship import ship
+from ..ship import send, ship, tidied
 from ..storage import Scratch, file_at, partitions
 from .textops import U64, mix, slices
 from .word_tokens import encoder
@@ -186,6 +186,7 @@ def write(docs: DataFrame, path: str, end_id: int = 1, scratch: Scratch | None =
     """
     spark = docs.sparkSession
     ship(spark)
+    send(spark, path)
     scratch = scratch or Scratch(spark)
     size = F.sum(F.octet_length("text") + 64)
     measured = docs.groupBy(F.col("doc_id").isNull().alias("null")).agg(size.alias("n")).collect()  # two rows
@@ -224,8 +225,8 @@ def write(docs: DataFrame, path: str, end_id: int = 1, scratch: Scratch | None =
             f.write(data)
         return pa.table([pa.array([v], t) for v, t in zip((key[0].as_py(), len(sizes), int(sizes.sum()), uri, len(data)), (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=[c.split()[0] for c in _FILES.split(", ")])
 
-    coded = docs.select("doc_id", "text").mapInArrow(encode, "segment int, doc_id long, n long, ids binary")
-    return scratch.save(coded.groupBy("segment").applyInArrow(image, _FILES))
+    coded = docs.select("doc_id", "text").mapInArrow(tidied(encode, keeps=True), "segment int, doc_id long, n long, ids binary")
+    return scratch.save(coded.groupBy("segment").applyInArrow(tidied(image), _FILES))
 
 
 def read(segments: DataFrame) -> DataFrame:
@@ -255,4 +256,4 @@ def read(segments: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 yield run(batch.slice(i, 1))
 
-    return files.mapInArrow(each, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(tidied(each), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -12,7 +12,7 @@ from pyspark.sql.types import FloatType
 
 from ..operators.graph import components, union
 from ..operators.skew import lookup
-from ..ship import by_batch, ship
+from ..ship import by_batch, ship, tidied
 from ..storage import Scratch, partitions
 
 #: Buckets beyond this many vectors are compared in cells of two salts.
@@ -222,7 +222,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, missed: float = 4e-4,
         a = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
         return pa.table([pa.array(v, pa.int64()) for v in a], names=["node", "links", "reached"])
 
-    met = scratch.save(full.groupBy("part").applyInArrow(run, "node long, links long, reached long"))
+    met = scratch.save(full.groupBy("part").applyInArrow(tidied(run), "node long, links long, reached long"))
     found = components(met.where("node <> reached").select(F.col("node").alias("src"), F.col("reached").alias("dst")), scratch)
     found = scratch.save(found)
     named = found.join(nodes.select("node", "smallest"), "node").groupBy("component").agg(F.min("smallest").alias("name"))

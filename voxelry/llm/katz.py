@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .codec import cuts, pack, pack_bits, pack_floats, pack_signed, pack_sorted, unpack, unpack_bits, unpack_floats, unpack_signed, unpack_sorted
-from ..ship import by_batch, ship
+from ..ship import by_batch, ship, tidied
 from ..storage import Scratch, release, shares
 from .textops import U64, mix, slices, words
 
@@ -54,7 +54,7 @@ def encode(docs: DataFrame, held: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(7)], names=[c.split()[0] for c in _CHUNK.split(", ")])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text", held.alias("held")).mapInArrow(run, _CHUNK)
+    return docs.select(F.col("doc_id").cast("long"), "text", held.alias("held")).mapInArrow(tidied(run), _CHUNK)
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -307,11 +307,11 @@ def score(docs: DataFrame, held: Column, order: int = 3) -> DataFrame:
     for level in range(1, order + 1):
         if level == 1:
             asked = by_batch(chunks.select("chunk", "vocab", "counts"), ask_words, _ASK)
-            table = asked.groupBy("part").applyInArrow(_words(parts), _TELL)
+            table = asked.groupBy("part").applyInArrow(tidied(_words(parts)), _TELL)
         else:
-            asked = chunks.select("chunk", "sizes", "held", "tokens").groupBy("chunk").cogroup(told()).applyInArrow(ask(level), _ASK)
-            table = asked.groupBy("part").applyInArrow(_grams(level, parts, level == order), _TELL)
+            asked = chunks.select("chunk", "sizes", "held", "tokens").groupBy("chunk").cogroup(told()).applyInArrow(tidied(ask(level)), _ASK)
+            table = asked.groupBy("part").applyInArrow(tidied(_grams(level, parts, level == order)), _TELL)
         tables.append(scratch.save(table))
         numbers.add(tables[-1].where("chunk < 0").select("total", "types", "hist").collect())  # a row a partition
         release(spark)
-    return chunks.select("chunk", "docs", "sizes", "held", "tokens").groupBy("chunk").cogroup(told()).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.select("chunk", "docs", "sizes", "held", "tokens").groupBy("chunk").cogroup(told()).applyInArrow(tidied(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

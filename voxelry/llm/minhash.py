@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, union
 from ..operators.skew import lookup
-from ..ship import by_batch
+from ..ship import by_batch, tidied
 from ..storage import Scratch, partitions, release
 from .textops import U64, Words, gather, mix, randoms, slices, window_hash, words
 
@@ -189,9 +189,9 @@ def _across(open_: DataFrame, classes: DataFrame, docs: DataFrame, size: int, pe
         pair = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
         return pa.table([pa.array(p, pa.int64()) for p in pair], names=["src", "dst"])
 
-    flagged = scratch.save(full.groupBy("part").applyInArrow(flag, full.schema))
+    flagged = scratch.save(full.groupBy("part").applyInArrow(tidied(flag), full.schema))
     sets = scratch.save(_sets(_picked(docs, scratch.save(flagged.select(F.col("node").alias("doc_id")).distinct()), "left_semi"), size))
-    return flagged.join(sets.withColumnRenamed("doc_id", "node"), "node").groupBy("part").applyInArrow(verify, "src long, dst long")
+    return flagged.join(sets.withColumnRenamed("doc_id", "node"), "node").groupBy("part").applyInArrow(tidied(verify), "src long, dst long")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:

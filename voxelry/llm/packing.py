@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..ship import by_batch, ship
+from ..ship import by_batch, send, ship
 from ..storage import Scratch, partitions
 from .textops import slices
 from .word_tokens import encoder
@@ -37,7 +37,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
                     crc.append(zlib.crc32(data[4 * x : 4 * y]))
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return by_batch(docs.select("doc_id", "text"), run, _PIECES)
+    send(docs.sparkSession, path)
+    return by_batch(docs.select("doc_id", "text"), run, _PIECES, keeps=True)
 
 
 def patterns(lengths: np.ndarray, capacity: int, most: int = 24_000) -> list[tuple[int, ...]]:

@@ -141,7 +141,7 @@ class Memory:
         self._reset()
 
     def _reset(self) -> None:
-        self.places = _Places(self.limit.bit_length() + 1)
+        self.places = _Places(self.limit.bit_length())
         self.ids, self.bytes = _Pool(np.uint32), _Pool(np.uint8)
         self.start, self.size, self.key_start, self.key_size = (_Pool(np.int64) for _ in range(4))
 

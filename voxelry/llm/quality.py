@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..ship import ship
+from ..ship import ship, tidied
 from ..storage import Scratch, text_bytes
 from .codec import cuts, pack_sorted, unpack_sorted
 from .textops import LOWER, SPACE, U64, Words, mix, segment_hash, slices, window_hash, words
@@ -30,7 +30,7 @@ _CHAR = (1 << WIDE) - 1
 #: Bytes of text in a chunk, about.
 CHUNK = 4 << 20
 #: Bytes of text that are counted, and that are measured, at a time.
-COUNTED, MEASURED = 2 << 20, 1 << 20
+COUNTED, MEASURED = 1 << 20, 1 << 20
 #: Sequences in a row of the model, about.
 RANGE = 1 << 18
 #: Sequences of the model up to which it is broadcast: 4 million, 48 MB.
@@ -223,7 +223,7 @@ def _counted(docs: DataFrame, number: dict[str, int], scratch: Scratch) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*split(different), count)], names=["a", "b", "n"])
 
     ship(docs.sparkSession)
-    return scratch.save(docs.select("text", "lang").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    return scratch.save(docs.select("text", "lang").mapInArrow(tidied(run), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
 
 
 def _stored(p: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
@@ -245,7 +245,7 @@ def _stored(p: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
             raise ValueError("two sequences share a 64-bit hash")
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([keys[order].tobytes()], pa.binary()), "bits": pa.array([bits[order].tobytes()], pa.binary())})
 
-    rows = p.select("a", "b", "p").mapInArrow(deal, "part int, key long, bits float").groupBy("part").applyInArrow(sort, "part int, keys binary, bits binary")
+    rows = p.select("a", "b", "p").mapInArrow(tidied(deal), "part int, key long, bits float").groupBy("part").applyInArrow(tidied(sort), "part int, keys binary, bits binary")
     return scratch.save(rows), parts, n
 
 
@@ -292,7 +292,7 @@ def _measured(docs: DataFrame, least: int, scratch: Scratch, broadcast: int) ->
                 if b.num_rows:
                     yield _measure(b.column(0), b.column(1), _numbers(b.column(2), number), b.column(3), shared.value.find)
 
-        return scratch.save(rows.mapInArrow(here, _MEASURED))
+        return scratch.save(rows.mapInArrow(tidied(here), _MEASURED))
     chunks = max(1, -(-text_bytes(docs) // CHUNK))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(chunks)))
 
@@ -323,8 +323,8 @@ def _measured(docs: DataFrame, least: int, scratch: Scratch, broadcast: int) ->
         own = Model(np.unique(np.concatenate(found)), np.frombuffer(bits, np.float32))
         return pa.Table.from_batches([_measure(t["doc_id"].combine_chunks(), t["text"], models, t["hash"].combine_chunks(), own.find)])
 
-    told = dealt.groupBy("chunk").applyInArrow(ask, _ASK).groupBy("part").cogroup(model.groupBy("part")).applyInArrow(tell, _TELL)
-    return scratch.save(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, _MEASURED))
+    told = dealt.groupBy("chunk").applyInArrow(tidied(ask), _ASK).groupBy("part").cogroup(model.groupBy("part")).applyInArrow(tidied(tell), _TELL)
+    return scratch.save(dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(tidied(finish), _MEASURED))
 
 
 def bands(measured: DataFrame, spread: float) -> DataFrame:

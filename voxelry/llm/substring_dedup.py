@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import cuts, pack, pack_bits, pack_signed, pack_sorted, unpack, unpack_bits, unpack_signed, unpack_sorted
-from ..ship import ship
+from ..ship import ship, tidied
 from ..storage import shares
 from .textops import Words, joined, raw, texts, window_hash, words
 
@@ -186,10 +186,10 @@ def _plan(docs: DataFrame, window: int, finish, schema: str, extra: list[str], c
         np.add.at(edge, again + window, -1)
         return finish(c, np.cumsum(edge)[:-1] == 0, table)
 
-    told = dealt.groupBy("chunk").applyInArrow(ask_anchors, _ASK).groupBy("part").applyInArrow(_twice, _TELL)
-    asked = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(ask_windows, _ASK)
-    both = told.unionByName(asked.groupBy("part").applyInArrow(_earliest, _TELL))
-    return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(last, schema)
+    told = dealt.groupBy("chunk").applyInArrow(tidied(ask_anchors), _ASK).groupBy("part").applyInArrow(tidied(_twice), _TELL)
+    asked = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(tidied(ask_windows), _ASK)
+    both = told.unionByName(asked.groupBy("part").applyInArrow(tidied(_earliest), _TELL))
+    return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(tidied(last), schema)
 
 
 def digests(docs: DataFrame, window: int = 20, chunks: int | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from .bpe import Merges, PrefixCounts, read_merges
 from .pieces import Memory, cut, one_by_one
-from ..ship import by_batch
+from ..ship import by_batch, kept, local, send
 from .textops import slices
 
 
@@ -111,9 +110,8 @@ class PrefixTable:
         return 0
 
 
-@cache
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return kept(("counter", path), lambda: Counter(local(path)))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -123,6 +121,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     Rows may repeat and doc_id may be null: each row gives one row. Other columns are not read.
     """
 
+    send(docs.sparkSession, path)
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c, size, n = counter(path), [], []
         for _, _, buf, offsets in slices(batch.column(1)):
@@ -131,4 +131,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         total = np.concatenate(n)
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.concatenate(size), pa.int64()), pa.array(total, pa.int64()), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return by_batch(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return by_batch(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keeps=True)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from functools import cache
+import os
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from ..ship import kept, local
 from .pieces import LETTER, NUMBER, Memory, classes
 from .textops import gather, words
 
@@ -102,9 +103,6 @@ class WordEncoder:
         return np.insert(ids, first[1:], end_id), first + np.arange(len(first))
 
 
-@cache
 def encoder(path: str) -> WordEncoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return kept(("words", path), lambda: WordEncoder(local(path)))
