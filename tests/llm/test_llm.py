@@ -332,13 +332,13 @@ def brute_katz(texts_, held, order, low=5):
     return score, p, count
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_op4(docs, rows, order):
+@pytest.mark.parametrize(("order", "chunks"), [(1, 1), (2, 4), (3, None), (3, 7), (4, 3)])
+def test_op4(docs, rows, order, chunks):
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     is_held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
     score, p, count = brute_katz([(r[0], r[1]) for r in rows], is_held, order)
     text, total = {r[0]: r[1] for r in rows}, sum(count[1].values())
-    got = katz.score(docs, held, order).collect()
+    got = katz.score(docs, held, order, chunks).collect()
     assert len(got) == len(rows) and {r.train_tokens for r in got} == {total}
     for r in got:
         t = [*WORD.findall((text[r.doc_id] or "").translate(LOWER)), None]
@@ -352,10 +352,22 @@ def test_op4(docs, rows, order):
 
 def test_op4_uses_two_words_of_context(docs, rows):
     score, _, _ = brute_katz([(r[0], r[1]) for r in rows], lambda d: False, 3)
-    for r in katz.score(docs, F.lit(False)).collect():
+    for r in katz.score(docs, F.lit(None).cast("boolean")).collect():
         assert r.score == pytest.approx(score[r.doc_id])
 
 
+def test_op4_contexts_without_low_counts(spark):
+    """Contexts all of whose followers are frequent leave no mass by discounting, and get a count for the rest."""
+    table = [(i, "a b c a b d") for i in range(9)] + [(20 + i, t) for i, t in enumerate(["a b x", "x", "b a c", "q r s", None])] + [(30 + i, f"rare{i} a") for i in range(3)]
+    held = lambda d: 20 <= d < 30
+    for order in (2, 3):
+        score, _, _ = brute_katz(table, held, order)
+        got = by_id(katz.score(spark.createDataFrame(table, "doc_id long, text string"), F.col("doc_id").between(20, 29), order, 2))
+        assert all(r.score == pytest.approx(score[d]) for d, r in got.items()) and len(got) == len(table)
+    nothing = katz.score(spark.createDataFrame(table, "doc_id long, text string"), F.lit(True)).collect()
+    assert all(r.score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in nothing)
+
+
 def test_op4_empty(empty):
     assert katz.score(empty, F.lit(False)).count() == 0
 

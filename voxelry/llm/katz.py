@@ -1,66 +1,52 @@
 """Operator 4: Katz back-off language model, counted, stored and looked up in hash partitions.
 
-Texts are encoded once into chunks: sorted word hashes and each token's place among them. For each
-order, a chunk sends its different n-grams to partitions of the n-grams' contexts, packed; a
-partition adds up the counts, keeps what the discounts and back-off weights of its contexts need,
-and answers with those numbers in the order it was asked. Both the requests and the answers grow
-with a chunk's different n-grams, not with its tokens, and a very common n-gram comes once a chunk.
-Global numbers are a few counts of counts. Probabilities are then evaluated chunk by chunk, each
-token recursively from the highest order down.
+Documents are dealt into chunks of bounded size. Order by order a chunk sends its different n-grams
+to partitions of the n-grams' contexts, packed and sorted; a partition adds up the counts, keeps what
+its contexts' back-off weights need, and answers in the order it was asked: each n-gram's number and
+count, and the weights of those contexts alone in which the asker has an n-gram that training hasn't.
+A context's own count is that of the shorter n-gram that it is, so it is known already; so is the
+lower order's probability of an n-gram seen in training, which the asker sends as two counts. Requests
+and answers grow with a chunk's different n-grams, not with its tokens, and a very common n-gram comes
+once a chunk. Global numbers are a few counts of counts. Probabilities are then evaluated chunk by
+chunk, each token recursively from the highest order down. Texts are cut into words again for each
+order, which takes less disk than keeping tokens.
 """
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .codec import cuts, pack, pack_bits, pack_floats, pack_signed, pack_sorted, unpack, unpack_bits, unpack_floats, unpack_signed, unpack_sorted
-from ..ship import by_batch, ship, tidied
+from .codec import cuts, pack, pack_sorted, unpack, unpack_bits, unpack_sorted
+from ..ship import ship, tidied
 from ..storage import Scratch, release, shares
-from .textops import U64, mix, slices, words
+from .textops import U64, mix, raw, texts, words
 
 END = U64(0x0E4D0E4D0E4D0E4D)
-BEGIN = 1 << 62
+BEGIN = U64(1 << 62)
 #: Counts up to this are discounted.
 LOW = 5
+#: Bytes of text in a chunk, about.
 CHUNK = 8 << 20
-_NULL = -(1 << 63)
-_CHUNK = "chunk long, docs binary, sizes binary, held binary, vocab binary, counts binary, tokens binary"
-_ASK = "part int, chunk long, n long, keys binary, runs binary, words binary, counts binary, lower binary"
-_TELL = "part int, chunk long, level int, n long, ids binary, counts binary, contexts binary, low binary, mass binary, total long, types long, hist array<long>"
-
-
-def encode(docs: DataFrame, held: Column) -> DataFrame:
-    """Chunks of documents: their word hashes, training counts and tokens (words, then one end)."""
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            ids = np.asarray(batch.column(0).cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False), np.int64)
-            flags = np.asarray(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False), bool)
-            for lo, hi, buf, offsets in slices(batch.column(1), CHUNK):
-                w = words(buf, offsets, lower=True)
-                tokens = np.insert(w.hash, w.first[1:], END)
-                sizes = w.counts + 1
-                vocab, at = np.unique(tokens, return_inverse=True)
-                counts = np.bincount(at[~np.repeat(flags[lo:hi], sizes)], minlength=len(vocab))
-                chunk = int.from_bytes(os.urandom(8), "little") >> 1  # the rows are written before anyone reads it
-                rows.append((chunk, pack_signed(ids[lo:hi]), pack(sizes), pack_bits(flags[lo:hi]), pack_sorted(vocab), pack(counts), pack(at)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(7)], names=[c.split()[0] for c in _CHUNK.split(", ")])
-
-    ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text", held.alias("held")).mapInArrow(tidied(run), _CHUNK)
+_ASK = "part int, chunk long, n long, keys binary, runs binary, words binary, counts binary, lower binary, totals binary"
+_TELL = "part int, chunk long, level int, n long, contexts long, ids binary, counts binary, none binary, open binary, mass binary, low binary, total long, types long, hist array<long>"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     fields = [c.split() for c in schema.split(", ")]
-    return pa.table([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+    return pa.table([pa.array([r[i] for r in rows], _ARROW[k]) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
+
+
+def _flags(bits: np.ndarray) -> bytes:
+    return pack(np.packbits(bits))
+
+
+def _unflag(blob: bytes, n: int) -> np.ndarray:
+    return unpack_bits(unpack(blob).astype(np.uint8).tobytes(), n)
 
 
 def _numbered(unique: int, part: int, parts: int) -> np.ndarray:
@@ -71,58 +57,9 @@ def _hist(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, LOW + 2), minlength=LOW + 3)[1 : LOW + 2].tolist()
 
 
-def _words(parts: int):
-    """Adds up word counts: of each asked word its number and count."""
-
-    def run(key, table):
-        rows, part = table.to_pylist(), key[0].as_py()
-        keys, counts = np.concatenate([unpack_sorted(r["keys"]) for r in rows]), np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.int64)
-        unique, back = np.unique(keys, return_inverse=True)
-        total = np.bincount(back, counts, len(unique)).astype(np.int64)
-        ids, out, lo = np.empty(len(unique), np.uint64), [], 0
-        ids[np.argsort(-total, kind="stable")] = _numbered(len(unique), part, parts)  # frequent words get small numbers, which pack well
-        for r in rows:
-            own = back[lo : lo + r["n"]]
-            out.append((part, r["chunk"], 1, r["n"], pack(ids[own]), pack(total[own]), None, None, None, 0, 0, None))
-            lo += r["n"]
-        out.append((part, -1, 1, 0, None, None, None, None, None, int(total.sum()), int((total > 0).sum()), _hist(total)))
-        return _table(out, _TELL)
-
-    return run
-
-
-def _grams(level: int, parts: int, last: bool):
-    """Adds up n-gram counts, and what each context's back-off weight needs."""
-
-    def run(key, table):
-        rows, part = table.to_pylist(), key[0].as_py()
-        contexts = [unpack_sorted(r["keys"]) for r in rows]
-        runs = [unpack(r["runs"]).astype(np.int64) for r in rows]
-        context = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, runs, strict=True)])
-        word = np.concatenate([unpack(r["words"]) for r in rows])
-        order = np.lexsort((word, context))
-        c, w = context[order], word[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        back = np.empty(len(order), np.int64)
-        back[order] = np.cumsum(head) - 1
-        counts = np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.int64)
-        total = np.bincount(back, counts, int(head.sum())).astype(np.int64)
-        lower = np.concatenate([unpack_floats(r["lower"]) for r in rows])[order][head]
-        start = np.flatnonzero(np.append(True, c[head][1:] != c[head][:-1])) if len(order) else np.zeros(0, np.int64)
-        known = c[head][start]
-        sums = np.add.reduceat(total, start) if len(start) else total
-        mass = np.add.reduceat(np.where(total > 0, lower, 0.0), start) if len(start) else lower
-        low = np.stack([np.add.reduceat((total == r).astype(np.int64), start) for r in range(1, LOW + 1)]) if len(start) else np.zeros((LOW, 0), np.int64)
-        ids, out, lo = _numbered(len(total), part, parts), [], 0
-        for r, own in zip(rows, contexts, strict=True):
-            mine, at = back[lo : lo + r["n"]], np.searchsorted(known, own)
-            out.append((part, r["chunk"], level, r["n"], None if last else pack(ids[mine]), pack(total[mine]), pack(sums[at]), pack(low[:, at].reshape(-1)), mass[at].astype("<f8").tobytes(), 0, 0, None))
-            lo += r["n"]
-        out.append((part, -1, level, 0, None, None, None, None, None, int(total.sum()), int((total > 0).sum()), _hist(total)))
-        return _table(out, _TELL)
-
-    return run
+def _starts(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
 
 
 def discounts(hist: list[int]) -> np.ndarray:
@@ -159,90 +96,190 @@ class Numbers:
         self.hists.append(hist)
         self.factors.append(discounts(hist))
 
+    def _left(self) -> float:
+        """Discounted mass of the words."""
+        return float(((1 - self.factors[0][1:]) * np.arange(1, LOW + 1) * np.array(self.hists[0][:LOW], np.float64)).sum())
+
+    def seen(self, level: int, counts: np.ndarray, totals: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities of n-grams with these counts in training, given their contexts' totals."""
+        d = self.factors[level - 1]
+        if level == 1:
+            totals = self.tokens + (0 if self._left() > 0 else 1)
+        return np.where(counts <= LOW, d[np.minimum(counts, LOW)], 1.0) * counts / np.maximum(totals, 1)
+
     def word(self, counts: np.ndarray) -> np.ndarray:
         """Probabilities of words with these counts; 0 stands for the one class of unknown words."""
         if not self.tokens:
             return np.ones(len(counts))
-        d, n = self.factors[0], np.array(self.hists[0][:LOW], np.float64)
-        left = float(((1 - d[1:]) * np.arange(1, LOW + 1) * n).sum())
-        total = self.tokens + (0 if left > 0 else 1)
-        factor = np.where(counts <= LOW, d[np.minimum(counts, LOW)], 1.0)
-        return np.where(counts > 0, factor * counts, left or 1.0) / total
-
-    def gram(self, level: int, counts: np.ndarray, sums: np.ndarray, low: np.ndarray, mass: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probabilities of n-grams, given their contexts' numbers and the next lower order's probabilities."""
+        left = self._left()
+        return np.where(counts > 0, self.seen(1, counts), (left or 1.0) / (self.tokens + (0 if left > 0 else 1)))
+
+    def weight(self, level: int, low: np.ndarray, none: np.ndarray, totals: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """Back-off weights of contexts: what discounting leaves, over what the lower order gives to words not seen in them."""
         d = self.factors[level - 1]
         left = ((1 - d[1:])[:, None] * np.arange(1, LOW + 1)[:, None] * low).sum(axis=0)
-        none = left <= 0
-        total = sums + none
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = np.where(none, 1.0, left) / total / np.maximum(1 - mass, 1e-12)
-            seen = np.where(counts <= LOW, d[np.minimum(counts, LOW)], 1.0) * counts / total
-        return np.where(sums == 0, lower, np.where(counts > 0, seen, weight * lower))
+        return np.where(none, 1.0, left) / np.maximum(totals, 1) / np.maximum(1 - mass, 1e-12)
 
 
-class _Chunk:
-    """One chunk with the answers it has had."""
+def _words(parts: int):
+    """Adds up word counts: of each asked word its number and count."""
 
-    def __init__(self, row: dict, answers: list[dict], parts: int, numbers: Numbers, order: int) -> None:
-        self.row, self.parts, self.numbers = row, parts, numbers
-        self.sizes, self.tokens = unpack(row["sizes"]).astype(np.int64), unpack(row["tokens"]).astype(np.int64)
+    def run(key, table):
+        rows, part = table.to_pylist(), key[0].as_py()
+        keys, counts = np.concatenate([unpack_sorted(r["keys"]) for r in rows]), np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.int64)
+        unique, back = np.unique(keys, return_inverse=True)
+        total = np.bincount(back, counts, len(unique)).astype(np.int64)
+        ids, out, lo = np.empty(len(unique), np.uint64), [], 0
+        ids[np.argsort(-total, kind="stable")] = _numbered(len(unique), part, parts)  # frequent words get small numbers, which pack well
+        for r in rows:
+            own = back[lo : lo + r["n"]]
+            out.append((part, r["chunk"], 1, r["n"], 0, pack(ids[own]), pack(total[own]), None, None, None, None, 0, 0, None))
+            lo += r["n"]
+        out.append((part, -1, 1, 0, 0, None, None, None, None, None, None, int(total.sum()), int((total > 0).sum()), _hist(total)))
+        return _table(out, _TELL)
+
+    return run
+
+
+def _grams(level: int, parts: int, last: bool, numbers: Numbers):
+    """Adds up n-gram counts, and what each context's back-off weight needs."""
+
+    def run(key, table):
+        rows, part = table.to_pylist(), key[0].as_py()
+        contexts = [unpack_sorted(r["keys"]) for r in rows]
+        runs = [unpack(r["runs"]).astype(np.int64) for r in rows]
+        context = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, runs, strict=True)])
+        word = np.concatenate([unpack(r["words"]) for r in rows])
+        order = np.lexsort((word, context))
+        c, w = context[order], word[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(head) - 1
+        total = np.bincount(back, np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.int64), int(head.sum())).astype(np.int64)
+        lower = np.concatenate([unpack(r["lower"]) for r in rows]).astype(np.int64)[order][head]
+        below = None  # the lower contexts' totals
+        if level > 2:
+            below = np.concatenate([np.repeat(unpack(r["totals"]).astype(np.int64), n) for r, n in zip(rows, runs, strict=True)])[order][head]
+        p = np.where(total > 0, numbers.seen(level - 1, lower, below), 0.0)
+        start = _starts(c[head])
+        known = c[head][start]
+        sums, mass = np.add.reduceat(total, start), np.add.reduceat(p, start)
+        low = np.stack([np.add.reduceat((total == r).astype(np.int64), start) for r in range(1, LOW + 1)])
+        none = (sums > 0) & (low.sum(axis=0) == 0)
+        ids, out, lo = _numbered(len(total), part, parts), [], 0
+        for r, own, n in zip(rows, contexts, runs, strict=True):
+            mine, at = back[lo : lo + r["n"]], np.searchsorted(known, own)
+            open_ = np.logical_or.reduceat(total[mine] == 0, np.cumsum(n) - n) & (sums[at] > 0)
+            asked = at[open_]
+            blobs = None if last else pack_sorted(ids[mine]), pack(total[mine]), _flags(none[at]), _flags(open_), mass[asked].astype("<f8").tobytes(), pack(low[:, asked].reshape(-1))
+            out.append((part, r["chunk"], level, r["n"], len(own), *blobs, 0, 0, None))
+            lo += r["n"]
+        out.append((part, -1, level, 0, 0, None, None, None, None, None, None, int(total.sum()), int((total > 0).sum()), _hist(total)))
+        return _table(out, _TELL)
+
+    return run
+
+
+class _Chunk:
+    """One chunk's tokens, and what the answers say of them, order by order."""
+
+    def __init__(self, table: pa.Table, answers: pa.Table | None, parts: int) -> None:
+        self.parts = parts
+        held = np.asarray(table["held"].fill_null(False).to_numpy(zero_copy_only=False), bool)
+        buf, offsets = raw(texts(table["text"]))
+        w = words(buf, offsets, lower=True)
+        self.sizes = w.counts + 1
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.vocab, self.tokens = np.unique(np.insert(w.hash, w.first[1:], END), return_inverse=True)
         self.place = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], self.sizes)
-        self.train = ~np.repeat(unpack_bits(row["held"], len(self.sizes)), self.sizes)
-        self.answers = {level: sorted((a for a in answers if a["level"] == level), key=lambda a: a["part"]) for level in range(1, order + 1)}
-        one = self.answers[1]
-        self.word_ids = np.concatenate([unpack(a["ids"]) for a in one])
-        self.counts = np.concatenate([unpack(a["counts"]) for a in one]).astype(np.int64)
-        self.gram_ids = self.word_ids
-        self.gram_at = self.tokens  # each token's place among the different grams of the last order
-        self.gram_p = numbers.word(self.counts)
-        self.p = self.gram_p[self.tokens]
+        self.train, self.held = ~np.repeat(held, self.sizes), held
+        self.answers: dict[int, list[dict]] = {}
+        for a in sorted(answers.to_pylist(), key=lambda a: a["part"]) if answers is not None else []:
+            self.answers.setdefault(a["level"], []).append(a)
+        self.level = 0
+
+    def _got(self, name: str) -> np.ndarray:
+        return np.concatenate([unpack(a[name]) for a in self.answers[self.level]])
+
+    def start(self) -> None:
+        """Take the answers for words."""
         self.level = 1
+        self.word_ids, self.word_counts = self._got("ids"), self._got("counts").astype(np.int64)
+        self.count = self.word_counts[self.tokens]  # of each token's n-gram of this order
+        self.total = None  # of its context, with what none adds
+        self.gram_ids = self.word_ids[self.tokens]
 
-    def grams(self) -> tuple:
-        """The next order's different n-grams, by partition key of their context, then word."""
-        level, n = self.level + 1, len(self.word_ids)
+    def _contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens that have an n-gram of that order, the numbers of their contexts, and these contexts' counts in training."""
         at = np.flatnonzero(self.place >= level - 2)
-        previous = np.where(self.place[at] > 0, self.gram_at[at - 1], len(self.gram_ids)) if level == 2 else self.gram_at[at - 1]
-        ids = np.append(self.gram_ids, np.uint64(BEGIN)) if level == 2 else self.gram_ids
-        key, first, back, _ = np.unique(previous * n + self.tokens[at], return_index=True, return_inverse=True, return_counts=True)
-        context, word = mix(ids[key // n]), key % n
-        counts = np.bincount(back, self.train[at], len(key)).astype(np.int64)
-        order = np.lexsort((self.word_ids[word], context))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return at, place[back], context[order], self.word_ids[word][order], counts[order], self.p[at[first]][order]
-
-    def ask(self) -> list[tuple]:
-        _, _, context, word, counts, lower = self.grams()
-        cut, out = cuts(context, self.parts).tolist(), []
-        for part, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
-            if b > a:
-                keys, runs = np.unique(context[a:b], return_counts=True)
-                out.append((part, self.row["chunk"], b - a, pack_sorted(keys), pack(runs), pack(word[a:b]), pack(counts[a:b]), pack_floats(lower[a:b])))
+        before = np.maximum(at - 1, 0)
+        ids, counts = self.gram_ids[before], self.count[before]
+        if level == 2:
+            head = self.place[at] == 0
+            ids[head], counts[head] = BEGIN, self.word_counts[np.searchsorted(self.vocab, END)]  # a document has one end, and one beginning
+        return at, ids, counts
+
+    def grams(self, level: int):
+        """That order's different n-grams by partition, context and word: tokens, each one's n-gram, contexts, words, and a token of each."""
+        at, ids, _ = self._contexts(level)
+        part = mix(ids) % U64(self.parts)
+        word = self.word_ids[self.tokens[at]]
+        order = np.lexsort((word, ids, part))
+        a, b, c = part[order], ids[order], word[order]
+        head = np.ones(len(order), bool)
+        head[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        gram = np.empty(len(order), np.int64)
+        gram[order] = np.cumsum(head) - 1
+        return at, gram, a[head], b[head], c[head], at[order[head]]
+
+    def ask(self, level: int, chunk: int) -> list[tuple]:
+        if level == 1:
+            counts = np.bincount(self.tokens[self.train], minlength=len(self.vocab))
+            cut, out = cuts(self.vocab, self.parts).tolist(), []
+            return [(p, chunk, b - a, pack_sorted(self.vocab[a:b]), None, None, pack(counts[a:b]), None, None) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+        at, gram, part, context, word, token = self.grams(level)
+        counts = np.bincount(gram[self.train[at]], minlength=len(word))
+        lower = self.count[token]
+        bounds, out = np.append(_starts(part), len(part)).tolist(), []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            start = a + _starts(context[a:b])
+            totals = pack(self.total[token[start]]) if level > 2 else None
+            out.append((int(part[a]), chunk, b - a, pack_sorted(context[start]), pack(np.diff(np.append(start, b))), pack(word[a:b]), pack(counts[a:b]), pack(lower[a:b]), totals))
         return out
 
-    def climb(self, last: bool) -> None:
-        """Take the next order's answers: new probabilities of the tokens that have such an n-gram."""
-        at, place, context, _, _, lower = self.grams()
-        rows = self.answers[self.level + 1]
-        counts = np.concatenate([unpack(a["counts"]) for a in rows]).astype(np.int64)
-        sums = np.concatenate([unpack(a["contexts"]) for a in rows]).astype(np.int64)
-        low = np.concatenate([unpack(a["low"]).astype(np.int64).reshape(LOW, -1) for a in rows], axis=1)
-        mass = np.concatenate([np.frombuffer(a["mass"], "<f8") for a in rows])
-        owner = np.cumsum(np.append(True, context[1:] != context[:-1])) - 1
-        p = self.numbers.gram(self.level + 1, counts, sums[owner], low[:, owner], mass[owner], lower)
-        self.p = self.p.copy()
-        self.p[at] = p[place]
-        if not last:
-            self.gram_ids = np.concatenate([unpack(a["ids"]) for a in rows])
-            self.gram_at = np.full(len(self.tokens), -1)
-            self.gram_at[at] = place
-        self.level += 1
-
-
-def score(docs: DataFrame, held: Column, order: int = 3) -> DataFrame:
+    def climb(self, numbers: Numbers | None = None, p: np.ndarray | None = None) -> np.ndarray | None:
+        """Take the next order's answers; with the model's numbers and the tokens' probabilities in this order, those in the next."""
+        level = self.level + 1
+        at, gram, _, context, _, _ = self.grams(level)
+        _, _, sums = self._contexts(level)
+        self.level = level
+        rows = self.answers[level]
+        counts = self._got("counts").astype(np.int64)
+        start = _starts(context)
+        owner = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context))))[gram]  # each token's context
+        none = np.concatenate([_unflag(a["none"], a["contexts"]) for a in rows])
+        count, total = counts[gram], sums + none[owner]
+        if p is not None:
+            open_ = np.flatnonzero(np.concatenate([_unflag(a["open"], a["contexts"]) for a in rows]))
+            mass = np.concatenate([np.frombuffer(a["mass"], "<f8") for a in rows])
+            low = np.concatenate([unpack(a["low"]).astype(np.int64).reshape(LOW, -1) for a in rows], axis=1)
+            totals = np.zeros(len(start), np.int64)
+            totals[owner] = total
+            weight = np.ones(len(start))
+            weight[open_] = numbers.weight(level, low, none[open_], totals[open_], mass)
+            seen = numbers.seen(level, count, total)
+            p = p.copy()
+            p[at] = np.where(sums == 0, p[at], np.where(count > 0, seen, weight[owner] * p[at]))
+        self.count, self.total = np.zeros(len(self.tokens), np.int64), np.zeros(len(self.tokens), np.int64)
+        self.count[at], self.total[at] = count, total
+        if rows and rows[0]["ids"] is not None:
+            self.gram_ids = np.zeros(len(self.tokens), np.uint64)
+            self.gram_ids[at] = np.concatenate([unpack_sorted(a["ids"]) for a in rows])[gram]
+        return p
+
+
+def score(docs: DataFrame, held: Column, order: int = 3, chunks: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of documents.
 
     The model learns from rows whose `held` is not true (null counts as false) and scores all.
@@ -255,63 +292,52 @@ def score(docs: DataFrame, held: Column, order: int = 3) -> DataFrame:
     probability is 1.
     """
     spark = docs.sparkSession
-    scratch, parts = Scratch(spark), shares(docs)
-    chunks = scratch.save(encode(docs, held))
+    ship(spark)
+    scratch, parts = Scratch(spark), chunks or shares(docs, CHUNK)
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held, F.lit(False)).alias("held"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).groupBy("chunk")
     numbers, tables = Numbers(), []
 
-    def ask_words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for r in batch.to_pylist():
-            keys, counts = unpack_sorted(r["vocab"]), unpack(r["counts"])
-            at = cuts(keys, parts).tolist()
-            out += [(p, r["chunk"], b - a, pack_sorted(keys[a:b]), None, None, pack(counts[a:b]), None) for p, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
-        return _table(out, _ASK).combine_chunks().to_batches()[0]
-
-    def ask(level: int):
-        def run(key, left, right):
-            out = []
-            for row in left.to_pylist():
-                c = _Chunk(row, right.to_pylist(), parts, numbers, level - 1)
-                while c.level < level - 1:
-                    c.climb(False)
-                out += c.ask()
-            return _table(out, _ASK)
-
-        return run
-
-    def finish(key, left, right):
-        out = [[] for _ in range(7)]
-        for row in left.to_pylist():
-            c = _Chunk(row, right.to_pylist(), parts, numbers, order)
-            while c.level < order:
-                c.climb(c.level + 1 == order)
-            n, first = numbers.tokens, c.first[:-1]
-            base = np.log10((c.counts + 0.5) / (n + 0.5 * (numbers.types + 1)))[c.tokens]
-            ids = unpack_signed(row["docs"])
-            out[0] += [None if d == _NULL else d for d in ids.tolist()]
-            out[1] += unpack_bits(row["held"], len(ids)).tolist()
-            out[2] += c.sizes.tolist()
-            out[3] += np.add.reduceat((c.counts > 0)[c.tokens].astype(np.int64), first).tolist()
-            out[4] += [n] * len(ids)
-            out[5] += np.add.reduceat(base, first).tolist()
-            out[6] += np.add.reduceat(np.log10(c.p), first).tolist()
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
     def told():
         every = tables[0]
         for t in tables[1:]:
             every = every.unionByName(t)
         return every.where("chunk >= 0").drop("total", "types", "hist").groupBy("chunk")
 
+    def ask_words(key, table):
+        return _table(_Chunk(table, None, parts).ask(1, key[0].as_py()), _ASK)
+
+    def ask(level: int):
+        def run(key, table, answers):
+            if not table.num_rows:
+                return _table([], _ASK)
+            c = _Chunk(table, answers, parts)
+            c.start()
+            while c.level < level - 1:
+                c.climb()
+            return _table(c.ask(level, key[0].as_py()), _ASK)
+
+        return run
+
+    def finish(key, table, answers):
+        if not table.num_rows:
+            return _table([], _SCORES)
+        c = _Chunk(table, answers, parts)
+        c.start()
+        n, first = numbers.tokens, c.first[:-1]
+        base = np.log10((c.word_counts + 0.5) / (n + 0.5 * (numbers.types + 1)))[c.tokens]
+        p = numbers.word(c.word_counts)[c.tokens]
+        known = np.add.reduceat((c.count > 0).astype(np.int64), first)
+        while c.level < order:
+            p = c.climb(numbers, p)
+        columns = [table["doc_id"].combine_chunks(), c.held, c.sizes, known, np.full(len(first), n), np.add.reduceat(base, first), np.add.reduceat(np.log10(p), first)]
+        fields = [f.split() for f in _SCORES.split(", ")]
+        return pa.table([pa.array(v, _ARROW[k]) if i else v for i, (v, (_, k)) in enumerate(zip(columns, fields, strict=True))], names=[f for f, _ in fields])
+
     for level in range(1, order + 1):
-        if level == 1:
-            asked = by_batch(chunks.select("chunk", "vocab", "counts"), ask_words, _ASK)
-            table = asked.groupBy("part").applyInArrow(tidied(_words(parts)), _TELL)
-        else:
-            asked = chunks.select("chunk", "sizes", "held", "tokens").groupBy("chunk").cogroup(told()).applyInArrow(tidied(ask(level)), _ASK)
-            table = asked.groupBy("part").applyInArrow(tidied(_grams(level, parts, level == order)), _TELL)
-        tables.append(scratch.save(table))
+        asked = dealt.applyInArrow(tidied(ask_words), _ASK) if level == 1 else dealt.cogroup(told()).applyInArrow(tidied(ask(level)), _ASK)
+        reduce_ = _words(parts) if level == 1 else _grams(level, parts, level == order, numbers)
+        tables.append(scratch.save(asked.groupBy("part").applyInArrow(tidied(reduce_), _TELL)))
         numbers.add(tables[-1].where("chunk < 0").select("total", "types", "hist").collect())  # a row a partition
         release(spark)
-    return chunks.select("chunk", "docs", "sizes", "held", "tokens").groupBy("chunk").cogroup(told()).applyInArrow(tidied(finish), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.cogroup(told()).applyInArrow(tidied(finish), _SCORES)
