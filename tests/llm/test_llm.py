@@ -737,6 +737,156 @@ def test_random_access():
         assert (s.span(a, b) == ids[a:b]).all()
 
 
+def nearest_kept(rows, size, percent):
+    """Row numbers that near-duplicate removal keeps, by brute force; a repeated id stands for the smallest of its texts."""
+    text = {}
+    for d, t in ((r[0], r[1]) for r in rows):
+        if d is not None and (d not in text or (t is not None and (text[d] is None or t < text[d]))):
+            text[d] = t
+    s = sets(list(text.items()), size)
+    reach = {d: d for d in s}
+    links = [(a, b) for a in s for b in s if a != b and s[a] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])]
+    for _ in range(len(s)):
+        before = dict(reach)
+        for a, b in links:
+            reach[a] = min(reach[a], reach[b])
+        if before == reach:
+            break
+    return [i for i, r in enumerate(rows) if r[0] is None or reach[r[0]] == r[0]]
+
+
+def odd_rows():
+    """Long prose in two languages with near copies, shared passages, nulls, ties, repeated rows, a very long text."""
+    rng = random.Random(31)
+    vocab = {"en": ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(500)], "de": ["".join(rng.choices("stuvwxé", k=rng.randint(2, 6))) for _ in range(500)]}
+    prose = [(lang, rng.choices(vocab[lang], k=rng.randint(60, 140))) for lang in ["en", "de"] * 40]
+    passage = rng.choices(vocab["en"], k=70)
+    out = [(i, " ".join(w), lang) for i, (lang, w) in enumerate(prose)]
+    out += [(200 + i, " ".join([*w[:20], *passage, *w[20:]]), lang) for i, (lang, w) in enumerate(prose[:6])]
+    out += [(300 + i, " ".join([*w[:40], "changed", *w[41:]]), lang) for i, (lang, w) in enumerate(prose[10:14])]
+    out += [(400, "".join(rng.choices("qzjx \u4e2d#", k=900)), "en"), (401, None, "en"), (402, "", None), (403, "few words", "de"), (404, " ".join(["same"] * 200), "en")]
+    out += [(None, " ".join(prose[20][1]), "en"), (None, " ".join(prose[21][1]), None), out[3], out[3], (5, out[7][1], "en"), (500, " ".join(rng.choices(vocab["en"], k=30_000)), "en")]
+    return [(d, t, lang, "s", len(t or ""), "clash", 7) for d, t, lang in out]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(5)
+
+
+def shown(rows):
+    return Counter((r[0], r[1], r[2], r[5], r[6]) for r in rows)
+
+
+def test_stage_quality(spark, odd, empty):
+    import corpus_pipeline
+
+    rows = odd_rows()
+    bits = brute_bits([(i, r[1], r[2]) for i, r in enumerate(rows)], 1 << 16)
+    failed = []
+    for r in rows:
+        w = WORD.findall(r[1] or "")
+        seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        cover = {i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        failed.append(len(w) < 50 or 100 * len(cover) > 50 * len(w))
+    band = {}
+    for m in {m for _, m, _ in bits}:
+        own = sorted(b for (i, x, b) in bits if x == m and not failed[i] and b is not None)
+        lo, hi = (own[int(np.ceil(q * len(own))) - 1] for q in (0.25, 0.75))
+        band[m] = (lo - 3 * (hi - lo), hi + 3 * (hi - lo))
+    sure = [min(abs(b - band[m][0]), abs(b - band[m][1])) > 1e-4 if b is not None else True for _, m, b in bits]
+    assert all(sure)
+    got = corpus_pipeline.quality(spark, odd, "")
+    assert got.columns == odd.columns
+    assert shown(got.collect()) == shown(r for i, r in enumerate(rows) if not failed[i] and band[bits[i][1]][0] <= bits[i][2] <= band[bits[i][1]][1])
+    assert corpus_pipeline.quality(spark, empty, "").count() == 0
+
+
+def test_stage_near_duplicates(spark, odd, empty):
+    import corpus_pipeline
+
+    rows = odd_rows()
+    got = corpus_pipeline.near_duplicates(spark, odd, "")
+    assert got.columns == odd.columns and shown(got.collect()) == shown(rows[i] for i in nearest_kept(rows, 5, 80))
+    assert len(rows) - got.count() >= 4 and corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+
+
+def test_stage_passages(spark, odd, empty):
+    import corpus_pipeline
+
+    rows = odd_rows()
+    first = {}
+    key = lambda d: (d is not None, d or 0)
+    for r in sorted(rows, key=lambda r: key(r[0])):
+        w = WORD.findall(r[1] or "")
+        for i in range(len(w) - 49):
+            at = (key(r[0]), i)
+            first[tuple(w[i : i + 50])] = min(at, first.get(tuple(w[i : i + 50]), at))
+    want = Counter()
+    for r in rows:
+        w = WORD.findall(r[1] or "")
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if first[tuple(w[i : i + 50])] != (key(r[0]), i):
+                gone[i : i + 50] = [True] * 50
+        want[r[0], tuple(x for x, g in zip(w, gone, strict=True) if not g)] += 1
+    got = corpus_pipeline.repeated_passages(spark, odd, "")
+    assert got.columns == odd.columns
+    assert Counter((r.doc_id, tuple(WORD.findall(r.text or ""))) for r in got.collect()) == want
+    assert got.where("text IS NULL").count() == 1 and got.where("text IS NOT NULL AND n_chars <> length(text)").count() == 0
+    assert corpus_pipeline.repeated_passages(spark, empty, "").count() == 0
+
+
+def test_stage_packing(spark, odd, empty):
+    import corpus_pipeline
+
+    tk = Tokenizer.from_file(WORDS)
+    want = Counter()
+    for r in odd_rows():
+        ids = [*tk.encode(r[1] or "", add_special_tokens=False).ids, 1]
+        want.update((r[0], k, a, min(4096, len(ids) - a), zlib.crc32(struct.pack(f"<{len(ids[a : a + 4096])}I", *ids[a : a + 4096]))) for k, a in enumerate(range(0, len(ids), 4096)))
+    got = corpus_pipeline.packing(spark, odd, "").collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    at = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+    assert max(at.values()) <= 4096 and len(at) <= sum(at.values()) // 4096 + 2
+    assert corpus_pipeline.packing(spark, empty, "").count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts beyond a slice, a chunk and a batch: 12 MB of words, 3 MB without a blank, and copies of both."""
+    rng = random.Random(41)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(1, 9))) for _ in range(4000)]
+    long_ = " ".join(rng.choices(vocab, k=2_000_000))
+    solid = "".join(rng.choices(["ab", "cde", "7", "\u4e2d", "-"], k=1_400_000))
+    rows = [(1, long_), (2, solid), (3, long_), (4, solid), (5, "short"), (6, long_[: len(long_) // 2])]
+    df = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string").repartition(2)
+    text = dict(rows)
+    byte_ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_ranks, special_tokens={})
+    ids = {d: enc.encode_ordinary(text[d]) for d in (1, 2, 6)}
+    ids |= {3: ids[1], 4: ids[2]}
+    for r in bpe_codec.digests(df, P.path("byte_bpe_50k.tiktoken")).where("doc_id <> 5").collect():
+        assert (r.n_tokens, r.ids_sha256) == (len(ids[r.doc_id]), hashlib.sha256(struct.pack(f"<{len(ids[r.doc_id])}I", *ids[r.doc_id])).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, BYTES).where("doc_id <> 5").collect()} == {d: len(x) for d, x in ids.items()}
+    tk = Tokenizer.from_file(WORDS)
+    word_ids = {d: [*tk.encode(text[d], add_special_tokens=False).ids, 1] for d in (2, 5, 6)}
+    assert {r.doc_id: r.ids_crc32 for r in dac.read(dac.write(df, WORDS)).where("doc_id IN (2, 5, 6)").collect()} == {d: zlib.crc32(struct.pack(f"<{len(x)}I", *x)) for d, x in word_ids.items()}
+    assert packing.pack(df, WORDS).agg(F.sum("length")).first()[0] == 2 * len(tk.encode(long_, add_special_tokens=False).ids) + 2 + 2 * len(word_ids[2]) + len(word_ids[5]) + len(word_ids[6])
+    near = by_id(minhash.near_duplicates(df))
+    assert (near[3].component_id, near[4].component_id, near[5].component_id, near[6].component_id) == (1, 2, 5, 6)
+    gone = by_id(substring_dedup.digests(df))
+    assert gone[1].n_words == gone[3].n_removed == 2_000_000 and gone[1].n_removed == gone[4].n_removed == 0
+    assert gone[6].n_words - gone[6].n_removed <= 1  # its last word is cut
+    scores = by_id(katz.score(df, F.col("doc_id") == 6))
+    assert scores[1].n_tokens == 2_000_001 and scores[1].score == pytest.approx(scores[3].score)
+    judged = by_id(quality.judge(df))
+    assert judged[1].n_words == 2_000_000 and judged[1].bits == judged[3].bits
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

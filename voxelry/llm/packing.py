@@ -95,7 +95,7 @@ def fit(columns: list[tuple[int, ...]], counts: np.ndarray, sweeps: int = 30) ->
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how often each is used, so that every length is used counts[length] times.
 
-    The fitted patterns come first, rounded down and never beyond what is there; what is left is
+    The fitted patterns come first, rounded and never beyond what is there; what is left is
     packed best-fit decreasing, equal lengths and equal gaps in one step. The work depends on the
     capacity, not on the number of documents.
     """
@@ -104,7 +104,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
     out: list[tuple[tuple[int, ...], int]] = []
     for pattern, x in sorted(zip(columns, fit(columns, counts), strict=True), key=lambda p: (-p[0][0], p[0])) if columns else []:
         need = Counter(pattern)
-        if (n := min([int(x), *(int(counts[k]) // v for k, v in need.items())])) > 0:
+        if (n := min([int(x + 0.5), *(int(counts[k]) // v for k, v in need.items())])) > 0:
             out.append((pattern, n))
             for k, v in need.items():
                 counts[k] -= n * v

@@ -99,10 +99,14 @@ class PrefixTable:
         return int(self.count[k] + self.counter.totals(rest, np.array([0, len(rest)]))[0])
 
     def longest_within(self, budget: int) -> int:
-        """Bytes of the longest prefix, ending a character, of at most `budget` tokens."""
+        """Bytes of the longest prefix, ending a character, of at most `budget` tokens.
+
+        Counts at the ends of pieces never fall, but for the last two of a prefix, which may be cut
+        otherwise; so the answer lies within a few pieces of where the budget ends among them, and
+        only the characters there are asked, the farthest first.
+        """
         if self.count[-1] <= budget:
             return len(self.data)
-        # counts at the ends of pieces ascend; between two of them every character is asked
         k = min(int(np.searchsorted(self.count, budget, "right")) + 3, len(self.end) - 1)
         for n in range(int(self.end[k]), -1, -1):
             if (n == len(self.data) or self.data[n] & 0xC0 != 0x80) and self.count_at(n) <= budget:
