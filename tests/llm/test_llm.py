@@ -633,10 +633,11 @@ def test_op9_model_and_verdict(spark, rows, broadcast, monkeypatch):
     want = brute_bits(table, 6000)
     assert len(got) == len(want)
     bits, base = {d: (m, b) for d, m, b in want}, {r.doc_id: r.base_failed for r in got}
+    assert sum(r.doc_id == 300 for r in got) == 2
     assert {m for m, _ in bits.values()} == {"en", "de", None}
     for r in got:
         assert (r.bits is None) == (bits[r.doc_id][1] is None) and (r.bits is None or r.bits == pytest.approx(bits[r.doc_id][1], abs=2e-5))
-    found = {m: sorted(b for d, x, b in want if x == m and b is not None and not base[d]) for m in ("en", "de", None)}
+    found = {m: sorted(round(b, 4) for d, x, b in want if x == m and b is not None and not base[d]) for m in ("en", "de", None)}
     for r in got:
         m, b = bits[r.doc_id]
         if base[r.doc_id]:
@@ -644,7 +645,7 @@ def test_op9_model_and_verdict(spark, rows, broadcast, monkeypatch):
             continue
         lo, hi = (found[m][int(np.ceil(q * len(found[m]))) - 1] for q in (0.25, 0.75))
         edge = min(abs(b - (lo - 3 * (hi - lo))), abs(b - (hi + 3 * (hi - lo))))
-        assert edge < 1e-4 or r.kept == (lo - 3 * (hi - lo) <= b <= hi + 3 * (hi - lo))
+        assert edge < 1e-3 or r.kept == (lo - 3 * (hi - lo) <= b <= hi + 3 * (hi - lo))
     assert sum(r.kept for r in got if r.doc_id is not None and r.doc_id < 60) >= 58  # test_op9_bands has enough text to tell noise
 
 
@@ -791,10 +792,10 @@ def test_stage_quality(spark, odd, empty):
         failed.append(len(w) < 50 or 100 * len(cover) > 50 * len(w))
     band = {}
     for m in {m for _, m, _ in bits}:
-        own = sorted(b for (i, x, b) in bits if x == m and not failed[i] and b is not None)
+        own = sorted(round(b, 4) for (i, x, b) in bits if x == m and not failed[i] and b is not None)
         lo, hi = (own[int(np.ceil(q * len(own))) - 1] for q in (0.25, 0.75))
         band[m] = (lo - 3 * (hi - lo), hi + 3 * (hi - lo))
-    sure = [min(abs(b - band[m][0]), abs(b - band[m][1])) > 1e-4 if b is not None else True for _, m, b in bits]
+    sure = [min(abs(b - band[m][0]), abs(b - band[m][1])) > 1e-3 if b is not None else True for _, m, b in bits]
     assert all(sure)
     got = corpus_pipeline.quality(spark, odd, "")
     assert got.columns == odd.columns
