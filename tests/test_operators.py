@@ -3,15 +3,17 @@
 import datetime
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxelry.functions import convection, grids, profiles
+from voxelry.functions import physics as ph
 from voxelry.model import Grid
 from voxelry.operators import bundles, detect, environment, erosion, graph, labelling, lineage, sharing, skew, stats
-from voxelry.sources import readers
+from voxelry.sources import netcdf, readers
 from voxelry.storage import Scratch
 from voxelry.streaming import windows
 
@@ -330,10 +332,94 @@ def test_readers(spark, tmp_path):
     assert len(made) == 1 and df.count() == 3 and stages.last(r"part_(\d+)") == 3
     s = readers.Sources(spark)
     assert readers.file_contains("a_20240101T0000_20240101T0600.nc", "20240101T0500", "20240102T0000") and not readers.file_contains("a_20240101T0000_20240101T0600.nc", "20240101T0700", "20240102T0000")
-    s.register("five", lambda sp: sp.createDataFrame([(0, 1.0, 270.0), (0, 2.0, 280.0)], "t int, qall double, ta double"))
+    s.register("five", lambda sp: sp.createDataFrame([(0, 1.0, 270.0), (0, 2.0, 280.0)], "t int, total double, ta double"), rename={"total": "qall"})
     assert [r.qfrozen for r in s.load("five", ["qfrozen"]).collect()] == [1.0, None]
 
 
+def test_catalogue_of_sources(spark, tmp_path):
+    cells = grids.grid_points(spark, (-62, -60, -4, -2), 0.5).select(ph.healpix(F.col("lon"), F.col("lat"), 6).alias("cell")).distinct().withColumn("temp", F.col("cell").cast("double"))
+    cells.write.parquet(str(tmp_path / "cells"))
+    spark.createDataFrame([(1, -61.0, -3.0, 5.0), (2, 50.0, 0.0, 6.0)], "time int, lon double, lat double, ta double").write.parquet(str(tmp_path / "grid"))
+    (tmp_path / "c.yaml").write_text(f"cells: {{path: {tmp_path}/cells, rename: {{temp: ta}}, zoom: 6, step: 0.5}}\ngrid: {{path: {tmp_path}/grid}}\n")
+    s = readers.Sources(spark)
+    assert s.catalogue(str(tmp_path / "c.yaml")) == ["cells", "grid"]
+    got = s.load("cells", region=(-62, -60, -4, -2)).collect()
+    assert len(got) == 16 and all(r.ta == spark.createDataFrame([(r.lon, r.lat)], "a double, b double").select(ph.healpix(F.col("a"), F.col("b"), 6).alias("p")).first().p for r in got[:3])
+    assert [r.time for r in s.load("grid", start=0, end=2, region="amazon").collect()] == [1] and s.load("grid", region="congo").count() == 0
+    with pytest.raises(KeyError):
+        s.load("none")
+    assert readers.version_path("/r/", "v1", "amazon", datetime.datetime(2021, 7, 1)) == "/r/v1/amazon/20210701"
+
+
+def classic(version, dims, variables, records):
+    """A file of the classic NetCDF formats: variables (name, dims, type, attributes, values); the first dimension is the unlimited one."""
+    number = (lambda n: struct.pack(">q", n)) if version == 5 else lambda n: struct.pack(">i", n)
+    text = lambda x: number(len(x)) + x.encode() + bytes(-len(x) % 4)
+    names = list(dims)
+
+    def attributes(a):
+        out = struct.pack(">i", 12 if a else 0) + number(len(a))
+        for k, v in a.items():
+            data = np.array([v], ">f8").tobytes() if isinstance(v, float) else v.encode()
+            out += text(k) + struct.pack(">i", 6 if isinstance(v, float) else 2) + number(1 if isinstance(v, float) else len(v)) + data + bytes(-len(data) % 4)
+        return out
+
+    def header(begins):
+        out = b"CDF" + bytes([version]) + number(records) + struct.pack(">i", 10) + number(len(dims)) + b"".join(text(d) + number(0 if d == names[0] else n) for d, n in dims.items()) + attributes({"title": "odd"})
+        out += struct.pack(">i", 11) + number(len(variables))
+        for (name, own, kind, a, values), begin in zip(variables, begins, strict=True):
+            out += text(name) + number(len(own)) + b"".join(number(names.index(d)) for d in own) + attributes(a) + struct.pack(">i", kind) + number(values.nbytes) + (struct.pack(">i", begin) if version == 1 else struct.pack(">q", begin))
+        return out
+
+    at, begins, fixed = len(header([0] * len(variables))), [], b""
+    moving = [v for v in variables if v[1][0] == names[0]]
+    for v in variables:
+        if v not in moving:
+            fixed += v[4].tobytes() + bytes(-v[4].nbytes % 4)
+    pad = lambda b: b if len(moving) == 1 else b + bytes(-len(b) % 4)
+    place, step = at, at + len(fixed)
+    for v in variables:
+        if v in moving:
+            begins.append(step)
+            step += len(pad(v[4][:1].tobytes()))
+        else:
+            begins.append(place)
+            place += -(-v[4].nbytes // 4) * 4
+    return header(begins) + fixed + b"".join(pad(v[4][k : k + 1].tobytes()) for k in range(records) for v in moving)
+
+
+@pytest.mark.parametrize("version", [1, 2, 5])
+def test_netcdf(spark, tmp_path, version):
+    rng = np.random.default_rng(version)
+    paths, want = [], {}
+    for f, records in enumerate((2, 3)):
+        q, w = rng.integers(-50, 50, (records, 3, 3)).astype(">i2"), rng.standard_normal((records, 3, 3)).astype(">f4")
+        q[0, 1, 1], w[0, 1, 1], w[1, 2, 0] = -99, -999.0, -999.0
+        lat, time = np.array([-1.0, 0.0, 1.0], ">f8"), (np.arange(records) + 10.0 * f).astype(">f8")
+        data = classic(version, {"time": records, "lat": 3, "lon": 3}, [("lat", ("lat",), 6, {"units": "degrees"}, lat), ("q", ("time", "lat", "lon"), 3, {"_FillValue": -99.0, "scale_factor": 0.5, "add_offset": 2.0}, q), ("time", ("time",), 6, {}, time), ("w", ("time", "lat", "lon"), 5, {"missing_value": -999.0}, w)], records)
+        paths.append(str(tmp_path / f"{f}.nc"))
+        (tmp_path / f"{f}.nc").write_bytes(data)
+        for k in range(records):
+            for y in range(3):
+                for x in range(3):
+                    if (k, y, x) != (0, 1, 1):
+                        want[2 * f + k, y, x] = (10.0 * f + k, lat[y], 2 + q[k, y, x] / 2, None if (k, y, x) == (1, 2, 0) else float(w[k, y, x]))
+    df = netcdf.read_netcdf(spark, paths, ["q", "w"])
+    assert df.columns == ["time", "lat", "lon", "time_at", "lat_at", "q", "w"]
+    assert {(r.time, r.lat, r.lon): (r.time_at, r.lat_at, r.q, r.w) for r in df.collect()} == want
+    with pytest.raises(ValueError):
+        netcdf.read_netcdf(spark, paths, ["q", "lat"])
+    (tmp_path / "no.nc").write_bytes(b"\x89HDF\r\n")
+    with pytest.raises(ValueError):
+        netcdf.read_netcdf(spark, [str(tmp_path / "no.nc")], ["q"])
+
+
+def test_zones(spark):
+    zones = spark.createDataFrame([("wide", -80.0, -40.0, -20.0, 10.0), ("Manaus", -61.0, -59.0, -4.0, -2.0)], "zone string, lon0 double, lon1 double, lat0 double, lat1 double")
+    points = spark.createDataFrame([(1, -60.0, -3.0), (2, -70.0, 5.0), (3, 0.0, 0.0)], "k int, lon double, lat double")
+    assert {r.k: r.zone for r in environment.with_zone(points, zones).collect()} == {1: "Manaus", 2: "wide", 3: None}
+
+
 def test_boxes_and_systems(spark):
     start = datetime.datetime(2021, 7, 1)
     rows = [(s, start + datetime.timedelta(minutes=15 * k), -60.0 + 0.1 * k + 40 * (s == 2), -3.0) for s in (1, 2) for k in range(8)]

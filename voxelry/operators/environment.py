@@ -69,6 +69,19 @@ def transect(centre: DataFrame, wind: DataFrame, field: DataFrame, y_size: int,
     return out.select(*keys, "z", "step", F.when(F.col("w") > 1 - 1e-9, F.col(value)).alias(value))
 
 
+def with_zone(points: DataFrame, zones: DataFrame, cell: float = 5.0) -> DataFrame:
+    """The points (lon, lat) with `zone`: the name of the smallest box that holds them, of zones (zone, lon0, lon1, lat0, lat1); null without one.
+
+    Both sides meet on cells of `cell` degrees, into which a box is expanded.
+    """
+    at = lambda c: F.floor(c / cell).cast("long")
+    boxes = zones.withColumn("_cx", F.explode(F.sequence(at(F.col("lon0")), at(F.col("lon1"))))).withColumn("_cy", F.explode(F.sequence(at(F.col("lat0")), at(F.col("lat1")))))
+    numbered = points.withColumn("_id", F.monotonically_increasing_id()).withColumn("_cx", at(F.col("lon"))).withColumn("_cy", at(F.col("lat")))
+    met = numbered.select("_id", "lon", "lat", "_cx", "_cy").join(boxes, ["_cx", "_cy"]).where("lon BETWEEN lon0 AND lon1 AND lat BETWEEN lat0 AND lat1")
+    best = met.groupBy("_id").agg(F.min_by("zone", F.struct(((F.col("lon1") - F.col("lon0")) * (F.col("lat1") - F.col("lat0"))).alias("area"), "zone")).alias("zone"))
+    return numbered.join(best, "_id", "left").drop("_id", "_cx", "_cy")
+
+
 def local_time(utc: Column, lon: Column, zone: Column | None = None) -> Column:
     """Local time of a zone name where it is known, else by 15 degrees an hour."""
     by_sun = F.timestamp_seconds(F.unix_timestamp(utc) + F.round(lon / 15).cast("long") * 3600)

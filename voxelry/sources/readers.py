@@ -11,10 +11,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.grids import coarsen
+from ..functions.grids import coarsen, region_box, regrid
 from ..functions.physics import frozen
 from ..operators.graph import consecutive
-from ..storage import Scratch
+from ..storage import Scratch, file_at
+
+
+@dataclass
+class Model:
+    """How one model's tables are read: names that differ, and the subdivisions of its HEALPix cells if it has no grid."""
+
+    reader: Callable[[SparkSession], DataFrame]
+    rename: dict[str, str] = field(default_factory=dict)
+    zoom: int | None = None
+    step: float = 0.1
 
 
 @dataclass
@@ -22,22 +32,41 @@ class Sources:
     """Named tables: a name stands for a reader, with columns, a time range and a box pushed into the scan."""
 
     spark: SparkSession
-    readers: dict[str, Callable[[SparkSession], DataFrame]] = field(default_factory=dict)
-
-    def register(self, name: str, reader: Callable[[SparkSession], DataFrame] | str) -> None:
-        self.readers[name] = (lambda s, p=reader: s.read.parquet(p)) if isinstance(reader, str) else reader
+    models: dict[str, Model] = field(default_factory=dict)
+
+    def register(self, name: str, reader: Callable[[SparkSession], DataFrame] | str, rename: dict[str, str] | None = None, zoom: int | None = None, step: float = 0.1) -> None:
+        """A reader, or the path of a Parquet table; rename: its names to ours; zoom: of the HEALPix cells (column `cell`) that it has, to be read on a grid of `step` degrees."""
+        self.models[name] = Model((lambda s, p=reader: s.read.parquet(p)) if isinstance(reader, str) else reader, rename or {}, zoom, step)
+
+    def catalogue(self, path: str) -> list[str]:
+        """Registers all tables of a YAML file, name: {path, format, options, rename, zoom, step}; their names."""
+        import yaml
+
+        system, name = file_at(path)
+        with system.open_input_file(name) as f:
+            tree = yaml.safe_load(f.read())
+        for key, how in tree.items():
+            if wrong := set(how) - {"path", "format", "options", "rename", "zoom", "step"}:
+                raise ValueError(f"unknown settings of {key}: {sorted(wrong)}")
+            read = lambda s, h=how: s.read.format(h.get("format", "parquet")).options(**h.get("options", {})).load(h["path"])
+            self.register(key, read, how.get("rename"), how.get("zoom"), how.get("step", 0.1))
+        return sorted(tree)
 
     def load(self, name: str, variables: list[str] | None = None, start=None, end=None, region=None, time: str = "time") -> DataFrame:
-        """Rows from start to before end (both optional) inside region (lonmin, lonmax, latmin, latmax)."""
-        if name not in self.readers:
+        """Rows from start to before end (both optional) inside a region: its name, or (lonmin, lonmax, latmin, latmax)."""
+        if name not in self.models:
             raise KeyError(f"unknown source {name!r}")
-        df = self.readers[name](self.spark)
+        model = self.models[name]
+        df = model.reader(self.spark).withColumnsRenamed(model.rename)
         if start is not None:
             df = df.where(F.col(time) >= F.lit(start))
         if end is not None:
             df = df.where(F.col(time) < F.lit(end))
-        if region is not None:
-            df = df.where(F.col("lon").between(*region[:2]) & F.col("lat").between(*region[2:]))
+        if model.zoom is not None:
+            df = regrid(df.drop("lon", "lat"), region if region is not None else "global", model.zoom, model.step)
+            df = df.withColumnsRenamed({"iy": "y", "ix": "x"})
+        elif region is not None:
+            df = inside(df, region_box(region))
         return with_derived(df, variables) if variables else df
 
 
@@ -168,6 +197,11 @@ def file_spans(names: list[str]) -> list[tuple[str, str, str]]:
     return [(n, d[0], d[1]) for n, d in found if len(d) >= 2]
 
 
+def version_path(root: str, version: str, region: str, start) -> str:
+    """Where a run's results belong: root/version/region/yyyymmdd."""
+    return "/".join([root.rstrip("/"), version, region, start.strftime("%Y%m%d")])
+
+
 def chained(names: list[str]) -> list[str]:
     """Files in order, each starting where the one before ends; ValueError if they don't chain."""
     spans = sorted(file_spans(names), key=lambda s: s[1])
