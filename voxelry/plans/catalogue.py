@@ -168,9 +168,9 @@ def multivariate_system(spark, sf):
 
 @query(q.with_(q.vox("v"), q.labelled("l", "v", q.FACES_4D)) + f"SELECT {PLACE}, label FROM l")
 def link_chunks(spark, sf):
-    """Two chunks labelled alone and linked: the same as labelling all at once."""
-    parts = [labelling.label(voxels(spark, sf).where(c), GRID, Scratch(spark)) for c in ("t < 30", "t >= 30")]
-    linked = sharing.link_chunks(parts, [30], GRID, Scratch(spark))[0]
+    """Three chunks labelled alone and linked: the same as labelling all at once."""
+    parts = [labelling.label(voxels(spark, sf).where(c), GRID, Scratch(spark)) for c in ("t < 20", "t >= 20 AND t < 40", "t >= 40")]
+    linked = sharing.link_chunks(parts, [20, 40], GRID, Scratch(spark))[0]
     first = linked.groupBy("label").agg(F.min(GRID.id()).alias("first"))
     ranks = consecutive(first, "first", Scratch(spark))
     return linked.join(first, "label").join(ranks, "first").select(*DIMS, F.col("rank").alias("label"))
@@ -777,4 +777,4 @@ def oracle_sql() -> dict[str, str]:
 
 __all__ = ["axis", "oracle_sql", "queries"]
 
-from . import bundle_queries  # noqa: E402, F401  its queries register themselves here
+from . import bundle_queries, more_queries  # noqa: E402, F401  their queries register themselves here

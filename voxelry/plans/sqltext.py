@@ -20,13 +20,14 @@ def vox(name: str, mask: str = "cloud", coarse: int = 1, where: str = "true") ->
     )
 
 
-def labelled(name: str, source: str, offsets: list[tuple], periodic: bool = False, min_size: int = 1) -> str:
+def labelled(name: str, source: str, offsets: list[tuple], periodic: bool = False, min_size: int = 1, wrap_y: str | None = None) -> str:
     """CTEs that give `source`'s voxels the number of their component as label: the smallest id spreads to neighbours until it is settled."""
     steps = ", ".join(map(str, offsets))
     x = "(a.x + o.dx + 15) % 15" if periodic else "a.x + o.dx"
+    y = f"(a.y + o.dy + {wrap_y}) % {wrap_y}" if wrap_y else "a.y + o.dy"
     return (
         f"{name}_i AS MATERIALIZED (SELECT *, ((CAST(t AS BIGINT) * 5 + z) * 1048576 + y) * 15 + x AS id FROM {source}), {name}_o(dt, dz, dy, dx) AS (VALUES {steps}), "
-        f"{name}_e AS MATERIALIZED (SELECT a.id AS s, b.id AS d FROM {name}_i a, {name}_o o, {name}_i b WHERE b.t = a.t + o.dt AND b.z = a.z + o.dz AND b.y = a.y + o.dy AND b.x = {x}), "
+        f"{name}_e AS MATERIALIZED (SELECT a.id AS s, b.id AS d FROM {name}_i a, {name}_o o, {name}_i b WHERE b.t = a.t + o.dt AND b.z = a.z + o.dz AND b.y = {y} AND b.x = {x}), "
         f"{name}_r(id, c) USING KEY (id) AS (SELECT id, id FROM {name}_i UNION SELECT e.d, min(r.c) FROM {name}_r r JOIN {name}_e e ON e.s = r.id JOIN recurring.{name}_r k ON k.id = e.d WHERE r.c < k.c GROUP BY e.d), "
         f"{name}_c AS (SELECT id, c FROM {name}_r QUALIFY count(*) OVER (PARTITION BY c) >= {min_size}), "
         f"{name} AS MATERIALIZED (SELECT i.t, i.z, i.y, i.x, i.vmax, i.n, dense_rank() OVER (ORDER BY c.c) AS label FROM {name}_i i JOIN {name}_c c USING (id))"
