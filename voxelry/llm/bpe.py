@@ -134,7 +134,7 @@ class Transducer:
 
     START = (None, b"", (), ())
 
-    def __init__(self, merges: Merges, lookahead: int = 5, limit: int = 250_000) -> None:
+    def __init__(self, merges: Merges, lookahead: int = 5, limit: int = 500_000) -> None:
         self.merges, self.lookahead, self.limit = merges, lookahead, limit
         self._reset()
 
@@ -160,12 +160,15 @@ class Transducer:
         return self._number((before, text, lasts, opens)), out
 
     def _settle(self, before, text: bytes, lasts: tuple, opens: tuple) -> tuple:
-        ends = {*opens, len(text)}
-        while len(ends) > 1:  # up the chains, from the far end, until they meet
-            top = max(ends)
-            ends.discard(top)
-            ends.add(top - len(lasts[top - 1]))
-        at = ends.pop()
+        at = len(text)
+        for end in reversed(opens):  # ascending places; up both chains, from the farther end, until they meet
+            while at != end:
+                if at > end:
+                    at -= len(lasts[at - 1])
+                else:
+                    end -= len(lasts[end - 1])
+            if not at:
+                return before, text, lasts, opens, ()
         if not at:
             return before, text, lasts, opens, ()
         out = self._chain(lasts, at)
