@@ -425,6 +425,23 @@ def test_op6_prefixes():
             assert table.longest_within(budget) == max(len(text[:i].encode()) for i in range(len(text) + 1) if n[i] <= budget)
 
 
+def test_op6_budgets(spark, docs, rows, empty):
+    """The longest prefix within a budget: one character more has too many tokens, as the library counts them."""
+    tk = Tokenizer.from_file(BYTES)
+    n = lambda t: len(tk.encode(t, add_special_tokens=False).ids)
+    text = {r[0]: r[1] or "" for r in rows}
+    for budget in (0, 1, 7, 50):
+        got = token_counts.truncated(docs, BYTES, budget).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            t = text[r.doc_id]
+            kept = t.encode()[: r.n_bytes].decode()
+            assert n(kept) == r.n_tokens <= budget
+            longer = [t[: len(kept) + k] for k in (1, 2, 3, 5) if len(kept) + k <= len(t)]
+            assert all(n(x) > budget for x in longer)
+    assert token_counts.truncated(empty, BYTES, 5).count() == 0
+
+
 def removed(rows, window):
     first = {}
     docs = {r[0]: WORD.findall(r[1] or "") for r in rows}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .bpe import Merges, PrefixCounts, read_merges
 from .pieces import Memory, cut, one_by_one
 from ..ship import by_batch, kept, local, send
-from .textops import slices
+from .textops import gather, slices
 
 
 class Counter:
@@ -61,9 +61,10 @@ class Counter:
 class PrefixTable:
     """Token counts of all prefixes of one text, without encoding it again.
 
-    Kept are the counts at piece ends; a prefix that ends inside a piece adds the piece's own
-    table. Cutting can change how the last few characters fall into pieces (white space at the
-    end, quotes), so the last two pieces before the cut are cut anew.
+    Kept are the counts at piece ends and, for each byte, the count of its piece up to it. Cutting can
+    change how the last few characters fall into pieces (white space at the end, quotes), so the last
+    two pieces before the cut are cut anew; each is the beginning of a piece that was there already,
+    whose table has its count, or else a few bytes that are worked out.
     """
 
     def __init__(self, counter: Counter, text: str) -> None:
@@ -72,13 +73,21 @@ class PrefixTable:
         parts, special = counter._apart(self.data, np.array([0, len(self.data)]))
         start, end, first = cut(self.data, parts)
         place, size = counter.memory.find(self.data, start, end)
-        n = counter.memory.pool[place + size - 1].astype(np.int64)
+        self.inside = gather(counter.memory.pool, place, size)  # pieces lie one behind the other, so by bytes of the text
+        n = self.inside[end - 1].astype(np.int64)
         for a, b in zip(first[:-1][special], first[1:][special], strict=True):
             n[a:b] = 0
             n[a] = 1
-        self.parts, self.special = parts, special
+        self.parts, self.special, self.start = parts, special, start
         self.end, self.count = np.concatenate([[0], end]), np.concatenate([[0], np.cumsum(n)])
 
+    def _piece(self, a: int, b: int) -> int:
+        """Tokens of a piece that is the text's bytes a to b."""
+        i = int(np.searchsorted(self.start, a))
+        if i < len(self.start) and self.start[i] == a and b <= self.end[i + 1]:
+            return int(self.inside[b - 1])
+        return self.counter.prefix.counts(self.data[a:b].tobytes())[-1]
+
     def count_at(self, n_bytes: int) -> int:
         """Tokens of the text's first n_bytes bytes, which end a character."""
         if n_bytes <= 0:
@@ -95,8 +104,8 @@ class PrefixTable:
             lo = int(self.parts[i - 1]) if i and not self.special[i - 1] else lo
         k = max(int(np.searchsorted(self.end, near)) - 3, int(np.searchsorted(self.end, lo)))
         base = int(self.end[k])
-        rest = self.data[base:n_bytes]
-        return int(self.count[k] + self.counter.totals(rest, np.array([0, len(rest)]))[0])
+        start, end, _ = cut(self.data[base:n_bytes], np.array([0, n_bytes - base]))
+        return int(self.count[k]) + sum(self._piece(base + a, base + b) for a, b in zip(start.tolist(), end.tolist(), strict=True))
 
     def longest_within(self, budget: int) -> int:
         """Bytes of the longest prefix, ending a character, of at most `budget` tokens.
@@ -136,3 +145,22 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.concatenate(size), pa.int64()), pa.array(total, pa.int64()), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return by_batch(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keeps=True)
+
+
+def truncated(docs: DataFrame, path: str, budget: int) -> DataFrame:
+    """doc_id, n_bytes and n_tokens of each text's longest prefix of whole characters that has at most `budget` tokens.
+
+    Null text counts as empty: 0 and 0. Rows may repeat and doc_id may be null: each row gives one
+    row. Other columns are not read.
+    """
+    send(docs.sparkSession, path)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c, size, n = counter(path), [], []
+        for text in batch.column(1):
+            table = c.table(text.as_py() or "")
+            size.append(table.longest_within(budget))
+            n.append(table.count_at(size[-1]))
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    return by_batch(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long", keeps=True)
