@@ -27,13 +27,14 @@ def smooth(field: DataFrame, value: str, sigma: float, grid: Grid, dims: tuple[s
     out = field.select(*DIMS, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
     for d in dims:
         n = grid.size(d)
-        if reach >= n:
-            raise ValueError(f"a Gaussian of {sigma} steps reaches beyond the {n} steps of {d}")
         here = F.col(d).cast("int")
         to = []
         for k, w in zip(range(-reach, reach + 1), weights, strict=True):
-            for place in (here - k, -here - 1 - k, 2 * n - 1 - here - k):  # itself and its images in the two edges
-                to.append(F.when((place >= 0) & (place < n), F.struct(place.alias("p"), F.lit(w / sum(weights)).alias("w"))))
+            for turn in range(-(reach // (2 * n)) - 1, reach // (2 * n) + 2):  # itself and its images, which repeat every 2 n steps
+                for first, place in ((-k, here - k), (-n - k, -here - 1 - k)):  # the least place, with `here` from 0 to n - 1
+                    if -n < first + 2 * n * turn < n:
+                        at = place + 2 * n * turn
+                        to.append(F.when((at >= 0) & (at < n), F.struct(at.alias("p"), F.lit(w / sum(weights)).alias("w"))))
         rest = [c for c in DIMS if c != d]
         moved = out.select(*rest, value, F.explode(F.array_compact(F.array(*to))).alias("_to"))
         out = moved.groupBy(*rest, F.col("_to.p").alias(d)).agg(F.sum(F.col(value) * F.col("_to.w")).alias(value)).select(*DIMS, value)
