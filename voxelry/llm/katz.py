@@ -49,14 +49,30 @@ def _unflag(blob: bytes, n: int) -> np.ndarray:
     return unpack_bits(unpack(blob).astype(np.uint8).tobytes(), n)
 
 
-def _numbered(unique: int, part: int, parts: int) -> np.ndarray:
-    return np.arange(unique, dtype=np.uint64) * U64(parts) + U64(part)
-
-
 def _hist(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, LOW + 2), minlength=LOW + 3)[1 : LOW + 2].tolist()
 
 
+def _different(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different value, ascending, and each value's number among them."""
+    order = np.argsort(key)
+    head = np.ones(len(order), bool)
+    head[1:] = key[order][1:] != key[order][:-1]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(head) - 1
+    return order[head], back
+
+
+def _pairs(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_different() of pairs, by the first, then the second."""
+    first, a = _different(major)
+    width = int(minor.max()) + 1 if len(minor) else 1
+    if len(first) * width >= 1 << 63:
+        last, minor = _different(minor)
+        width = len(last)
+    return _different(a * width + minor.astype(np.int64))
+
+
 def _starts(sorted_: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, np.int64)
@@ -121,19 +137,19 @@ class Numbers:
         return np.where(none, 1.0, left) / np.maximum(totals, 1) / np.maximum(1 - mass, 1e-12)
 
 
-def _words(parts: int):
+def _words():
     """Adds up word counts: of each asked word its number and count."""
 
     def run(key, table):
         rows, part = table.to_pylist(), key[0].as_py()
         keys, counts = np.concatenate([unpack_sorted(r["keys"]) for r in rows]), np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.int64)
-        unique, back = np.unique(keys, return_inverse=True)
+        unique, back = _different(keys)
         total = np.bincount(back, counts, len(unique)).astype(np.int64)
-        ids, out, lo = np.empty(len(unique), np.uint64), [], 0
-        ids[np.argsort(-total, kind="stable")] = _numbered(len(unique), part, parts)  # frequent words get small numbers, which pack well
+        places, out, lo = np.empty(len(unique), np.int64), [], 0
+        places[np.argsort(-total, kind="stable")] = np.arange(len(unique))  # frequent words get small numbers, which pack well
         for r in rows:
             own = back[lo : lo + r["n"]]
-            out.append((part, r["chunk"], 1, r["n"], 0, pack(ids[own]), pack(total[own]), None, None, None, None, 0, 0, None))
+            out.append((part, r["chunk"], 1, r["n"], 0, pack(places[own]), pack(total[own]), None, None, None, None, 0, 0, None))
             lo += r["n"]
         out.append((part, -1, 1, 0, 0, None, None, None, None, None, None, int(total.sum()), int((total > 0).sum()), _hist(total)))
         return _table(out, _TELL)
@@ -141,7 +157,7 @@ def _words(parts: int):
     return run
 
 
-def _grams(level: int, parts: int, last: bool, numbers: Numbers):
+def _grams(level: int, last: bool, numbers: Numbers):
     """Adds up n-gram counts, and what each context's back-off weight needs."""
 
     def run(key, table):
@@ -150,29 +166,24 @@ def _grams(level: int, parts: int, last: bool, numbers: Numbers):
         runs = [unpack(r["runs"]).astype(np.int64) for r in rows]
         context = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, runs, strict=True)])
         word = np.concatenate([unpack(r["words"]) for r in rows])
-        order = np.lexsort((word, context))
-        c, w = context[order], word[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        back = np.empty(len(order), np.int64)
-        back[order] = np.cumsum(head) - 1
-        total = np.bincount(back, np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.int64), int(head.sum())).astype(np.int64)
-        lower = np.concatenate([unpack(r["lower"]) for r in rows]).astype(np.int64)[order][head]
+        first, back = _pairs(context, word)
+        total = np.bincount(back, np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.int64), len(first)).astype(np.int64)
+        lower = np.concatenate([unpack(r["lower"]) for r in rows]).astype(np.int64)[first]
         below = None  # the lower contexts' totals
         if level > 2:
-            below = np.concatenate([np.repeat(unpack(r["totals"]).astype(np.int64), n) for r, n in zip(rows, runs, strict=True)])[order][head]
+            below = np.concatenate([np.repeat(unpack(r["totals"]).astype(np.int64), n) for r, n in zip(rows, runs, strict=True)])[first]
         p = np.where(total > 0, numbers.seen(level - 1, lower, below), 0.0)
-        start = _starts(c[head])
-        known = c[head][start]
+        start = _starts(context[first])
+        known = context[first][start]
         sums, mass = np.add.reduceat(total, start), np.add.reduceat(p, start)
         low = np.stack([np.add.reduceat((total == r).astype(np.int64), start) for r in range(1, LOW + 1)])
         none = (sums > 0) & (low.sum(axis=0) == 0)
-        ids, out, lo = _numbered(len(total), part, parts), [], 0
+        out, lo = [], 0
         for r, own, n in zip(rows, contexts, runs, strict=True):
             mine, at = back[lo : lo + r["n"]], np.searchsorted(known, own)
             open_ = np.logical_or.reduceat(total[mine] == 0, np.cumsum(n) - n) & (sums[at] > 0)
             asked = at[open_]
-            blobs = None if last else pack_sorted(ids[mine]), pack(total[mine]), _flags(none[at]), _flags(open_), mass[asked].astype("<f8").tobytes(), pack(low[:, asked].reshape(-1))
+            blobs = None if last else pack_sorted(mine), pack(total[mine]), _flags(none[at]), _flags(open_), mass[asked].astype("<f8").tobytes(), pack(low[:, asked].reshape(-1))
             out.append((part, r["chunk"], level, r["n"], len(own), *blobs, 0, 0, None))
             lo += r["n"]
         out.append((part, -1, level, 0, 0, None, None, None, None, None, None, int(total.sum()), int((total > 0).sum()), _hist(total)))
@@ -191,7 +202,9 @@ class _Chunk:
         w = words(buf, offsets, lower=True)
         self.sizes = w.counts + 1
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.vocab, self.tokens = np.unique(np.insert(w.hash, w.first[1:], END), return_inverse=True)
+        tokens = np.insert(w.hash, w.first[1:], END)
+        first, self.tokens = _different(tokens)
+        self.vocab = tokens[first]
         self.place = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], self.sizes)
         self.train, self.held = ~np.repeat(held, self.sizes), held
         self.answers: dict[int, list[dict]] = {}
@@ -202,43 +215,47 @@ class _Chunk:
     def _got(self, name: str) -> np.ndarray:
         return np.concatenate([unpack(a[name]) for a in self.answers[self.level]])
 
+    def _ids(self, unpacked) -> np.ndarray:
+        """Numbers of n-grams: their places in their partitions, and those."""
+        return np.concatenate([unpacked(a["ids"]) * U64(self.parts) + U64(a["part"]) for a in self.answers[self.level]])
+
     def start(self) -> None:
         """Take the answers for words."""
         self.level = 1
-        self.word_ids, self.word_counts = self._got("ids"), self._got("counts").astype(np.int64)
+        self.word_ids, self.word_counts = self._ids(unpack), self._got("counts").astype(np.int64)
         self.count = self.word_counts[self.tokens]  # of each token's n-gram of this order
         self.total = None  # of its context, with what none adds
-        self.gram_ids = self.word_ids[self.tokens]
+        self.gram, self.gram_ids = self.tokens, self.word_ids
+        self.word_rank = np.empty(len(self.vocab), np.int64)
+        self.word_rank[np.argsort(self.word_ids)] = np.arange(len(self.vocab))
 
-    def _contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens that have an n-gram of that order, the numbers of their contexts, and these contexts' counts in training."""
+    def _contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens that have an n-gram of that order, which shorter n-gram each one's context is, these contexts' counts in training, and the shorter n-grams' numbers."""
         at = np.flatnonzero(self.place >= level - 2)
         before = np.maximum(at - 1, 0)
-        ids, counts = self.gram_ids[before], self.count[before]
+        which, counts, ids = self.gram[before], self.count[before], self.gram_ids
         if level == 2:
             head = self.place[at] == 0
-            ids[head], counts[head] = BEGIN, self.word_counts[np.searchsorted(self.vocab, END)]  # a document has one end, and one beginning
-        return at, ids, counts
+            which[head], counts[head] = len(ids), self.word_counts[np.searchsorted(self.vocab, END)]  # a document has one end, and one beginning
+            ids = np.append(ids, BEGIN)
+        return at, which, counts, ids
 
     def grams(self, level: int):
-        """That order's different n-grams by partition, context and word: tokens, each one's n-gram, contexts, words, and a token of each."""
-        at, ids, _ = self._contexts(level)
-        part = mix(ids) % U64(self.parts)
-        word = self.word_ids[self.tokens[at]]
-        order = np.lexsort((word, ids, part))
-        a, b, c = part[order], ids[order], word[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-        gram = np.empty(len(order), np.int64)
-        gram[order] = np.cumsum(head) - 1
-        return at, gram, a[head], b[head], c[head], at[order[head]]
+        """That order's different n-grams by partition, context and word: tokens, each one's n-gram, contexts, words, and a token of each; and the tokens' contexts' counts."""
+        at, which, sums, ids = self._contexts(level)
+        part = (mix(ids) % U64(self.parts)).astype(np.int64)
+        rank = np.empty(len(ids), np.int64)
+        rank[np.lexsort((ids, part))] = np.arange(len(ids))
+        first, gram = _different(rank[which] * len(self.vocab) + self.word_rank[self.tokens[at]])
+        context = which[first]
+        return at, gram, part[context], ids[context], self.word_ids[self.tokens[at[first]]], at[first], sums
 
     def ask(self, level: int, chunk: int) -> list[tuple]:
         if level == 1:
             counts = np.bincount(self.tokens[self.train], minlength=len(self.vocab))
             cut, out = cuts(self.vocab, self.parts).tolist(), []
             return [(p, chunk, b - a, pack_sorted(self.vocab[a:b]), None, None, pack(counts[a:b]), None, None) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-        at, gram, part, context, word, token = self.grams(level)
+        at, gram, part, context, word, token, _ = self.grams(level)
         counts = np.bincount(gram[self.train[at]], minlength=len(word))
         lower = self.count[token]
         bounds, out = np.append(_starts(part), len(part)).tolist(), []
@@ -251,8 +268,7 @@ class _Chunk:
     def climb(self, numbers: Numbers | None = None, p: np.ndarray | None = None) -> np.ndarray | None:
         """Take the next order's answers; with the model's numbers and the tokens' probabilities in this order, those in the next."""
         level = self.level + 1
-        at, gram, _, context, _, _ = self.grams(level)
-        _, _, sums = self._contexts(level)
+        at, gram, _, context, _, _, sums = self.grams(level)
         self.level = level
         rows = self.answers[level]
         counts = self._got("counts").astype(np.int64)
@@ -273,9 +289,10 @@ class _Chunk:
             p[at] = np.where(sums == 0, p[at], np.where(count > 0, seen, weight[owner] * p[at]))
         self.count, self.total = np.zeros(len(self.tokens), np.int64), np.zeros(len(self.tokens), np.int64)
         self.count[at], self.total[at] = count, total
+        self.gram = np.zeros(len(self.tokens), np.int64)
+        self.gram[at] = gram
         if rows and rows[0]["ids"] is not None:
-            self.gram_ids = np.zeros(len(self.tokens), np.uint64)
-            self.gram_ids[at] = np.concatenate([unpack_sorted(a["ids"]) for a in rows])[gram]
+            self.gram_ids = self._ids(unpack_sorted)
         return p
 
 
@@ -298,11 +315,11 @@ def score(docs: DataFrame, held: Column, order: int = 3, chunks: int | None = No
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).groupBy("chunk")
     numbers, tables = Numbers(), []
 
-    def told():
+    def told(*needless: str):
         every = tables[0]
         for t in tables[1:]:
             every = every.unionByName(t)
-        return every.where("chunk >= 0").drop("total", "types", "hist").groupBy("chunk")
+        return every.where("chunk >= 0").drop("total", "types", "hist", *needless).groupBy("chunk")
 
     def ask_words(key, table):
         return _table(_Chunk(table, None, parts).ask(1, key[0].as_py()), _ASK)
@@ -335,8 +352,8 @@ def score(docs: DataFrame, held: Column, order: int = 3, chunks: int | None = No
         return pa.table([pa.array(v, _ARROW[k]) if i else v for i, (v, (_, k)) in enumerate(zip(columns, fields, strict=True))], names=[f for f, _ in fields])
 
     for level in range(1, order + 1):
-        asked = dealt.applyInArrow(tidied(ask_words), _ASK) if level == 1 else dealt.cogroup(told()).applyInArrow(tidied(ask(level)), _ASK)
-        reduce_ = _words(parts) if level == 1 else _grams(level, parts, level == order, numbers)
+        asked = dealt.applyInArrow(tidied(ask_words), _ASK) if level == 1 else dealt.cogroup(told("open", "mass", "low")).applyInArrow(tidied(ask(level)), _ASK)
+        reduce_ = _words() if level == 1 else _grams(level, level == order, numbers)
         tables.append(scratch.save(asked.groupBy("part").applyInArrow(tidied(reduce_), _TELL)))
         numbers.add(tables[-1].where("chunk < 0").select("total", "types", "hist").collect())  # a row a partition
         release(spark)
