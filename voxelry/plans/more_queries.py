@@ -16,7 +16,7 @@ from .bundle_queries import _FIELD, _r, _rs
 from .catalogue import PLACE, query
 
 _C = "WITH " + q.COLUMNS + " "
-_E = "e AS (SELECT 1) "
+_E = "e AS (SELECT 1)"  # after the last comma
 
 
 @query(_C + f"SELECT col, lev, {_rs(q.RHO, 'rho')}, {_rs('CASE WHEN ta < 273.15 THEN cli + clw + qg + qr + qs END * 1e3', 'qfrozen')} FROM cols")
@@ -40,7 +40,7 @@ def projection_coarse(spark, sf):
     return out.select("t", "y", "x", _r(F.col("iwp")).alias("iwp"), _r(F.col("wmax")).alias("wmax"))
 
 
-@query(_FIELD + _E[:-1] + " SELECT t, z, y, x, system, u_tracks FROM msk WHERE z BETWEEN 1 AND 4")
+@query(_FIELD + _E + " SELECT t, z, y, x, system, u_tracks FROM msk WHERE z BETWEEN 1 AND 4")
 def level_slice(spark, sf):
     return readers.level_slice(grid_mask(spark, sf), 1, 4)
 
@@ -123,7 +123,7 @@ def _central(v: str, part: str, place: str) -> str:
     return f"CASE WHEN lead({place}) {w} - {place} = 1 AND {place} - lag({place}) {w} = 1 THEN lead({v}) {w} - lag({v}) {w} END"
 
 
-@query(_FIELD + _E[:-1] + f" SELECT t, z, y, x, {_rs('1e4 * ((' + _central('ua', 't, z, y', 'x') + ') / (2 * ' + _STEP + ' * cos(radians(glat))) + (' + _central('va', 't, z, x', 'y') + ') / (2 * ' + _STEP + ') - va * tan(radians(glat)) / 6371229.0)', 'div')} FROM fld")
+@query(_FIELD + _E + f" SELECT t, z, y, x, {_rs('1e4 * ((' + _central('ua', 't, z, y', 'x') + ') / (2 * ' + _STEP + ' * cos(radians(glat))) + (' + _central('va', 't, z, x', 'y') + ') / (2 * ' + _STEP + ') - va * tan(radians(glat)) / 6371229.0)', 'div')} FROM fld")
 def divergence(spark, sf):
     out = stats.divergence(grid_field(spark, sf), 0.5, F.col("lat"))
     return out.select(*DIMS, _r(F.col("div") * 1e4).alias("div"))
@@ -152,7 +152,7 @@ def components_periodic_y(spark, sf):
     return first
 
 
-@query(_FIELD + _E[:-1] + f" SELECT t, z, y, x, {_rs('coalesce(CASE WHEN wa_phy > 1 THEN wa_phy END, -999.99)', 'w', 4)} FROM fld")
+@query(_FIELD + _E + f" SELECT t, z, y, x, {_rs('coalesce(CASE WHEN wa_phy > 1 THEN wa_phy END, -999.99)', 'w', 4)} FROM fld")
 def export_missing(spark, sf):
     """Doubles with the fill value where there is none."""
     f = grid_field(spark, sf).select(*DIMS, F.when(F.col("wa_phy") > 1, F.col("wa_phy")).alias("w"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[tuple[str, str]] = set()
 #: Bytes of an Arrow batch of rows, about; a longer row is a batch of its own.
-BATCH = 16 << 20
+BATCH = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
