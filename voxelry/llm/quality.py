@@ -30,7 +30,7 @@ _CHAR = (1 << WIDE) - 1
 #: Bytes of text in a chunk, about.
 CHUNK = 4 << 20
 #: Bytes of text that are counted, and that are measured, at a time.
-COUNTED, MEASURED = 1 << 20, 1 << 20
+COUNTED, MEASURED = 1 << 20, 1 << 19
 #: Sequences in a row of the model, about.
 RANGE = 1 << 18
 #: Sequences of the model up to which it is broadcast: 4 million, 48 MB.
