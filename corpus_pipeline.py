@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; each one's result is written and read again."""
     scratch, docs = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        before, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop(before)  # a table of an earlier stage; nothing else is dropped
     return docs
