@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,12 +12,22 @@ from pyspark.sql import functions as F
 from ..model import DIMS, Grid
 from ..ship import tidied
 from ..storage import Scratch
+from .assign import least_total
 from .graph import components, consecutive
 from .labelling import binary_erode, label, neighbours
 
 SPACE = ("z", "y", "x")
 
 
+@dataclass(frozen=True)
+class Subnet:
+    """How many features of a step may compete for each other, and how the radius adapts to more: by which factor, and down to which share of it."""
+
+    most: int = 30
+    step: float = 0.95
+    stop: float = 0.2
+
+
 def smooth(field: DataFrame, value: str, sigma: float, grid: Grid, dims: tuple[str, ...] = SPACE, truncate: float = 4.0) -> DataFrame:
     """t, z, y, x and the value under a Gaussian of `sigma` grid steps, axis by axis; missing voxels count as 0, and the grid's edges mirror.
 
@@ -175,12 +186,17 @@ def _square(*pairs: tuple[str, str]) -> Column:
     return F.round(sum((F.pow(F.col(a) - F.col(b), 2) for a, b in pairs), F.lit(0.0)), 9)
 
 
-def _one_to_one(features: DataFrame, radius: float, scratch: Scratch, most_rounds: int) -> DataFrame:
-    """(a, b): pairs of features of one step and the next, of the places moved by (vz, vy, vx) nearest first, each feature once."""
+def _candidates(features: DataFrame, radius: float) -> DataFrame:
+    """(a, b, d): features of one step and the next whose places, the first moved by (vz, vy, vx), lie within the radius, and their squared distance."""
     moved = features.select((F.col("t") + 1).alias("t"), F.col("feature").alias("a"), *((F.col(f"{d}c") + F.col(f"v{d}")).alias(f"{d}a") for d in SPACE))
     a = _around(moved.withColumn("_cy", _cell("ya", radius)).withColumn("_cx", _cell("xa", radius)))
     b = features.select("t", F.col("feature").alias("b"), *(F.col(f"{d}c").alias(f"{d}b") for d in SPACE)).withColumn("_cy", _cell("yb", radius)).withColumn("_cx", _cell("xb", radius))
-    open_ = scratch.save(a.join(b, ["t", "_cy", "_cx"]).withColumn("d", _square(("za", "zb"), ("ya", "yb"), ("xa", "xb"))).where(F.col("d") <= radius * radius).select("a", "b", "d").distinct())
+    return a.join(b, ["t", "_cy", "_cx"]).withColumn("d", _square(("za", "zb"), ("ya", "yb"), ("xa", "xb"))).where(F.col("d") <= radius * radius).select("a", "b", "d").distinct()
+
+
+def _one_to_one(features: DataFrame, radius: float, scratch: Scratch, most_rounds: int) -> DataFrame:
+    """(a, b): candidate pairs, nearest first, each feature once."""
+    open_ = scratch.save(_candidates(features, radius))
     taken = None
     for _ in range(most_rounds):
         by = lambda k: F.row_number().over(Window.partitionBy(k).orderBy("d", "a", "b"))
@@ -207,9 +223,12 @@ def _velocities(features: DataFrame, links: DataFrame, radius: float) -> DataFra
     return features.join(near, "feature", "left").select("feature", "t", *(f"{d}c" for d in SPACE), *(F.coalesce(F.col(f"n.n{d}"), F.col(f"v{d}")).alias(f"v{d}") for d in SPACE))
 
 
-def link_features(features: DataFrame, radius: float, scratch: Scratch, drift: tuple[float, float] = (0.0, 0.0), min_steps: int = 1, most_rounds: int = 30, predict: int = 0) -> DataFrame:
+def link_features(features: DataFrame, radius: float, scratch: Scratch, drift: tuple[float, float] = (0.0, 0.0), min_steps: int = 1, most_rounds: int = 30, predict: int = 0, subnet: Subnet | None = None) -> DataFrame:
     """Features with `cell` and `time_cell`: nearest pairs of consecutive steps within the radius, one to one.
 
+    With `subnet` the pairs are those of the least total distance, each subnet of candidates for itself and within a radius that adapts to its size
+    (see assign.least_total()). Without, in the order of their distance:
+
     Places are moved by the drift (y, x a step) before they are compared; predict: so often, all are
     linked again with places moved by the velocities that the links before give them. Among all pairs the nearest
     is taken first (then the smaller numbers), as mutual nearest ones round by round. Pairs that are
@@ -217,9 +236,15 @@ def link_features(features: DataFrame, radius: float, scratch: Scratch, drift: t
     connected part of them in a task. Cells are chains of pairs, numbered from 1 by their first feature; chains shorter than min_steps get 0.
     """
     placed = features.select("feature", "t", *(f"{d}c" for d in SPACE), F.lit(0.0).alias("vz"), F.lit(float(drift[0])).alias("vy"), F.lit(float(drift[1])).alias("vx"))
-    edges = _one_to_one(placed, radius, scratch, most_rounds)
+
+    def pairs(moved: DataFrame) -> DataFrame:
+        if subnet is None:
+            return _one_to_one(moved, radius, scratch, most_rounds)
+        return least_total(_candidates(moved, radius), radius, scratch, subnet.most, subnet.step, subnet.stop)
+
+    edges = pairs(placed)
     for _ in range(predict):
-        edges = _one_to_one(scratch.save(_velocities(placed, edges, radius)), radius, scratch, most_rounds)
+        edges = pairs(scratch.save(_velocities(placed, edges, radius)))
     found = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
     out = scratch.save(features.join(found, F.col("feature") == F.col("node"), "left").withColumn("root", F.coalesce("component", "feature")).drop("node", "component"))
     steps = out.groupBy("root").agg(F.count("*").alias("steps"), F.min("t").alias("t0"))

@@ -280,6 +280,37 @@ def link_features(spark, sf):
     return detect.link_features(f, 2.0, Scratch(spark), min_steps=2).select("feature", "t", "cell", "time_cell")
 
 
+_LEAST = detect.Subnet(most=4, step=0.5, stop=0.1)
+
+
+def _optimal(radius: float, most: int, levels: int) -> list[str]:
+    """CTEs of the pairs of least total distance: all assignments of each subnet of up to `most` ends a side, one first end after the other; larger subnets try again within half the radius."""
+    ctes, none = [f"e0 AS MATERIALIZED (SELECT a, b, CAST(round(d * 1e9) AS BIGINT) AS d FROM (SELECT a.feature AS a, b.feature AS b, round(pow(a.zc - b.zc, 2) + pow(a.yc - b.yc, 2) + pow(a.xc - b.xc, 2), 9) AS d FROM ft a JOIN ft b ON b.t = a.t + 1) WHERE d <= {radius * radius})"], "9223372036854775807"
+    for k in range(levels):
+        alone = round((radius * 0.5**k) ** 2 * 1e9)
+        ctes += [
+            f"n{k} AS MATERIALIZED (SELECT * FROM e{k} WHERE d <= {alone})",
+            f"m{k} AS MATERIALIZED (SELECT 2 * a AS s, 2 * b + 1 AS e FROM n{k} UNION SELECT 2 * b + 1, 2 * a FROM n{k})",
+            f"r{k}(id, c) USING KEY (id) AS (SELECT DISTINCT s, s FROM m{k} UNION SELECT m.e, min(r.c) FROM r{k} r JOIN m{k} m ON m.s = r.id JOIN recurring.r{k} o ON o.id = m.e WHERE r.c < o.c GROUP BY m.e)",
+            f"w{k} AS MATERIALIZED (SELECT n.*, c AS net, dense_rank() OVER (PARTITION BY c ORDER BY a) AS i FROM n{k} n JOIN r{k} r ON r.id = 2 * n.a)",
+            f"z{k} AS MATERIALIZED (SELECT net, max(i) AS na, greatest(count(DISTINCT a), count(DISTINCT b)) > {most} AS large FROM w{k} GROUP BY net)",
+            f"o{k} AS MATERIALIZED (SELECT net, i, a, b, d FROM w{k} JOIN z{k} USING (net) WHERE NOT large UNION ALL SELECT DISTINCT net, i, a, {none}, {alone} FROM w{k} JOIN z{k} USING (net) WHERE NOT large)",
+            f"q{k}(net, i, cost, picks) AS (SELECT net, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM z{k} WHERE NOT large UNION ALL SELECT q.net, o.i, q.cost + o.d, list_append(q.picks, o.b) FROM q{k} q JOIN o{k} o ON o.net = q.net AND o.i = q.i + 1 WHERE o.b = {none} OR NOT list_contains(q.picks, o.b))",
+            f"p{k} AS MATERIALIZED (SELECT q.net, picks FROM q{k} q JOIN z{k} z ON z.net = q.net AND z.na = q.i QUALIFY row_number() OVER (PARTITION BY q.net ORDER BY cost, picks) = 1)",
+            f"l{k}_ AS MATERIALIZED (SELECT DISTINCT w.a, picks[w.i] AS b FROM p{k} p JOIN w{k} w USING (net) WHERE picks[w.i] <> {none})",
+            f"e{k + 1} AS MATERIALIZED (SELECT a, b, d FROM w{k} JOIN z{k} USING (net) WHERE large)",
+        ]
+    every = " UNION ALL ".join(f"SELECT a, b FROM l{k}_" for k in range(levels))
+    return [*ctes, f"lk AS MATERIALIZED (SELECT a, b, 1 AS s FROM ({every}))"]
+
+
+@query(_features_sql(*_optimal(2.0, 4, 4), *_CHAINS[2:]) + "SELECT feature, t, CASE WHEN steps >= 2 THEN dense_rank() OVER (PARTITION BY steps >= 2 ORDER BY first) ELSE 0 END AS cell, time_cell FROM gr")
+def link_optimal(spark, sf):
+    """Links of the least total distance, in subnets of up to four features a step."""
+    f = _features(spark, sf)[0]
+    return detect.link_features(f, 2.0, Scratch(spark), min_steps=2, subnet=_LEAST).select("feature", "t", "cell", "time_cell")
+
+
 _SMOOTH_Y = "(SELECT max(y) + 1 FROM va)"
 
 
