@@ -87,6 +87,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .turn_trie import rebuilt_trie
 
@@ -144,7 +150,7 @@ SELECT o.conv_id, o.d AS depth, o.parent_conv_id, o.n_convs, o.n_children, s.n_l
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash, op3_url_filters, op4_katz, op5_packing, op6_token_counts, op7_substring_dedup, op8_embedding_dedup, op9_quality_rules, op10_token_files, op11_alignment, op13_turn_trie, pipeline)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_minhash, op3_url_filters, op4_katz, op5_packing, op6_token_counts, op7_substring_dedup, op8_embedding_dedup, op9_quality_rules, op10_token_files, op11_alignment, op12_nearest, op13_turn_trie, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
