@@ -13,6 +13,7 @@ from ..model import DIMS, Grid
 from ..ship import tidied
 from ..storage import Scratch
 from .assign import least_total
+from .component_tree import leaves, tree
 from .graph import components, consecutive
 from .labelling import binary_erode, label, neighbours
 
@@ -65,6 +66,23 @@ def _centre(d: str, grid: Grid, periodic: tuple[str, ...]) -> Column:
     return F.pmod(angle / turn, F.lit(float(grid.size(d)))).alias(f"{d}c")
 
 
+def _eroded(field: DataFrame, value: str, thresholds: list[float], min_size: int, grid: Grid, scratch: Scratch, erode: int, periodic: tuple[str, ...]) -> DataFrame:
+    """What leaves() gives, if regions lose their rim first, so that they needn't nest: each threshold is labelled by itself."""
+    parts = []
+    for k, level in enumerate(sorted(thresholds)):
+        above = field.where(F.col(value) >= level)
+        above = above.join(binary_erode(above, erode), list(DIMS), "left_semi")
+        found = label(above, grid, scratch, dims=SPACE, min_size=min_size, column="region", periodic=periodic)
+        parts.append(found.select(*DIMS, F.col(value).alias("v"), "region", F.lit(float(level)).alias("threshold"), F.lit(k).alias("rank")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = scratch.save(every)
+    top = every.groupBy(*DIMS).agg(F.max("rank").alias("top"))
+    outer = every.join(top, list(DIMS)).where("top > rank").select("rank", "region").distinct()
+    return every.join(outer, ["rank", "region"], "left_anti")
+
+
 def detect_features(field: DataFrame, value: str, thresholds: list[float], min_size: int, grid: Grid, scratch: Scratch, min_distance: float = 0.0, sigma: float = 0.0, erode: int = 0, periodic: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(features, their voxels): regions at or above each threshold, of at least min_size voxels, per time step.
 
@@ -78,20 +96,7 @@ def detect_features(field: DataFrame, value: str, thresholds: list[float], min_s
     """
     if sigma:
         field = scratch.save(smooth(field, value, sigma, grid))
-    parts = []
-    for k, level in enumerate(sorted(thresholds)):
-        above = field.where(F.col(value) >= level)
-        if erode:
-            above = above.join(binary_erode(above, erode), list(DIMS), "left_semi")
-        found = label(above, grid, scratch, dims=SPACE, min_size=min_size, column="region", periodic=periodic)
-        parts.append(found.select(*DIMS, F.col(value).alias("v"), "region", F.lit(float(level)).alias("threshold"), F.lit(k).alias("rank")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = scratch.save(every)
-    top = every.groupBy(*DIMS).agg(F.max("rank").alias("top"))
-    outer = every.join(top, list(DIMS)).where("top > rank").select("rank", "region").distinct()
-    own = every.join(outer, ["rank", "region"], "left_anti").withColumn("over", F.col("v") - F.col("threshold"))
+    own = (_eroded(field, value, thresholds, min_size, grid, scratch, erode, periodic) if erode else leaves(*tree(field, value, thresholds, grid, scratch, periodic), thresholds, min_size)).withColumn("over", F.col("v") - F.col("threshold"))
     features = own.groupBy("t", "threshold", "rank", "region").agg(F.count("*").alias("size"), F.max("v").alias("peak"), *(_centre(d, grid, periodic) for d in SPACE), F.min(grid.id()).alias("first"))
     if min_distance > 0:
         features = _apart(features, min_distance)
@@ -131,7 +136,8 @@ def watershed(field: DataFrame, value: str, seeds: DataFrame, threshold: float,
     the seeds: in each round every part without a seed joins its neighbour over its best edge
     (value of the edge's lower end, then the smaller ids), so rounds grow with the logarithm of a
     basin. Voxels that no seed reaches are left out. Neighbours are faces, or with `full` corners
-    and edges too; periodic axes wrap. Rounds at least halve the parts without a seed that can still
+    and edges too; periodic axes wrap. After a round only the best edge between two parts stays, so edges fall with the parts, and voxels
+    are told their part once, at the end. Rounds at least halve the parts without a seed that can still
     join, so most_rounds is never met; if it were, it raises.
     """
     nodes = scratch.save(field.where(F.col(value) > threshold).withColumn("id", grid.id()).select(*DIMS, "id", F.col(value).alias("v")))
@@ -142,19 +148,37 @@ def watershed(field: DataFrame, value: str, seeds: DataFrame, threshold: float,
     rooted = seeds.withColumn("id", grid.id()).groupBy("id").agg(F.min("feature").cast("long").alias("feature"))
     # part: a seeded part is named -feature, any other by its smallest voxel
     part = scratch.save(nodes.join(rooted, "id", "left").select("id", F.coalesce(-F.col("feature"), F.col("id")).alias("part")))
+    ends = edges.join(part.select(F.col("id").alias("src"), F.col("part").alias("pa")), "src").join(part.select(F.col("id").alias("dst"), F.col("part").alias("pb")), "dst")
+    open_, joined = scratch.save(_contracted(ends)), []
     for _ in range(most_rounds):
-        named = edges.join(part.select(F.col("id").alias("src"), F.col("part").alias("pa")), "src").join(part.select(F.col("id").alias("dst"), F.col("part").alias("pb")), "dst").where("pa <> pb AND (pa >= 0 OR pb >= 0)")
-        two = named.select(F.col("pa").alias("own"), F.col("pb").alias("other"), "w", "src", "dst").unionByName(named.select(F.col("pb").alias("own"), F.col("pa").alias("other"), "w", "src", "dst")).where("own >= 0")
-        best = scratch.save(two.groupBy("own").agg(F.min_by("other", F.struct((-F.col("w")).alias("h"), "src", "dst")).alias("other")))
+        one = open_.select(F.col("pa").alias("own"), F.col("pb").alias("other"), "best").unionByName(open_.select(F.col("pb").alias("own"), F.col("pa").alias("other"), "best")).where("own >= 0")
+        best = scratch.save(one.groupBy("own").agg(F.min_by("other", "best").alias("other")))
         if best.isEmpty():
             break
-        found = components(best.select(F.col("own").alias("src"), F.col("other").alias("dst")), scratch)
-        part = scratch.save(part.join(found, F.col("part") == F.col("node"), "left").select("id", F.coalesce("component", "part").alias("part")))
+        joined.append(scratch.save(components(best.select(F.col("own").alias("src"), F.col("other").alias("dst")), scratch)))
+        now = lambda e, c: e.join(joined[-1].select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")  # noqa: B023, E731
+        before, open_ = open_, scratch.save(_contracted(now(now(open_, "pa"), "pb").select("pa", "pb", "best.*").withColumn("w", -F.col("h"))))
+        scratch.drop(before)
     else:
         raise RuntimeError(f"the watershed didn't settle in {most_rounds} rounds")
+    final = None
+    for step in reversed(joined):  # where each part went in the end: as many rows as parts, which at least halve from round to round
+        if final is None:
+            final = step
+            continue
+        over = step.select("node", F.col("component").alias("via")).join(final.select(F.col("node").alias("via"), "component"), "via", "left").select("node", F.coalesce("component", "via").alias("component"))
+        final = scratch.save(over.unionByName(final.join(step.select("node"), "node", "left_anti")))
+    if final is not None:
+        part = part.join(final, F.col("part") == F.col("node"), "left").select("id", F.coalesce("component", "part").alias("part"))
     return nodes.join(part.where("part < 0"), "id").select(*DIMS, (-F.col("part")).alias("feature"))
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(pa, pb, best): of the edges between two parts only the best, if they may still join."""
+    some = edges.where("pa <> pb AND (pa >= 0 OR pb >= 0)").select(F.least("pa", "pb").alias("pa"), F.greatest("pa", "pb").alias("pb"), F.struct((-F.col("w")).alias("h"), "src", "dst").alias("best"))
+    return some.groupBy("pa", "pb").agg(F.min("best").alias("best"))
+
+
 def _greedy(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) of the pairs (a, b, d) taken in their order, each feature once."""
     found = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
