@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DIMS, Grid
 from ..storage import Scratch
 from .graph import components, consecutive
 
+#: Steps along x by which runs of neighbouring rows find each other.
+STRETCH = 64
+
 
 def offsets(dims: tuple[str, ...], full: bool = False) -> list[dict[str, int]]:
     """Half of the steps to neighbours: faces only, or corners and edges too (full)."""
@@ -43,20 +47,77 @@ def neighbours(voxels: DataFrame, grid: Grid, dims: tuple[str, ...] = DIMS, full
     return asked.join(here.select(F.col("src").alias("dst")), "dst").select("src", "dst")
 
 
+def runs(voxels: DataFrame, grid: Grid, first: str = "first") -> DataFrame:
+    """The voxels with `first`: the id of the first voxel of their run, an unbroken stretch along x in one row of the grid.
+
+    A row of the grid is sorted by itself; no row is longer than the grid. Voxels that repeat lie in the same run.
+    """
+    row = ["t", "z", "y"]
+    stretch = F.col("x") - F.dense_rank().over(Window.partitionBy(*row).orderBy("x"))
+    return voxels.withColumn(first, stretch).withColumn(first, grid.id() - F.col("x") + F.min("x").over(Window.partitionBy(*row, first)))
+
+
+def run_neighbours(rows: DataFrame, grid: Grid, dims: tuple[str, ...] = DIMS, full: bool = False, periodic: tuple[str, ...] = ()) -> DataFrame:
+    """(src, dst): runs (t, z, y, lo, hi, first) that touch, in neighbouring rows of the grid or over a periodic end of x; each pair once or twice.
+
+    A run asks the rows before and after it in half of the directions. It meets the runs there by stretches of STRETCH steps, in the first stretch that both have.
+    """
+    steps = [s for s in offsets(tuple(d for d in dims if d != "x"), full)] if len(dims) > 1 else []
+    reach = 1 if full else 0
+    span = lambda low, high: F.struct(low, high).cast("struct<from:bigint,to:bigint>")
+    spans = [span(F.col("lo") - reach, F.col("hi") + reach)]
+    if full and "x" in periodic:  # corners over the end of the row
+        spans += [F.when(F.col(c) == here, span(F.lit(there), F.lit(there))) for c, here, there in (("lo", 0, grid.x - 1), ("hi", grid.x - 1, 0))]
+    rows = rows.select(*(F.col(c).cast("long").alias(c) for c in ("t", "z", "y", "lo", "hi", "first")))
+    there = rows.select("t", "z", "y", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("first").alias("dst"), F.explode(F.sequence(F.floor(F.col("lo") / STRETCH), F.floor(F.col("hi") / STRETCH))).alias("stretch"))
+    places = []
+    for step in steps:
+        place, inside = {}, F.lit(True)
+        for d in ("t", "z", "y"):
+            to = F.col(d) + step.get(d, 0)
+            if d in periodic and step.get(d):
+                to = F.pmod(to, F.lit(grid.size(d)))
+            elif step.get(d):
+                inside = inside & (to >= 0) & ((to < grid.size(d)) if d != "t" else F.lit(True))
+            place[d] = to.cast("long")
+        places.append(F.when(inside, F.struct(*place.values()).cast("struct<t:bigint,z:bigint,y:bigint>")))
+    out = []
+    if places:
+        asked = rows.select(F.col("first").alias("src"), F.explode(F.array_compact(F.array(*spans))).alias("s"), F.array_compact(F.array(*places)).alias("p")).select("src", "s.*", F.explode("p").alias("p")).select("src", "from", "to", "p.*")
+        asked = asked.withColumn("stretch", F.explode(F.sequence(F.floor(F.greatest("from", F.lit(0)) / STRETCH), F.floor(F.col("to") / STRETCH))))
+        met = asked.join(there, ["t", "z", "y", "stretch"]).where("from <= hi2 AND to >= lo2")
+        once = F.col("stretch") == F.floor(F.greatest("from", "lo2", F.lit(0)) / STRETCH)
+        out.append(met.where(once).select("src", "dst"))
+    if "x" in periodic:
+        ends = rows.where(F.col("hi") == grid.x - 1).select("t", "z", "y", F.col("first").alias("src"))
+        out.append(ends.join(rows.where("lo = 0").select("t", "z", "y", F.col("first").alias("dst")), ["t", "z", "y"]).select("src", "dst"))
+    if not out:
+        return rows.where("false").select(F.col("first").alias("src"), F.col("first").alias("dst"))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
 def label(voxels: DataFrame, grid: Grid, scratch: Scratch, dims: tuple[str, ...] = DIMS, full: bool = False, periodic: tuple[str, ...] = (), min_size: int = 1, column: str = "label") -> DataFrame:
-    """The voxels with the number of their object: neighbours over `dims` belong together.
+    """The voxels with the number of their object: neighbours over `dims`, among them x, belong together.
 
     Dimensions left out are labelled slice by slice, with numbers that never collide. Numbers run
-    from 1 in the order of each object's first voxel. Objects below min_size are left out.
+    from 1 in the order of each object's first voxel. Objects below min_size are left out. Voxels that repeat
+    keep their rows and count as often; rows with a null place have no object and are left out. Other columns stay, but for one of the
+    name `column`, which is replaced. No rows: none.
+
+    Runs along x stand for their voxels in all joins; each voxel moves twice, to its row and to its run's number.
     """
-    found = components(neighbours(voxels, grid, dims, full, periodic), scratch)
-    named = voxels.withColumn("_id", grid.id()).join(found, F.col("_id") == F.col("node"), "left").withColumn("_root", F.coalesce("component", "_id")).drop("node", "component")
-    named = scratch.save(named)
+    first, own = (f"_{uuid.uuid4().hex}" for _ in range(2))  # no column of the voxels
+    kept = [c for c in voxels.columns if c != column]
+    placed = scratch.save(runs(voxels.select(*(voxels[f"`{c}`"] for c in kept)).dropna(subset=list(DIMS)), grid, first))
+    rows = scratch.save(placed.groupBy("t", "z", "y", F.col(first).alias("first")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")))
+    found = components(run_neighbours(rows, grid, dims, full, periodic), scratch)
+    rooted = rows.select("first", "n").join(found, F.col("first") == F.col("node"), "left").select("first", "n", F.coalesce("component", "first").alias("root"))
     if min_size > 1:
-        big = named.groupBy("_root").count().where(F.col("count") >= min_size).select("_root")
-        named = named.join(big, "_root", "left_semi")
-    ranks = consecutive(named, "_root", scratch, column)
-    return named.join(ranks, "_root").drop("_root", "_id")
+        rooted = scratch.save(rooted)
+        rooted = rooted.join(rooted.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") >= min_size).select("root"), "root")
+    rooted = scratch.save(rooted)
+    numbers = rooted.join(consecutive(rooted, "root", scratch, "number"), "root").select(F.col("first").alias(own), F.col("number").alias(column))
+    return placed.join(numbers, F.col(first) == F.col(own)).drop(first, own)
 
 
 #: Ways to connect voxels by name: whether corners and edges join too.

@@ -17,7 +17,7 @@ from ..operators.graph import consecutive
 from ..sources import readers
 from ..sources.adapters import columns, records, table, voxels
 from ..storage import Scratch
-from ..streaming import windows
+from ..streaming import linking, windows
 from . import sqltext as q
 
 GRID = Grid()
@@ -176,6 +176,20 @@ def link_chunks(spark, sf):
     return linked.join(first, "label").join(ranks, "first").select(*DIMS, F.col("rank").alias("label"))
 
 
+@query(SQL["link_chunks"])
+def link_arriving(spark, sf):
+    """The same chunks one after the other, each joined to what is stored of those before."""
+    scratch = Scratch(spark)
+    parts = [labelling.label(voxels(spark, sf).where(c), GRID, scratch) for c in ("t < 20", "t >= 20 AND t < 40", "t >= 40")]
+    links = linking.ChunkLinks(spark, scratch.folder("links"))
+    for k, part in enumerate(parts):
+        links.add(k, part)
+    every = parts[0].withColumn("chunk", F.lit(0)).unionByName(parts[1].withColumn("chunk", F.lit(1))).unionByName(parts[2].withColumn("chunk", F.lit(2)))
+    linked = scratch.save(every.withColumnRenamed("label", "old").join(links.links(scratch), ["chunk", "old"]).select(*DIMS, F.col("new").alias("label")))
+    first = linked.groupBy("label").agg(F.min(GRID.id()).alias("first"))
+    return linked.join(first, "label").join(consecutive(first, "first", scratch), "first").select(*DIMS, F.col("rank").alias("label"))
+
+
 @query(
     q.with_(q.vox("v"), q.labelled("l", "v", q.FACES_3D), "p AS (SELECT t, max(label) AS top FROM (SELECT *, label FROM l) GROUP BY t), s AS (SELECT t, coalesce(sum(top) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM p)")
     + f"SELECT {PLACE}, CAST(label + shift AS BIGINT) AS label FROM l JOIN s USING (t)"
@@ -808,4 +822,4 @@ def oracle_sql() -> dict[str, str]:
 
 __all__ = ["axis", "oracle_sql", "queries"]
 
-from . import bundle_queries, more_queries  # noqa: E402, F401  their queries register themselves here
+from . import bundle_queries, more_queries, source_queries  # noqa: E402, F401  their queries register themselves here

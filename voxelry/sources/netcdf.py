@@ -102,13 +102,14 @@ class Classic:
         begin = struct.unpack(">q", self._take(8))[0] if self.long_offsets else self._int()
         return name, dims, attributes, kind, begin
 
-    def values(self, name: str, step: int | None = None) -> np.ndarray:
-        """A variable's values as doubles, unpacked, with NaN where they are missing: all, or one step of its first dimension."""
+    def values(self, name: str, step: int | None = None, rows: tuple[int, int] | None = None) -> np.ndarray:
+        """A variable's values as doubles, unpacked, with NaN where they are missing: all, or one step of its first dimension, or of that some places of the second."""
         v = self.variables[name]
         steps = [0] if not v.shape else range(v.shape[0]) if step is None else [step]
-        n = int(np.prod(v.shape[1:], dtype=np.int64)) if v.shape else 1
-        size = n * np.dtype(v.kind).itemsize
-        out = np.concatenate([np.frombuffer(self.read(v.begin + k * v.step, size), v.kind) for k in steps]) if len(steps) else np.zeros(0, v.kind)
+        width = np.dtype(v.kind).itemsize
+        n = int(np.prod(v.shape[2 if rows else 1 :], dtype=np.int64)) if v.shape else 1
+        low, size = (rows[0] * n * width, (rows[1] - rows[0]) * n * width) if rows else (0, n * width)
+        out = np.concatenate([np.frombuffer(self.read(v.begin + k * v.step + low, size), v.kind) for k in steps]) if len(steps) else np.zeros(0, v.kind)
         out = out.astype(np.float64)
         gone = [float(v.attributes[a][0]) for a in ("_FillValue", "missing_value") if a in v.attributes and not isinstance(v.attributes[a], str)]
         for g in gone:

@@ -52,6 +52,12 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a written table's success file is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that are no longer referenced."""
     import gc
