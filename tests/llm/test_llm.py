@@ -730,6 +730,22 @@ def test_op10(spark, docs, rows, empty, segment):
     assert dac.read(dac.write(empty, WORDS)).count() == 0
 
 
+@pytest.mark.parametrize("low", [0, 1 << 53, 1 << 62, -(1 << 63)])
+def test_op10_large_ids(spark, low):
+    """Neighbouring ids that are one double, over many files, stay in the order of integers."""
+    rng = random.Random(14)
+    table = [(low + i, " ".join(rng.choices("abcdef", k=rng.randint(1, 90)))) for i in range(300)]
+    rng.shuffle(table)
+    segments = dac.write(spark.createDataFrame(table, "doc_id long, text string").repartition(3), WORDS, segment=2000)
+    assert segments.count() > 8
+    tk, at, want = Tokenizer.from_file(WORDS), 0, []
+    for d, t in sorted(table):
+        n = len(tk.encode(t, add_special_tokens=False).ids) + 1
+        want.append((d, at, n))
+        at += n
+    assert sorted((r.doc_id, r.start, r.n_tokens) for r in dac.read(segments).collect()) == want
+
+
 def test_op10_common_ids(spark):
     """A third of the rows have one id and a third none: their rows are dealt to several files, and the order holds."""
     rng = random.Random(13)

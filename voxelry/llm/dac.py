@@ -21,13 +21,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import send, ship, tidied
 from ..storage import Scratch, file_at, partitions
-from .textops import U64, mix, slices
+from .textops import slices
 from .word_tokens import encoder
 
 MAGIC, STEP = b"DAC1", 512
@@ -151,82 +150,49 @@ def _up(n: int) -> int:
     return n + -n % 8
 
 
-class Layout:
-    """Which file a document belongs to, by its id; files follow one another as doc_ids do.
-
-    Borders between files are quantiles of the ids. An id that is several quantiles has several
-    files, among which its rows are dealt by a salt; null ids, which come first, have `nulls` files.
-    """
-
-    def __init__(self, quantiles: list[float], nulls: int) -> None:
-        self.borders, count = np.unique(np.array(quantiles, np.float64), return_counts=True)
-        self.files = np.append(count, 1)
-        self.first = nulls + np.concatenate([[0], np.cumsum(self.files)[:-1]])
-        self.nulls = nulls
-
-    def of(self, ids: pa.Array, salt: np.ndarray) -> np.ndarray:
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        key = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
-        at = np.searchsorted(self.borders, key, "left")
-        own = (self.borders[np.minimum(at, len(self.borders) - 1)] == key) if len(self.borders) else np.zeros(len(key), bool)
-        files = np.where(own, self.files[at], 1)
-        return np.where(null, salt % max(1, self.nulls), self.first[at] + salt % files)
-
-
 def write(docs: DataFrame, path: str, end_id: int = 1, scratch: Scratch | None = None, segment: int = SEGMENT) -> DataFrame:
     """Writes the ids of all documents in ascending doc_id order as files in the shared folder; a row for each.
 
     Columns: segment int (their order is that of the ids), n_docs, n_tokens long, file string (its
     URI), size long (bytes). A document's ids are those of its text (null: empty), then end_id. Null
-    doc_ids come first; rows with the same doc_id stay next to each other. Texts are encoded where
-    they are read, and only ids are shuffled. The number of files follows the counted bytes of text
+    doc_ids come first; rows with the same doc_id stay next to each other, in the order of a hash of their texts. Rows are
+    sorted over all partitions by whole 64-bit ids, then by that hash, so that the rows of one id may fill several
+    files; texts are encoded where they then lie. The number of files follows the counted bytes of text
     (`segment` a file), so a file and the task that writes it stay of that size, whatever the ids;
     only a single longer text makes a larger one. A file's name is of one attempt of a task: the
-    rows, written last, name the files that count.
+    rows, written last, name the files that count. No rows: no files.
     """
     spark = docs.sparkSession
     ship(spark)
     send(spark, path)
     scratch = scratch or Scratch(spark)
-    size = F.sum(F.octet_length("text") + 64)
-    measured = docs.groupBy(F.col("doc_id").isNull().alias("null")).agg(size.alias("n")).collect()  # two rows
-    bytes_ = {r["null"]: r["n"] or 64 for r in measured}
-    n, nulls = -(-bytes_.get(False, 0) // segment), -(-bytes_.get(True, 0) // segment)
-    found = docs.select(F.col("doc_id").cast("double").alias("d")).where("d IS NOT NULL").approxQuantile("d", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    layout, folder = Layout(found, nulls), scratch.folder("tokens")
-
-    def encode(batches):
-        before = 0
+    size = int(docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0)
+    folder = scratch.folder("tokens")
+
+    def run(batches):
+        docs_, sizes, ids_, part, enc = [], [], [], None, encoder(path)
         for batch in batches:
-            enc, ids_out, n_out, crc = encoder(path), [], [], []
-            for _, _, buf, offsets in slices(batch.column(1)):
+            if batch.num_rows:
+                part = batch.column(0)[0].as_py()
+                docs_ += batch.column(1).to_pylist()
+            for _, _, buf, offsets in slices(batch.column(2)):
                 ids, first = enc.encode(buf, offsets, end_id)
-                wide = ids.astype("<u4").tobytes()
-                narrow = ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else None
-                for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
-                    ids_out.append(narrow[2 * a : 2 * b] if narrow is not None else wide[4 * a : 4 * b])
-                    n_out.append(b - a)
-                    crc.append(zlib.crc32(wide[4 * a : 4 * b]))
-            key = batch.column(0).cast(pa.int64())
-            salt = (mix(np.arange(before, before + len(key), dtype=U64) ^ mix(np.array(crc, U64))) >> U64(1)).astype(np.int64)
-            before += len(key)
-            yield pa.RecordBatch.from_arrays([pa.array(layout.of(key, salt), pa.int32()), key, pa.array(n_out, pa.int64()), pa.array(ids_out, pa.binary())], names=["segment", "doc_id", "n", "ids"])
-
-    def image(key, table):
-        order = pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("n", "ascending")], null_placement="at_start")
-        table = table.select(["doc_id", "n", "ids"]).take(order)
-        sizes = table["n"].to_numpy()
-        ids = [np.frombuffer(x, "<u2" if len(x) == 2 * k else "<u4") for x, k in zip(table["ids"].to_pylist(), sizes, strict=True)]
-        data = build(np.concatenate(ids), table["doc_id"].to_pylist(), sizes)
-        uri = f"{folder}/{key[0].as_py():08d}-{uuid.uuid4().hex}.dac"
+                ids_.append(ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids)
+                sizes.append(np.diff(first))
+        if part is None:
+            return
+        sizes = np.concatenate(sizes)
+        data = build(np.concatenate(ids_), docs_, sizes)
+        uri = f"{folder}/{part:08d}-{uuid.uuid4().hex}.dac"
         system, name = file_at(uri)
         system.create_dir(name.rpartition("/")[0])
         with system.open_output_stream(name) as f:
             f.write(data)
-        return pa.table([pa.array([v], t) for v, t in zip((key[0].as_py(), len(sizes), int(sizes.sum()), uri, len(data)), (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=[c.split()[0] for c in _FILES.split(", ")])
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, len(sizes), int(sizes.sum()), uri, len(data)), (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=[c.split()[0] for c in _FILES.split(", ")])
 
-    coded = docs.select("doc_id", "text").mapInArrow(tidied(encode, keeps=True), "segment int, doc_id long, n long, ids binary")
-    return scratch.save(coded.groupBy("segment").applyInArrow(tidied(image), _FILES))
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("salt").asc()]
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("salt")).repartitionByRange(max(1, -(-size // segment)), *keys).sortWithinPartitions(*keys)
+    return scratch.save(ranged.select(F.spark_partition_id().alias("segment"), "doc_id", "text").mapInArrow(tidied(run, keeps=True), _FILES))
 
 
 def read(segments: DataFrame) -> DataFrame:
