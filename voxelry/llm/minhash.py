@@ -28,6 +28,8 @@ from .textops import U64, Words, gather, mix, randoms, slices, window_hash, word
 _SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands binary, sig binary"
 #: Buckets beyond this many nodes, or shingles of all nodes, are compared in cells of two salts.
 CELL, CELL_SHINGLES = 2048, 1 << 22
+#: Bytes of a group of cells that one task loads, about.
+GROUP = 32 << 20
 #: Ids up to this many (32 MB) are sent to every executor to pick out rows of documents; more are joined by a shuffle.
 BROADCAST_IDS = 4 << 20
 
@@ -165,18 +167,33 @@ def _linked(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return seen[seen != low], low[seen != low]
 
 
-def _across(open_: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, parts: int, scratch: Scratch) -> DataFrame:
+def _across(open_: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """(src, dst): links between components of the nodes that share a bucket, contracted to one a node and cell.
 
-    Large buckets are dealt by salt into cells, which meet every pair once. Signatures choose the
-    nodes that may have a link in a cell; only their sets move there and decide.
+    In a large bucket only pairs with a member outside its largest component can link: those are dealt into blocks, all members
+    into chunks, and each block meets each chunk in a cell. So a bucket of many copies and few others costs rows in
+    proportion to its members. Signatures choose the nodes that may have a link in a cell; only their sets move there and decide.
+    The number of groups follows the counted bytes.
     """
-    count = scratch.save(open_.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")))
-    salts = count.select("band", "key", F.when(F.expr(f"n > {CELL} OR shingles > {CELL_SHINGLES}"), F.expr(f"greatest(ceil(n * 2 / {CELL}), ceil(shingles * 2 / {CELL_SHINGLES}))")).otherwise(1).cast("int").alias("salts"))
+    per = open_.groupBy("band", "key", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+    big = F.max_by(F.struct("c", "n", "shingles"), F.struct("n", -F.col("c")))
+    count = per.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), big.alias("big"))
+    count = count.select("band", "key", "n", "shingles", F.col("big.c").alias("big"), (F.col("n") - F.col("big.n")).alias("n_out"), (F.col("shingles") - F.col("big.shingles")).alias("s_out"))
+    pieces = lambda n, s: F.expr(f"CASE WHEN n > {CELL} OR shingles > {CELL_SHINGLES} THEN greatest(ceil({n} * 2 / {CELL}), ceil({s} * 2 / {CELL_SHINGLES})) ELSE 0 END").cast("int")
+    count = scratch.save(count.withColumn("blocks", pieces("n_out", "s_out")).withColumn("chunks", pieces("n", "shingles")))
+    weight = lambda n, s: F.col(n) * 512 + F.col(s) * 8
+    total = count.agg(F.sum(weight("n", "shingles") * F.greatest("blocks", F.lit(1)) + weight("n_out", "s_out") * F.col("chunks"))).first()[0] or 0
+    parts = max(partitions(docs.sparkSession), -(-int(total) // GROUP))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    cell = lambda a, b, salt: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(salt).alias("salt"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    none = F.array().cast("array<struct<a:int,b:int,salt:int>>")
+    outside = F.when(F.col("c") != F.col("big"), F.transform(every("chunks"), lambda j: cell(dealt(F.col("blocks"), 1), F.col("blocks") + j, 0))).otherwise(none)
+    inside = F.transform(every("blocks"), lambda i: cell(i, F.col("blocks") + dealt(F.col("chunks"), 2), 1))
+    cells = F.when(F.col("blocks") > 0, F.concat(outside, inside)).otherwise(F.array(cell(F.lit(0), F.lit(0), 0)))
     placed = (
-        lookup(open_, salts, ["band", "key"], count).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .withColumn("a", F.least("salt", "other")).withColumn("b", F.greatest("salt", "other")).drop("salts", "other")
-        .withColumn("part", F.pmod(F.xxhash64("band", "key", "a", "b"), F.lit(parts)).cast("int"))
+        lookup(open_, count.select("band", "key", "big", "blocks", "chunks"), ["band", "key"], count.select("band", "key", "n")).withColumn("cell", F.explode(cells))
+        .select("band", "key", "node", "c", "n_shingles", "cell.*").withColumn("part", F.pmod(F.xxhash64("band", "key", "a", "b"), F.lit(parts)).cast("int"))
     )
     full = placed.join(classes.select("node", "bands", "sig"), "node").select("part", "band", "key", "a", "b", "salt", "node", "c", "n_shingles", "bands", "sig")
 
@@ -269,7 +286,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     named = members.join(joined.withColumnRenamed("component", "found"), "node", "left").withColumn("c", F.coalesce("found", "node")).drop("found")
     split = scratch.save(named.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "key", "n"))
     open_ = scratch.save(lookup(named, split.select("band", "key"), ["band", "key"], split).select("band", "key", "node", "c", "n_shingles"))
-    more = scratch.save(_across(open_, classes, docs, size, percent, 4 * partitions(docs.sparkSession), scratch))
+    more = scratch.save(_across(open_, classes, docs, size, percent, scratch))
     final = components(links.unionByName(more), scratch)
     of_set = classes.join(final, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "node").alias("component"))
     sizes = scratch.save(signed.groupBy("fp1", "fp2", "n_shingles").agg(F.count("*").alias("n")))
@@ -287,4 +304,4 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     words, null texts and null ids always, repeated rows of a kept id all. No rows: none.
     """
     gone = Scratch(docs.sparkSession).save(near_duplicates(docs, **how).where("NOT kept").select("doc_id").distinct())
-    return _picked(docs, gone, "left_anti").select(docs.columns)
+    return _picked(docs, gone, "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))

@@ -13,6 +13,8 @@ the leading characters are 0.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -364,4 +366,5 @@ def keep_good(docs: DataFrame, spread: float = 3.0, least: int = 1 << 16) -> Dat
     """The rows of documents that judge() keeps, columns unchanged: those whose content hash isn't among the others'."""
     gone = Scratch(docs.sparkSession).save(_judged(docs, spread, least).where("NOT kept").select("hash").distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_HASHES else gone
-    return docs.join(gone.withColumnRenamed("hash", "_gone"), _content() == F.col("_gone"), "left_anti")
+    name = f"gone_{uuid.uuid4().hex}"  # no column of the documents
+    return docs.join(gone.withColumnRenamed("hash", name), _content() == F.col(name), "left_anti")
