@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cover import cover, within
 from .physics import healpix
 
 ORIGIN = (-180.0, -90.0)
@@ -43,11 +44,17 @@ def grid_points(spark: SparkSession, region: tuple[float, float, float, float],
     return ys.withColumn("ix", F.explode(F.sequence(F.lit(x0), F.lit(x1 - 1)))).select("iy", F.col("ix").cast("long").alias("ix"), (ORIGIN[1] + F.col("iy") * F.lit(step)).alias("lat"), (ORIGIN[0] + F.col("ix") * F.lit(step)).alias("lon"))
 
 
+def region_cells(cells: DataFrame, region: str | tuple[float, float, float, float], zoom: int, step: float = 0.1, cell: str = "cell", most: int = 64) -> DataFrame:
+    """The rows of cells that a region's grid can lie in, and few others: for a table whose cell numbers are stored, as the ranges reach its scan."""
+    x0, x1, y0, y1 = region_box(region)
+    return cells.where(within(F.col(f"`{cell}`"), cover((x0 - step, x1 + step, y0 - step, y1 + step), zoom, most)))
+
+
 def regrid(cells: DataFrame, region: str | tuple[float, float, float, float], zoom: int, step: float = 0.1, cell: str = "cell") -> DataFrame:
     """Values of HEALPix cells (nested numbers at 2**zoom subdivisions) on a region's grid: iy, ix, lat, lon and the other columns.
 
     Every grid point takes the cell that it lies in; points whose cell has no rows are left out. An
-    equi-join on cell numbers, so a region asks for its own cells only.
+    equi-join on cell numbers; region_cells() keeps a table's scan from reading other cells.
     """
     points = grid_points(cells.sparkSession, region_box(region), step).withColumn(cell, healpix(F.col("lon"), F.col("lat"), zoom))
     return points.join(cells, cell).drop(cell)

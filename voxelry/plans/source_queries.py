@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.cover import cover, within
+from ..functions.grids import region_box
+from ..functions.physics import healpix
 from ..model import DIMS, Grid
 from ..operators import labelling
 from ..sources import gridded, spans
@@ -24,6 +27,18 @@ def gridded_box(spark, sf):
     return found.select(F.col("t_at").cast("int").alias("t"), *(F.col(d).cast("int").alias(d) for d in ("z", "y", "x")), "vmax", F.col("n").cast("long").alias("n"))
 
 
+_LON, _LAT = "CAST((o_orderkey * 37) % 3600 AS DOUBLE) / CAST(10 AS DOUBLE) - 180", "CAST((o_orderkey * 17) % 1790 AS DOUBLE) / CAST(10 AS DOUBLE) - 89.5"
+
+
+@query(f"SELECT o_orderkey AS id FROM orders WHERE {_LON} BETWEEN -83 AND -43 AND {_LAT} BETWEEN -15 AND 15")
+def cells_in_box(spark, sf):
+    """Points of a region, found by the ranges of cells that cover it before their places are looked at."""
+    lon, lat = ((F.col("o_orderkey") * 37) % 3600).cast("double") / F.lit(10.0) - 180, ((F.col("o_orderkey") * 17) % 1790).cast("double") / F.lit(10.0) - 89.5
+    box = region_box("amazon")
+    cells = Scratch(spark).save(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), lon.alias("lon"), lat.alias("lat"), healpix(lon, lat, 8).alias("cell")).sort("cell"))
+    return cells.where(within(F.col("cell"), cover(box, 8))).where(F.col("lon").between(box[0], box[1]) & F.col("lat").between(box[2], box[3])).select("id")
+
+
 _SPANS = (
     "WITH f AS (SELECT o_orderkey, 'mask_' || strftime(o_orderdate, '%Y%m%dT0000') || '-' || strftime(o_orderdate + INTERVAL 36 HOUR, '%Y%m%dT%H%M') || '_' || o_orderkey || '.nc' AS path, "
     "CAST(o_orderdate AS TIMESTAMP) AS a, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 36 HOUR AS b FROM orders), s AS (SELECT l_orderkey, min(l_shipdate) AS start, CAST(min(l_shipdate) AS TIMESTAMP) + INTERVAL 1 DAY AS stop FROM lineitem WHERE l_quantity >= 49 GROUP BY 1) "

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.grids import coarsen, region_box, regrid
+from ..functions.grids import coarsen, region_box, region_cells, regrid
 from ..functions.physics import frozen
 from ..operators.graph import consecutive
 from ..storage import Scratch, file_at
@@ -63,7 +63,8 @@ class Sources:
         if end is not None:
             df = df.where(F.col(time) < F.lit(end))
         if model.zoom is not None:
-            df = regrid(df.drop("lon", "lat"), region if region is not None else "global", model.zoom, model.step)
+            df = df.drop("lon", "lat") if region is None else region_cells(df.drop("lon", "lat"), region, model.zoom, model.step)
+            df = regrid(df, region if region is not None else "global", model.zoom, model.step)
             df = df.withColumnsRenamed({"iy": "y", "ix": "x"})
         elif region is not None:
             df = inside(df, region_box(region))
