@@ -229,6 +229,31 @@ def test_op2_crowded_buckets(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == reach and len(set(reach.values())) > 3
 
 
+def test_op2_many_copies_and_an_outsider(spark, monkeypatch):
+    """A bucket's rows in cells follow its members times its outsiders' blocks, not the square of its members."""
+    monkeypatch.setattr(minhash, "CELL", 8)
+    counted = []
+
+    class Spy(minhash.Scratch):
+        def save(self, df):
+            out = super().save(df)
+            if "blocks" in out.columns:
+                counted.extend(out.collect())
+            return out
+
+    monkeypatch.setattr(minhash, "Scratch", Spy)
+    rng, words = random.Random(21), [f"w{i}" for i in range(400)]
+    table = [(i, " ".join(w if k != 3 * i + 5 else "changed" for k, w in enumerate(words))) for i in range(100)]
+    outside = list(words)
+    for k in range(0, 400, 33):
+        outside[k] = f"o{rng.randrange(10**6)}"
+    table.append((1000, " ".join(outside)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), 5, 85).collect()}
+    assert set(got.values()) == {0, 1000} and got[1000] == 1000
+    large = [r for r in counted if r.blocks]
+    assert large and all(r.n > 50 and r.n_out == 1 and r.n * r.blocks + r.n_out * r.chunks < 2 * r.n for r in large)
+
+
 def test_op2_across_components(spark):
     """A chain whose ends don't link with each other is one component, whatever document a bucket begins with."""
     words = [f"v{i}" for i in range(400)]

@@ -20,6 +20,8 @@ CELL = 4096
 #: Buckets of up to so many vectors are compared side by side, so many pairs at a time.
 SMALL, PAIRS = 32, 1 << 15
 _ROWS = 256
+#: Bytes of rows that one group of a task loads, about.
+GROUP = 32 << 20
 
 
 def settings(nodes: int, least: float, missed: float) -> tuple[int, int]:
@@ -153,7 +155,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, missed: float = 4e-4,
     """
     spark = rows.sparkSession
     ship(spark)
-    scratch, parts = Scratch(spark), 4 * partitions(spark)
+    scratch = Scratch(spark)
     single = rows.schema["embedding"].dataType.elementType == FloatType()
     bits, tables = settings(rows.count(), least, missed)
     coded = scratch.save(_coded(rows.select("vec_id", "embedding", "label"), tables, bits, single).withColumn("mark", F.sha2("vec", 256)))
@@ -162,6 +164,9 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, missed: float = 4e-4,
     key = ["label", "dim", "table", "code"]
     crowded = scratch.save(hashed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))
     salts = crowded.select(*key, F.when(F.col("n") > cell, F.ceil(F.col("n") * 2 / cell)).otherwise(1).cast("int").alias("salts"))
+    cells = crowded.agg(F.sum(F.col("n") * F.when(F.col("n") > cell, F.ceil(F.col("n") * 2 / cell)).otherwise(1))).first()[0] or 0
+    each = (nodes.agg(F.max("dim")).first()[0] or 0) + 4 * tables + 64
+    parts = max(partitions(spark), -(-int(cells) * each // GROUP))
     placed = (
         lookup(hashed, salts, key, crowded).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
