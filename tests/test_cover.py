@@ -47,6 +47,44 @@ def test_ranges_reach_the_scan(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, points.collect())) and out.count() > 100
 
 
+def test_curve(spark):
+    from voxelry.sources.layout import morton
+
+    with pytest.raises(ValueError, match="fit"):
+        morton([F.col(c) for c in "tzyx"], 16)
+
+
+def test_boxes_read_less_along_the_curve(spark, tmp_path):
+    """The same rows from a box; of the bytes in row groups that it can't do without, far fewer than in a table sorted by time alone."""
+    from pyarrow import parquet
+
+    from voxelry.sources import layout
+
+    df = spark.range(32 * 2 * 64 * 64).selectExpr("id % 32 AS t", "(id div 32) % 2 AS z", "(id div 64) % 64 AS y", "(id div 4096) AS x", "rand(3) AS v")
+    df = Scratch(spark).save(df)
+    layout.save_along_curve(df, f"{tmp_path}/curve", rows=1 << 16, group=1 << 15)
+    df.repartitionByRange(4, "t").sortWithinPartitions("t", "v").write.option("parquet.block.size", 1 << 15).option("parquet.block.size.row.check.min", 1000).parquet(f"{tmp_path}/plain")
+    box, bounds = "t BETWEEN 4 AND 11 AND z = 1 AND y BETWEEN 16 AND 23 AND x < 8", {"t": (4, 11), "z": (1, 1), "y": (16, 23), "x": (0, 7)}
+    rows = [sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{n}").where(box).select("t", "z", "y", "x", "v").collect())) for n in ("curve", "plain")]
+    assert rows[0] == rows[1] and len(rows[0]) == 8 * 8 * 8
+
+    def needed(folder):
+        total, asked = 0, 0
+        for f in folder.glob("*.parquet"):
+            meta = parquet.ParquetFile(f).metadata
+            names = meta.schema.names
+            for g in range(meta.num_row_groups):
+                group = meta.row_group(g)
+                stats = {n: group.column(names.index(n)).statistics for n in bounds}
+                total += group.total_byte_size
+                asked += group.total_byte_size * all(stats[n].min <= b and a <= stats[n].max for n, (a, b) in bounds.items())
+        return asked / total
+
+    assert needed(tmp_path / "curve") < 0.2 < 0.24 < needed(tmp_path / "plain")
+    layout.save_along_curve(df.where("false"), f"{tmp_path}/none")
+    assert spark.read.parquet(f"{tmp_path}/none").count() == 0
+
+
 def test_envelopes():
     rng = random.Random(1)
     for _ in range(800):

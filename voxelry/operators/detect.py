@@ -5,19 +5,22 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DIMS, Grid
-from ..ship import tidied
-from ..storage import Scratch
+from ..ship import ship, tidied
+from ..storage import Scratch, partitions
 from .assign import least_total
 from .component_tree import leaves, tree
 from .graph import components, consecutive
 from .labelling import binary_erode, label, neighbours
 
 SPACE = ("z", "y", "x")
+#: Voxels whose rows of the grid one group of a task smooths, about.
+LINES = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -32,27 +35,46 @@ class Subnet:
 def smooth(field: DataFrame, value: str, sigma: float, grid: Grid, dims: tuple[str, ...] = SPACE, truncate: float = 4.0) -> DataFrame:
     """t, z, y, x and the value under a Gaussian of `sigma` grid steps, axis by axis; missing voxels count as 0, and the grid's edges mirror.
 
-    Each voxel tells the ones in reach what it adds to them, so only voxels near others come into being.
+    Each voxel tells the ones in reach what it adds to them, so only voxels near others come into being. Rows of the grid lie whole in a group, many
+    together, so only voxels are shuffled, once for each axis. Voxels that repeat add up; null values and rows without a place are left out. No rows: none.
     """
+    ship(field.sparkSession)
     reach = int(truncate * sigma + 0.5)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
-    out = field.select(*DIMS, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    weights = [w / sum(weights) for w in weights]
+    out = field.select(*DIMS, F.col(value).cast("double").alias(value)).dropna()
+    parts = max(partitions(field.sparkSession), -(-out.count() // LINES))
     for d in dims:
-        n = grid.size(d)
-        here = F.col(d).cast("int")
-        to = []
-        for k, w in zip(range(-reach, reach + 1), weights, strict=True):
-            for turn in range(-(reach // (2 * n)) - 1, reach // (2 * n) + 2):  # itself and its images, which repeat every 2 n steps
-                for first, place in ((-k, here - k), (-n - k, -here - 1 - k)):  # the least place, with `here` from 0 to n - 1
-                    if -n < first + 2 * n * turn < n:
-                        at = place + 2 * n * turn
-                        to.append(F.when((at >= 0) & (at < n), F.struct(at.alias("p"), F.lit(w / sum(weights)).alias("w"))))
         rest = [c for c in DIMS if c != d]
-        moved = out.select(*rest, value, F.explode(F.array_compact(F.array(*to))).alias("_to"))
-        out = moved.groupBy(*rest, F.col("_to.p").alias(d)).agg(F.sum(F.col(value) * F.col("_to.w")).alias(value)).select(*DIMS, value)
+        dealt = out.withColumn("part", F.pmod(F.xxhash64(*rest), F.lit(parts)).cast("int"))
+        out = dealt.groupBy("part").applyInArrow(tidied(_along(rest, d, value, grid.size(d), reach, weights)), out.schema)
     return out
 
 
+def _along(rest: list[str], d: str, value: str, n: int, reach: int, weights: list[float]):
+    def run(key, t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in (*rest, d, value)])
+        keys, here, v = [t[c].to_numpy() for c in rest], t[d].to_numpy().astype(np.int64), t[value].to_numpy()
+        fresh = np.ones(len(v), bool)
+        fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        line, head = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        to, add = [], []
+        for k, w in zip(range(-reach, reach + 1), weights, strict=True):
+            for turn in range(-(reach // (2 * n)) - 1, reach // (2 * n) + 2):  # itself and its images, which repeat every 2 n steps
+                for place in (here - k, -here - 1 - k):
+                    at = place + 2 * n * turn
+                    hit = (at >= 0) & (at < n)
+                    if hit.any():
+                        to.append(line[hit] * n + at[hit])
+                        add.append(v[hit] * w)
+        cells, back = np.unique(np.concatenate(to), return_inverse=True)
+        which, place = head[cells // n], cells % n
+        columns = {c: pa.array(k[which]) for c, k in zip(rest, keys, strict=True)} | {d: pa.array(place.astype(t[d].to_numpy().dtype)), value: pa.array(np.bincount(back, np.concatenate(add), len(cells)))}
+        return pa.table([columns[c] for c in (*DIMS, value)], names=[*DIMS, value])
+
+    return run
+
+
 def _centre(d: str, grid: Grid, periodic: tuple[str, ...]) -> Column:
     """Mean place along an axis, weighted by `over` where there is any; along a periodic one on the circle."""
 

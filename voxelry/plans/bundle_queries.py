@@ -31,7 +31,7 @@ _FIELD = (
     "WITH " + q.COLUMNS + ", fld AS (SELECT *, CAST(col % 60 AS INTEGER) AS t, CAST(lev - 1 AS INTEGER) AS z, CAST((col // 60) // 15 AS INTEGER) AS y, CAST((col // 60) % 15 AS INTEGER) AS x, "
     "((col // 60) % 15) * CAST(0.5 AS DOUBLE) AS glon, ((col // 60) // 15) * CAST(0.5 AS DOUBLE) AS glat, cli * CAST(100 AS DOUBLE) AS pr FROM cols), "
     "msk AS (SELECT t, z, y, x, CAST(1 + (y // 3) * 5 + x // 3 AS BIGINT) AS system, CASE WHEN wa_phy > 1 AND t >= 2 + (1 + (y // 3) * 5 + x // 3) % 7 THEN CAST((1 + (y // 3) * 5 + x // 3) * 10 + t // 10 AS BIGINT) END AS u_tracks "
-    "FROM fld WHERE clw >= 0.00002 AND (z > 3 OR (z IN (1, 2) AND col % 2 = 0) OR col % 8 = 0)), "
+    "FROM fld WHERE clw >= 0.00002 AND (z > 3 OR (z IN (1, 2) AND wa_phy > 1.55) OR wa_phy > 3.45)), "
     "pu AS (SELECT system, u_tracks, min(t) AS start, count(*) AS n, arg_min(y, row(t, z, y, x)) AS y, arg_min(x, row(t, z, y, x)) AS x FROM msk WHERE u_tracks > 0 GROUP BY 1, 2), "
     "cen AS (SELECT system, start - 1 AS t, x * CAST(0.5 AS DOUBLE) AS clon, y * CAST(0.5 AS DOUBLE) AS clat FROM (SELECT *, row_number() OVER (PARTITION BY system ORDER BY start, n DESC, u_tracks) AS k FROM pu) WHERE k = 1), "
     f"th AS (SELECT *, ta * pow(100000.0 / pfull, 0.2857) AS theta, {q.RH} AS rh, hus * {q.RHO} * {_AREA} * dzghalf AS tpwv FROM fld), "

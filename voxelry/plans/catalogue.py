@@ -729,13 +729,13 @@ def lifetime_normalised(spark, sf):
     return lineage.lifetime_normalised(records(spark, sf), "dcc", ["time", "row"], "npix").withColumn("value", _r("value"))
 
 
-_MAPS = ", m1 AS (SELECT DISTINCT dcc AS old, least(dcc, dcc // 2 + 1) AS new FROM rec), m2 AS (SELECT old, min(new) - 0 AS new FROM m1 WHERE old % 3 = 0 GROUP BY 1) "
+_MAPS = ", m1 AS (SELECT DISTINCT dcc AS old, least(dcc, dcc // 2 + 1) AS new FROM rec), m2 AS (SELECT old, min(new) - 0 AS new FROM m1 WHERE old > new + 20 GROUP BY 1) "
 
 
 def _maps(spark, sf):
     r = records(spark, sf)
     m1 = r.select(F.col("dcc").alias("old"), F.least(F.col("dcc"), F.expr("dcc DIV 2 + 1")).alias("new")).distinct()
-    return r, m1, m1.where("old % 3 = 0")
+    return r, m1, m1.where("old > new + 20")
 
 
 @query(_R[:-1] + _MAPS + "SELECT m1.old, coalesce(m2.new, m1.new) AS new FROM m1 LEFT JOIN m2 ON m1.new = m2.old")

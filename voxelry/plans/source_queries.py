@@ -9,7 +9,7 @@ from ..functions.grids import region_box
 from ..functions.physics import healpix
 from ..model import DIMS, Grid
 from ..operators import labelling
-from ..sources import gridded, spans
+from ..sources import gridded, layout, spans
 from ..sources.adapters import table, voxels
 from ..storage import Scratch
 from . import sqltext as q
@@ -27,6 +27,14 @@ def gridded_box(spark, sf):
     return found.select(F.col("t_at").cast("int").alias("t"), *(F.col(d).cast("int").alias(d) for d in ("z", "y", "x")), "vmax", F.col("n").cast("long").alias("n"))
 
 
+@query("WITH " + q.vox("v", "all") + f" SELECT {PLACE}, vmax, n FROM v WHERE t BETWEEN 10 AND 45 AND z <= 1 AND y BETWEEN 0 AND 40 AND x < 10")
+def curve_box(spark, sf):
+    """A box of voxels from a table that is stored along a space-filling curve."""
+    path = Scratch(spark).folder("curve")
+    layout.save_along_curve(voxels(spark, sf, "all"), path)
+    return spark.read.parquet(path).where("t BETWEEN 10 AND 45 AND z <= 1 AND y BETWEEN 0 AND 40 AND x < 10")
+
+
 _LON, _LAT = "CAST((o_orderkey * 37) % 3600 AS DOUBLE) / CAST(10 AS DOUBLE) - 180", "CAST((o_orderkey * 17) % 1790 AS DOUBLE) / CAST(10 AS DOUBLE) - 89.5"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 STEP_SECONDS, FIRST_STEP = 43200, 39446
 TYPES = ("view", "click", "signup", "purchase", "error")
-MASKS = {"cloud": "value >= 5", "ice": "event_id % 3 <> 0 AND value >= 5", "updraft": "event_id % 3 <> 1 AND value >= 5", "all": "true"}
+MASKS = {"cloud": "value >= 5", "ice": "value >= 5 AND value < 110", "updraft": "value >= 35", "all": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,6 @@ def grid_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """t, z, y, x, system, u_tracks: cloudy voxels of grid_field() in blocks of three by three columns, in two layers; rising ones, from a step on, in tracks of ten steps."""
-    f = grid_field(spark, sf_dir).where("clw >= 0.00002 AND (z > 3 OR (z IN (1, 2) AND col % 2 = 0) OR col % 8 = 0)")
+    f = grid_field(spark, sf_dir).where("clw >= 0.00002 AND (z > 3 OR (z IN (1, 2) AND wa_phy > 1.55) OR wa_phy > 3.45)")
     block = F.expr("CAST(1 + (y DIV 3) * 5 + x DIV 3 AS BIGINT)")
     return f.select("t", "z", "y", "x", block.alias("system"), F.when((F.col("wa_phy") > 1) & (F.col("t") >= 2 + block % 7), block * 10 + F.expr("t DIV 10")).alias("u_tracks"))
