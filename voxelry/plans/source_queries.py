@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from ..functions.cover import cover, within
 from ..functions.grids import region_box
 from ..functions.physics import healpix
 from ..model import DIMS, Grid
-from ..operators import labelling
-from ..sources import gridded, layout, spans
+from ..operators import bundles, environment, labelling
+from ..sources import gridded, layout, readers, spans
 from ..sources.adapters import table, voxels
 from ..storage import Scratch
 from . import sqltext as q
@@ -77,3 +79,65 @@ def resumed_statistics(spark, sf):
     runs.run(sizes, compute, budget, most=2)
     runs.run(sizes, compute, budget)
     return runs.results()
+
+
+_CLOUD = q.with_(q.vox("v"), q.labelled("l", "v", q.FACES_4D))
+
+
+@query(_CLOUD + "SELECT label AS system, CAST(max(n) AS BIGINT) AS size FROM (SELECT label, t, z, count(*) AS n FROM l GROUP BY 1, 2, 3) GROUP BY 1")
+def largest_slice(spark, sf):
+    """The guard of the statistics: the most pixels of an object in one level of one step."""
+    return bundles.largest_slice(labelling.label(voxels(spark, sf), GRID, Scratch(spark)).withColumnRenamed("label", "system"))
+
+
+@query(q.with_(q.vox("v"), q.labelled("l", "v", [s for s in product((-1, 0, 1), repeat=4) if any(s)])) + f"SELECT {PLACE}, label FROM l")
+def connect_corners(spark, sf):
+    """Objects by the name of a method: corners and edges in space and time."""
+    return labelling.connect(voxels(spark, sf), GRID, Scratch(spark), "corners").select(*DIMS, "label")
+
+
+@query("WITH " + q.vox("v", "all") + f" SELECT {PLACE}, n AS label FROM v WHERE n > 0")
+def saved_mask(spark, sf):
+    """A mask written in place of an earlier one, whose background has no rows, and read back."""
+    path = Scratch(spark).folder("mask")
+    mask = voxels(spark, sf, "all").select(*DIMS, F.col("n").alias("label"))
+    readers.save_mask(mask.unionByName(mask.withColumn("t", F.col("t") + 1000).withColumn("label", F.lit(0).cast("long"))), path)
+    readers.save_mask(mask, path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def csv_records(spark, sf):
+    """Records written as CSV, added to, and read back by name."""
+    path = Scratch(spark).folder("csv")
+    readers.write_csv(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    readers.write_csv(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal")), path, append=True)
+    return readers.read_csv(spark, path, "c_custkey long, c_name string, c_acctbal double")
+
+
+@query("SELECT o_orderkey, year(o_orderdate) || '' AS day, CASE WHEN year(o_orderdate) >= 1995 THEN o_totalprice END AS price FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 1996")
+def day_folders(spark, sf):
+    """Records of several folders, one of which has no prices."""
+    root, days = Scratch(spark).folder("days"), [str(y) for y in range(1993, 1997)]
+    for d in days:
+        one = table(spark, sf, "orders").where(F.year("o_orderdate") == int(d)).select("o_orderkey", F.col("o_totalprice").alias("price"))
+        (one if d >= "1995" else one.drop("price")).write.parquet(f"{root}/{d}")
+    return readers.day_records(spark, root, days).select("o_orderkey", "day", "price")
+
+
+_LINES = (
+    "g AS (SELECT t, z, y, x, vmax FROM v), size AS (SELECT max(y) + 1 AS ny FROM v), c AS (SELECT t, CAST(avg(y) AS INTEGER) AS y0, CAST(avg(x) AS INTEGER) AS x0 FROM v GROUP BY t), "
+    "s AS (SELECT c.t, k AS step, y0 + k * CAST(0.8 AS DOUBLE) AS py, x0 + k * CAST(0.6 AS DOUBLE) AS px FROM c, size, range(-(ny + 15), ny + 16) r(k) WHERE y0 + k * CAST(0.8 AS DOUBLE) BETWEEN 0 AND ny - 1 AND x0 + k * CAST(0.6 AS DOUBLE) BETWEEN 0 AND 14), "
+    "f AS (SELECT t, step, CAST(floor(py) AS INTEGER) + a AS y, CAST(floor(px) AS INTEGER) + b AS x, CASE a WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END * CASE b WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END AS w FROM s, range(2) ra(a), range(2) rb(b)) "
+)
+
+
+@query("WITH " + q.vox("v", "all") + ", " + _LINES + "SELECT t, z, step, round(CASE WHEN sum(w) > 1 - 1e-9 THEN sum(w * vmax) END, 4) + 0.0 AS vmax FROM f JOIN g USING (t, y, x) WHERE w > 0 GROUP BY 1, 2, 3")
+def wind_transect(spark, sf):
+    """Values along a line through the middle of each step, to the edges of the grid."""
+    v = Scratch(spark).save(voxels(spark, sf, "all"))
+    top = int(v.agg(F.max("y")).first()[0] or 0) + 1
+    centre = v.groupBy("t").agg(F.bround(F.avg("y")).cast("int").alias("y"), F.bround(F.avg("x")).cast("int").alias("x"))
+    wind = centre.select("t", F.lit(3.0).alias("u"), F.lit(4.0).alias("v"))
+    out = environment.transect(centre, wind, v, top, 15, "vmax", keys=("t",))
+    return out.select("t", "z", F.col("step").cast("long").alias("step"), (F.round("vmax", 4) + F.lit(0.0)).alias("vmax"))
