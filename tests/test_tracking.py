@@ -142,3 +142,13 @@ def test_least_total_gives_other_tracks(spark):
     near, best = ({r.feature: r.cell for r in detect.link_features(df, 1.5, Scratch(spark), subnet=s).collect()} for s in (None, detect.Subnet()))
     assert near[2] == near[3] and near[1] != near[3] and near[4] not in (near[1], near[2])
     assert best[1] == best[3] and best[2] == best[4]
+
+
+def test_large_parts_go_on_by_rounds(spark, monkeypatch):
+    """A row of features whose distances all tie: one connected part, beyond what a task may finish."""
+    monkeypatch.setattr(detect, "PART", 3)
+    n = 5
+    rows = [(i + 1, 0, 0.0, 0.0, float(i)) for i in range(n)] + [(n + i + 1, 1, 0.0, 0.0, i + 0.5) for i in range(n)]
+    df = spark.createDataFrame(rows, "feature long, t int, zc double, yc double, xc double")
+    got = {r.feature: r.cell for r in detect.link_features(df, 0.6, Scratch(spark), min_steps=2, most_rounds=0).collect()}
+    assert all(got[i + 1] == got[n + i + 1] == i + 1 for i in range(n))

@@ -19,6 +19,8 @@ from .graph import components, consecutive
 from .labelling import binary_erode, label, neighbours
 
 SPACE = ("z", "y", "x")
+#: Pairs of features that one task links one by one, at most.
+PART = 1 << 16
 #: Voxels whose rows of the grid one group of a task smooths, about.
 LINES = 1 << 17
 
@@ -201,21 +203,25 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return some.groupBy("pa", "pb").agg(F.min("best").alias("best"))
 
 
-def _greedy(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) of the pairs (a, b, d) taken in their order, each feature once."""
-    found = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
+def _finished(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the pairs (a, b, d) taken in their order, each end once, in all connected parts of up to PART pairs; and the pairs of larger parts."""
+    # a feature is a first end in one step's pairs and a second in another's: even and odd numbers
+    found = components(pairs.select((F.col("a") * 2).alias("src"), (F.col("b") * 2 + 1).alias("dst")), scratch)
+    named = scratch.save(pairs.join(found.where("node % 2 = 0").select(F.expr("node div 2").alias("a"), F.col("component").alias("part")), "a"))
+    large = scratch.save(named.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("part"))
 
     def run(key, table):
         table = table.sort_by([("d", "ascending"), ("a", "ascending"), ("b", "ascending")])
-        used, out = set(), []
+        first, second, out = set(), set(), []
         for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
-            if a not in used and b not in used:
-                used |= {a, b}
+            if a not in first and b not in second:
+                first.add(a)
+                second.add(b)
                 out.append((a, b))
         return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    both = pairs.join(found, F.col("a") == F.col("node")).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "d", "component")
-    return both.groupBy("component").applyInArrow(tidied(run), "a long, b long")
+    small = named.join(large, "part", "left_anti").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "d", "part")
+    return scratch.save(small.groupBy("part").applyInArrow(tidied(run), "a long, b long")), scratch.save(named.join(large, "part").select("a", "b", "d"))
 
 
 def _cell(c: str, radius: float) -> Column:
@@ -243,18 +249,19 @@ def _candidates(features: DataFrame, radius: float) -> DataFrame:
 def _one_to_one(features: DataFrame, radius: float, scratch: Scratch, most_rounds: int) -> DataFrame:
     """(a, b): candidate pairs, nearest first, each feature once."""
     open_ = scratch.save(_candidates(features, radius))
-    taken = None
-    for _ in range(most_rounds):
-        by = lambda k: F.row_number().over(Window.partitionBy(k).orderBy("d", "a", "b"))
-        mutual = scratch.save(open_.withColumn("ra", by("a")).withColumn("rb", by("b")).where("ra = 1 AND rb = 1").select("a", "b"))
-        if mutual.isEmpty():
-            break
-        taken = mutual if taken is None else taken.unionByName(mutual)
-        open_ = scratch.save(open_.join(mutual.select("a"), "a", "left_anti").join(mutual.select("b"), "b", "left_anti"))
-    else:
-        rest = scratch.save(_greedy(open_, scratch))
-        taken = rest if taken is None else taken.unionByName(rest)
-    return taken if taken is not None else open_.select("a", "b")
+    taken = open_.select("a", "b").where("false")
+    while True:
+        for _ in range(most_rounds):
+            by = lambda k: F.row_number().over(Window.partitionBy(k).orderBy("d", "a", "b"))
+            mutual = scratch.save(open_.withColumn("ra", by("a")).withColumn("rb", by("b")).where("ra = 1 AND rb = 1").select("a", "b"))
+            if mutual.isEmpty():
+                return taken
+            taken = taken.unionByName(mutual)
+            open_ = scratch.save(open_.join(mutual.select("a"), "a", "left_anti").join(mutual.select("b"), "b", "left_anti"))
+        done, open_ = _finished(open_, scratch)
+        taken, most_rounds = taken.unionByName(done), max(1, most_rounds)
+        if open_.isEmpty():
+            return taken
 
 
 def _velocities(features: DataFrame, links: DataFrame, radius: float) -> DataFrame:
@@ -278,8 +285,8 @@ def link_features(features: DataFrame, radius: float, scratch: Scratch, drift: t
     Places are moved by the drift (y, x a step) before they are compared; predict: so often, all are
     linked again with places moved by the velocities that the links before give them. Among all pairs the nearest
     is taken first (then the smaller numbers), as mutual nearest ones round by round. Pairs that are
-    open after most_rounds (chains of ties settle one a round) are finished one by one, each
-    connected part of them in a task. Cells are chains of pairs, numbered from 1 by their first feature; chains shorter than min_steps get 0.
+    open after most_rounds (chains of ties settle one a round) are finished one by one in connected parts of up to PART pairs;
+    larger parts go on by rounds. Cells are chains of pairs, numbered from 1 by their first feature; chains shorter than min_steps get 0.
     """
     placed = features.select("feature", "t", *(f"{d}c" for d in SPACE), F.lit(0.0).alias("vz"), F.lit(float(drift[0])).alias("vy"), F.lit(float(drift[1])).alias("vx"))
 
