@@ -22,6 +22,8 @@ from .textops import gather, slices
 
 #: Labels of a byte: no token ends with it, one of A does, one of B does, or both.
 A_END, B_END, BOTH = 1, 2, 3
+#: Bytes of texts that tell their pairs together, about.
+CHUNK = 2 << 20
 #: A stretch of bytes up to one with which tokens of both end.
 SPAN = re.compile(rb"[^\x03]*\x03")
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -179,8 +181,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, scratch: Scratch | None = N
     whether its doc_id is null or repeated; other columns are not read. No rows: none.
 
     Every byte gets a label; a scan by regular expression cuts at those where both end. A labelled byte is a link: it ends what one
-    token of A and one of B share. A batch of texts tells its different pairs with the number of its documents
-    that hold them; Spark adds them up, finds each A id's highest, and tells the batch, which has kept its links as places among its pairs.
+    token of A and one of B share. A chunk of texts tells its different pairs with the number of its documents
+    that hold them; Spark adds them up, finds each A id's highest, and tells the chunk, which has kept its links as places among its pairs.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -193,26 +195,28 @@ def align(docs: DataFrame, a_path: str, b_path: str, scratch: Scratch | None = N
 
         tool, chunk = aligner(a_path, b_path), TaskContext.get().partitionId() << 32
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows, doc, pair, place = [], [], [], 0
-            for lo, _, buf, offsets in slices(batch.column(1)):
-                found = tool.align(buf, offsets)
-                rows.append(found)
-                doc.append(found["doc"] + lo)
-                pair.append(found["pair"])
-            doc, pair = np.concatenate(doc), np.concatenate(pair)
-            keys, place = np.unique(pair, return_inverse=True)
-            held = np.unique(doc * max(1, len(keys)) + place)  # each document's different pairs
-            counts = np.bincount(held % max(1, len(keys)), minlength=len(keys))
-            bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
-            links = [pack(place[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
-            whole = {c: np.concatenate([r[c] for r in rows]) for c in ("n_a", "n_b", "n_groups", "n_links")}
-            yield _batch({"chunk": np.full(batch.num_rows, chunk), "doc_id": batch.column(0).cast(pa.int64()), "groups_sha256": [x for r in rows for x in r["sha"]], "links": links, **whole}, batch.num_rows)
-            for lo in range(0, len(keys), 1 << 16):
-                part = keys[lo : lo + (1 << 16)]
-                yield _batch({"chunk": np.full(len(part), chunk), "pair": part, "n": counts[lo : lo + (1 << 16)]}, len(part))
-            chunk += 1
+            held, size = [], 0
+            for lo, hi, buf, offsets in slices(batch.column(1)):
+                held.append((lo, hi, tool.align(buf, offsets)))
+                size += len(buf)
+                if size >= CHUNK or hi == batch.num_rows:
+                    yield from told_of(batch.column(0).slice(held[0][0], hi - held[0][0]), held, chunk)
+                    held, size, chunk = [], 0, chunk + 1
+
+    def told_of(ids, held, chunk: int):
+        """What a chunk of texts tells: a row for each of them, and its different pairs."""
+        base, n = held[0][0], len(ids)
+        doc = np.concatenate([f["doc"] + lo - base for lo, _, f in held])
+        keys, place = np.unique(np.concatenate([f["pair"] for _, _, f in held]), return_inverse=True)
+        once = np.unique(doc * max(1, len(keys)) + place)  # each document's different pairs
+        counts = np.bincount(once % max(1, len(keys)), minlength=len(keys))
+        bounds = np.searchsorted(doc, np.arange(n + 1)).tolist()
+        links = [pack(place[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)]
+        whole = {c: np.concatenate([f[c] for _, _, f in held]) for c in ("n_a", "n_b", "n_groups", "n_links")}
+        yield _batch({"chunk": np.full(n, chunk), "doc_id": ids.cast(pa.int64()), "groups_sha256": [x for _, _, f in held for x in f["sha"]], "links": links, **whole}, n)
+        for lo in range(0, len(keys), 1 << 16):
+            part = keys[lo : lo + (1 << 16)]
+            yield _batch({"chunk": np.full(len(part), chunk), "pair": part, "n": counts[lo : lo + (1 << 16)]}, len(part))
 
     width = sentencepiece.SentencePieceProcessor(model_file=local(b_path)).get_piece_size()
     step = scratch.save(docs.select("doc_id", "text").mapInArrow(tidied(run, keeps=True), _STEP))
