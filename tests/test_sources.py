@@ -97,6 +97,22 @@ def test_files_for_spans(spark):
     assert [r.path for r in spans.gaps(index).collect()] == [names[1]]
 
 
+def test_counted_files(spark):
+    """As needed() counts them, for spans and files of any length; files of the same times stand as one row, so that no pairs are made."""
+    rng = random.Random(5)
+    at = lambda: f"202001{rng.randrange(1, 6):02d}T{rng.choice((0, 0, 6, 23)):02d}00"
+    index = spans.spans(spark.createDataFrame([(f"/a/m_{at()}-{at()}_{k}.nc",) for k in range(300)], "path string"))
+    stamp = lambda c: F.to_timestamp(c, "yyyyMMdd'T'HHmm").cast("timestamp_ntz").alias(c)
+    asked = spark.createDataFrame([(k, at(), at()) for k in range(200)], "name long, start string, stop string").select("name", stamp("start"), stamp("stop"))
+    for closed in (True, False):
+        want = spans.needed(index, asked, closed).groupBy("name").agg(F.count("*").alias("files"), F.min("path").alias("first"))
+        got = spans.counted(index, asked, closed).select("name", "files", "first")
+        assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 50
+    same = spark.range(20000).select(F.concat(F.lit("/a/m_20200101T0000-20200102T1200_"), F.col("id").cast("string")).alias("path"))
+    many = spark.range(20000).select(F.col("id").alias("name"), F.lit("20200101T0000").alias("start"), F.lit("20200103T0000").alias("stop")).select("name", stamp("start"), stamp("stop"))
+    assert spans.counted(spans.spans(same), many).agg(F.sum("files")).first()[0] == 20000 * 20000
+
+
 def test_listed_files(spark, tmp_path):
     os.makedirs(f"{tmp_path}/d/e")
     for n in ("d/m_20200101T0000-20200102T0000.nc", "d/e/m_20200102T0000-20200103T0000.nc", "d/other.txt"):

@@ -41,6 +41,24 @@ def needed(index: DataFrame, asked: DataFrame, closed: bool = True) -> DataFrame
     return spans_.join(files, "_day").where(meets).where(once).drop("_day", "_a", "_b")
 
 
+def counted(index: DataFrame, asked: DataFrame, closed: bool = True) -> DataFrame:
+    """The rows of asked (start, stop and others) with `files`, how many rows of needed() they have, and `first`, the smallest path; those without a file are left out.
+
+    No pair of a span and a file is written out. On each day that they have, files of the same times within that day stand as one row with their number, and
+    so do spans of the same times. The rows that meet are bounded by the different times of a day, to the minute in names of files, not by the files.
+    """
+    day = lambda c: F.floor(F.unix_date(F.to_date(c)) / BIN)
+    midnight = lambda n: F.date_from_unix_date(((F.col("_day") + n) * BIN).cast("int")).cast("timestamp_ntz")
+    before = F.when(F.col("_a") < midnight(0), midnight(-1)).otherwise(F.col("_a"))
+    files = index.where("start <= stop").select("path", F.col("start").alias("_a"), F.col("stop").alias("_b"), _days(F.col("start"), F.col("stop")).alias("_day"))
+    files = files.groupBy("_day", before.alias("_a"), F.least("_b", midnight(1)).alias("_b")).agg(F.count("*").alias("_n"), F.min("path").alias("_path"))
+    times = asked.where("start <= stop").select("start", "stop").distinct()
+    meets = "_a <= stop AND start <= _b" if closed else "_a < stop AND start < _b"
+    met = times.withColumn("_day", _days(F.col("start"), F.col("stop"))).join(files, "_day").where(meets).where((F.col("_day") == day(F.col("_a"))) | (F.col("_day") == day(F.col("start"))))
+    found = met.groupBy("start", "stop").agg(F.sum("_n").alias("files"), F.min("_path").alias("first"))
+    return asked.join(found, ["start", "stop"])
+
+
 def gaps(index: DataFrame) -> DataFrame:
     """Files (path, start, stop) after which no other begins just where they end, though later ones follow: where a chain of files breaks."""
     following = index.select(F.col("start").alias("stop")).distinct()
