@@ -121,3 +121,18 @@ def test_chunks_without_voxels(spark, tmp_path):
     for k, part in enumerate((none, some, none, some)):
         assert links.add(k, part).count() == 0
     assert groups(links.links(Scratch(spark)).collect()) == {1: {(1, 1)}, 2: {(3, 1)}}
+
+
+@pytest.mark.parametrize(("dims", "full", "periodic"), [(("t", "z", "y", "x"), True, ("t", "y", "x")), (("z", "y", "x"), False, ())])
+def test_labels_of_blocks(spark, dims, full, periodic, monkeypatch):
+    """Blocks of any size give the same labels, and only what touches their borders is left for components()."""
+    rng, grid, ties = random.Random(7), Grid(t=4, z=2, y=96, x=9), []
+    cells = [p for p in itertools.product(range(4), range(2), range(96), range(9)) if rng.random() < 0.4]
+    df = spark.createDataFrame(cells, VOXEL)
+    monkeypatch.setattr(labelling, "components", lambda edges, scratch, f=labelling.components: ties.append(edges.count()) or f(edges, scratch))
+    out = []
+    for block in ({"t": 32, "z": 8, "y": 32}, {"t": 1, "z": 1, "y": 2}):
+        monkeypatch.setattr(labelling, "BLOCK", block)
+        out.append(sorted(labelling.label(df, grid, Scratch(spark), dims=dims, full=full, periodic=periodic).collect()))
+    assert out[0] == out[1] and len(out[0]) == len(cells)
+    assert 0 < ties[0] < len(cells) / 10 < ties[1]

@@ -5,15 +5,20 @@ from __future__ import annotations
 import uuid
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DIMS, Grid
+from ..ship import ship, tidied
 from ..storage import Scratch
-from .graph import components, consecutive
+from .graph import components, consecutive, union
 
 #: Steps along x by which runs of neighbouring rows find each other.
 STRETCH = 64
+#: Steps of t, z and y that one block of rows spans; the runs of a block, with copies of those that border on it, are a group of a task.
+BLOCK = {"t": 32, "z": 8, "y": 32}
 
 
 def offsets(dims: tuple[str, ...], full: bool = False) -> list[dict[str, int]]:
@@ -96,6 +101,84 @@ def run_neighbours(rows: DataFrame, grid: Grid, dims: tuple[str, ...] = DIMS, fu
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def _touching(row: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, grid: Grid, steps: list[dict[str, int]], full: bool, periodic: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs that touch, of runs in the order of their rows (t, z, y) and of lo."""
+    key = lambda r: (r[0] * grid.z + r[1]) * grid.y + r[2]
+    keys, at = np.unique(key(row), return_inverse=True)
+    base, reach, every = int(lo.min()) - 2, int(full), np.ones(len(lo), bool)
+    width = int(hi.max()) - base + 4
+    firsts, lasts, out = at * width + (lo - base), at * width + (hi - base), []
+    west, east, far = lo == 0, hi == grid.x - 1, np.full(len(lo), grid.x - 1)
+    spans = [(every, lo - reach, hi + reach)]
+    if full and "x" in periodic:
+        spans += [(west, far, far), (east, far - far, far - far)]
+    asks = [(step, spans) for step in steps]
+    if "x" in periodic:
+        asks.append(({}, [(east, far - far, far - far)]))
+    for step, asked in asks:
+        to, inside = [], every
+        for d, r in zip(("t", "z", "y"), row, strict=True):
+            r = r + step.get(d, 0)
+            if d in periodic and step.get(d):
+                r = r % grid.size(d)
+            elif step.get(d):
+                inside = inside & (r >= 0) & ((r < grid.size(d)) | (d == "t"))
+            to.append(r)
+        where = np.minimum(np.searchsorted(keys, key(to)), len(keys) - 1)
+        inside = inside & (keys[where] == key(to))
+        for mask, low, high in asked:
+            own = np.flatnonzero(inside & mask)
+            a = np.searchsorted(lasts, where[own] * width + np.clip(low[own] - base, 0, width - 1))
+            b = np.searchsorted(firsts, where[own] * width + np.clip(high[own] - base, 0, width - 1), "right")
+            n = np.maximum(b - a, 0)
+            out.append((np.repeat(own, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (at[:0], at[:0])
+
+
+def block_parts(rows: DataFrame, grid: Grid, dims: tuple[str, ...] = DIMS, full: bool = False, periodic: tuple[str, ...] = ()) -> DataFrame:
+    """Of runs (t, z, y, lo, hi, first, n): each with its part (tie false: node, part, n), and ties of nodes to parts (tie true: node, part).
+
+    A run is dealt to its block of rows, and as a copy to each block that its neighbours in half of the directions lie in. There all pairs that touch are found
+    and joined. A run without a copy has as its part the smallest run that it reaches in its block; one with copies is its own part, and its ties say what it reaches in each of
+    its blocks. So only runs at borders are left to be joined.
+    """
+    ship(rows.sparkSession)
+    steps = offsets(tuple(d for d in dims if d != "x"), full) if len(dims) > 1 else []
+    rows = rows.select(*(F.col(c).cast("long").alias(c) for c in ("t", "z", "y", "lo", "hi", "first", "n")))
+    blocks = []
+    for step in ({}, *steps):
+        place, inside = [], F.lit(True)
+        for d in ("t", "z", "y"):
+            to = F.col(d) + step.get(d, 0)
+            if d in periodic and step.get(d):
+                to = F.pmod(to, F.lit(grid.size(d)))
+            elif step.get(d):
+                inside = inside & (to >= 0) & ((to < grid.size(d)) if d != "t" else F.lit(True))
+            place.append(F.floor(to / BLOCK[d]))
+        blocks.append(F.when(inside, F.xxhash64(*place)))  # blocks of the same hash are one group
+    dealt = rows.withColumn("blocks", F.array_distinct(F.array_compact(F.array(*blocks)))).withColumn("copied", F.size("blocks") > 1)
+    dealt = dealt.select("t", "z", "y", "lo", "hi", "first", "n", "copied", F.posexplode("blocks").alias("copy", "block"))
+
+    def parts(table: pa.Table) -> pa.Table:
+        c = {k: table[k].to_numpy() for k in ("t", "z", "y", "lo", "hi", "first", "n", "copied", "copy")}
+        order = np.lexsort([c[k] for k in ("lo", "y", "z", "t")])
+        c = {k: v[order] for k, v in c.items()}
+        i, j = _touching([c["t"], c["z"], c["y"]], c["lo"], c["hi"], grid, steps, full, periodic)
+        part = c["first"].copy()
+        nodes, low = union(part[i], part[j])
+        if len(nodes):
+            at = np.minimum(np.searchsorted(nodes, part), len(nodes) - 1)
+            part = np.where(nodes[at] == part, low[at], part)
+        own, tied = c["copy"] == 0, c["copied"] & (part != c["first"])
+        column = lambda a, b: pa.array(np.concatenate([a, b]))
+        return pa.table([
+            column(np.zeros(own.sum(), bool), np.ones(tied.sum(), bool)), column(c["first"][own], c["first"][tied]),
+            column(np.where(c["copied"], c["first"], part)[own], part[tied]), column(c["n"][own], np.zeros(tied.sum(), np.int64)),
+        ], names=["tie", "node", "part", "n"])
+
+    return dealt.groupBy("block").applyInArrow(tidied(parts), "tie boolean, node long, part long, n long")
+
+
 def label(voxels: DataFrame, grid: Grid, scratch: Scratch, dims: tuple[str, ...] = DIMS, full: bool = False, periodic: tuple[str, ...] = (), min_size: int = 1, column: str = "label") -> DataFrame:
     """The voxels with the number of their object: neighbours over `dims`, among them x, belong together.
 
@@ -104,19 +187,21 @@ def label(voxels: DataFrame, grid: Grid, scratch: Scratch, dims: tuple[str, ...]
     keep their rows and count as often; rows with a null place have no object and are left out. Other columns stay, but for one of the
     name `column`, which is replaced. No rows: none.
 
-    Runs along x stand for their voxels in all joins; each voxel moves twice, to its row and to its run's number.
+    Runs along x stand for their voxels; they are joined in blocks of rows, and over the borders of blocks by what touches those. Each voxel moves twice, to its
+    row and to its run's number.
     """
     first, own = (f"_{uuid.uuid4().hex}" for _ in range(2))  # no column of the voxels
     kept = [c for c in voxels.columns if c != column]
     placed = scratch.save(runs(voxels.select(*(voxels[f"`{c}`"] for c in kept)).dropna(subset=list(DIMS)), grid, first))
-    rows = scratch.save(placed.groupBy("t", "z", "y", F.col(first).alias("first")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")))
-    found = components(run_neighbours(rows, grid, dims, full, periodic), scratch)
-    rooted = rows.select("first", "n").join(found, F.col("first") == F.col("node"), "left").select("first", "n", F.coalesce("component", "first").alias("root"))
+    rows = placed.groupBy("t", "z", "y", F.col(first).alias("first")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    known = scratch.save(block_parts(rows, grid, dims, full, periodic))
+    found = components(known.where("tie").select(F.col("node").alias("src"), F.col("part").alias("dst")), scratch).withColumnRenamed("node", "part")
+    parts = known.where("NOT tie").groupBy("part").agg(F.sum("n").alias("n")).join(found, "part", "left").select("part", "n", F.coalesce("component", "part").alias("root"))
+    parts = scratch.save(parts)
     if min_size > 1:
-        rooted = scratch.save(rooted)
-        rooted = rooted.join(rooted.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") >= min_size).select("root"), "root")
-    rooted = scratch.save(rooted)
-    numbers = rooted.join(consecutive(rooted, "root", scratch, "number"), "root").select(F.col("first").alias(own), F.col("number").alias(column))
+        parts = parts.join(parts.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") >= min_size).select("root"), "root")
+    numbers = parts.join(consecutive(parts, "root", scratch, "number"), "root").select("part", "number")
+    numbers = known.where("NOT tie").join(numbers, "part").select(F.col("node").alias(own), F.col("number").alias(column))
     return placed.join(numbers, F.col(first) == F.col(own)).drop(first, own)
 
 
