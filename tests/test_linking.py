@@ -136,3 +136,12 @@ def test_labels_of_blocks(spark, dims, full, periodic, monkeypatch):
         out.append(sorted(labelling.label(df, grid, Scratch(spark), dims=dims, full=full, periodic=periodic).collect()))
     assert out[0] == out[1] and len(out[0]) == len(cells)
     assert 0 < ties[0] < len(cells) / 10 < ties[1]
+
+
+def test_large_tables_stay_on_executors(spark):
+    """What is written in between is joined by shuffles, however small its files are; only the numbers of ranges, a row each, are broadcast."""
+    chunk = labelling.label(spark.createDataFrame([(t, 0, y, 1) for t in range(3) for y in range(3)], VOXEL), Grid(), Scratch(spark))
+    voxels, links = sharing.link_chunks([chunk.where("t < 2"), chunk.where("t = 2")], [2], Grid(), Scratch(spark))
+    for df in (chunk, voxels, links):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and all("_range" in x for x in plan.splitlines() if "BroadcastHashJoin" in x)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship, tidied
-from ..storage import Scratch
+from ..storage import Scratch, shuffled
 
 #: Edges (after local contraction) up to which one task joins them; beyond it, star rounds do.
 ONE_TASK = 1 << 20
@@ -92,7 +92,7 @@ def consecutive(values: DataFrame, column: str, scratch: Scratch, to: str = "ran
     no task sorts them all.
     """
     spread = values.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).withColumn("_range", F.spark_partition_id())
-    spread = scratch.save(spread)
+    spread = shuffled(scratch.save(spread))
     per = spread.groupBy("_range").count()
     before = per.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))  # a row a range
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(column))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..model import DIMS, Grid
 from ..ship import ship, tidied
-from ..storage import Scratch
+from ..storage import Scratch, shuffled
 from .graph import components, consecutive, union
 
 #: Steps along x by which runs of neighbouring rows find each other.
@@ -192,12 +192,12 @@ def label(voxels: DataFrame, grid: Grid, scratch: Scratch, dims: tuple[str, ...]
     """
     first, own = (f"_{uuid.uuid4().hex}" for _ in range(2))  # no column of the voxels
     kept = [c for c in voxels.columns if c != column]
-    placed = scratch.save(runs(voxels.select(*(voxels[f"`{c}`"] for c in kept)).dropna(subset=list(DIMS)), grid, first))
+    placed = shuffled(scratch.save(runs(voxels.select(*(voxels[f"`{c}`"] for c in kept)).dropna(subset=list(DIMS)), grid, first)))
     rows = placed.groupBy("t", "z", "y", F.col(first).alias("first")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
-    known = scratch.save(block_parts(rows, grid, dims, full, periodic))
+    known = shuffled(scratch.save(block_parts(rows, grid, dims, full, periodic)))
     found = components(known.where("tie").select(F.col("node").alias("src"), F.col("part").alias("dst")), scratch).withColumnRenamed("node", "part")
     parts = known.where("NOT tie").groupBy("part").agg(F.sum("n").alias("n")).join(found, "part", "left").select("part", "n", F.coalesce("component", "part").alias("root"))
-    parts = scratch.save(parts)
+    parts = shuffled(scratch.save(parts))
     if min_size > 1:
         parts = parts.join(parts.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") >= min_size).select("root"), "root")
     numbers = parts.join(consecutive(parts, "root", scratch, "number"), "root").select("part", "number")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DIMS, Grid
-from ..storage import Scratch
+from ..storage import Scratch, shuffled
 from .graph import components, consecutive
 from .labelling import neighbours, union_masks
 
@@ -50,7 +50,7 @@ def bridged(a: DataFrame, b: DataFrame, scratch: Scratch) -> tuple[DataFrame, Da
     labels of `b` that meet none map to nothing.
     """
     links = _meet(a, b).select("cur", "upd").distinct()
-    found = scratch.save(components(links.select((F.col("cur") * 2).alias("src"), (F.col("upd") * 2 + 1).alias("dst")), scratch))
+    found = shuffled(scratch.save(components(links.select((F.col("cur") * 2).alias("src"), (F.col("upd") * 2 + 1).alias("dst")), scratch)))
     # even nodes are labels of a; a component's smallest even node names it
     name = found.where("node % 2 = 0").groupBy("component").agg(F.expr("min(node) DIV 2").alias("new"))
     named = found.join(name, "component")
@@ -63,7 +63,7 @@ def multivariate_systems(a: DataFrame, b: DataFrame, scratch: Scratch, b_column:
     """t, z, y, x, system and b's label: both classes merged where they overlap, numbered from 1."""
     map_a, map_b = bridged(a, b, scratch)
     move = lambda m, by: m.select(*DIMS, F.col("label").alias("old")).join(by, "old").select(*DIMS, F.col("new").alias("label"))
-    merged = scratch.save(union_masks([move(a, map_a), move(b, map_b)]))
+    merged = shuffled(scratch.save(union_masks([move(a, map_a), move(b, map_b)])))
     ranks = consecutive(merged, "label", scratch, "system")
     inside = b.select(*DIMS, F.col("label").alias(b_column))
     return merged.join(ranks, "label").join(inside, list(DIMS), "left").select(*DIMS, "system", b_column)
@@ -83,6 +83,7 @@ def link_chunks(chunks: list[DataFrame], borders: list[int], grid: Grid, scratch
     border (time step borders[i] - 1 and borders[i]) are joined, and each group takes its smallest;
     then numbers run from 1. Labels that touch nothing keep a number of their own.
     """
+    chunks = [shuffled(scratch.save(c.select(*DIMS, "label"))) for c in chunks]  # read several times
     shifted, shift = [], 0
     for c in chunks:
         shifted.append(c.select(*DIMS, (F.col("label") + shift).alias("label"), F.lit(len(shifted)).alias("chunk"), F.col("label").alias("old")))
@@ -95,7 +96,7 @@ def link_chunks(chunks: list[DataFrame], borders: list[int], grid: Grid, scratch
     every = shifted[0]
     for s in shifted[1:]:
         every = every.unionByName(s)
-    joined = scratch.save(every.join(found, F.col("label") == F.col("node"), "left").withColumn("root", F.coalesce("component", "label")).drop("node", "component"))
+    joined = shuffled(scratch.save(every.join(shuffled(found), F.col("label") == F.col("node"), "left").withColumn("root", F.coalesce("component", "label")).drop("node", "component")))
     ranks = consecutive(joined, "root", scratch, "new")
     out = joined.join(ranks, "root")
     return out.select(*DIMS, F.col("new").alias("label")), out.select("chunk", "old", "new").distinct()

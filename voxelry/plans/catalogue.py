@@ -16,7 +16,7 @@ from ..operators import detect, environment, erosion, labelling, lineage, sharin
 from ..operators.graph import consecutive
 from ..sources import readers
 from ..sources.adapters import columns, records, table, voxels
-from ..storage import Scratch
+from ..storage import Scratch, shuffled
 from ..streaming import linking, windows
 from . import sqltext as q
 
@@ -170,7 +170,7 @@ def multivariate_system(spark, sf):
 def link_chunks(spark, sf):
     """Three chunks labelled alone and linked: the same as labelling all at once."""
     parts = [labelling.label(voxels(spark, sf).where(c), GRID, Scratch(spark)) for c in ("t < 20", "t >= 20 AND t < 40", "t >= 40")]
-    linked = sharing.link_chunks(parts, [20, 40], GRID, Scratch(spark))[0]
+    linked = shuffled(Scratch(spark).save(sharing.link_chunks(parts, [20, 40], GRID, Scratch(spark))[0]))  # read three times
     first = linked.groupBy("label").agg(F.min(GRID.id()).alias("first"))
     ranks = consecutive(first, "first", Scratch(spark))
     return linked.join(first, "label").join(ranks, "first").select(*DIMS, F.col("rank").alias("label"))
@@ -180,12 +180,12 @@ def link_chunks(spark, sf):
 def link_arriving(spark, sf):
     """The same chunks one after the other, each joined to what is stored of those before."""
     scratch = Scratch(spark)
-    parts = [labelling.label(voxels(spark, sf).where(c), GRID, scratch) for c in ("t < 20", "t >= 20 AND t < 40", "t >= 40")]
+    parts = [shuffled(scratch.save(labelling.label(voxels(spark, sf).where(c), GRID, scratch).select(*DIMS, "label"))) for c in ("t < 20", "t >= 20 AND t < 40", "t >= 40")]
     links = linking.ChunkLinks(spark, scratch.folder("links"))
     for k, part in enumerate(parts):
         links.add(k, part)
     every = parts[0].withColumn("chunk", F.lit(0)).unionByName(parts[1].withColumn("chunk", F.lit(1))).unionByName(parts[2].withColumn("chunk", F.lit(2)))
-    linked = scratch.save(every.withColumnRenamed("label", "old").join(links.links(scratch), ["chunk", "old"]).select(*DIMS, F.col("new").alias("label")))
+    linked = shuffled(scratch.save(every.withColumnRenamed("label", "old").join(links.links(scratch), ["chunk", "old"]).select(*DIMS, F.col("new").alias("label"))))
     first = linked.groupBy("label").agg(F.min(GRID.id()).alias("first"))
     return linked.join(first, "label").join(consecutive(first, "first", scratch), "first").select(*DIMS, F.col("rank").alias("label"))
 

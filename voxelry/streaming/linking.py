@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..model import DIMS
 from ..operators.graph import components, consecutive
-from ..storage import Scratch, exists
+from ..storage import Scratch, exists, shuffled
 
 #: A label's number over all chunks: the chunk's number, and the label in the low bits.
 BITS = 40
@@ -43,18 +43,19 @@ class ChunkLinks:
                 raise ValueError(f"chunk {chunk - 1} comes before chunk {chunk}")
             scratch = Scratch(spark)
             mine = voxels.where("label > 0").select(*(F.col(d).cast("long").alias(d) for d in DIMS), (F.lit(chunk << BITS) + F.col("label").cast("long")).alias("label"))
+            mine = shuffled(scratch.save(mine))  # read several times
             first, last = mine.agg(F.min("t"), F.max("t")).first()
             if chunk and first is not None:
-                before = spark.read.parquet(self._at("border", chunk - 1)).where(F.col("t") == first - 1)
+                before = shuffled(spark.read.parquet(self._at("border", chunk - 1))).where(F.col("t") == first - 1)
                 head = mine.where(F.col("t") == first).select("z", "y", "x", F.col("label").alias("dst"))
                 links = before.select("z", "y", "x", F.col("root").alias("src")).join(head, ["z", "y", "x"]).select("src", "dst").distinct()
-                found = scratch.save(components(links, scratch))
+                found = shuffled(scratch.save(components(links, scratch)))
             else:
                 found = spark.createDataFrame([], "node long, component long")
             roots = mine.select("label").distinct().join(found, F.col("label") == F.col("node"), "left").select("label", F.coalesce("component", "label").alias("root"))
             self._write(roots, "labels", chunk)
             self._write(found.where((F.col("node") < chunk << BITS) & (F.col("node") != F.col("component"))).select(F.col("node").alias("old"), F.col("component").alias("new")), "merges", chunk)
-            roots = spark.read.schema("label long, root long").parquet(self._at("labels", chunk))
+            roots = shuffled(spark.read.schema("label long, root long").parquet(self._at("labels", chunk)))
             border = mine.where(F.col("t") == F.lit(last)).join(roots, "label").select("t", "z", "y", "x", "root")
             self._write(border, "border", chunk)
             self._write(spark.range(1), "commits", chunk)
@@ -62,10 +63,10 @@ class ChunkLinks:
 
     def links(self, scratch: Scratch) -> DataFrame:
         """(chunk, old, new) of all labels: as link_chunks() numbers them, from 1 in the order of each group's first label."""
-        read = lambda t, s: self.spark.read.schema(s).parquet(f"{self.folder}/{t}/*")
+        read = lambda t, s: shuffled(self.spark.read.schema(s).parquet(f"{self.folder}/{t}/*"))
         merged = components(read("merges", "old long, new long").select(F.col("old").alias("src"), F.col("new").alias("dst")), scratch)
         labels = read("labels", "label long, root long").join(merged, F.col("root") == F.col("node"), "left").select("label", F.coalesce("component", "root").alias("root"))
-        labels = scratch.save(labels)
+        labels = shuffled(scratch.save(labels))
         ranks = consecutive(labels, "root", scratch, "new")
         low = F.lit((1 << BITS) - 1)
         return labels.join(ranks, "root").select(F.shiftright("label", BITS).cast("int").alias("chunk"), F.col("label").bitwiseAND(low).alias("old"), "new")
