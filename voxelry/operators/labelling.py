@@ -62,6 +62,16 @@ def runs(voxels: DataFrame, grid: Grid, first: str = "first") -> DataFrame:
     return voxels.withColumn(first, stretch).withColumn(first, grid.id() - F.col("x") + F.min("x").over(Window.partitionBy(*row, first)))
 
 
+def run_ends(placed: DataFrame, first: str, names: tuple[str, str]) -> DataFrame:
+    """The voxels of runs() with two more columns, set on one voxel of each run and null on the others: the run's last x and its number of voxels.
+
+    So the runs can be read off the voxels without another shuffle.
+    """
+    run = Window.partitionBy("t", "z", "y", first)
+    leads = F.row_number().over(run.orderBy("x")) == 1
+    return placed.select("*", *(F.when(leads, c.over(run)).alias(n) for n, c in zip(names, (F.max("x"), F.count(F.lit(1))), strict=True)))
+
+
 def run_neighbours(rows: DataFrame, grid: Grid, dims: tuple[str, ...] = DIMS, full: bool = False, periodic: tuple[str, ...] = ()) -> DataFrame:
     """(src, dst): runs (t, z, y, lo, hi, first) that touch, in neighbouring rows of the grid or over a periodic end of x; each pair once or twice.
 
@@ -190,10 +200,10 @@ def label(voxels: DataFrame, grid: Grid, scratch: Scratch, dims: tuple[str, ...]
     Runs along x stand for their voxels; they are joined in blocks of rows, and over the borders of blocks by what touches those. Each voxel moves twice, to its
     row and to its run's number.
     """
-    first, own = (f"_{uuid.uuid4().hex}" for _ in range(2))  # no column of the voxels
+    first, own, last, size = (f"_{uuid.uuid4().hex}" for _ in range(4))  # no column of the voxels
     kept = [c for c in voxels.columns if c != column]
-    placed = shuffled(scratch.save(runs(voxels.select(*(voxels[f"`{c}`"] for c in kept)).dropna(subset=list(DIMS)), grid, first)))
-    rows = placed.groupBy("t", "z", "y", F.col(first).alias("first")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    placed = shuffled(scratch.save(run_ends(runs(voxels.select(*(voxels[f"`{c}`"] for c in kept)).dropna(subset=list(DIMS)), grid, first), first, (last, size))))
+    rows = placed.where(F.col(size).isNotNull()).select("t", "z", "y", F.col("x").alias("lo"), F.col(last).alias("hi"), F.col(first).alias("first"), F.col(size).alias("n"))
     known = shuffled(scratch.save(block_parts(rows, grid, dims, full, periodic)))
     found = components(known.where("tie").select(F.col("node").alias("src"), F.col("part").alias("dst")), scratch).withColumnRenamed("node", "part")
     parts = known.where("NOT tie").groupBy("part").agg(F.sum("n").alias("n")).join(found, "part", "left").select("part", "n", F.coalesce("component", "part").alias("root"))
@@ -202,7 +212,7 @@ def label(voxels: DataFrame, grid: Grid, scratch: Scratch, dims: tuple[str, ...]
         parts = parts.join(parts.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") >= min_size).select("root"), "root")
     numbers = parts.join(consecutive(parts, "root", scratch, "number"), "root").select("part", "number")
     numbers = known.where("NOT tie").join(numbers, "part").select(F.col("node").alias(own), F.col("number").alias(column))
-    return placed.join(numbers, F.col(first) == F.col(own)).drop(first, own)
+    return placed.join(numbers, F.col(first) == F.col(own)).drop(first, own, last, size)
 
 
 #: Ways to connect voxels by name: whether corners and edges join too.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..model import DIMS, Grid
 from ..storage import Scratch, shuffled
 from .graph import components, consecutive
-from .labelling import neighbours, union_masks
+from .labelling import neighbours
 
 
 def _meet(current: DataFrame, update: DataFrame) -> DataFrame:
@@ -43,30 +43,42 @@ def share_labels(current: DataFrame, update: DataFrame) -> DataFrame:
     return current.select(*DIMS, "label").join(m, "label").select(*DIMS, F.col("new").alias("label"))
 
 
+def _bridges(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of links (cur, upd) between labels of `a` and `b`: node (even ones labels of a, odd ones of b) and `new`, the smallest label of a that it reaches."""
+    found = shuffled(scratch.save(components(links.select((F.col("cur") * 2).alias("src"), (F.col("upd") * 2 + 1).alias("dst")), scratch)))
+    name = found.where("node % 2 = 0").groupBy("component").agg(F.expr("min(node) DIV 2").alias("new"))
+    return found.join(name, "component").select("node", "new")
+
+
 def bridged(a: DataFrame, b: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Maps (old, new) of both classes' labels to the smallest label of `a` that overlaps lead to.
 
     Labels of `a` that one label of `b` bridges get one number; labels of `a` alone keep theirs;
     labels of `b` that meet none map to nothing.
     """
-    links = _meet(a, b).select("cur", "upd").distinct()
-    found = shuffled(scratch.save(components(links.select((F.col("cur") * 2).alias("src"), (F.col("upd") * 2 + 1).alias("dst")), scratch)))
-    # even nodes are labels of a; a component's smallest even node names it
-    name = found.where("node % 2 = 0").groupBy("component").agg(F.expr("min(node) DIV 2").alias("new"))
-    named = found.join(name, "component")
+    named = _bridges(_meet(a, b).select("cur", "upd").distinct(), scratch)
     map_a = a.select(F.col("label").alias("old")).distinct().join(named.where("node % 2 = 0").select(F.expr("node DIV 2").alias("old"), "new"), "old", "left").select("old", F.coalesce("new", "old").alias("new"))
     map_b = named.where("node % 2 = 1").select(F.expr("node DIV 2").alias("old"), "new")
     return map_a, map_b
 
 
 def multivariate_systems(a: DataFrame, b: DataFrame, scratch: Scratch, b_column: str = "u_tracks") -> DataFrame:
-    """t, z, y, x, system and b's label: both classes merged where they overlap, numbered from 1."""
-    map_a, map_b = bridged(a, b, scratch)
-    move = lambda m, by: m.select(*DIMS, F.col("label").alias("old")).join(by, "old").select(*DIMS, F.col("new").alias("label"))
-    merged = shuffled(scratch.save(union_masks([move(a, map_a), move(b, map_b)])))
-    ranks = consecutive(merged, "label", scratch, "system")
-    inside = b.select(*DIMS, F.col("label").alias(b_column))
-    return merged.join(ranks, "label").join(inside, list(DIMS), "left").select(*DIMS, "system", b_column)
+    """t, z, y, x, system and b's label: both classes merged where they overlap, numbered from 1.
+
+    The masks hold a voxel once, so they meet once, in a written table of voxels with the labels that either class has there. What is found of labels comes
+    back to labels alone, as a table of the different pairs with their systems, and to the voxels in one join.
+    """
+    sides = [m.select(*DIMS, F.col("label").alias(n)) for m, n in ((a, "cur"), (b, "upd"))]
+    both = shuffled(scratch.save(sides[0].join(sides[1], list(DIMS), "full")))
+    pairs = shuffled(scratch.save(both.select("cur", "upd").distinct()))
+    named = shuffled(scratch.save(_bridges(pairs.where("cur IS NOT NULL AND upd IS NOT NULL"), scratch)))
+    in_a, in_b = (named.where(f"node % 2 = {k}").select(F.expr("node DIV 2").alias(side), F.col("new").alias(f"_{side}")) for k, side in enumerate(("cur", "upd")))
+    # of labels that meet, both map to one number; those of a alone keep theirs, those of b alone have none
+    moved = pairs.join(in_a, "cur", "left").join(in_b, "upd", "left").select("cur", "upd", F.when(F.col("cur").isNotNull(), F.coalesce("_cur", "cur")).otherwise(F.col("_upd")).alias("label"))
+    moved = shuffled(scratch.save(moved.where("label IS NOT NULL")))
+    numbered = moved.join(consecutive(moved, "label", scratch, "system"), "label").select(F.col("cur").alias("_cur"), F.col("upd").alias("_upd"), "system")
+    met = both.join(numbered, F.col("cur").eqNullSafe(F.col("_cur")) & F.col("upd").eqNullSafe(F.col("_upd")))
+    return met.select(*DIMS, "system", F.col("upd").alias(b_column))
 
 
 def boundary_links(first: DataFrame, second: DataFrame, t_first: int, t_second: int, grid: Grid) -> DataFrame:

@@ -110,12 +110,14 @@ _BOTH = q.with_(q.vox("vi", "ice"), q.vox("vu", "updraft"), q.labelled("i", "vi"
 
 
 def _both(spark, sf):
-    return _labelled(spark, sf, "ice").select(*DIMS, "label"), _labelled(spark, sf, "updraft").select(*DIMS, "label")
+    """Both masks, written: most queries read them more than once."""
+    scratch = Scratch(spark)
+    return tuple(shuffled(scratch.save(_labelled(spark, sf, m).select(*DIMS, "label"))) for m in ("ice", "updraft"))
 
 
 @query(_BOTH + f"SELECT {PLACE}, max(label) AS label FROM (SELECT {PLACE}, label FROM i UNION ALL SELECT {PLACE}, label FROM u) GROUP BY ALL")
 def union_masks(spark, sf):
-    return labelling.union_masks(list(_both(spark, sf)))
+    return labelling.union_masks([_labelled(spark, sf, m) for m in ("ice", "updraft")])  # each is read once
 
 
 @query(_BOTH + "SELECT DISTINCT u.t, u.label, coalesce(k.s, 0) AS shared FROM u LEFT JOIN (SELECT t, cur, min(upd) AS s FROM m GROUP BY 1, 2) k ON u.t = k.t AND u.label = k.cur")
@@ -157,7 +159,7 @@ _SYSTEMS = (
 
 
 def _systems(spark, sf):
-    ice, updraft = _both(spark, sf)
+    ice, updraft = (_labelled(spark, sf, m) for m in ("ice", "updraft"))  # each is read once
     return sharing.multivariate_systems(ice, updraft, Scratch(spark))
 
 
@@ -441,7 +443,8 @@ _TW = _OBJECTS + (
 @query(_TW + f"SELECT system, t, {_rs('sum(volume)', 'anvil_volume', 4)}, {_rs('max(zg)', 'anvil_cth', 4)}, {_rs('min(zg)', 'anvil_cbh', 4)} FROM an GROUP BY 1, 2")
 def anvil_stats(spark, sf):
     """Statistics of what lies at and above a system's mean level of most water."""
-    o = _objects(spark, sf)
+    o = _objects(spark, sf).select("system", *DIMS, "zg", "rho", "fwc", "twc", "area", "depth", "volume", "div")
+    o = shuffled(Scratch(spark).save(o))  # read twice
     tw = o.groupBy("system", "t", "z").agg(F.sum(F.col("twc") * F.col("volume")).alias("tw"))
     base = tw.groupBy("system", "t").agg(F.max_by("z", F.round(F.col("tw") / 1e6, 4) - F.col("z") / 1e9).alias("zb")).groupBy("system").agg(F.avg("zb").alias("abh"))
     return _rounded(stats.evaluate(pr.anvil_mask(o, base, ("system",), "z"), ("system",), stats.anvil())["t"], ("system", "t"))
@@ -451,7 +454,8 @@ def anvil_stats(spark, sf):
     _OBJECTS + f", lv AS (SELECT u_tracks AS core, system, t, y, x, w, cmf FROM ob WHERE u_tracks > 0 AND z = 2) SELECT system, core, t, y, x, {_rs('max(w)', 'core_abh_w')}, {_rs('max(cmf)', 'core_abh_cmf')} FROM lv GROUP BY 1, 2, 3, 4, 5"
 )
 def core_at_level(spark, sf):
-    o = _objects(spark, sf).where("u_tracks > 0").withColumnRenamed("u_tracks", "core")
+    o = _objects(spark, sf).where("u_tracks > 0").withColumnRenamed("u_tracks", "core").select("system", "core", *DIMS, "w", "cmf")
+    o = shuffled(Scratch(spark).save(o))  # read twice
     keys = ("system", "core")
     return _rounded(stats.at_level(o, keys, o.select(*keys).distinct().withColumn("abh", F.lit(2))), (*keys, "t", "y", "x"), 6)
 
