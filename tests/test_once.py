@@ -113,7 +113,7 @@ def test_flow_reads_the_field_once(spark):
 
 @pytest.mark.parametrize("name", ["core_at_level", "anvil_stats"])
 def test_objects_are_derived_once(spark, sf, name, monkeypatch):
-    base = stats.derive(field_of(spark).withColumn("system", F.expr("CAST(1 + y DIV 3 AS BIGINT)")).withColumn("u_tracks", F.expr("CAST(x AS BIGINT)")))
+    base = stats.derive(field_of(spark).withColumn("system", F.expr("CAST(1 + y DIV 3 AS BIGINT)")).withColumn("u_tracks", F.expr("CAST(x + 1 AS BIGINT)")))
     objects, n = counted(spark, base, "z")
     monkeypatch.setattr(catalogue, "_objects", lambda spark, sf: objects)
     assert catalogue.QUERIES[name](spark, sf).collect()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import physics as ph
 from ..functions import profiles as pr
 from ..model import DIMS
+from ..storage import Scratch, shuffled
 from . import stats
 from .environment import within
 
@@ -61,18 +62,24 @@ def thermal(field: DataFrame, dxy: float = 11000.0) -> DataFrame:
 
 def around(field: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
     """system and the columns (t, y, x, lon, lat) nearer than `radius` degrees to its centre (system, t, clon, clat), at its time."""
-    return within(field.select(*COLUMN, "lon", "lat").distinct(), centres, radius, on=("t",))
+    return within(_steps(field.select(*COLUMN, "lon", "lat"), centres).distinct(), centres, radius, on=("t",))
+
+
+def _steps(field: DataFrame, some: DataFrame) -> DataFrame:
+    """Only the field's steps that occur in `some`: a row a step is broadcast, so that no others move."""
+    return field.join(F.broadcast(some.select("t").distinct()), "t", "left_semi")
 
 
 def _met(field: DataFrame, pairs: DataFrame) -> DataFrame:
     """Only the field's columns that some pair names: what comes after reads no others."""
-    return field.join(pairs.select(*COLUMN).distinct(), list(COLUMN), "left_semi")
+    return _steps(field, pairs).join(pairs.select(*COLUMN).distinct(), list(COLUMN), "left_semi")
 
 
 def environment(field: DataFrame, centres: DataFrame, radius: float, dxy: float = 11000.0, n: str = "env") -> Tables:
     """Of the field within the radius at the centre's time: profiles by level, totals and shears of the system, tropopause by pixel."""
-    pairs = around(field, centres, radius).select("system", *COLUMN)
-    near = _met(field, pairs)
+    scratch = Scratch(field.sparkSession)
+    pairs = shuffled(scratch.save(around(field, centres, radius).select("system", *COLUMN)))
+    near = shuffled(scratch.save(_met(field, pairs)))  # each is read several times
     rows = thermal(near, dxy).join(pairs, list(COLUMN))
     mean = lambda c, name: F.avg(c).alias(f"{n}_{name}")
     level = rows.groupBy("system", "z").agg(mean("zg", "zg"), mean("ta", "T"), mean("pfull", "p"), mean("rh", "rh"), mean("S", "S"))
@@ -90,11 +97,11 @@ def flow_environment(field: DataFrame, centres: DataFrame, radii: list[float], d
     below 6 km and, with convection, CAPE, CIN, LFC and LCL. Around it: levels from 600 to 100 hPa of
     temperature, humidity, wind and stability, the shear above 6 km and the tropopause.
     """
-    out = []
+    out, scratch = [], Scratch(field.sparkSession)
     for radius in radii:
         name = f"{radius:g}"
-        wide = around(field, centres, 2 * radius)
-        near = _met(field, wide)
+        wide = shuffled(scratch.save(around(field, centres, 2 * radius)))
+        near = shuffled(scratch.save(_met(field, wide)))  # each is read several times
         deep = thermal(near, dxy)
         level = lambda c, p: pr.nearest(F.col(c), F.col("pfull"), p, "z")
         column = near.groupBy(*COLUMN).agg(level("ua", inflow).alias("_u"), level("va", inflow).alias("_v"))
@@ -198,10 +205,12 @@ def _grains(parts: list[tuple[tuple[str, ...], Tables]], prefix: str = "") -> Ta
 
 
 def _objects(mask: DataFrame, field: DataFrame, dxy: float, degrees: float | None) -> DataFrame:
+    """The voxels of the mask with what bundles take of the field, written once for all grains; derived quantities come after reading."""
     if degrees is not None and "div" not in field.columns and "lat" in field.columns and {"ua", "va"} <= set(field.columns):
         field = stats.divergence(field, degrees, F.col("lat"))
-    rows = stats.derive(field, dxy)
-    return rows.join(mask.select(*DIMS, "system", "u_tracks", *(c for c in ("anvil",) if c in mask.columns)), list(DIMS))
+    read = {*DIMS, "zg", "pfull", "ta", "hus", "dzghalf", "wa", "wa_phy", "pr", "div", *(q for profile in ph.PROFILES.values() for q in profile)}
+    rows = field.select(*(c for c in field.columns if c in read)).join(mask.select(*DIMS, "system", "u_tracks", *(c for c in ("anvil",) if c in mask.columns)), list(DIMS))
+    return stats.derive(shuffled(Scratch(field.sparkSession).save(rows)), dxy)
 
 
 def _with_second(tables: Tables, keys: tuple[str, ...], n: str) -> Tables:

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 def within(points: DataFrame, centres: DataFrame, radius: float, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of points (lon, lat) and centres (clon, clat) less than `radius` degrees apart, planar, with equal columns `on`.
 
-    Both sides meet on cells as wide as the radius: a point asks its own and the eight around it,
-    so the join is an equi-join at any radius.
+    Both sides meet on cells as wide as the radius: a centre asks its own and the eight around it,
+    so the join is an equi-join at any radius, and the points, of which there are more, move once.
     """
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    asked = points.withColumn("_dx", around).withColumn("_dy", around).withColumn("_cx", cell("lon") + F.col("_dx")).withColumn("_cy", cell("lat") + F.col("_dy")).drop("_dx", "_dy")
-    there = centres.withColumn("_cx", cell("clon")).withColumn("_cy", cell("clat"))
-    return asked.join(there, [*on, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance", F.sqrt(F.pow(F.col("clon") - F.col("lon"), 2) + F.pow(F.col("clat") - F.col("lat"), 2))).where(F.col("distance") < radius)
+    there = points.withColumn("_cx", cell("lon")).withColumn("_cy", cell("lat"))
+    asked = centres.withColumn("_dx", around).withColumn("_dy", around).withColumn("_cx", cell("clon") + F.col("_dx")).withColumn("_cy", cell("clat") + F.col("_dy")).drop("_dx", "_dy")
+    return there.join(asked, [*on, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance", F.sqrt(F.pow(F.col("clon") - F.col("lon"), 2) + F.pow(F.col("clat") - F.col("lat"), 2))).where(F.col("distance") < radius)
 
 
 def interacting(points: DataFrame, centres: DataFrame, radius: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bundles, lineage
 from ..sources.adapters import grid_field, grid_mask
+from ..storage import Scratch, shuffled
 from . import sqltext as q
 from .catalogue import query
 
@@ -112,15 +113,31 @@ def _shown(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return df.select(*keys, *out)
 
 
-def _everything(spark, sf) -> bundles.Tables:
-    mask, field = grid_mask(spark, sf), grid_field(spark, sf)
+def _laid(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Mask and field; the field is written once, as all grains read it."""
+    field = shuffled(Scratch(spark).save(grid_field(spark, sf).drop("col", "lev")))
+    return grid_mask(spark, sf, field), field
+
+
+def _centres(mask: DataFrame) -> DataFrame:
     at = bundles.first_updrafts(mask).select("system", "t", (F.col("x") * 0.5).alias("clon"), (F.col("y") * 0.5).alias("clat"))
-    return bundles.system_statistics(mask, field, at, RADIUS, degrees=DEGREES)
+    return shuffled(Scratch(mask.sparkSession).save(at))
+
+
+def _everything(spark, sf) -> bundles.Tables:
+    mask, field = _laid(spark, sf)
+    return bundles.system_statistics(mask, field, _centres(mask), RADIUS, degrees=DEGREES)
+
+
+def _environment(spark, sf) -> bundles.Tables:
+    """The grains of _everything() that are of the environment alone."""
+    mask, field = _laid(spark, sf)
+    return bundles.environment(field, _centres(mask), RADIUS)
 
 
 @query(_FIELD + _near("met", RADIUS) + f"e AS (SELECT 1) SELECT met.system, z, {_rs('avg(zg)', 'env_zg')}, {_rs('avg(ta)', 'env_T')}, {_rs('avg(pfull)', 'env_p')}, {_rs('avg(rh)', 'env_rh')}, {_rs('avg(s) * 1e4', 'env_S')} FROM met JOIN st USING (t, y, x) GROUP BY 1, 2")
 def environment_profile(spark, sf):
-    return _shown(_everything(spark, sf)["z"], ["system", "z"], ["env_zg", "env_T", "env_p", "env_rh", "env_S"])
+    return _shown(_environment(spark, sf)["z"], ["system", "z"], ["env_zg", "env_T", "env_p", "env_rh", "env_S"])
 
 
 @query(
@@ -135,7 +152,7 @@ def system_totals(spark, sf):
 
 @query(_FIELD + _TROPO + _near("met", RADIUS) + "e AS (SELECT 1) SELECT met.system, y, x, tropopause AS env_tropo FROM met JOIN tropo USING (t, y, x)")
 def environment_tropopause(spark, sf):
-    return _everything(spark, sf)["yx"]
+    return _environment(spark, sf)["yx"]
 
 
 @query(
@@ -186,13 +203,13 @@ def system_core_level(spark, sf):
     f"b AS (SELECT system, u_tracks AS core, t, y, x, {_rs('max(w)', 'core_abh_w')}, {_rs('max(cmf)', 'core_abh_cmf')} FROM ob JOIN newer USING (system) WHERE u_tracks > 0 AND z = abh GROUP BY 1, 2, 3, 4, 5) SELECT * FROM c LEFT JOIN b USING (system, core, t, y, x)"
 )
 def cloudy_core_pixel(spark, sf):
-    out = bundles.cloudy_statistics(grid_mask(spark, sf), grid_field(spark, sf))["core_tyx"]
+    out = bundles.cloudy_statistics(*_laid(spark, sf))["core_tyx"]
     return _shown(out, ["system", "core", "t", "y", "x"], ["core_max_w", "core_top_w", "core_top_cmf", "core_abh_w", "core_abh_cmf"])
 
 
 @query(_ALL + f", c AS (SELECT system, t, {_geometry_t('cloud')} FROM ob GROUP BY 1, 2), a AS (SELECT system, t, {_geometry_t('anvil')} FROM nn GROUP BY 1, 2) SELECT * FROM c LEFT JOIN a USING (system, t)")
 def cloudy_time(spark, sf):
-    out = bundles.cloudy_statistics(grid_mask(spark, sf), grid_field(spark, sf))["t"]
+    out = bundles.cloudy_statistics(*_laid(spark, sf))["t"]
     return _shown(out, ["system", "t"], [f"{n}_{k}" for n in ("cloud", "anvil") for k in ("volume", "cth", "cbh")])
 
 
@@ -210,9 +227,8 @@ _LV = lambda c, p: f"arg_min({c}, row(abs(pfull - {p}), z))"
     "SELECT system, t_all, r_all, wv, t750, t900, r750, r900, low, mid, ta, rh, ua, va, s, high, tropo FROM i FULL JOIN o USING (system) FULL JOIN h USING (system)"
 )
 def flow_environment(spark, sf):
-    mask, field = grid_mask(spark, sf), grid_field(spark, sf)
-    at = bundles.first_updrafts(mask).select("system", "t", (F.col("x") * 0.5).alias("clon"), (F.col("y") * 0.5).alias("clat"))
-    e = bundles.flow_environment(field, at, [1.2])
+    mask, field = _laid(spark, sf)
+    e = bundles.flow_environment(field, _centres(mask), [1.2])
     inner = {"T_in1.2": "t_all", "rh_in1.2": "r_all", "T_750_in1.2": "t750", "T_900_in1.2": "t900", "rh_750_in1.2": "r750", "rh_900_in1.2": "r900", "low_shear_in1.2": "low", "mid_shear_in1.2": "mid"}
     outer = {f"{n}_around1.2": a for n, a in (("T", "ta"), ("rh", "rh"), ("ua", "ua"), ("va", "va"), ("high_shear", "high"), ("tropo", "tropo"))}
     return e.select("system", *(_r(F.col(f"`{n}`")).alias(a) for n, a in (inner | outer).items()), _r(F.col("`tpwv_in1.2`") / 1e6, 3).alias("wv"), _r(F.col("`S_around1.2`") * 1e4).alias("s"))
@@ -223,7 +239,7 @@ def flow_environment(spark, sf):
     f"SELECT pr_.system, z, {_rs('avg(ua)', 'environment_ua')}, {_rs('avg(va)', 'environment_va')}, {_rs('avg(100 * rh)', 'environment_rh')} FROM pr_ JOIN f0 USING (system) JOIN th USING (t, y, x) GROUP BY 1, 2"
 )
 def footprint_environment(spark, sf):
-    out = bundles.footprint_environment(grid_mask(spark, sf), grid_field(spark, sf))["z"]
+    out = bundles.footprint_environment(*_laid(spark, sf))["z"]
     return _shown(out, ["system", "z"], ["environment_ua", "environment_va", "environment_rh"])
 
 
@@ -232,7 +248,7 @@ def footprint_environment(spark, sf):
     f"c AS (SELECT system, t, {_rs('sum(volume) / 1e6', 'cloud_volume', 3)}, {_rs('max(zg)', 'c_th')}, {_rs('min(zg)', 'c_bh')}, {_rs('sum(pr)', 'cloud_pr')}, {_rs('sum(qs)', 'cloud_qs')}, {_rs('sum(qg)', 'cloud_qg')}, {_rs('sum(qr)', 'cloud_qr')}, {_rs('min(ta)', 'ctt')} FROM ob GROUP BY 1, 2) SELECT * FROM c JOIN w USING (system, t)"
 )
 def bulk_time(spark, sf):
-    out = bundles.bulk_statistics(grid_mask(spark, sf), grid_field(spark, sf))["t"]
+    out = bundles.bulk_statistics(*_laid(spark, sf))["t"]
     return _shown(out, ["system", "t"], ["cloud_volume", "c_th", "c_bh", "cloud_pr", "cloud_qs", "cloud_qg", "cloud_qr", "ctt"]).join(out.select("system", "t", _r(F.col("cloud_max_area") / 1e6, 3).alias("cloud_max_area")), ["system", "t"])
 
 
@@ -240,7 +256,7 @@ def bulk_time(spark, sf):
     _ALL + f"SELECT system, u_tracks AS core, t, z, {_rs('avg(rho)', 'core_rho')}, {_rs('avg(pfull)', 'core_pres')}, {_rs('avg(w)', 'core_mean_w')}, {_rs('sum(area) / 1e6', 'core_area', 3)}, {_rs('sum(pr)', 'core_pr')}, {_rs('sum(qs)', 'core_qs')}, {_rs('sum(qg)', 'core_qg')}, {_rs('sum(qr)', 'core_qr')} FROM ob WHERE u_tracks > 0 GROUP BY 1, 2, 3, 4"
 )
 def bulk_core_level(spark, sf):
-    out = bundles.bulk_statistics(grid_mask(spark, sf), grid_field(spark, sf))["core_tz"]
+    out = bundles.bulk_statistics(*_laid(spark, sf))["core_tz"]
     return _shown(out, ["system", "core", "t", "z"], [f"core_{k}" for k in ("rho", "pres", "mean_w", "area", "pr", "qs", "qg", "qr")])
 
 
@@ -249,7 +265,7 @@ def bulk_core_level(spark, sf):
     f"a AS (SELECT system, t, z, {_rs('avg(cmf) FILTER (w > 1)', 'anvil_cmf_mu')}, {_rs('max(cmf) FILTER (w > 1)', 'anvil_cmf_max')}, {_rs('sum(cmf * area) FILTER (w > 1) / 1e6', 'anvil_cmt', 3)} FROM an GROUP BY 1, 2, 3) SELECT * FROM c LEFT JOIN a USING (system, t, z)"
 )
 def older_level(spark, sf):
-    out = bundles.older_statistics(grid_mask(spark, sf), grid_field(spark, sf))["tz"]
+    out = bundles.older_statistics(*_laid(spark, sf))["tz"]
     return _shown(out, ["system", "t", "z"], [f"{n}_{k}" for n in ("cloud", "anvil") for k in ("cmf_mu", "cmf_max", "cmt")])
 
 
@@ -258,7 +274,7 @@ def older_level(spark, sf):
     f"a AS (SELECT system, t, y, x, {_rs('sum(cli * rho * depth)', 'anvil_iwp')} FROM an GROUP BY 1, 2, 3, 4) SELECT * FROM c LEFT JOIN a USING (system, t, y, x)"
 )
 def older_pixel(spark, sf):
-    out = bundles.older_statistics(grid_mask(spark, sf), grid_field(spark, sf))["tyx"]
+    out = bundles.older_statistics(*_laid(spark, sf))["tyx"]
     return _shown(out, ["system", "t", "y", "x"], ["cloud_iwp", "cloud_swp", "cloud_gwp", "anvil_iwp"])
 
 
@@ -273,7 +289,7 @@ _FILTER = (
 
 @query(_FIELD + _FILTER + "e AS (SELECT 1) SELECT pt.system, pt.t, abh, cth, core FROM pt LEFT JOIN pg USING (system, t)")
 def define_filter(spark, sf):
-    return bundles.define_filter(grid_mask(spark, sf), grid_field(spark, sf))
+    return bundles.define_filter(*_laid(spark, sf))
 
 
 @query(
@@ -282,7 +298,7 @@ def define_filter(spark, sf):
 )
 def apply_filter(spark, sf):
     """Systems defined, filtered by lifetime, and cut at their anvil base, from mask to mask."""
-    mask = grid_mask(spark, sf)
-    steps = bundles.define_filter(mask, grid_field(spark, sf))
+    mask, field = _laid(spark, sf)
+    steps = bundles.define_filter(mask, field)
     timed = steps.withColumn("t", F.timestamp_seconds(F.col("t").cast("long") * 900))
     return bundles.apply_filter(mask, lineage.anvil_filter(timed, 0.5, core_first=False).where("keep"))

@@ -55,8 +55,8 @@ def grid_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.withColumn("lon", F.col("x") * F.lit(0.5)).withColumn("lat", F.col("y") * F.lit(0.5)).withColumn("pr", F.col("cli") * F.lit(100.0))
 
 
-def grid_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """t, z, y, x, system, u_tracks: cloudy voxels of grid_field() in blocks of three by three columns, in two layers; rising ones, from a step on, in tracks of ten steps."""
-    f = grid_field(spark, sf_dir).where("clw >= 0.00002 AND (z > 3 OR (z IN (1, 2) AND wa_phy > 1.55) OR wa_phy > 3.45)")
+def grid_mask(spark: SparkSession, sf_dir: str, field: DataFrame | None = None) -> DataFrame:
+    """t, z, y, x, system, u_tracks: cloudy voxels of grid_field() in blocks of three by three columns, in two layers; rising ones, from a step on, in tracks of ten steps. field: that of grid_field(), where it is at hand."""
+    f = (grid_field(spark, sf_dir) if field is None else field).where("clw >= 0.00002 AND (z > 3 OR (z IN (1, 2) AND wa_phy > 1.55) OR wa_phy > 3.45)")
     block = F.expr("CAST(1 + (y DIV 3) * 5 + x DIV 3 AS BIGINT)")
     return f.select("t", "z", "y", "x", block.alias("system"), F.when((F.col("wa_phy") > 1) & (F.col("t") >= 2 + block % 7), block * 10 + F.expr("t DIV 10")).alias("u_tracks"))
