@@ -101,8 +101,9 @@ def object_geometry(spark, sf):
 @query(q.with_(q.vox("v"), q.labelled("l", "v", q.FACES_4D), "e AS (SELECT * FROM l WHERE label IN (SELECT label FROM l GROUP BY 1 HAVING count(*) > 1))") + f"SELECT {PLACE}, dense_rank() OVER (ORDER BY label) AS label FROM e")
 def consecutive_labels(spark, sf):
     """Labels of objects of more than a voxel: the others' numbers are gaps, which go."""
-    every = Scratch(spark).save(_labelled(spark, sf).select(*DIMS, "label"))
-    some = every.join(readers.repeated(every).select("label"), "label", "left_semi")
+    scratch = Scratch(spark)
+    every = shuffled(scratch.save(_labelled(spark, sf).select(*DIMS, "label")))
+    some = shuffled(scratch.save(every.join(readers.repeated(every).select("label"), "label", "left_semi")))  # each is read twice
     return labelling.force_consecutive(some, Scratch(spark)).select(*DIMS, "label")
 
 
